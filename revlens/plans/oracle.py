@@ -325,4 +325,67 @@ def statements() -> dict:
       SELECT review_ord, model_id, sz AS size,
              'R' || lpad(CAST(row_number() OVER (ORDER BY model_id, sz, {review_date_ts()} DESC NULLS LAST, review_ord) AS VARCHAR), 4, '0') AS review_id
       FROM t"""
+    S.update(dashboard_statements())
+    return S
+
+
+def _dash_cte() -> str:
+    r05 = f"(CASE WHEN {rating_num('rating')} BETWEEN 0 AND 5 THEN {rating_num('rating')} END)"
+    return f""",
+dash AS (
+  SELECT review_ord, coalesce(model_id, '') AS model_id, coalesce(channel, '') AS channel, coalesce(site, '') AS site,
+         {r05} AS rating_num, {dash_date()} AS review_day, {week_label(dash_date())} AS week
+  FROM deduped
+),
+filtered AS (
+  SELECT * FROM dash
+  WHERE model_id IN ('A7', 'B7', '32H1', 'D9 Pro') AND channel IN ('AMZ', 'BBY', 'WMT')
+    AND rating_num IN (1.0, 2.5, 3.0, 4.0, 5.0)
+    AND review_day >= DATE '2025-01-15' AND review_day < DATE '2025-12-31' + INTERVAL 1 DAY
+)"""
+
+
+def _counts_sql() -> str:
+    return """,
+counts AS (SELECT model_id, "primary", count(*) AS n, min(review_ord) AS first_ord FROM classified
+           WHERE model_id IS NOT NULL GROUP BY model_id, "primary"),
+summary AS (
+  SELECT c.model_id, c."primary", c.n::BIGINT AS n_issues, round(c.n / sum(c.n) OVER (PARTITION BY c.model_id), 6) AS share,
+         coalesce(k.keywords, '') AS keywords,
+         row_number() OVER (PARTITION BY c.model_id ORDER BY c.n DESC, c.first_ord)::BIGINT AS issue_rank
+  FROM counts c LEFT JOIN kw k ON k.category = c."primary"
+)"""
+
+
+def dashboard_statements() -> dict:
+    S = {}
+    base = with_(analysis_ctes()) + _dash_cte()
+    full = with_(analysis_ctes(), classified_cte()) + _dash_cte() + _counts_sql()
+    S["facet_filter"] = base + " SELECT review_ord, model_id, channel, rating_num, strftime(review_day, '%Y-%m-%d') AS review_day FROM filtered"
+    S["semi_join_models"] = full + " SELECT * FROM summary WHERE model_id IN (SELECT model_id FROM filtered)"
+    chans = ["AMZ", "BBY", "CSC", "TARGET", "WMT"]
+    S["model_channel_pivot"] = base + " SELECT model_id, " + ", ".join(
+        f"count(*) FILTER (WHERE channel = '{c}')::BIGINT AS \"{c}\"" for c in chans) + \
+        ", count(*)::BIGINT AS total FROM dash GROUP BY model_id"
+    S["weekly_trend"] = base + " SELECT week, model_id, count(*)::BIGINT AS n_reviews FROM dash WHERE week <> '' GROUP BY week, model_id"
+    S["weekly_trend_one"] = base + (" SELECT week, model_id, count(*)::BIGINT AS n_reviews FROM dash WHERE week <> '' "
+                                    "AND model_id IN ('A7', 'C8') GROUP BY week, model_id")
+    S["issue_share_dashboard"] = full + """,
+      per AS (SELECT model_id, "primary", sum(coalesce(TRY_CAST(CAST(n_issues AS VARCHAR) AS DOUBLE), 0)) AS n FROM summary GROUP BY model_id, "primary")
+      SELECT model_id, "primary", n AS n_issues,
+             round(coalesce(n / NULLIF(sum(n) OVER (PARTITION BY model_id), 0), 0) * 100, 6) AS share_pct FROM per"""
+    S["issue_top"] = full + ' SELECT "primary", sum(n_issues)::BIGINT AS n_issues FROM summary GROUP BY "primary"'
+    S["kpis"] = full + """
+      SELECT 'total' AS kpi, count(*)::BIGINT AS value FROM filtered
+      UNION ALL SELECT 'low', count(*) FILTER (WHERE rating_num <= 3)::BIGINT FROM filtered
+      UNION ALL SELECT 'models', count(DISTINCT model_id)::BIGINT FROM filtered
+      UNION ALL SELECT 'channels', count(DISTINCT channel)::BIGINT FROM filtered
+      UNION ALL SELECT 'classified', count(*)::BIGINT FROM classified WHERE model_id IN (SELECT model_id FROM filtered)"""
+    S["facet_values"] = base + """
+      SELECT DISTINCT 'model' AS facet, model_id AS value FROM dash
+      UNION SELECT DISTINCT 'channel', channel FROM dash
+      UNION SELECT DISTINCT 'rating', CAST(rating_num AS VARCHAR) FROM dash WHERE rating_num IS NOT NULL
+      UNION ALL SELECT 'date_min', CAST(min(review_day) AS VARCHAR) FROM dash
+      UNION ALL SELECT 'date_max', CAST(max(review_day) AS VARCHAR) FROM dash"""
+    S["records_per_target"] = with_(reviews_cte()) + " SELECT model_id, site, count(*)::BIGINT AS n_records FROM reviews GROUP BY model_id, site"
     return S

@@ -216,3 +216,89 @@ def q_review_ids(spark, sf):
     low = a.low.withColumn("size", extract_size())
     order = [F.col("model_id").asc(), F.col("size").asc()] + reports.newest_first_key("review_date")
     return review_ids(low.select(ORD, "model_id", "size", "review_date"), order).select(ORD, "model_id", "size", "review_id")
+
+
+# ---------------------------------------------------------------- dashboard
+from revlens.operators import facets  # noqa: E402
+import datetime as _dt  # noqa: E402
+
+# Parameters of the dashboard queries (a user's facet selection).
+FACET_MODELS = ["A7", "B7", "32H1", "D9 Pro"]
+FACET_CHANNELS = ["AMZ", "BBY", "WMT"]
+FACET_RATINGS = [1.0, 2.5, 3.0, 4.0, 5.0]
+FACET_START, FACET_END = _dt.date(2025, 1, 15), _dt.date(2025, 12, 31)
+PIVOT_CHANNELS = ["AMZ", "BBY", "CSC", "TARGET", "WMT"]
+TREND_MODELS = ["A7", "C8"]
+
+
+def _dash(spark, sf):
+    return facets.dashboard_reviews(analysis(spark, sf).deduped)
+
+
+def _filtered(spark, sf):
+    return facets.facet_filter(_dash(spark, sf), FACET_MODELS, FACET_CHANNELS, FACET_RATINGS, FACET_START, FACET_END)
+
+
+@query("facet_filter")
+def q_facet_filter(spark, sf):
+    """Rows left by a facet selection."""
+    return _filtered(spark, sf).select(ORD, "model_id", "channel", "rating_num",
+                                       F.date_format("review_day", "yyyy-MM-dd").alias("review_day"))
+
+
+@query("semi_join_models")
+def q_semi_join_models(spark, sf):
+    """Issue counts of the models left by the facet selection."""
+    a = analysis(spark, sf)
+    return facets.semi_join_models(reports.issue_counts(classified(a), a.taxonomy), _filtered(spark, sf))
+
+
+@query("model_channel_pivot")
+def q_model_channel_pivot(spark, sf):
+    """Model x channel counts with total."""
+    return facets.model_channel_pivot(_dash(spark, sf), PIVOT_CHANNELS)
+
+
+@query("weekly_trend")
+def q_weekly_trend(spark, sf):
+    """Reviews per ISO week and model."""
+    return facets.weekly_trend(_dash(spark, sf))
+
+
+@query("weekly_trend_one")
+def q_weekly_trend_one(spark, sf):
+    """A10: the trend of chosen models."""
+    return facets.weekly_trend(_dash(spark, sf), TREND_MODELS)
+
+
+@query("issue_share_dashboard")
+def q_issue_share_dashboard(spark, sf):
+    """Category shares in percent per model, from the issue summary."""
+    a = analysis(spark, sf)
+    return facets.issue_share_dashboard(reports.issue_counts(classified(a), a.taxonomy))
+
+
+@query("issue_top")
+def q_issue_top(spark, sf):
+    """Category totals over models."""
+    a = analysis(spark, sf)
+    return facets.issue_top(reports.issue_counts(classified(a), a.taxonomy))
+
+
+@query("kpis")
+def q_kpis(spark, sf):
+    """Headline counts of the facet selection."""
+    a = analysis(spark, sf)
+    return facets.kpis(_filtered(spark, sf), classified(a).select("model_id", ORD))
+
+
+@query("facet_values")
+def q_facet_values(spark, sf):
+    """Values offered per facet and the date bounds."""
+    return facets.facet_values(_dash(spark, sf))
+
+
+@query("records_per_target")
+def q_records_per_target(spark, sf):
+    """Raw records per (model, site)."""
+    return facets.records_per_target(fixtures.reviews(spark, sf))

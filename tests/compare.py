@@ -78,7 +78,8 @@ def compare(spark, con, name, fn, sql, sf_dir):
             msg.append(f"first diff: {d}")
         if not diff:
             msg.append("value multiset differs")
-    return not msg, "; ".join(msg), t1 - t0, t2 - t1
+    msg_rows = f"rows={len(srows)}"
+    return not msg, msg_rows + " " + "; ".join(msg), t1 - t0, t2 - t1
 
 
 def main(argv):
