@@ -326,6 +326,7 @@ def statements() -> dict:
              'R' || lpad(CAST(row_number() OVER (ORDER BY model_id, sz, {review_date_ts()} DESC NULLS LAST, review_ord) AS VARCHAR), 4, '0') AS review_id
       FROM t"""
     S.update(dashboard_statements())
+    S.update(merge_statements())
     return S
 
 
@@ -389,3 +390,59 @@ def dashboard_statements() -> dict:
       UNION ALL SELECT 'date_max', CAST(max(review_day) AS VARCHAR) FROM dash"""
     S["records_per_target"] = with_(reviews_cte()) + " SELECT model_id, site, count(*)::BIGINT AS n_records FROM reviews GROUP BY model_id, site"
     return S
+
+
+def _split_ctes() -> str:
+    return """,
+existing AS (SELECT * FROM reviews WHERE scraped_at = '2026-01-01T00:00:00' AND review_ord % 3 <> 0),
+incoming AS (SELECT * FROM reviews WHERE NOT (scraped_at = '2026-01-01T00:00:00' AND review_ord % 3 <> 0)),
+both_src AS (SELECT *, 0 AS _src FROM existing UNION ALL SELECT *, 1 AS _src FROM incoming)"""
+
+
+def _template_sql() -> str:
+    return f""",
+tpl0 AS (SELECT *, {size_expr()} AS sz, {review_date_ts()} AS sort_ts FROM low),
+tpl AS (
+  SELECT review_ord,
+         'R' || lpad(CAST(row_number() OVER (ORDER BY model_id, sz, sort_ts DESC NULLS LAST, review_ord) AS VARCHAR), 4, '0') AS review_id,
+         model_id, model_name, sz AS size, channel, site, coalesce(overall_rating, '') AS overall_rating, rating,
+         coalesce(strftime(sort_ts, '%Y-%m-%d'), '') AS review_date, title, review_text, issue_summary,
+         '' AS primary_label, '' AS secondary_label, '' AS reason_label
+  FROM tpl0
+)"""
+
+
+def merge_statements() -> dict:
+    S = {}
+    keys = ", ".join(nk(k) for k in DEDUPE_KEYS)
+    base = with_(reviews_cte()) + _split_ctes()
+    S["union_reviews"] = base + """
+      SELECT review_ord, model_id, NULL::VARCHAR AS overall_rating, NULL::VARCHAR AS verified FROM existing
+      UNION ALL SELECT review_ord, model_id, overall_rating, verified FROM incoming"""
+    S["new_reviews"] = base + "," + deduped_cte("incoming", "inc_first") + f"""
+      SELECT * FROM inc_first i WHERE NOT EXISTS (
+        SELECT 1 FROM existing e WHERE {' AND '.join(f"{nk('e.' + k)} = {nk('i.' + k)}" for k in DEDUPE_KEYS)})"""
+    merged = base + f""",
+      merged AS (SELECT * EXCLUDE (_rn, _src) FROM (
+        SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY _src, review_ord) AS _rn FROM both_src) WHERE _rn = 1)"""
+    S["merge_reviews"] = merged + " SELECT * FROM merged"
+    S["merge_stats"] = merged + """
+      SELECT (SELECT count(*) FROM existing)::BIGINT AS existing_count,
+             ((SELECT count(*) FROM merged) - (SELECT count(*) FROM existing))::BIGINT AS added_count,
+             (SELECT count(*) FROM merged)::BIGINT AS total_count"""
+    S["write_reviews_by_model"] = with_(reviews_cte(), deduped_cte()) + f"""
+      SELECT review_ord, model_id,
+             row_number() OVER (PARTITION BY model_id ORDER BY {review_date_ts()} DESC NULLS LAST, review_ord)::BIGINT AS seq
+      FROM deduped"""
+    S["write_deduped"] = with_(reviews_cte(), deduped_cte()) + " SELECT * FROM deduped"
+    S["export_filtered"] = with_(analysis_ctes()) + _dash_cte() + """
+      SELECT CAST(review_ord AS VARCHAR) AS review_ord, model_id, channel, CAST(rating_num AS VARCHAR) AS rating_num,
+             strftime(review_day, '%Y-%m-%d') AS review_day FROM filtered"""
+    S["labeling_template"] = with_(analysis_ctes()) + _template_sql() + " SELECT * FROM tpl"
+    S["read_classified"] = with_(analysis_ctes()) + _template_sql() + f"""
+      SELECT t.review_ord, t.review_id, t.size,
+             coalesce(strftime({parse_date(strip('t.review_date'))}, '%Y-%m-%d'), t.review_date, '') AS review_date,
+             coalesce(NULLIF({strip("coalesce(CAST(b.quality AS VARCHAR), '')")}, ''), 'Other') AS primary_label,
+             coalesce(NULLIF({strip("coalesce(CAST(b.toxic AS VARCHAR), ' ')")}, ''), 'Other') AS secondary_label
+      FROM tpl t LEFT JOIN labels b ON b.doc_id = t.review_ord"""
+    return S

@@ -302,3 +302,94 @@ def q_facet_values(spark, sf):
 def q_records_per_target(spark, sf):
     """Raw records per (model, site)."""
     return facets.records_per_target(fixtures.reviews(spark, sf))
+
+
+# ---------------------------------------------------------------- merge, sets, sinks
+from revlens.operators import merge as M  # noqa: E402
+from revlens.operators.template import labeling_template  # noqa: E402
+from revlens.sources import sinks  # noqa: E402
+from revlens.sources.reviews import read_classified  # noqa: E402
+
+FIRST_SCRAPE = "2026-01-01T00:00:00"
+
+
+def _split(spark, sf):
+    """The stored table (first scrape, two thirds of the documents) and the incoming rows
+    (the rest of the first scrape plus the second scrape)."""
+    raw = fixtures.reviews(spark, sf)
+    stored = (F.col("scraped_at") == FIRST_SCRAPE) & (F.col(ORD) % 3 != 0)
+    return raw.filter(stored), raw.filter(~stored)
+
+
+@query("union_reviews")
+def q_union_reviews(spark, sf):
+    """Parts with differing columns."""
+    existing, incoming = _split(spark, sf)
+    u = M.union_reviews(existing.drop("verified", "overall_rating"), incoming)
+    return u.select(ORD, "model_id", "overall_rating", "verified")
+
+
+@query("new_reviews")
+def q_new_reviews(spark, sf):
+    """Incoming rows whose key is not stored yet."""
+    existing, incoming = _split(spark, sf)
+    return M.new_reviews(incoming, existing)
+
+
+@query("merge_reviews")
+def q_merge_reviews(spark, sf):
+    """Stored + incoming, keep-first (stored rows win)."""
+    existing, incoming = _split(spark, sf)
+    return M.merged(existing, incoming)
+
+
+@query("merge_stats")
+def q_merge_stats(spark, sf):
+    """Existing, added, total."""
+    existing, incoming = _split(spark, sf)
+    return M.merge_stats(existing, incoming)
+
+
+@query("write_reviews_by_model")
+def q_write_reviews_by_model(spark, sf):
+    """S8 + O1: per-model folders, newest first (seq), read back."""
+    from revlens.session import fresh_dir
+    d = analysis(spark, sf).deduped
+    seq = sequence(d, reports.newest_first_key("review_date"), ["model_id"], "seq")
+    path = sinks.write_reviews_by_model(seq, fresh_dir(spark, "reviews_by_model"))
+    return spark.read.parquet(path).select(ORD, "model_id", "seq")
+
+
+@query("write_deduped")
+def q_write_deduped(spark, sf):
+    """The deduped table written as a new version and read back."""
+    path = sinks.write_version(analysis(spark, sf).deduped, spark, "deduped")
+    return sinks.read_version(spark, path)
+
+
+@query("export_filtered")
+def q_export_filtered(spark, sf):
+    """Facet-filtered rows exported as CSV and read back (all text)."""
+    rows = _filtered(spark, sf).select(ORD, "model_id", "channel", "rating_num",
+                                       F.date_format("review_day", "yyyy-MM-dd").alias("review_day"))
+    path = sinks.write_version(rows, spark, "export", "csv")
+    return sinks.read_version(spark, path, "csv")
+
+
+@query("labeling_template")
+def q_labeling_template(spark, sf):
+    """S14 + O2 + W3: the template of low reviews to label."""
+    return labeling_template(analysis(spark, sf).low)
+
+
+@query("read_classified")
+def q_read_classified(spark, sf):
+    """A filled template (labels from the labels table) read back with checks."""
+    tpl = labeling_template(analysis(spark, sf).low)
+    labels = fixtures.table(spark, sf, "labels").select(
+        F.col("doc_id").alias(ORD), F.col("quality").cast("string").alias("_q"), F.col("toxic").cast("string").alias("_t"))
+    filled = (tpl.join(labels, ORD, "left")
+              .withColumn("primary_label", F.coalesce("_q", F.lit("")))
+              .withColumn("secondary_label", F.coalesce("_t", F.lit(" ")))
+              .drop("_q", "_t"))
+    return read_classified(filled).select(ORD, "review_id", "size", "review_date", "primary_label", "secondary_label")
