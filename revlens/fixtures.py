@@ -45,6 +45,8 @@ def _pick(values, idx) -> "F.Column":
 
 
 def reviews_from_documents(docs: DataFrame) -> DataFrame:
+    # only the first 400 characters of a document are used: cut them before anything else
+    docs = docs.select("doc_id", "source", F.substring("text", 1, 400).alias("text"))
     d = F.col("doc_id")
     dd = F.date_add(F.lit("2025-01-01").cast("date"), (d % 400).cast("int"))
     suffix = _pick(SUFFIXES + [""] * (12 - len(SUFFIXES)), (d % 12).cast("int"))
@@ -102,7 +104,13 @@ def taxonomy_rows(rules=FIXTURE_TAXONOMY):
     return out
 
 
+_TAXONOMY_CACHE: dict = {}
+
+
 def taxonomy(spark: SparkSession, rules=FIXTURE_TAXONOMY) -> DataFrame:
-    """The long taxonomy table (category, cat_ord, phrase, phrase_ord)."""
-    return spark.createDataFrame(taxonomy_rows(rules),
-                                 "category string, cat_ord int, phrase string, phrase_ord int")
+    """The long taxonomy table (category, cat_ord, phrase, phrase_ord); one per session and rule list."""
+    key = (id(spark), repr(rules))
+    if key not in _TAXONOMY_CACHE:
+        _TAXONOMY_CACHE[key] = spark.createDataFrame(
+            taxonomy_rows(rules), "category string, cat_ord int, phrase string, phrase_ord int")
+    return _TAXONOMY_CACHE[key]

@@ -22,20 +22,19 @@ CHANNEL_NAMES = {
 STAR_NAMES = {"5": "five_star", "4": "four_star", "3": "three_star", "2": "two_star", "1": "one_star"}
 
 
+def _lit_map(d: dict) -> Column:
+    return F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(v))])
+
+
 def channel(site="site") -> Column:
-    """Channel of a site key; unknown sites give the upper-cased raw site."""
+    """Channel of a site key (prefix, then exact name); unknown sites give the
+    upper-cased raw site."""
     raw = col_of(site)
     s = py_strip(F.lower(raw))
-    expr = None
-    for ch, prefixes in CHANNEL_PREFIXES:
-        cond = None
-        for p in prefixes:
-            c = s.startswith(p)
-            cond = c if cond is None else (cond | c)
-        expr = F.when(cond, F.lit(ch)) if expr is None else expr.when(cond, F.lit(ch))
-    for name, ch in CHANNEL_NAMES.items():
-        expr = expr.when(s == name, F.lit(ch))
-    return expr.otherwise(F.upper(raw))
+    prefixes = {p: ch for ch, ps in CHANNEL_PREFIXES for p in ps}
+    pattern = "^(" + "|".join(prefixes) + ")"
+    by_prefix = F.try_element_at(_lit_map(prefixes), F.regexp_extract(s, pattern, 1))
+    return F.coalesce(by_prefix, F.try_element_at(_lit_map(CHANNEL_NAMES), s), F.upper(raw))
 
 
 def site_family(site="site") -> Column:

@@ -27,8 +27,21 @@ class TaxonomyTooLarge(ValueError):
     pass
 
 
+_SPEC_CACHE: dict = {}
+
+
 def taxonomy_specs(tax: DataFrame, limit: int = MAX_LITERAL_PHRASES):
-    """Phrase specs computed by Spark from the long taxonomy; size-checked before collecting."""
+    """Phrase specs computed by Spark from the long taxonomy; size-checked before collecting.
+
+    Memoised by the taxonomy plan's semantic hash, so a session classifies many
+    review sets with one small collect."""
+    key = (tax.semanticHash(), limit)
+    if key not in _SPEC_CACHE:
+        _SPEC_CACHE[key] = _collect_specs(tax, limit)
+    return _SPEC_CACHE[key]
+
+
+def _collect_specs(tax: DataFrame, limit: int):
     spec = tax.select(
         "category", "cat_ord", "phrase_ord", py_strip("phrase").alias("phrase"),
         norm_match_text("phrase").alias("np"),

@@ -57,3 +57,13 @@ def fresh_dir(spark: SparkSession, purpose: str) -> str:
     import uuid
 
     return os.path.join(shared_dir(spark, purpose), uuid.uuid4().hex)
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin a DataFrame only when it has fewer partitions than the cluster can run
+    at once (a few large unsplittable files).  Call it after narrowing the rows and
+    before CPU-heavy expressions; with many input splits it changes nothing."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
