@@ -327,6 +327,7 @@ def statements() -> dict:
       FROM t"""
     S.update(dashboard_statements())
     S.update(merge_statements())
+    S.update(label_statements())
     return S
 
 
@@ -446,3 +447,131 @@ def merge_statements() -> dict:
              coalesce(NULLIF({strip("coalesce(CAST(b.toxic AS VARCHAR), ' ')")}, ''), 'Other') AS secondary_label
       FROM tpl t LEFT JOIN labels b ON b.doc_id = t.review_ord"""
     return S
+
+
+def _items_cte() -> str:
+    key = " || '|' || ".join([f"coalesce({c}, '')" for c in ("model_id", "site", "source_url", "rating", "review_date", "author")]
+                             + [collapse(f"coalesce({c}, '')") for c in ("title", "review_text")])
+    return f""",
+items AS (
+  SELECT *, row_number() OVER (ORDER BY review_ord) - 1 AS item_id,
+         (row_number() OVER (ORDER BY review_ord) - 1) // 3 AS batch_id, sha256({key}) AS cache_key
+  FROM low
+)"""
+
+
+def _responses_cte() -> str:
+    from revlens.plans.labeling import ANSWERS, UNLABELLED
+    p = "CASE " + " ".join(f"WHEN b.quality = {qq} AND b.toxic = {tt} THEN {q(pp)}" for (qq, tt), (pp, _) in ANSWERS.items()) + f" ELSE {q(UNLABELLED[0])} END"
+    s = "CASE " + " ".join(f"WHEN b.quality = {qq} AND b.toxic = {tt} THEN {q(ss)}" for (qq, tt), (_, ss) in ANSWERS.items()) + f" ELSE {q(UNLABELLED[1])} END"
+    return f""",
+ans AS (SELECT i.batch_id, i.item_id, {p} AS p, {s} AS s FROM items i LEFT JOIN labels b ON b.doc_id = i.review_ord),
+per_batch AS (
+  SELECT batch_id, min(item_id) AS first_id,
+         string_agg('{{"id":' || item_id || ',"primary":"' || p || '","secondary":"' || s || '","reason":"label ' || item_id || '"}}', ',' ORDER BY item_id) AS objs
+  FROM ans GROUP BY batch_id
+),
+responses AS (
+  SELECT batch_id,
+    CASE WHEN batch_id % 7 = 6 THEN 'no answer today'
+         WHEN batch_id % 5 = 0 THEN '[' || objs || ']'
+         WHEN batch_id % 5 = 1 THEN '```json' || chr(10) || '[' || objs || ']' || chr(10) || '```'
+         WHEN batch_id % 5 = 2 THEN '<think>checking</think>[' || objs || ']'
+         WHEN batch_id % 5 = 3 THEN 'Here: [' || objs || ',]'
+         ELSE '[' || objs || ',{{"id":' || first_id || ',"primary":"Other","secondary":"Please add comments","reason":"dup"}}]' END AS content
+  FROM per_batch
+)"""
+
+
+def _parsed_cte() -> str:
+    t0 = strip("content")
+    fenced = strip(f"regexp_replace(regexp_replace({t0}, '(?i)^```(?:json)?{WS}*', ''), '{WS}*```$', '')")
+    t1 = f"(CASE WHEN starts_with({t0}, '```') THEN {fenced} ELSE {t0} END)"
+    t2 = strip(f"regexp_replace({t1}, '(?is)<think>.*?</think>', '', 'g')")
+    schema = '[{"id":"BIGINT","primary":"VARCHAR","secondary":"VARCHAR","reason":"VARCHAR"}]'
+    reason = "regexp_extract(regexp_replace(o, '\\}$', ''), '(?s)\"reason\"\\s*:\\s*\"(.*)\"\\s*$', 1)"
+    unesc = strip(f"replace(replace(replace(replace({reason}, '\\\"', '\"'), '\\n', ' '), '\\r', ' '), '\\t', ' ')")
+    rec_obj = (f"{{'id': TRY_CAST(NULLIF(regexp_extract(o, '\"id\"\\s*:\\s*(\\d+)', 1), '') AS BIGINT), "
+               f"'primary': trim(regexp_extract(o, '\"primary\"\\s*:\\s*\"([^\"]*)\"', 1)), "
+               f"'secondary': trim(regexp_extract(o, '\"secondary\"\\s*:\\s*\"([^\"]*)\"', 1)), "
+               f"'reason': CASE WHEN {reason} <> '' THEN {unesc} ELSE '{'API 返回格式已修复'}' END, "
+               f"'ok': regexp_matches(o, '\"id\"\\s*:\\s*\\d+') AND regexp_matches(o, '\"primary\"\\s*:\\s*\"') "
+               f"AND regexp_matches(o, '\"secondary\"\\s*:\\s*\"')}}")
+    return f""",
+sliced AS (
+  SELECT batch_id, t,
+         CASE WHEN instr(t, '[') > 0 AND instr(reverse(t), ']') > 0
+                   AND length(t) - instr(reverse(t), ']') + 1 > instr(t, '[')
+              THEN substr(t, instr(t, '['), length(t) - instr(reverse(t), ']') + 1 - instr(t, '[') + 1) END AS arr
+  FROM (SELECT batch_id, {t2} AS t FROM responses)
+),
+lists AS (
+  SELECT batch_id,
+         -- DuckDB accepts trailing commas; strict JSON (as in Python and Spark) does not
+         CASE WHEN json_valid(arr) AND NOT regexp_matches(arr, ',\\s*[\\]}}]') THEN from_json(arr, '{schema}') END AS strict_list,
+         list_transform(list_filter(list_transform(regexp_extract_all(coalesce(arr, ''), '(?s)(\\{{.*?\\}})', 1), lambda o: {rec_obj}),
+                                    lambda x: x.ok),
+                        lambda x: {{'id': x.id, 'primary': x."primary", 'secondary': x.secondary, 'reason': x.reason}}) AS rec_list
+  FROM sliced
+),
+answers AS (
+  SELECT batch_id, CASE WHEN strict_list IS NOT NULL THEN strict_list ELSE rec_list END AS a,
+         CASE WHEN strict_list IS NOT NULL THEN 'json' WHEN len(rec_list) > 0 THEN 'recovered' ELSE 'unparsable' END AS status
+  FROM lists
+),
+parsed AS (
+  SELECT batch_id, status, CAST(i - 1 AS INTEGER) AS pos, a[i].id AS id, a[i]."primary" AS "primary",
+         a[i].secondary AS secondary, a[i].reason AS reason
+  FROM answers, range(1, len(a) + 1) r(i)
+  UNION ALL
+  SELECT batch_id, status, NULL, NULL, NULL, NULL, NULL FROM answers WHERE a IS NULL OR len(a) = 0
+),
+last_ans AS (
+  SELECT batch_id, id, arg_max("primary", pos) AS "primary", arg_max(secondary, pos) AS secondary, arg_max(reason, pos) AS reason
+  FROM parsed WHERE id IS NOT NULL GROUP BY batch_id, id
+),
+defaulted AS (
+  SELECT i.review_ord, i.item_id, i.batch_id, i.cache_key,
+         coalesce(l."primary", 'Other') AS "primary",
+         CASE WHEN l."primary" IS NOT NULL THEN coalesce(l.secondary, '') ELSE 'Please add comments' END AS secondary,
+         CASE WHEN l."primary" IS NOT NULL THEN coalesce(l.reason, '')
+              WHEN i.batch_id IN (SELECT batch_id FROM parsed WHERE status = 'unparsable') THEN '{'API 返回格式异常，未能稳定解析分类结果'}'
+              ELSE '{'API 未返回有效分类结果'}' END AS reason
+  FROM items i LEFT JOIN last_ans l ON l.batch_id = i.batch_id AND l.id = i.item_id
+),
+validated AS (
+  SELECT review_ord, item_id, batch_id, cache_key,
+         CASE WHEN ok THEN p ELSE 'Other' END AS "primary",
+         CASE WHEN ok THEN s ELSE 'Please add comments' END AS secondary,
+         CASE WHEN NOT bad_p AND NOT bad_s THEN r WHEN r <> '' THEN r
+              WHEN bad_p THEN '{'返回的一级分类不在分类表中'}' ELSE '{'返回的二级分类不在分类表中'}' END AS reason
+  FROM (
+    SELECT *, NOT (p IN (SELECT category FROM tax)) AS bad_p,
+           NOT EXISTS (SELECT 1 FROM tax WHERE tax.category = p AND {strip('tax.phrase')} = s) AS bad_s,
+           (p IN (SELECT category FROM tax)) AND EXISTS (SELECT 1 FROM tax WHERE tax.category = p AND {strip('tax.phrase')} = s) AS ok
+    FROM (SELECT *, trim(coalesce("primary", '')) AS p, trim(coalesce(secondary, '')) AS s, trim(coalesce(reason, '')) AS r FROM defaulted)
+  )
+)"""
+
+
+def label_statements() -> dict:
+    S = {}
+    base = with_(analysis_ctes(), taxonomy_cte()) + _items_cte()
+    S["batch_ids"] = base + " SELECT review_ord, item_id, batch_id FROM items"
+    tax_map = "MAP {" + ", ".join(f"{q(c)}: {lst(ps)}" for c, ps in fixtures.FIXTURE_TAXONOMY) + "}"
+    item = ("{'id': item_id, 'cache_id': cache_key, 'model': coalesce(model_name, ''), 'channel': coalesce(channel, ''), "
+            "'rating': coalesce(rating, ''), 'date': coalesce(review_date, ''), "
+            f"'title': {excerpt('title', 160)}, 'review': {excerpt('review_text', 900)}, 'summary': {excerpt('issue_summary', 260)}}}")
+    S["classify_requests"] = base + f"""
+      SELECT batch_id, count(*)::BIGINT AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS item_ids,
+             to_json({{'taxonomy': {tax_map}, 'reviews': list({item} ORDER BY item_id)}}) AS payload
+      FROM items GROUP BY batch_id"""
+    full = base + _responses_cte() + _parsed_cte()
+    S["parse_label_responses"] = full + " SELECT batch_id, status, pos, id, \"primary\", secondary, reason FROM parsed"
+    S["results_with_default"] = full + ' SELECT review_ord, "primary", secondary, reason FROM defaulted'
+    S["validate_labels"] = full + ' SELECT review_ord, "primary", secondary, reason FROM validated'
+    S["cache_hit_miss"] = full + """,
+      cache AS (SELECT cache_key, "primary" FROM validated WHERE review_ord IN (SELECT doc_id FROM labels WHERE quality = 1))
+      SELECT i.review_ord, 1 AS hit, c."primary" FROM items i JOIN cache c USING (cache_key)
+      UNION ALL SELECT i.review_ord, 0, NULL FROM items i WHERE i.cache_key NOT IN (SELECT cache_key FROM cache)"""
+    return S

@@ -393,3 +393,82 @@ def q_read_classified(spark, sf):
               .withColumn("secondary_label", F.coalesce("_t", F.lit(" ")))
               .drop("_q", "_t"))
     return read_classified(filled).select(ORD, "review_id", "size", "review_date", "primary_label", "secondary_label")
+
+
+# ---------------------------------------------------------------- labels
+from revlens.operators import labels as L  # noqa: E402
+from revlens.operators.classify import taxonomy_specs  # noqa: E402
+from revlens.plans import labeling  # noqa: E402
+
+
+@query("batch_ids")
+def q_batch_ids(spark, sf):
+    """Low reviews in batches of three."""
+    return labeling.items(spark, sf).select(ORD, "item_id", "batch_id")
+
+
+@query("classify_requests")
+def q_classify_requests(spark, sf):
+    """One JSON request per batch (taxonomy + truncated review fields)."""
+    return L.classify_requests(labeling.items(spark, sf), taxonomy_specs(fixtures.taxonomy(spark)))
+
+
+@query("parse_label_responses")
+def q_parse_label_responses(spark, sf):
+    """C3 + F16: answers parsed from the response texts (strict, recovered, unparsable)."""
+    return L.parse_label_responses(labeling.responses(spark, sf))
+
+
+@query("results_with_default")
+def q_results_with_default(spark, sf):
+    """Every request item with its last answer or the default."""
+    return labeling.labelled(spark, sf, validate=False).select(ORD, "primary", "secondary", "reason")
+
+
+@query("validate_labels")
+def q_validate_labels(spark, sf):
+    """Answers checked against the taxonomy."""
+    return labeling.labelled(spark, sf).select(ORD, "primary", "secondary", "reason")
+
+
+@query("cache_hit_miss")
+def q_cache_hit_miss(spark, sf):
+    """Items found in a label cache (built from the labelled answers of labels with
+    quality = 1) and the misses still to score."""
+    it = labeling.items(spark, sf)
+    done = labeling.labelled(spark, sf).join(
+        fixtures.table(spark, sf, "labels").filter("quality = 1").select(F.col("doc_id").alias(ORD)), ORD, "left_semi")
+    cache = done.select("cache_key", "primary", "secondary", "reason")
+    hits, misses = L.cache_hit_miss(it, cache)
+    return (hits.select(ORD, F.lit(1).alias("hit"), "primary")
+            .unionByName(misses.select(ORD, F.lit(0).alias("hit"), F.lit(None).cast("string").alias("primary"))))
+
+
+def _demo_scorer(pdf):
+    """A deterministic stand-in for a remote model: looks for two words."""
+    import pandas as pd
+    text = (pdf["title"].fillna("") + " " + pdf["review_text"].fillna("")).str.lower()
+    primary = text.str.contains("refund").map({True: "Service", False: "Other"})
+    secondary = primary.map({"Service": "refund", "Other": "Please add comments"})
+    return pd.DataFrame({"item_id": pdf["item_id"], "primary": primary, "secondary": secondary,
+                         "reason": "scored"})
+
+
+@query("classify_with_function")
+def q_classify_with_function(spark, sf):
+    """C4: cache misses scored by a pandas batch function, validated, plus cache hits."""
+    it = labeling.items(spark, sf)
+    specs = taxonomy_specs(fixtures.taxonomy(spark))
+    scored = L.score_with_function(it, _demo_scorer)
+    return L.validate_labels(it.select(ORD, "item_id").join(scored, "item_id"), specs)
+
+
+def _demo_translate(texts):
+    return [f"[{len(t)}] {t[:20]}" for t in texts]
+
+
+@query("translate_with_function")
+def q_translate_with_function(spark, sf):
+    """Each distinct summary translated once by a batch function."""
+    low = analysis(spark, sf).low
+    return L.translate_with_function(low.select(ORD, "issue_summary"), _demo_translate).select(ORD, "translated")
