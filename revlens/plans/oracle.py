@@ -328,6 +328,7 @@ def statements() -> dict:
     S.update(dashboard_statements())
     S.update(merge_statements())
     S.update(label_statements())
+    S.update(page_statements())
     return S
 
 
@@ -575,3 +576,57 @@ def label_statements() -> dict:
       SELECT i.review_ord, 1 AS hit, c."primary" FROM items i JOIN cache c USING (cache_key)
       UNION ALL SELECT i.review_ord, 0, NULL FROM items i WHERE i.cache_key NOT IN (SELECT cache_key FROM cache)"""
     return S
+
+
+def _blocks_cte() -> str:
+    from revlens.functions.markup import ENTITIES
+    clean = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g')"
+    t = "regexp_replace(regexp_replace(x, '(?is)</(?:p|article|body|div|section|main)>.*$', ''), '<[^>]*>', ' ', 'g')"
+    for ent, ch in ENTITIES:
+        t = f"replace({t}, {q(ent)}, {q(ch)})"
+    t = collapse(t)
+    return f""",
+pieces AS (SELECT page_id, url, string_split_regex({clean}, '(?i)<p\\b[^>]*>') AS parts FROM pages),
+blocks AS (
+  SELECT page_id, CAST(i - 2 AS INTEGER) AS block_no, (list_transform(parts, lambda x: {t}))[i] AS text
+  FROM pieces, range(2, len(parts) + 1) r(i)
+),
+blocks_ne AS (SELECT * FROM blocks WHERE text <> '')"""
+
+
+def page_statements() -> dict:
+    from revlens.operators.pages import (AMAZON_REVIEW_MARKERS, AUTH_MARKERS, CAPTCHA_MARKERS, ROBOT_MARKERS,
+                                         WALMART_REVIEW_MARKERS)
+
+    def any_of(col, words):
+        return "(" + " OR ".join(f"contains({col}, {q(w)})" for w in words) + ")"
+    S = {}
+    base = "WITH _x AS (SELECT 1)" + _blocks_cte()
+    S["page_blocks"] = base + " SELECT page_id, block_no, text FROM blocks_ne"
+    S["page_status"] = f"""SELECT page_id, CASE
+        WHEN {any_of('html', AMAZON_REVIEW_MARKERS)} OR {any_of('lower(html)', WALMART_REVIEW_MARKERS)} THEN 'reviews'
+        WHEN contains(lower(coalesce(url, '')), 'signin') OR {any_of('lower(html)', AUTH_MARKERS)} THEN 'auth'
+        WHEN {any_of('lower(html)', CAPTCHA_MARKERS)} THEN 'captcha'
+        WHEN {any_of('lower(html)', ROBOT_MARKERS)} THEN 'robot' ELSE 'page' END AS status FROM pages"""
+    S["url_query_param"] = """SELECT page_id, NULLIF(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1), '') AS host,
+        NULLIF(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page,
+        NULLIF(regexp_extract(url, '[?&]ref=([^&#]*)', 1), '') AS ref FROM pages"""
+    nat = ("array_to_string(list_transform(regexp_extract_all(url, '(\\d+|\\D+)', 1), "
+           "lambda x: CASE WHEN regexp_full_match(x, '\\d+') THEN lpad(x, 20, '0') ELSE lower(x) END), '')")
+    S["natural_sort"] = f"SELECT page_id, row_number() OVER (ORDER BY {nat}, page_id)::BIGINT AS nat_rank FROM pages"
+    per_page = base + """,
+      tp AS (SELECT page_id, regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1) AS target FROM pages),
+      firsts AS (
+        SELECT target, arg_min(page_id, (page_id, block_no)) AS page_id FROM blocks_ne JOIN tp USING (page_id)
+        GROUP BY target, substr(lower(text), 1, 200)),
+      per_page AS (
+        SELECT tp.target, tp.page_id, coalesce(c.n, 0)::BIGINT AS n_new FROM tp
+        LEFT JOIN (SELECT target, page_id, count(*) AS n FROM firsts GROUP BY target, page_id) c
+          ON c.target = tp.target AND c.page_id = tp.page_id)"""
+    S["dedupe_page_records"] = per_page + " SELECT * FROM per_page"
+    S["crawl_cutoff"] = per_page + """,
+      isl AS (SELECT *, sum(CASE WHEN n_new = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY target ORDER BY page_id ROWS UNBOUNDED PRECEDING) AS island FROM per_page),
+      stk AS (SELECT *, CASE WHEN n_new = 0 THEN row_number() OVER (PARTITION BY target, island ORDER BY page_id) - CASE WHEN island > 0 THEN 1 ELSE 0 END END AS streak FROM isl),
+      st AS (SELECT *, min(CASE WHEN streak >= 1 THEN page_id END) OVER (PARTITION BY target) AS stop_at FROM stk)
+      SELECT target, page_id, n_new, stop_at, (stop_at IS NULL OR page_id <= stop_at) AS kept FROM st"""
+    return S

@@ -472,3 +472,53 @@ def q_translate_with_function(spark, sf):
     """Each distinct summary translated once by a batch function."""
     low = analysis(spark, sf).low
     return L.translate_with_function(low.select(ORD, "issue_summary"), _demo_translate).select(ORD, "translated")
+
+
+# ---------------------------------------------------------------- captured pages
+from revlens.functions import markup as MK  # noqa: E402
+from revlens.operators import pages as PG  # noqa: E402
+
+CUTOFF_K = 1  # pages in a row without new records that end a crawl ("elsewhere" setting)
+
+
+def _pages(spark, sf):
+    return fixtures.table(spark, sf, "pages")
+
+
+@query("page_blocks")
+def q_page_blocks(spark, sf):
+    """<p> blocks of every captured page."""
+    return PG.page_blocks(_pages(spark, sf))
+
+
+@query("page_status")
+def q_page_status(spark, sf):
+    """P10: status label of every captured page."""
+    return PG.page_status(_pages(spark, sf))
+
+
+@query("url_query_param")
+def q_url_query_param(spark, sf):
+    """F26 (+ host): parameters of the captured URLs."""
+    p = _pages(spark, sf)
+    return p.select("page_id", MK.url_host("url").alias("host"), MK.url_param("url", "page").alias("page"),
+                    MK.url_param("url", "ref").alias("ref"))
+
+
+@query("natural_sort")
+def q_natural_sort(spark, sf):
+    """Captured pages in natural order of their URL."""
+    p = _pages(spark, sf).select("page_id", "url", MK.natural_key("url").alias("_k"))
+    return sequence(p, [F.col("_k").asc(), F.col("page_id").asc()], (), "nat_rank").select("page_id", "nat_rank")
+
+
+@query("dedupe_page_records")
+def q_dedupe_page_records(spark, sf):
+    """New (not seen on an earlier page of the same target) records per page."""
+    return PG.new_records_per_page(_pages(spark, sf))
+
+
+@query("crawl_cutoff")
+def q_crawl_cutoff(spark, sf):
+    """Pages kept before the crawl of each target stops."""
+    return PG.crawl_cutoff(PG.new_records_per_page(_pages(spark, sf)), CUTOFF_K)
