@@ -329,6 +329,7 @@ def statements() -> dict:
     S.update(merge_statements())
     S.update(label_statements())
     S.update(page_statements())
+    S.update(target_statements())
     return S
 
 
@@ -630,3 +631,76 @@ def page_statements() -> dict:
       st AS (SELECT *, min(CASE WHEN streak >= 1 THEN page_id END) OVER (PARTITION BY target) AS stop_at FROM stk)
       SELECT target, page_id, n_new, stop_at, (stop_at IS NULL OR page_id <= stop_at) AS kept FROM st"""
     return S
+
+
+def sql_set_params(url: str, updates: dict, defaults: dict | None = None) -> str:
+    """DuckDB form of F27 (keep other parameters in order, update in place, append new)."""
+    base = f"regexp_extract({url}, '^([^?#]*)', 1)"
+    query = f"regexp_extract({url}, '^[^?#]*\\?([^#]*)', 1)"
+    pairs = f"list_filter(string_split({query}, '&'), lambda p: contains(p, '=') AND NOT ends_with(p, '='))"
+    keys = f"list_transform({pairs}, lambda p: split_part(p, '=', 1))"
+    case = "CASE " + " ".join(f"WHEN split_part(p, '=', 1) = {q(k)} THEN {q(k)} || '=' || url_encode({v})"
+                              for k, v in updates.items()) + " ELSE p END" if updates else "p"
+    kept = f"list_transform({pairs}, lambda p: {case})"
+    extra = [f"CASE WHEN NOT list_contains({keys}, {q(k)}) THEN {q(k)} || '=' || url_encode({v}) END" for k, v in updates.items()]
+    extra += [f"CASE WHEN NOT list_contains({keys}, {q(k)}) THEN {q(k + '=' + v)} END" for k, v in (defaults or {}).items()]
+    allp = f"list_concat({kept}, list_filter([{', '.join(extra)}], lambda x: x IS NOT NULL))" if extra else kept
+    return f"({base} || '?' || array_to_string({allp}, '&'))"
+
+
+def _targets_cte() -> str:
+    from revlens.functions.sites import STAR_NAMES
+    from revlens.operators.targets import PREFIXES, REGISTRY
+    key = strip("lower(site)")
+    prof = ("CASE " + " ".join(f"WHEN {key} = {q(k)} THEN {q(v)}" for k, v in REGISTRY.items()) + " "
+            + " ".join(f"WHEN {' OR '.join(f'starts_with({key}, {q(p)})' for p in ps)} THEN {q(kind)}" for kind, ps in PREFIXES)
+            + f" ELSE 'generic:' || {key} END")
+    star_digit = "regexp_extract(lower(site), '(?:amazon|amz)_(\\d)(?:\\D|$)', 1)"
+    star = "CASE " + " ".join(f"WHEN {star_digit} = {q(k)} THEN {q(v)}" for k, v in STAR_NAMES.items()) + " END"
+    pats = ["/product-reviews/([A-Z0-9]{10})", "/dp/([A-Z0-9]{10})", "/site/[^?#]*?/(\\d{6,})\\.p",
+            "[?&]skuId=(\\d+)", "/reviews/product/(\\d+)", "/ip/(?:[^/?#]+/)?(\\d+)"]
+    pid = "coalesce(" + ", ".join(f"NULLIF(regexp_extract(url, {q(p)}, 1), '')" for p in pats) + ")"
+    return f""",
+per_site AS (SELECT model_id, site, arg_min(source_url, review_ord) AS url, arg_min(channel, review_ord) AS ch,
+                    count(*) AS n FROM reviews GROUP BY model_id, site),
+names AS (SELECT model_id, coalesce({_first_non_empty('model_name')}, model_id) AS display_name FROM reviews GROUP BY model_id),
+all_targets AS (
+  SELECT p.model_id, nm.display_name, p.site, ch IN ('AMZ', 'BBY', 'WMT') AS enabled, url,
+         CAST(least(1000, ceil(n / 10)) AS INTEGER) AS max_pages, {star} AS star_filter, {pid} AS product_id, {prof} AS profile
+  FROM per_site p JOIN names nm USING (model_id)
+),
+targets AS (SELECT * FROM all_targets WHERE enabled AND {strip("coalesce(url, '')")} <> '')"""
+
+
+def target_statements() -> dict:
+    S = {}
+    base = with_(reviews_cte()) + _targets_cte()
+    S["scrape_targets"] = base + " SELECT model_id, display_name, site, url, max_pages, star_filter, product_id, profile FROM targets"
+    S["filter_targets"] = base + """ SELECT model_id, site, url FROM targets
+      WHERE (model_id = 'B7 Series' OR display_name = 'B7 Series')
+        AND (lower(site) = 'amazon' OR starts_with(lower(site), 'amazon') OR starts_with(lower(site), 'amz_'))"""
+    u = strip("coalesce(url, '')")
+    S["target_status"] = base + f""" SELECT model_id, site, CASE WHEN enabled AND {u} <> '' THEN '✓' ELSE '○' END AS status,
+      CASE WHEN {u} <> '' THEN {u} ELSE '（未填写 URL）' END AS url_preview FROM all_targets"""
+    n = "CAST(page_no AS VARCHAR)"
+    amazon = sql_set_params("url", {"pageNumber": n}, {"reviewerType": "all_reviews"})
+    amazon = f"(CASE WHEN star_filter IS NOT NULL THEN {sql_set_params(amazon, {'filterByStar': 'star_filter'})} ELSE {sql_set_params(amazon, {}, {'filterByStar': 'all_stars'})} END)"
+    amazon = sql_set_params(amazon, {}, {"ie": "UTF8"})
+    paged = sql_set_params("url", {"page": n})
+    S["page_plan"] = base + f""",
+      plan AS (SELECT t.*, page_no FROM targets t,
+               range(1, (CASE WHEN starts_with(profile, 'generic:') THEN 1 ELSE greatest(max_pages, 1) END) + 1) r(page_no))
+      SELECT model_id, site, profile AS kind, CAST(page_no AS INTEGER) AS page_no,
+             CASE WHEN profile = 'amazon' THEN {amazon}
+                  WHEN profile = 'bestbuy' THEN CASE WHEN page_no <= 1 THEN url ELSE {paged} END
+                  WHEN profile = 'walmart' THEN {paged} ELSE url END AS page_url
+      FROM plan"""
+    all_stars = sql_set_params("url", {"pageNumber": "'1'", "filterByStar": "'all_stars'", "reviewerType": "'all_reviews'"}, {"ie": "UTF8"})
+    S["url_candidates"] = base + f"""
+      SELECT model_id, site, array_to_string(list_distinct_ordered, ' ') AS candidates FROM (
+        SELECT model_id, site, list_filter(
+          [CASE WHEN product_id IS NOT NULL THEN 'https://www.amazon.com/dp/' || product_id END, {all_stars}, url],
+          lambda x: x IS NOT NULL) AS l FROM targets),
+      LATERAL (SELECT list(DISTINCT_x ORDER BY pos) AS list_distinct_ordered FROM (
+        SELECT x AS DISTINCT_x, min(pos) AS pos FROM (SELECT unnest(l) AS x, generate_subscripts(l, 1) AS pos) GROUP BY x))"""
+    return S

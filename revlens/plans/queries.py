@@ -522,3 +522,49 @@ def q_dedupe_page_records(spark, sf):
 def q_crawl_cutoff(spark, sf):
     """Pages kept before the crawl of each target stops."""
     return PG.crawl_cutoff(PG.new_records_per_page(_pages(spark, sf)), CUTOFF_K)
+
+
+# ---------------------------------------------------------------- crawl targets
+from revlens.functions.sites import star_filter  # noqa: E402
+from revlens.operators import targets as TG  # noqa: E402
+
+FILTER_MODEL, FILTER_SITE = "B7 Series", "amazon"
+
+
+def _cfg(spark, sf):
+    return TG.targets_from_reviews(fixtures.reviews(spark, sf))
+
+
+@query("scrape_targets")
+def q_scrape_targets(spark, sf):
+    """S7 (+ F14, F25, J8): enabled targets with a URL, their star filter, product id and scraper."""
+    t = TG.scrape_targets(_cfg(spark, sf))
+    return t.select("model_id", "display_name", "site", "url", "max_pages",
+                    star_filter("site").alias("star_filter"), MK.product_id("url").alias("product_id"),
+                    TG.site_profile("site").alias("profile"))
+
+
+@query("filter_targets")
+def q_filter_targets(spark, sf):
+    """Targets of one model (by display name) on one site family."""
+    t = TG.filter_targets(TG.scrape_targets(_cfg(spark, sf)), FILTER_MODEL, FILTER_SITE)
+    return t.select("model_id", "site", "url")
+
+
+@query("target_status")
+def q_target_status(spark, sf):
+    """Status and URL preview of every configured target."""
+    return TG.target_status(_cfg(spark, sf))
+
+
+@query("page_plan")
+def q_page_plan(spark, sf):
+    """X6 + F27: page URLs to capture per target."""
+    return TG.page_plan(TG.scrape_targets(_cfg(spark, sf)))
+
+
+@query("url_candidates")
+def q_url_candidates(spark, sf):
+    """candidate URLs per target, joined as text."""
+    t = TG.scrape_targets(_cfg(spark, sf))
+    return t.select("model_id", "site", F.array_join(TG.url_candidates(), " ").alias("candidates"))
