@@ -330,6 +330,7 @@ def statements() -> dict:
     S.update(label_statements())
     S.update(page_statements())
     S.update(target_statements())
+    S.update(stream_statements())
     return S
 
 
@@ -704,3 +705,10 @@ def target_statements() -> dict:
       LATERAL (SELECT list(DISTINCT_x ORDER BY pos) AS list_distinct_ordered FROM (
         SELECT x AS DISTINCT_x, min(pos) AS pos FROM (SELECT unnest(l) AS x, generate_subscripts(l, 1) AS pos) GROUP BY x))"""
     return S
+
+
+def stream_statements() -> dict:
+    S = {}
+    S["stream_merge"] = merge_statements()["merge_reviews"]
+    S["stream_weekly"] = "SELECT strftime(ts, '%G-W%V') AS week, event_type, count(*)::BIGINT AS n_events FROM events GROUP BY 1, 2"
+    return S

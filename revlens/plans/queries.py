@@ -568,3 +568,64 @@ def q_url_candidates(spark, sf):
     """candidate URLs per target, joined as text."""
     t = TG.scrape_targets(_cfg(spark, sf))
     return t.select("model_id", "site", F.array_join(TG.url_candidates(), " ").alias("candidates"))
+
+
+# ---------------------------------------------------------------- streaming
+from revlens.streaming import jobs as ST  # noqa: E402
+
+STREAM_CHUNKS = 4
+
+
+def _land_in_chunks(df: DataFrame, folder: str, chunks: int, on: str):
+    """Split rows by ranges of ``on`` and return writers that land chunk i as new files."""
+    import os
+    b = df.agg(F.min(on).alias("lo"), F.max(on).alias("hi")).first()
+    lo, hi = (b.lo or 0), (b.hi or 0)
+    chunk = F.floor((F.col(on) - lo) * chunks / (hi - lo + 1))
+    return [(lambda i=i: df.filter(chunk == i).write.parquet(os.path.join(folder, f"chunk-{i}")))
+            for i in range(chunks)]
+
+
+@query("stream_merge")
+def q_stream_merge(spark, sf):
+    """Incoming reviews arrive as files in four runs; each micro-batch is merged
+    keep-first into the stored table (stored rows win).  Returns the stored table."""
+    import os
+    from revlens.session import fresh_dir
+    existing, incoming = _split(spark, sf)
+    base = fresh_dir(spark, "stream_merge")
+    job = ST.StreamMerge(spark, base)
+    job.initialise(existing)
+    src = os.path.join(base, "incoming")
+    doc = incoming.withColumn("_doc", F.col(ORD) % fixtures.COPY_OFFSET)  # a review and its re-scrape land together
+    landers = _land_in_chunks(doc, src, STREAM_CHUNKS, "_doc")
+    schema = doc.schema
+    for land in landers:
+        land()
+        job.run(os.path.join(src, "*"), schema)
+    return job.result().drop("_doc")
+
+
+@query("stream_weekly")
+def q_stream_weekly(spark, sf):
+    """Events per ISO week and type, by a watermarked tumbling window."""
+    from revlens.session import fresh_dir
+    ev = fixtures.table(spark, sf, "events")
+    job = ST.StreamWeekly(spark, fresh_dir(spark, "stream_weekly"))
+    job.run(sf, ev.schema, "event_type", glob="events.parquet")
+    return job.result("event_type")
+
+
+@query("stream_dedupe")
+def q_stream_dedupe(spark, sf):
+    """Events without repeats of (user, type) inside the watermark delay."""
+    import os
+    from revlens.session import fresh_dir
+    ev = fixtures.table(spark, sf, "events")
+    base = fresh_dir(spark, "stream_dedupe")
+    stream = spark.readStream.schema(ev.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    out = ST.dedupe_stream(stream, ["user_id", "event_type"])
+    q = (out.writeStream.format("parquet").option("path", os.path.join(base, "out"))
+         .option("checkpointLocation", os.path.join(base, "checkpoint")).trigger(availableNow=True).start())
+    ST._run(q)
+    return spark.read.parquet(os.path.join(base, "out")).select("event_id", "user_id", "event_type")
