@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from revlens.session import shared_dir
+from revlens.session import materialize
 
 _POS_BITS = 33  # monotonically_increasing_id = partition id << 33 | position
 
@@ -22,16 +22,13 @@ def sequence(df: DataFrame, order_cols, part_cols=(), name: str = "seq") -> Data
     """Adds ``name`` = 1..n within each ``part_cols`` group following ``order_cols``.
 
     ``order_cols`` must give a total order (end with a unique column)."""
-    spark = df.sparkSession
-    shared_dir(spark, "checkpoints")  # makes sure a checkpoint folder is set
     part_cols = list(part_cols)
     sort_keys = [F.col(c).asc_nulls_first() for c in part_cols] + list(order_cols)
-    placed = (df.orderBy(*sort_keys)
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .withColumn("_pid", F.shiftright("_mid", _POS_BITS))
-              .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1)))
-              .drop("_mid")
-              .checkpoint(eager=True))
+    placed = materialize(df.orderBy(*sort_keys)
+                         .withColumn("_mid", F.monotonically_increasing_id())
+                         .withColumn("_pid", F.shiftright("_mid", _POS_BITS))
+                         .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1)))
+                         .drop("_mid"))
     # one row per (partition, group) slice: where it starts and how many rows it has
     slices = placed.groupBy("_pid", *part_cols).agg(F.min("_pos").alias("_start"),
                                                      F.count(F.lit(1)).alias("_n"))

@@ -207,8 +207,8 @@ def scored_cte(src: str = "low", name: str = "scored") -> str:
 )"""
 
 
-def classified_cte() -> str:
-    return taxonomy_cte() + "," + scored_cte() + """,
+def classified_cte(rules=fixtures.FIXTURE_TAXONOMY) -> str:
+    return taxonomy_cte(rules) + "," + scored_cte() + """,
 classified AS (
   SELECT l.*, coalesce(s.category, 'Other') AS "primary", coalesce(s.phrase, 'Other') AS secondary,
          coalesce(s.score, 0) AS score
@@ -236,6 +236,12 @@ def _first_non_empty(col: str) -> str:
 
 
 def statements() -> dict:
+    S = statements_core()
+    S.update(grid_statements())
+    return S
+
+
+def statements_core() -> dict:
     S = {}
     S["read_reviews"] = with_(reviews_cte()) + " SELECT * FROM reviews"
     S["record_to_row"] = with_(reviews_cte()) + " SELECT review_ord, " + ", ".join(
@@ -712,3 +718,22 @@ def stream_statements() -> dict:
     S["stream_merge"] = merge_statements()["merge_reviews"]
     S["stream_weekly"] = "SELECT strftime(ts, '%G-W%V') AS week, event_type, count(*)::BIGINT AS n_events FROM events GROUP BY 1, 2"
     return S
+
+
+def grid_statements() -> dict:
+    from revlens.sources.taxonomy import FALLBACK_RULES
+    S = {}
+    S["grid_tables"] = with_(analysis_ctes(), classified_cte()) + """,
+      counts AS (SELECT model_id, "primary", count(*) AS n FROM classified WHERE model_id IS NOT NULL GROUP BY model_id, "primary")
+      SELECT c.model_id, c."primary", c.n::BIGINT AS n_issues, round(c.n / sum(c.n) OVER (PARTITION BY c.model_id), 6) AS share,
+             coalesce(k.keywords, '') AS keywords
+      FROM counts c LEFT JOIN kw k ON k.category = c."primary" """
+    S["classify_fallback"] = with_(analysis_ctes(), classified_cte(FALLBACK_RULES)) + """,
+      counts AS (SELECT model_id, "primary", count(*) AS n, min(review_ord) AS first_ord FROM classified
+                 WHERE model_id IS NOT NULL GROUP BY model_id, "primary")
+      SELECT c.model_id, c."primary", c.n::BIGINT AS n_issues,
+             round(c.n / sum(c.n) OVER (PARTITION BY c.model_id), 6) AS share,
+             coalesce(k.keywords, '') AS keywords,
+             row_number() OVER (PARTITION BY c.model_id ORDER BY c.n DESC, c.first_ord)::BIGINT AS issue_rank
+      FROM counts c LEFT JOIN kw k ON k.category = c."primary" """
+    return S

@@ -629,3 +629,50 @@ def q_stream_dedupe(spark, sf):
          .option("checkpointLocation", os.path.join(base, "checkpoint")).trigger(availableNow=True).start())
     ST._run(q)
     return spark.read.parquet(os.path.join(base, "out")).select("event_id", "user_id", "event_type")
+
+
+# ---------------------------------------------------------------- report grid, fallback taxonomy
+from revlens.operators import grid as GR  # noqa: E402
+from revlens.sources.taxonomy import fallback_taxonomy  # noqa: E402
+
+
+def _report_grid(spark, sf):
+    a = analysis(spark, sf)
+    # the classified rows feed every section: materialise them once in the shared
+    # checkpoint folder, which also cuts the long classification plan
+    from revlens.plans.analysis import Analysis, low_reviews
+    from revlens.session import materialize
+    rated = materialize(a.rated)
+    a = Analysis(a.raw, a.deduped, rated, low_reviews(rated), a.taxonomy)
+    c = materialize(classified(a))
+    summary = materialize(reports.issue_counts(c, a.taxonomy))
+    details = sequence(c.select("model_id", ORD, "model_name", "channel", "rating", "review_date", "secondary", "reason",
+                                "review_text"), reports.newest_first_key("review_date"), ["model_id"], "seq")
+    details = details.withColumn("review_date", D.format_review_date("review_date"))
+    header = reports.model_header(a.rated).join(summary.select("model_id").distinct(), "model_id")
+    metrics = reports.channel_metrics(a.rated).join(summary.select("model_id").distinct(), "model_id")
+    return GR.report_grid(header, metrics, summary, details)
+
+
+@query("report_tables")
+def q_report_tables(spark, sf):
+    """Per-model report sheets as cell grids (header, channel metrics, summary, detail)."""
+    return _report_grid(spark, sf).select("sheet", "row_idx", F.array_join("cells", " | ").alias("cells"))
+
+
+@query("grid_tables")
+def q_grid_tables(spark, sf):
+    """G1: the issue summary found again in the report grids."""
+    from revlens.session import materialize
+    grid = materialize(_report_grid(spark, sf))  # the written report, read back
+    t = GR.grid_tables(grid, ["问题分类", "问题数", "问题占比"], ["问题分类", "问题数", "问题占比", "代表关键词"])
+    return t.select(F.col("sheet").alias("model_id"), F.col("问题分类").alias("primary"),
+                    F.col("问题数").cast("bigint").alias("n_issues"), F.col("问题占比").cast("double").alias("share"),
+                    F.col("代表关键词").alias("keywords"))
+
+
+@query("classify_fallback")
+def q_classify_fallback(spark, sf):
+    """C1 + A1 with the built-in taxonomy (used when no taxonomy file is given)."""
+    a = analysis(spark, sf, fallback_taxonomy(spark))
+    return reports.issue_counts(classified(a), a.taxonomy)

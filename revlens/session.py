@@ -17,6 +17,7 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.driver.memory": "8g",
 }
 
 
@@ -67,3 +68,14 @@ def spread(df, min_partitions: int | None = None):
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def materialize(df):
+    """Reliable checkpoint into the shared folder (``spark.checkpoint.dir``) that cuts the
+    lineage.  The rows are persisted while the checkpoint is written, so the plan runs
+    once instead of twice; afterwards only the checkpoint files are used."""
+    shared_dir(df.sparkSession, "checkpoints")
+    kept = df.persist()
+    out = kept.checkpoint(eager=True)
+    kept.unpersist()
+    return out
