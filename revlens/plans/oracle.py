@@ -238,6 +238,8 @@ def _first_non_empty(col: str) -> str:
 def statements() -> dict:
     S = statements_core()
     S.update(grid_statements())
+    S.update(record_statements())
+    S.update(extract_statements())
     return S
 
 
@@ -737,3 +739,54 @@ def grid_statements() -> dict:
              row_number() OVER (PARTITION BY c.model_id ORDER BY c.n DESC, c.first_ord)::BIGINT AS issue_rank
       FROM counts c LEFT JOIN kw k ON k.category = c."primary" """
     return S
+
+
+def record_statements() -> dict:
+    from revlens.operators.records import BADGE_TEXTS
+    S = {}
+    base = with_(reviews_cte())
+    blank = lambda c: "(" + strip("coalesce(" + c + ", '')") + " = '')"
+    S["has_content"] = base + f" SELECT review_ord FROM reviews WHERE NOT ({blank('review_text')} AND {blank('title')})"
+    text = "lower(" + strip("coalesce(NULLIF(review_text, ''), NULLIF(title, ''), '')") + ")"
+    S["drop_badge_only"] = base + (f" SELECT review_ord FROM reviews WHERE NOT ({text} IN ({', '.join(q(b) for b in BADGE_TEXTS)}) "
+                                   f"AND rating IS NULL AND {blank('author')} AND {blank('review_date')})")
+    wanted = "NULLIF(regexp_extract(source_url, '[?&]ratings=([^&#]*)', 1), '')"
+    got = f"NULLIF(coalesce(NULLIF(regexp_extract(rating, '\\d+(?:\\.\\d+)?', 0), ''), trim(rating)), '')"
+    S["rating_filter_match"] = base + f" SELECT review_ord, rating FROM reviews WHERE {wanted} IS NULL OR {got} IS NULL OR {got} = {wanted}"
+    S["ordered_distinct"] = base + """
+      SELECT model_id, string_agg(site, ',' ORDER BY first_ord) AS sites FROM (
+        SELECT model_id, site, min(review_ord) AS first_ord FROM reviews WHERE site IS NOT NULL GROUP BY model_id, site)
+      GROUP BY model_id"""
+    return S
+
+
+def extract_statements() -> dict:
+    from revlens.functions.markup import ENTITIES
+    from revlens.operators.extract import PROFILES, _TAG_END, _TEXT_AFTER, selector_regex
+
+    def unesc(x):
+        for ent, ch in ENTITIES:
+            x = f"replace({x}, {q(ent)}, {q(ch)})"
+        return x
+
+    def field(sels):
+        vals = []
+        for sel in sels:
+            tag = selector_regex(sel)
+            vals.append(f"NULLIF({collapse(unesc(f'regexp_extract(block, {q(tag + _TEXT_AFTER)}, 1)'))}, '')")
+            content = tag[:-len(_TAG_END)] + "[^>]*\\bcontent=[\"']([^\"']*)[\"']"
+            vals.append(f"NULLIF(regexp_extract(block, {q(content)}, 1), '')")
+        return "coalesce(" + ", ".join(vals) + ")"
+    prof = PROFILES["article"]
+    clean = ("regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script>', ' ', 'g'), "
+             "'(?is)<style\\b[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g')")
+    rx = selector_regex(prof["block"][0])
+    rating = f"NULLIF(coalesce(NULLIF(regexp_extract({field(prof['rating'])}, '\\d+(?:\\.\\d+)?', 0), ''), trim({field(prof['rating'])})), '')"
+    sql = f"""
+      WITH c AS (SELECT page_id, {clean} AS h FROM pages),
+      s AS (SELECT page_id, string_split_regex(h, {q(rx)}) AS parts FROM c WHERE regexp_matches(h, {q(rx)})),
+      b AS (SELECT page_id, CAST(i - 2 AS INTEGER) AS block_no, parts[i] AS block FROM s, range(2, len(parts) + 1) r(i)),
+      f AS (SELECT page_id, block_no, {rating} AS rating, {field(prof['title'])} AS title, {field(prof['body'])} AS review_text,
+                   {field(prof['date'])} AS review_date, {field(prof['author'])} AS author FROM b)
+      SELECT * FROM f WHERE review_text IS NOT NULL OR title IS NOT NULL"""
+    return {"extract_reviews": sql}

@@ -676,3 +676,46 @@ def q_classify_fallback(spark, sf):
     """C1 + A1 with the built-in taxonomy (used when no taxonomy file is given)."""
     a = analysis(spark, sf, fallback_taxonomy(spark))
     return reports.issue_counts(classified(a), a.taxonomy)
+
+
+# ---------------------------------------------------------------- record filters
+from revlens.operators import records as RC  # noqa: E402
+
+
+@query("has_content")
+def q_has_content(spark, sf):
+    """Raw records with a body or a title."""
+    return RC.has_content(fixtures.reviews(spark, sf)).select(ORD)
+
+
+@query("drop_badge_only")
+def q_drop_badge_only(spark, sf):
+    """Raw records that are not badge-only."""
+    return RC.drop_badge_only(fixtures.reviews(spark, sf)).select(ORD)
+
+
+@query("rating_filter_match")
+def q_rating_filter_match(spark, sf):
+    """Raw records consistent with the rating their URL asked for."""
+    return RC.rating_filter_match(fixtures.reviews(spark, sf)).select(ORD, "rating")
+
+
+@query("ordered_distinct")
+def q_ordered_distinct(spark, sf):
+    """Per model the distinct sites in first-seen order."""
+    r = fixtures.reviews(spark, sf)
+    sites = r.groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct(ORD, "site"))).alias("s"))
+    return sites.select("model_id", F.array_join(RC.ordered_distinct(F.transform("s", lambda x: x["site"])), ",").alias("sites"))
+
+
+# ---------------------------------------------------------------- extraction
+from revlens.operators import extract as EX  # noqa: E402
+
+PAGE_PROFILE = "article"  # the captured pages are laid out as articles
+
+
+@query("extract_reviews")
+def q_extract_reviews(spark, sf):
+    """X1 (+ W7, P9): records extracted from every captured page with the article profile."""
+    pages = _pages(spark, sf).withColumn("profile", F.lit(PAGE_PROFILE))
+    return EX.extract_reviews(pages)

@@ -62,8 +62,7 @@ def latest_snapshot(spark: SparkSession, folder: str, skip=("__deduped_tmp", "_d
 
 def read_captured_pages(spark: SparkSession, folder: str, glob: str = "*.htm*") -> DataFrame:
     """One row per saved page file; model = its parent folder name; decode errors ignored."""
-    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-          .option("pathGlobFilter", glob).text(folder)
+    df = (spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
           .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html")))
     return (df.withColumn("model_id", F.element_at(F.split("path", "/"), -2))
             .withColumn("file_name", F.element_at(F.split("path", "/"), -1)))
