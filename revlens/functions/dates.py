@@ -61,7 +61,9 @@ def dashboard_date(c, formats=DATE_FORMATS) -> Column:
 def iso_week_label(d) -> Column:
     """ISO week-year and week as 'YYYY-Wnn'; '' for NULL."""
     d = col_of(d)
-    label = F.concat(F.extract(F.lit("YEAROFWEEK"), d).cast("string"), F.lit("-W"),
+    iso_weekday = (F.dayofweek(d) + 5) % 7 + 1          # Monday = 1 ... Sunday = 7
+    week_year = F.year(F.date_add(d, (F.lit(4) - iso_weekday).cast("int")))  # year of that week's Thursday
+    label = F.concat(week_year.cast("string"), F.lit("-W"),
                      F.lpad(F.weekofyear(d).cast("string"), 2, "0"))
     return F.coalesce(label, F.lit(""))
 

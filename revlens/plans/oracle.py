@@ -240,6 +240,7 @@ def statements() -> dict:
     S.update(grid_statements())
     S.update(record_statements())
     S.update(extract_statements())
+    S.update(sql_function_statements())
     return S
 
 
@@ -790,3 +791,12 @@ def extract_statements() -> dict:
                    {field(prof['date'])} AS review_date, {field(prof['author'])} AS author FROM b)
       SELECT * FROM f WHERE review_text IS NOT NULL OR title IS NOT NULL"""
     return {"extract_reviews": sql}
+
+
+def sql_function_statements() -> dict:
+    d = review_date_ts()
+    return {"sql_functions": with_(reviews_cte()) + f"""
+      SELECT review_ord, {nk('title')} AS k_title, {match_norm('review_text')} AS match_text, {rating_num('rating')} AS rating_num,
+             strftime({d}, '%Y-%m-%d') AS review_day, {week_label(f'CAST({d} AS DATE)')} AS week,
+             {size_expr(('title', 'review_text'))} AS size_display
+      FROM reviews"""}

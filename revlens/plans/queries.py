@@ -719,3 +719,19 @@ def q_extract_reviews(spark, sf):
     """X1 (+ W7, P9): records extracted from every captured page with the article profile."""
     pages = _pages(spark, sf).withColumn("profile", F.lit(PAGE_PROFILE))
     return EX.extract_reviews(pages)
+
+
+# ---------------------------------------------------------------- SQL API
+@query("sql_functions")
+def q_sql_functions(spark, sf):
+    """§2.12: the registered SQL functions used from spark.sql over the review table."""
+    from revlens.functions.sql import register_sql_functions
+    register_sql_functions(spark)
+    fixtures.reviews(spark, sf).createOrReplaceTempView("revlens_reviews")
+    return spark.sql("""
+        SELECT review_ord, norm_key(title) AS k_title, norm_match_text(review_text) AS match_text,
+               parse_rating(rating) AS rating_num,
+               date_format(parse_review_date(review_date), 'yyyy-MM-dd') AS review_day,
+               iso_week_label(CAST(parse_review_date(review_date) AS DATE)) AS week,
+               extract_size(size, site, model_id, model_name, title, review_text) AS size_display
+        FROM revlens_reviews""")

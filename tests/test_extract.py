@@ -85,3 +85,19 @@ def test_page_status_markers(spark):
 def test_pick_text():
     assert EX.pick_text({"Title": {"name": " A  b "}}, ["title"]) == "A b"
     assert EX.pick_text({"x": 1}, ["title"]) is None
+
+
+def test_saved_pages_job(spark, tmp_path):
+    import os
+    from revlens.plans.saved_pages import saved_pages_reviews
+    d = tmp_path / "A7"
+    d.mkdir()
+    p = lambda body, n: f'<div class="review"><span itemprop="ratingValue" content="{n}"></span><p class="review-text">{body}</p></div>'
+    (d / "page10.html").write_text(p("late copy", 1) + p("only on ten", 2))
+    (d / "page2.html").write_text(p("late copy", 1))
+    (d / "page1.htm").write_text(p("first", 5))
+    (d / "notes.txt").write_text(p("not a page", 3))
+    got = saved_pages_reviews(spark, str(tmp_path)).collect()
+    by_text = {r.review_text: r for r in got}
+    assert set(by_text) == {"first", "late copy", "only on ten"}
+    assert by_text["late copy"].source_url.endswith("page2.html")   # page2 comes before page10
