@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from revlens.functions.sites import channel
+from revlens.session import spread
 
 # Fixed values of the fixture (FIXTURES.md §2), listed by d % len(list).
 MODEL_IDS = ["A7", "B7", "32H1", "43H1", "C8", "D9 Pro"]
@@ -45,13 +46,24 @@ def _pick(values, idx) -> "F.Column":
 
 
 def reviews_from_documents(docs: DataFrame) -> DataFrame:
-    # only the first 400 characters of a document are used: cut them before anything else
-    docs = docs.select("doc_id", "source", F.substring("text", 1, 400).alias("text"))
+    # only the first 400 characters of a document are used: cut them before anything else.
+    # Every tenth document also yields its re-scraped copy; one scan makes both rows.
+    docs = spread(docs.select("doc_id", "source", F.substring("text", 1, 400).alias("text")), docs)
     d = F.col("doc_id")
+    both = F.array(F.lit(False), F.lit(True))
+    docs = docs.withColumn("_copy", F.explode(F.when(d % 10 == 0, both).otherwise(F.array(F.lit(False)))))
+    copy = F.col("_copy")
     dd = F.date_add(F.lit("2025-01-01").cast("date"), (d % 400).cast("int"))
     suffix = _pick(SUFFIXES + [""] * (12 - len(SUFFIXES)), (d % 12).cast("int"))
-    base = docs.select(
-        d.alias("review_ord"),
+    title = (F.when(d % 13 == 0, F.lit(None).cast("string"))
+             .when(d % 13 == 1, F.lit("1.0 out of 5 stars"))
+             .when(d % 13 == 2, F.lit("My 55 inch set"))
+             .otherwise(F.substring("text", 1, 40)))
+    body = (F.when(d % 17 == 0, F.lit(None).cast("string"))
+            .when(d % 17 == 1, F.lit(" "))
+            .otherwise(F.concat(F.substring("text", 1, 400), suffix)))
+    rows = docs.select(
+        F.when(copy, d + COPY_OFFSET).otherwise(d).alias("review_ord"),
         _pick(MODEL_IDS, (d % 6).cast("int")).alias("model_id"),
         _pick(MODEL_NAMES, (d % 6).cast("int")).alias("model_name"),
         F.when(d % 19 == 0, F.lit("65寸")).alias("size"),
@@ -60,30 +72,16 @@ def reviews_from_documents(docs: DataFrame) -> DataFrame:
                  d.cast("string"), F.lit("/reviews?ratings="), (d % 5 + 1).cast("string")).alias("source_url"),
         F.when(d % 4 == 0, F.lit("4.3")).when(d % 23 == 0, F.lit("n/a")).alias("overall_rating"),
         _pick(RATINGS, (d % 9).cast("int")).alias("rating"),
-        F.when(d % 13 == 0, F.lit(None).cast("string"))
-         .when(d % 13 == 1, F.lit("1.0 out of 5 stars"))
-         .when(d % 13 == 2, F.lit("My 55 inch set"))
-         .otherwise(F.substring("text", 1, 40)).alias("title"),
-        F.when(d % 17 == 0, F.lit(None).cast("string"))
-         .when(d % 17 == 1, F.lit(" "))
-         .otherwise(F.concat(F.substring("text", 1, 400), suffix)).alias("review_text"),
+        F.when(copy, F.replace(title, F.lit(" "), F.lit("  "))).otherwise(title).alias("title"),
+        F.when(copy, F.concat(F.replace(body, F.lit("The"), F.lit("THE")), F.lit("  "))).otherwise(body).alias("review_text"),
         F.when(d % 5 == 0, F.concat(F.lit("Reviewed in the United States on "), F.date_format(dd, "MMMM d, yyyy")))
          .when(d % 5 == 1, dd.cast("string"))
          .when(d % 5 == 2, F.date_format(dd, "M/d/yyyy"))
          .when(d % 5 == 4, F.lit("yesterday")).alias("review_date"),
         F.when(d % 29 != 0, F.concat(F.lit("user"), (d % 50).cast("string"))).alias("author"),
         F.when(d % 2 == 0, F.lit("Verified Purchase")).alias("verified"),
-        F.lit("2026-01-01T00:00:00").alias("scraped_at"),
+        F.when(copy, F.lit("2026-01-02T00:00:00")).otherwise(F.lit("2026-01-01T00:00:00")).alias("scraped_at"),
     )
-    copies = base.filter(F.col("review_ord") % 10 == 0).select(
-        (F.col("review_ord") + COPY_OFFSET).alias("review_ord"),
-        "model_id", "model_name", "size", "site", "source_url", "overall_rating", "rating",
-        F.replace("title", F.lit(" "), F.lit("  ")).alias("title"),
-        F.concat(F.replace("review_text", F.lit("The"), F.lit("THE")), F.lit("  ")).alias("review_text"),
-        "review_date", "author", "verified",
-        F.lit("2026-01-02T00:00:00").alias("scraped_at"),
-    )
-    rows = base.unionByName(copies)
     return rows.select("review_ord", "model_id", "model_name", "size", channel("site").alias("channel"),
                        "site", "source_url", "overall_rating", "rating", "title", "review_text",
                        "review_date", "author", "verified", "scraped_at")

@@ -41,6 +41,20 @@ def taxonomy_specs(tax: DataFrame, limit: int = MAX_LITERAL_PHRASES):
     return _SPEC_CACHE[key]
 
 
+_ROWS_CACHE: dict = {}
+
+
+def taxonomy_rows(tax: DataFrame, limit: int = MAX_LITERAL_PHRASES):
+    """The (size-checked) taxonomy rows in phrase order, collected once per taxonomy plan."""
+    key = (tax.semanticHash(), limit)
+    if key not in _ROWS_CACHE:
+        rows = tax.select("category", "cat_ord", "phrase", "phrase_ord").orderBy("phrase_ord").limit(limit + 1).collect()
+        if len(rows) > limit:
+            raise TaxonomyTooLarge(f"taxonomy has more than {limit} phrases")
+        _ROWS_CACHE[key] = [r.asDict() for r in rows]
+    return _ROWS_CACHE[key]
+
+
 def _collect_specs(tax: DataFrame, limit: int):
     spec = tax.select(
         "category", "cat_ord", "phrase_ord", py_strip("phrase").alias("phrase"),

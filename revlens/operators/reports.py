@@ -40,6 +40,22 @@ def keywords_8(tax: DataFrame, n: int = 8) -> DataFrame:
                                          lambda x: x["phrase"]), 1, n), ", ").alias("keywords"))
 
 
+def keywords_map(tax: DataFrame, n: int = 8):
+    """J7 / O5 for a size-checked taxonomy: category -> first n phrases of its first
+    occurrence, as a literal map (looked up in the projection, no join)."""
+    from revlens.operators.classify import taxonomy_rows
+    rows = taxonomy_rows(tax)
+    first_ord = {}
+    for r in rows:
+        first_ord.setdefault(r["category"], r["cat_ord"])
+        first_ord[r["category"]] = min(first_ord[r["category"]], r["cat_ord"])
+    words: dict = {}
+    for r in sorted(rows, key=lambda r: r["phrase_ord"]):
+        if r["cat_ord"] == first_ord[r["category"]]:
+            words.setdefault(r["category"], []).append(r["phrase"])
+    return F.create_map(*[x for k, v in words.items() for x in (F.lit(k), F.lit(", ".join(v[:n])))])
+
+
 def issue_counts(low: DataFrame, tax: DataFrame, label="primary") -> DataFrame:
     """A1 (flagship): per model, count and share of low reviews per category, with keywords.
 
@@ -49,13 +65,12 @@ def issue_counts(low: DataFrame, tax: DataFrame, label="primary") -> DataFrame:
               .agg(F.count(F.lit(1)).alias("n_issues"), F.min(ORD).alias("_first")))
     per_model = Window.partitionBy("model_id")
     ranked = Window.partitionBy("model_id").orderBy(F.col("n_issues").desc(), F.col("_first"))
-    kw = keywords_8(tax).withColumnRenamed("category", label)
+    kw = keywords_map(tax)
     return (counts
             .withColumn("share", round_share(safe_ratio("n_issues", F.sum("n_issues").over(per_model))))
             .withColumn("issue_rank", F.row_number().over(ranked).cast("bigint"))
-            .join(F.broadcast(kw), label, "left")
             .select("model_id", label, F.col("n_issues").cast("bigint").alias("n_issues"), "share",
-                    F.coalesce("keywords", F.lit("")).alias("keywords"), "issue_rank"))
+                    F.coalesce(F.try_element_at(kw, F.col(label)), F.lit("")).alias("keywords"), "issue_rank"))
 
 
 def top_issues_k(low: DataFrame, k: int, label="primary") -> DataFrame:
