@@ -212,3 +212,28 @@ def translate_with_function(rows: DataFrame, fn: TranslateFn, cache: DataFrame |
     fresh = distinct.mapInPandas(run, "text_key string, translated string")
     known = fresh if cache is None else fresh.unionByName(cache.select("text_key", "translated"))
     return keyed.join(known, "text_key", "left").withColumn("translated", F.coalesce("translated", F.lit("")))
+
+
+def message_text(resp) -> Column:
+    """text of the first choice of a chat-style response: the content string, or the
+    text parts (type 'text' / 'output_text') of a content list joined by newlines.
+    NULL when there is none (the caller reports that as a status)."""
+    from revlens.functions.text import col_of, py_strip
+    v = F.try_parse_json(col_of(resp))
+    path = "$.choices[0].message.content"
+    parts = F.try_variant_get(v, path, "array<struct<type:string,text:string>>")
+    joined = F.array_join(F.transform(F.filter(parts, lambda p: p["type"].isin("text", "output_text")
+                                               & (py_strip(F.coalesce(p["text"], F.lit(""))) != "")),
+                                      lambda p: p["text"]), "\n")
+    text = F.when(parts.isNotNull(), py_strip(joined)).otherwise(py_strip(F.try_variant_get(v, path, "string")))
+    return F.nullif(text, F.lit(""))
+
+
+def as_chat_response(content, parts_form) -> Column:
+    """Wrap answer text the way a chat API returns it (string content, or a list of parts)."""
+    from revlens.functions.text import col_of
+    c = col_of(content)
+    as_parts = F.to_json(F.struct(F.array(F.struct(F.struct(
+        F.array(F.struct(F.lit("text").alias("type"), c.alias("text"))).alias("content")).alias("message"))).alias("choices")))
+    as_text = F.to_json(F.struct(F.array(F.struct(F.struct(c.alias("content")).alias("message"))).alias("choices")))
+    return F.when(parts_form, as_parts).otherwise(as_text)

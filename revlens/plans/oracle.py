@@ -241,6 +241,7 @@ def statements() -> dict:
     S.update(record_statements())
     S.update(extract_statements())
     S.update(sql_function_statements())
+    S.update(message_statements())
     return S
 
 
@@ -800,3 +801,8 @@ def sql_function_statements() -> dict:
              strftime({d}, '%Y-%m-%d') AS review_day, {week_label(f'CAST({d} AS DATE)')} AS week,
              {size_expr(('title', 'review_text'))} AS size_display
       FROM reviews"""}
+
+
+def message_statements() -> dict:
+    base = with_(analysis_ctes(), taxonomy_cte()) + _items_cte() + _responses_cte()
+    return {"message_text": base + f" SELECT batch_id, NULLIF({strip('content')}, '') AS content FROM responses"}

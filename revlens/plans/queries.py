@@ -735,3 +735,11 @@ def q_sql_functions(spark, sf):
                iso_week_label(CAST(parse_review_date(review_date) AS DATE)) AS week,
                extract_size(size, site, model_id, model_name, title, review_text) AS size_display
         FROM revlens_reviews""")
+
+
+@query("message_text")
+def q_message_text(spark, sf):
+    """answer text read back from chat-style responses (every third one as a parts list)."""
+    r = labeling.responses(spark, sf)
+    api = r.select("batch_id", L.as_chat_response("content", F.col("batch_id") % 3 == 0).alias("response"))
+    return api.select("batch_id", L.message_text("response").alias("content"))

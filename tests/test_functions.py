@@ -78,3 +78,13 @@ def test_text_helpers(spark):
     assert one(spark, T.json_array_slice, "no array") is None
     import hashlib
     assert one(spark, T.text_hash, " a  b ") == hashlib.sha256(b"a b").hexdigest()
+
+
+def test_message_text(spark):
+    from revlens.operators.labels import message_text
+    rows = ['{"choices": [{"message": {"content": "  [1]  "}}]}',
+            '{"choices": [{"message": {"content": [{"type": "reasoning", "text": "x"}, {"type": "text", "text": "a"},'
+            ' {"type": "output_text", "text": "b"}]}}]}',
+            '{"choices": []}', '{"choices": [{"message": {"content": ""}}]}', "not json"]
+    df = spark.createDataFrame([(r,) for r in rows], "r string")
+    assert [x[0] for x in df.select(message_text(F.col("r"))).collect()] == ["[1]", "a\nb", None, None, None]
