@@ -149,10 +149,10 @@ def newest_first_key(date_col="review_date", parser=parse_review_date):
 
 
 def detail_seq(df: DataFrame, date_col="review_date", parser=parse_review_date, part="model_id") -> DataFrame:
-    """1..n per model, newest first.  The window is per model; rows are bounded by the
-    model's review count, which is the size of the report table itself."""
-    w = Window.partitionBy(part).orderBy(*newest_first_key(date_col, parser))
-    return df.withColumn("seq", F.row_number().over(w).cast("bigint"))
+    """1..n per model, newest first.  Numbered by the range-sorted ``sequence`` job,
+    not a window per model, so a model holding most rows is still split over many tasks."""
+    from revlens.operators.sequence import sequence
+    return sequence(df, newest_first_key(date_col, parser), [part], "seq")
 
 
 def labeled_detail_seq(labeled: DataFrame) -> DataFrame:

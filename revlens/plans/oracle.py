@@ -242,6 +242,7 @@ def statements() -> dict:
     S.update(extract_statements())
     S.update(sql_function_statements())
     S.update(message_statements())
+    S.update(labeled_detail_statements())
     return S
 
 
@@ -806,3 +807,10 @@ def sql_function_statements() -> dict:
 def message_statements() -> dict:
     base = with_(analysis_ctes(), taxonomy_cte()) + _items_cte() + _responses_cte()
     return {"message_text": base + f" SELECT batch_id, NULLIF({strip('content')}, '') AS content FROM responses"}
+
+
+def labeled_detail_statements() -> dict:
+    return {"labeled_detail": with_(_labeled_ctes()) + f"""
+      SELECT review_ord, model_id, size, review_date, primary_label, secondary_label,
+             row_number() OVER (PARTITION BY model_id ORDER BY {parse_date('review_date')} DESC NULLS LAST, review_ord)::BIGINT AS seq
+      FROM labeled"""}

@@ -743,3 +743,10 @@ def q_message_text(spark, sf):
     r = labeling.responses(spark, sf)
     api = r.select("batch_id", L.as_chat_response("content", F.col("batch_id") % 3 == 0).alias("response"))
     return api.select("batch_id", L.message_text("response").alias("content"))
+
+
+@query("labeled_detail")
+def q_labeled_detail(spark, sf):
+    """C7 detail + W4: labelled low reviews per model, newest first, numbered 1..n."""
+    lab = labeled_reviews(spark, sf).select(ORD, "model_id", "size", "review_date", "primary_label", "secondary_label")
+    return reports.labeled_detail_seq(lab)

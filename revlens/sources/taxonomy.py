@@ -45,7 +45,8 @@ def taxonomy_long(wide: DataFrame, row_col: str, spark: SparkSession | None = No
     long = (wide.select(row_col, F.explode(cols).alias("x"))
             .select(row_col, "x.cat_ord", "x.category", py_strip("x.phrase").alias("phrase"))
             .filter(F.col("phrase").isNotNull() & (F.col("phrase") != "")))
-    # phrase order: category by category, rows in order (the taxonomy is small)
+    # phrase order: category by category, rows in order.  A taxonomy is configuration
+    # (checked against MAX_LITERAL_PHRASES before classification), so one ordered window is fine.
     w = Window.orderBy("cat_ord", row_col)
     return long.withColumn("phrase_ord", (F.row_number().over(w) - 1).cast("int")) \
         .select("category", F.col("cat_ord").cast("int"), "phrase", "phrase_ord")
