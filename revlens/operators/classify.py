@@ -98,8 +98,14 @@ def phrase_candidates(text: Column, specs) -> Column:
 
 def classify_keyword(df: DataFrame, tax: DataFrame, title="title", body="review_text",
                      primary="primary", secondary="secondary") -> DataFrame:
-    """Adds ``primary`` and ``secondary`` (and ``score``) to every row."""
-    specs = taxonomy_specs(tax)
+    """Adds ``primary`` and ``secondary`` (and ``score``) to every row.
+
+    Taxonomies above MAX_LITERAL_PHRASES go to the automaton plan (same result)."""
+    try:
+        specs = taxonomy_specs(tax)
+    except TaxonomyTooLarge:
+        return classify_keyword_large(df, tax, title, body).withColumnRenamed("primary", primary) \
+            .withColumnRenamed("secondary", secondary)
     with_text = df.withColumn(MATCH_TEXT, match_text(title, body))
     best = F.array_min(phrase_candidates(F.col(MATCH_TEXT), specs))
     return (with_text.withColumn("_best", best)
@@ -117,3 +123,76 @@ def phrase_match(df: DataFrame, tax: DataFrame, id_col="review_ord", title="titl
     return (df.select(id_col, F.explode(cands).alias("m"))
             .select(id_col, F.col("m.category").alias("category"), F.col("m.phrase").alias("phrase"),
                     F.col("m.phrase_ord").alias("phrase_ord"), (-F.col("m.neg_score")).alias("score")))
+
+
+# ---------------------------------------------------------------- large taxonomies
+# Above MAX_LITERAL_PHRASES the scoring expressions would get too large for codegen.
+# The same rule is then evaluated by one Aho-Corasick pass per review over all phrase
+# texts and tokens (an automaton built once from the taxonomy and shipped to the
+# tasks), inside mapInPandas.  The taxonomy is still configuration: its size is
+# checked against MAX_AUTOMATON_PHRASES before it is collected.
+MAX_AUTOMATON_PHRASES = 500_000
+
+
+def _automaton(specs):
+    import ahocorasick
+
+    words: dict = {}
+    for i, s in enumerate(specs):
+        words.setdefault(s["np"], set()).add(("p", i))
+        for t in s["tokens"]:
+            words.setdefault(t, set()).add(("t", i))
+    auto = ahocorasick.Automaton()
+    for w, refs in words.items():
+        auto.add_word(w, (w, tuple(refs)))
+    auto.make_automaton()
+    return auto
+
+
+def _score_batches(specs, auto_b, text_col):
+    import pandas as pd
+
+    def run(frames):
+        auto = auto_b.value
+        for pdf in frames:
+            cats, phrases, scores = [], [], []
+            for text in pdf[text_col]:
+                seen, full, tok_hits = set(), set(), {}
+                for _, (w, refs) in auto.iter(text or ""):
+                    if w in seen:
+                        continue
+                    seen.add(w)
+                    for kind, i in refs:
+                        if kind == "p":
+                            full.add(i)
+                        else:
+                            tok_hits[i] = tok_hits.get(i, 0) + sum(1 for t in specs[i]["tokens"] if t == w)
+                best = None  # (-score, category, phrase_ord, phrase)
+                for i in full | set(tok_hits):
+                    s = specs[i]
+                    if i in full:
+                        sc = 8 + s["wc"]
+                    elif tok_hits.get(i, 0) >= s["need"]:
+                        sc = tok_hits[i]
+                    else:
+                        continue
+                    cand = (-sc, s["category"], s["phrase_ord"], s["phrase"])
+                    if best is None or cand < best:
+                        best = cand
+                cats.append(best[1] if best else "Other")
+                phrases.append(best[3] if best else "Other")
+                scores.append(-best[0] if best else 0)
+            yield pdf.drop(columns=[text_col]).assign(primary=cats, secondary=phrases, score=scores)
+    return run
+
+
+def classify_keyword_large(df: DataFrame, tax: DataFrame, title="title", body="review_text",
+                           limit: int = MAX_AUTOMATON_PHRASES) -> DataFrame:
+    """C1 for taxonomies of any size up to ``limit`` phrases (same rule and tie order)."""
+    specs = _collect_specs(tax, limit)
+    auto_b = df.sparkSession.sparkContext.broadcast(_automaton(specs))
+    with_text = df.withColumn(MATCH_TEXT, match_text(title, body))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    schema += ", primary string, secondary string, score int"
+    return with_text.mapInPandas(_score_batches(specs, auto_b, MATCH_TEXT), schema)
+

@@ -78,3 +78,14 @@ def test_sequence_is_dense_per_group(spark):
         assert r.a == 1 and r.b == r.n
     top = out.filter("g = '0' and seq = 1").first()
     assert top.review_ord == 498
+
+
+def test_large_taxonomy_path_agrees(spark):
+    from revlens.operators.classify import classify_keyword_large
+    from revlens.plans.analysis import analysis
+    from revlens.sources.taxonomy import fallback_taxonomy
+    for tax in (fixtures.taxonomy(spark), fallback_taxonomy(spark)):
+        low = analysis(spark, SMALL).low.select("review_ord", "title", "review_text")
+        a = {r.review_ord: (r.primary, r.secondary, r.score) for r in classify_keyword(low, tax).collect()}
+        b = {r.review_ord: (r.primary, r.secondary, r.score) for r in classify_keyword_large(low, tax).collect()}
+        assert a == b
