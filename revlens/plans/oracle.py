@@ -776,10 +776,10 @@ def extract_statements() -> dict:
         vals = []
         for sel in sels:
             tag = selector_regex(sel)
-            vals.append(f"NULLIF({collapse(unesc(f'regexp_extract(block, {q(tag + _TEXT_AFTER)}, 1)'))}, '')")
+            vals.append(f"NULLIF({collapse(f'regexp_extract(block, {q(tag + _TEXT_AFTER)}, 1)')}, '')")
             content = tag[:-len(_TAG_END)] + "[^>]*\\bcontent=[\"']([^\"']*)[\"']"
             vals.append(f"NULLIF(regexp_extract(block, {q(content)}, 1), '')")
-        return "coalesce(" + ", ".join(vals) + ")"
+        return "NULLIF(" + collapse(unesc("coalesce(" + ", ".join(vals) + ")")) + ", '')"
     prof = PROFILES["article"]
     clean = ("regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script>', ' ', 'g'), "
              "'(?is)<style\\b[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g')")
@@ -788,8 +788,10 @@ def extract_statements() -> dict:
     sql = f"""
       WITH c AS (SELECT page_id, {clean} AS h FROM pages),
       s AS (SELECT page_id, string_split_regex(h, {q(rx)}) AS parts FROM c WHERE regexp_matches(h, {q(rx)})),
-      b AS (SELECT page_id, CAST(i - 2 AS INTEGER) AS block_no, parts[i] AS block FROM s, range(2, len(parts) + 1) r(i)),
-      f AS (SELECT page_id, block_no, {rating} AS rating, {field(prof['title'])} AS title, {field(prof['body'])} AS review_text,
+      b AS (SELECT page_id, CAST(i - 2 AS INTEGER) AS block_no, parts[i] AS block,
+                   regexp_extract_all(h, {q("(" + rx + ")")}, 1)[i - 1] AS tag
+            FROM s JOIN c USING (page_id), range(2, len(parts) + 1) r(i)),
+      f AS (SELECT page_id, block_no, NULLIF(regexp_extract(tag, '(?i)\\bid=["'']([^"'']*)["'']', 1), '') AS block_id, {rating} AS rating, {field(prof['title'])} AS title, {field(prof['body'])} AS review_text,
                    {field(prof['date'])} AS review_date, {field(prof['author'])} AS author FROM b)
       SELECT * FROM f WHERE review_text IS NOT NULL OR title IS NOT NULL"""
     return {"extract_reviews": sql}

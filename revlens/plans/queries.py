@@ -718,7 +718,7 @@ PAGE_PROFILE = "article"  # the captured pages are laid out as articles
 def q_extract_reviews(spark, sf):
     """X1 (+ W7, P9): records extracted from every captured page with the article profile."""
     pages = _pages(spark, sf).withColumn("profile", F.lit(PAGE_PROFILE))
-    return EX.extract_reviews(pages)
+    return EX.extract_reviews(pages, profiles=[PAGE_PROFILE])
 
 
 # ---------------------------------------------------------------- SQL API

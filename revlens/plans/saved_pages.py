@@ -23,6 +23,15 @@ def page_record_key() -> dict:
             "date": s("review_date"), "author": F.lower(s("author"))}
 
 
+def block_record_key() -> dict:
+    """W2 key (variant B): the block id when there is one, else author, date, rating,
+    title and the first 160 characters of the body."""
+    s = lambda c: F.coalesce(F.col(c), F.lit(""))
+    fallback = F.concat_ws("|", s("author"), s("review_date"), s("rating"), s("title"),
+                           F.substring(F.trim(s("review_text")), 1, 160))
+    return {"k": F.when(F.col("block_id").isNotNull(), F.concat(F.lit("id:"), F.col("block_id"))).otherwise(fallback)}
+
+
 def saved_pages_reviews(spark: SparkSession, folder: str, profile: str = "walmart") -> DataFrame:
     pages = read_captured_pages(spark, folder)
     pages = (pages.withColumn("page_key", natural_key("file_name"))

@@ -101,3 +101,13 @@ def test_saved_pages_job(spark, tmp_path):
     by_text = {r.review_text: r for r in got}
     assert set(by_text) == {"first", "late copy", "only on ten"}
     assert by_text["late copy"].source_url.endswith("page2.html")   # page2 comes before page10
+
+
+def test_block_ids_and_variant_b_key(spark):
+    from revlens.operators.dedupe import keep_first_by
+    from revlens.plans.saved_pages import block_record_key
+    df = pages(spark, [(1, "u", AMAZON, "amazon"), (2, "u", AMAZON, "amazon")])
+    recs = EX.extract_reviews(df)
+    assert sorted(r.block_id for r in recs.filter("page_id = 1").collect()) == ["R1", "R2"]
+    ordered = recs.withColumn("review_ord", F.struct("page_id", "block_no"))
+    assert keep_first_by(ordered, block_record_key()).count() == 2   # same ids on page 2 are repeats
