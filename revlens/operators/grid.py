@@ -30,43 +30,48 @@ def _cells(*cols):
 
 def report_grid(header: DataFrame, metrics: DataFrame, summary: DataFrame, details: DataFrame) -> DataFrame:
     """One grid per model.  Inputs: ``header`` (model_id, total_reviews, low_reviews),
-    ``metrics`` (A2), ``summary`` (A1 with issue_rank), ``details`` (low rows with seq)."""
+    ``metrics`` (A2), ``summary`` (A1 with issue_rank), ``details`` (low rows with seq).
+
+    Four branches: the fixed rows of every sheet (titles, headings, blank rows) come from
+    one explode per model; metrics, summary and detail rows are placed by offsets taken
+    from the per-model section sizes."""
     n_m = metrics.groupBy("model_id").agg(F.count(F.lit(1)).alias("n_metrics"))
     n_s = summary.groupBy("model_id").agg(F.count(F.lit(1)).alias("n_summary"))
-    sizes = header.select("model_id").join(n_m, "model_id", "left").join(n_s, "model_id", "left").fillna(0)
-    sizes = sizes.withColumn("s0", F.col("n_metrics") + 9)  # summary title row
+    sizes = (header.join(n_m, "model_id", "left").join(n_s, "model_id", "left").fillna(0, ["n_metrics", "n_summary"])
+             .withColumn("s0", F.col("n_metrics") + 9))  # summary title row
+
+    def row(idx, *cells):
+        return F.struct(idx.cast("long").alias("row_idx"),
+                        F.array(*[c if not isinstance(c, str) else F.lit(c) for c in cells]).cast("array<string>").alias("cells"))
+
+    blank = lambda idx: F.struct(idx.cast("long").alias("row_idx"), F.array().cast("array<string>").alias("cells"))
+    s0, nm, ns = F.col("s0"), F.col("n_metrics"), F.col("n_summary")
+    fixed = sizes.select(F.col("model_id").alias("sheet"), F.explode(F.array(
+        row(F.lit(0), F.concat(F.col("model_id"), F.lit(" 低分评论问题分析"))),
+        row(F.lit(1), "来源文件: reviews"),
+        row(F.lit(2), F.concat(F.lit("总评论数（1-5星）: "), F.col("total_reviews").cast("string"))),
+        row(F.lit(3), F.concat(F.lit("3星及以下评论数: "), F.col("low_reviews").cast("string"))),
+        blank(F.lit(4)),
+        row(F.lit(5), METRICS_TITLE),
+        row(F.lit(6), *METRICS_HEAD),
+        blank(nm + 7), blank(nm + 8),
+        row(s0, SUMMARY_TITLE),
+        row(s0 + 1, *SUMMARY_HEAD),
+        blank(s0 + 2 + ns), blank(s0 + 3 + ns),
+        row(s0 + 4 + ns, *DETAIL_HEAD))).alias("r")).select("sheet", "r.row_idx", "r.cells")
 
     def rows(df, idx, cells):
         return df.select(F.col("model_id").alias("sheet"), idx.cast("long").alias("row_idx"), cells.alias("cells"))
 
-    lit_row = lambda *v: F.array(*[F.lit(x) for x in v])
-    parts = [
-        rows(header, F.lit(0), F.array(F.concat(F.col("model_id"), F.lit(" 低分评论问题分析")))),
-        rows(header, F.lit(1), F.array(F.lit("来源文件: reviews"))),
-        rows(header, F.lit(2), F.array(F.concat(F.lit("总评论数（1-5星）: "), F.col("total_reviews").cast("string")))),
-        rows(header, F.lit(3), F.array(F.concat(F.lit("3星及以下评论数: "), F.col("low_reviews").cast("string")))),
-        rows(header, F.lit(5), lit_row(METRICS_TITLE)),
-        rows(header, F.lit(6), lit_row(*METRICS_HEAD)),
-        # a model has one metrics row per channel and size: a small window per model
-        rows(metrics.withColumn("_i", F.row_number().over(Window.partitionBy("model_id").orderBy("channel", "size"))),
-             F.col("_i") + 6,
-             _cells("channel", "size", "model_name", "avg_rating", "n_reviews")),
-        rows(sizes, F.col("s0"), lit_row(SUMMARY_TITLE)),
-        rows(sizes, F.col("s0") + 1, lit_row(*SUMMARY_HEAD)),
-        rows(summary.join(sizes, "model_id"), F.col("s0") + 1 + F.col("issue_rank"),
-             _cells("primary", "n_issues", "share", "keywords")),
-        rows(sizes, F.col("s0") + 4 + F.col("n_summary"), lit_row(*DETAIL_HEAD)),
-        rows(details.join(sizes, "model_id"), F.col("s0") + 4 + F.col("n_summary") + F.col("seq"),
-             _cells("model_name", "channel", "rating", "review_date", "secondary", "reason", "review_text")),
-    ]
-    blank = F.array().cast("array<string>")
-    for idx in (F.lit(4), F.col("n_metrics") + 7, F.col("n_metrics") + 8,
-                F.col("s0") + 2 + F.col("n_summary"), F.col("s0") + 3 + F.col("n_summary")):
-        parts.append(rows(sizes, idx, blank))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    # a model has one metrics row per channel and size: a small window per model
+    m_rows = rows(metrics.withColumn("_i", F.row_number().over(Window.partitionBy("model_id").orderBy("channel", "size"))),
+                  F.col("_i") + 6, _cells("channel", "size", "model_name", "avg_rating", "n_reviews"))
+    offsets = sizes.select("model_id", "s0", "n_summary")
+    s_rows = rows(summary.join(offsets, "model_id"), s0 + 1 + F.col("issue_rank"),
+                  _cells("primary", "n_issues", "share", "keywords"))
+    d_rows = rows(details.join(offsets, "model_id"), s0 + 4 + ns + F.col("seq"),
+                  _cells("model_name", "channel", "rating", "review_date", "secondary", "reason", "review_text"))
+    return fixed.unionByName(m_rows).unionByName(s_rows).unionByName(d_rows)
 
 
 def grid_tables(grid: DataFrame, required, wanted, stop_titles=STOP_TITLES) -> DataFrame:
