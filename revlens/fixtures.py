@@ -46,9 +46,9 @@ def _pick(values, idx) -> "F.Column":
 
 
 def reviews_from_documents(docs: DataFrame) -> DataFrame:
-    # only the first 400 characters of a document are used: cut them before anything else.
-    # Every tenth document also yields its re-scraped copy; one scan makes both rows.
-    docs = spread(docs.select("doc_id", "source", F.substring("text", 1, 400).alias("text")), docs)
+    # The whole document is the review body; its first line is the title.  Every tenth
+    # document also yields its re-scraped copy; one scan makes both rows.
+    docs = spread(docs.select("doc_id", "source", "text"), docs)
     d = F.col("doc_id")
     both = F.array(F.lit(False), F.lit(True))
     docs = docs.withColumn("_copy", F.explode(F.when(d % 10 == 0, both).otherwise(F.array(F.lit(False)))))
@@ -58,10 +58,10 @@ def reviews_from_documents(docs: DataFrame) -> DataFrame:
     title = (F.when(d % 13 == 0, F.lit(None).cast("string"))
              .when(d % 13 == 1, F.lit("1.0 out of 5 stars"))
              .when(d % 13 == 2, F.lit("My 55 inch set"))
-             .otherwise(F.substring("text", 1, 40)))
+             .otherwise(F.split(F.col("text"), "\n", 2)[0]))
     body = (F.when(d % 17 == 0, F.lit(None).cast("string"))
             .when(d % 17 == 1, F.lit(" "))
-            .otherwise(F.concat(F.substring("text", 1, 400), suffix)))
+            .otherwise(F.concat(F.col("text"), suffix)))
     rows = docs.select(
         F.when(copy, d + COPY_OFFSET).otherwise(d).alias("review_ord"),
         _pick(MODEL_IDS, (d % 6).cast("int")).alias("model_id"),

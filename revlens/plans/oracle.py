@@ -125,8 +125,8 @@ reviews_base AS (
     'https://shop.example.com/product/' || source || '/sku/' || CAST(d AS VARCHAR) || '/reviews?ratings=' || CAST(d % 5 + 1 AS VARCHAR) AS source_url,
     CASE WHEN d % 4 = 0 THEN '4.3' WHEN d % 23 = 0 THEN 'n/a' END AS overall_rating,
     {lst(f.RATINGS)}[d % 9 + 1] AS rating,
-    CASE d % 13 WHEN 0 THEN NULL WHEN 1 THEN '1.0 out of 5 stars' WHEN 2 THEN 'My 55 inch set' ELSE substr(text, 1, 40) END AS title,
-    CASE d % 17 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE substr(text, 1, 400) || {lst(suffixes)}[d % 12 + 1] END AS review_text,
+    CASE d % 13 WHEN 0 THEN NULL WHEN 1 THEN '1.0 out of 5 stars' WHEN 2 THEN 'My 55 inch set' ELSE split_part(text, chr(10), 1) END AS title,
+    CASE d % 17 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE text || {lst(suffixes)}[d % 12 + 1] END AS review_text,
     CASE d % 5 WHEN 0 THEN 'Reviewed in the United States on ' || strftime(dd, '%B %-d, %Y')
                WHEN 1 THEN CAST(dd AS VARCHAR) WHEN 2 THEN strftime(dd, '%-m/%-d/%Y')
                WHEN 4 THEN 'yesterday' END AS review_date,
