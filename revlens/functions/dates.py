@@ -28,10 +28,30 @@ def _nbsp_stripped(c) -> Column:
     return py_strip(F.replace(col_of(c).cast("string"), F.lit("\u00a0"), F.lit(" ")))
 
 
+# Shape of the texts each format can parse (a necessary condition).  A format is
+# tried only on texts of its shape: a failed parse is costly (it is signalled by an
+# exception inside the parser), a regular-expression test is not.
+_SHAPES = {
+    "yyyy-MM-dd": r"^\d+-\d+-\d+$",
+    "M/d/yyyy": r"^\d+/\d+/\d+$",
+    "MMMM d, yyyy": r"^\p{L}+ \d+, \d+$",
+    "MMM d, yyyy": r"^\p{L}+ \d+, \d+$",
+    "d MMMM yyyy": r"^\d+ \p{L}+ \d+$",
+    "yyyy-MM-dd HH:mm:ss": r"^\d+-\d+-\d+ \d+:\d+:\d+$",
+    "yyyy-MM-dd'T'HH:mm:ss": r"^\d+-\d+-\d+T\d+:\d+:\d+$",
+    "yyyy/M/d": r"^\d+/\d+/\d+$",
+}
+
+
 def parse_date_text(c, formats=DATE_FORMATS) -> Column:
     """Lenient parse: the first format that matches the whole text; NULL otherwise."""
     t = col_of(c)
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats])
+    tries = []
+    for f in formats:
+        p = F.try_to_timestamp(t, F.lit(f))
+        shape = _SHAPES.get(f)
+        tries.append(F.when(t.rlike(shape), p) if shape else p)
+    return F.coalesce(*tries)
 
 
 def parse_review_date(c, formats=DATE_FORMATS) -> Column:

@@ -4,19 +4,18 @@ Keep-first means: among rows whose normalised key is equal, keep the one with
 the smallest ``review_ord``.  ``dropDuplicates`` keeps an arbitrary row, so it
 is not used.
 
-Plan (two phases):
-  1. narrow: the normalised key columns are hashed (SHA-256, 32 bytes) and
-     ``min(review_ord)`` is taken per digest.  This is a hash aggregate with a
-     fixed-width buffer that runs partially on the map side, so a key holding a
-     large share of all rows (one review scraped many times) is collapsed before
-     the shuffle; only 40 bytes per row cross the network.
-  2. the rows whose ``review_ord`` is such a minimum are kept with a left-semi join
-     on ``review_ord``.  The join key is unique, so it has no skew, and Catalyst
-     prunes the row side to the columns the consumer actually reads (a report
-     that needs two columns never shuffles the review texts).
-A ``row_number()`` window would send every row of a key to one task, and
-``min(struct(all columns))`` would drag every column through the shuffle.
-``review_ord`` (or the given order column) must be unique per row; ingest assigns it.
+Plan: the normalised key columns are hashed (SHA-256, 32 bytes) and the rows
+are aggregated by that digest with ``min(struct(review_ord, ...))``.  The
+aggregate runs partially on the map side, so a key that holds a large share of
+all rows (one review scraped many times) is collapsed before the shuffle and
+never lands whole in one task - unlike a ``row_number()`` window, which sends
+every row of a key to one task.  The input is read once.
+
+Catalyst cannot prune fields inside the aggregated struct, so a consumer that
+needs only some columns passes ``carry=[...]``: only those cross the shuffle
+(a weekly trend then never moves review texts).  A two-phase form (narrow
+``min(review_ord)`` per digest + semi join) was measured and rejected: it reads
+the input twice, which costs more for the text-consuming analyses.
 """
 
 from __future__ import annotations
@@ -42,24 +41,26 @@ def with_key(df: DataFrame, keys=DEDUPE_KEYS, normalize=norm_key) -> DataFrame:
     return df.withColumn(KEY, key_digest([k for k in keys], normalize))
 
 
-def _firsts(keyed: DataFrame, order: str) -> DataFrame:
-    return keyed.groupBy(KEY).agg(F.min(order).alias(order)).select(order)
-
-
-def keep_first(df: DataFrame, keys=DEDUPE_KEYS, order=ORD, normalize=norm_key) -> DataFrame:
-    """First row (smallest ``order``) per normalised key; columns and their order kept."""
-    firsts = _firsts(df.select(order, key_digest(list(keys), normalize).alias(KEY)), order)
-    return df.join(firsts, order, "left_semi")
+def keep_first(df: DataFrame, keys=DEDUPE_KEYS, order=ORD, normalize=norm_key, carry=None) -> DataFrame:
+    """First row (smallest ``order``) per normalised key.  Returns ``order`` and the
+    ``carry`` columns (default: all columns, in their order)."""
+    cols = [c for c in (carry or df.columns) if c != order]
+    keyed = df.select(order, *cols, key_digest(list(keys), normalize).alias(KEY))
+    first = keyed.groupBy(KEY).agg(F.min(F.struct(order, *cols)).alias("_r"))
+    out = [order] + cols if carry else [c for c in df.columns]
+    return first.select(*[F.col("_r." + c).alias(c) for c in out])
 
 
 def keep_first_by(df: DataFrame, key_exprs: dict, order=ORD) -> DataFrame:
     """Keep-first on arbitrary key expressions (name -> Column)."""
+    cols = [c for c in df.columns if c != order]
     parts = []
     for name, e in key_exprs.items():
         v = F.coalesce(e.cast("string"), F.lit(""))
         parts += [F.length(v).cast("string"), v]
-    firsts = _firsts(df.select(order, F.unhex(F.sha2(F.concat_ws("\u0001", *parts), 256)).alias(KEY)), order)
-    return df.join(firsts, order, "left_semi")
+    keyed = df.withColumn(KEY, F.unhex(F.sha2(F.concat_ws("\u0001", *parts), 256)))
+    first = keyed.groupBy(KEY).agg(F.min(F.struct(order, *cols)).alias("_r"))
+    return first.select(*[F.col("_r." + c).alias(c) for c in df.columns])
 
 
 def dedupe_stats(raw: DataFrame, keys=DEDUPE_KEYS, normalize=norm_key) -> DataFrame:
