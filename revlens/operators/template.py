@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from revlens.functions.dates import format_review_date, parse_review_date
 from revlens.functions.size import extract_size
 from revlens.operators.sequence import review_ids
-from revlens.schema import ORD
+from revlens.schema import ORD, display_columns
 
 TEMPLATE_COLUMNS = ["review_id", "model_id", "model_name", "size", "channel", "site", "overall_rating",
                     "rating", "review_date", "title", "review_text", "issue_summary",
@@ -27,4 +27,4 @@ def labeling_template(low: DataFrame) -> DataFrame:
     t = review_ids(t, template_order()).drop("_sort_date")
     for c in ("primary_label", "secondary_label", "reason_label"):
         t = t.withColumn(c, F.lit(""))
-    return t.select(ORD, *TEMPLATE_COLUMNS)
+    return display_columns(t, [ORD, *TEMPLATE_COLUMNS])  # P14: wanted columns that exist, in order

@@ -38,7 +38,10 @@ class StreamMerge:
         self.checkpoint = os.path.join(base, "checkpoint")
 
     def initialise(self, existing: DataFrame) -> None:
-        with_key(keep_first(existing, self.keys), self.keys).write.mode("errorifexists").parquet(self.stored)
+        first = with_key(keep_first(existing, self.keys), self.keys)
+        first.write.mode("errorifexists").parquet(self.stored)
+        total = self.spark.read.parquet(self.stored).count()  # once, from the file footers
+        self.spark.createDataFrame([(-1, total)], "batch_id long, total long").write.parquet(self.stats)
 
     def _done(self, batch_id: int) -> bool:
         try:
@@ -51,9 +54,13 @@ class StreamMerge:
             return
         spark = batch.sparkSession
         stored_keys = spark.read.parquet(self.stored).select(KEY)
-        new = with_key(keep_first(batch, self.keys), self.keys).join(stored_keys, KEY, "left_anti")
+        new = with_key(keep_first(batch, self.keys), self.keys).join(stored_keys, KEY, "left_anti").persist()
+        n_new = new.count()
         new.write.mode("append").parquet(self.stored)
-        total = spark.read.parquet(self.stored).count()
+        new.unpersist()
+        # running total from the previous batch's stats: work per batch, not per table
+        prev = spark.read.parquet(self.stats).agg(F.max(F.struct("batch_id", "total")).alias("p")).first()["p"]
+        total = (prev["total"] if prev else 0) + n_new
         spark.createDataFrame([(batch_id, total)], "batch_id long, total long").write.mode("append").parquet(self.stats)
 
     def run(self, source: str, schema: StructType, files_per_batch: int | None = None) -> None:
@@ -70,7 +77,7 @@ class StreamMerge:
         return self.spark.read.parquet(self.stored).drop(KEY)
 
     def batch_stats(self) -> DataFrame:
-        s = self.spark.read.parquet(self.stats)
+        s = self.spark.read.parquet(self.stats)  # one row per batch (plus the initial size)
         from pyspark.sql import Window
         w = Window.orderBy("batch_id")
         return s.withColumn("added", F.col("total") - F.lag("total").over(w))

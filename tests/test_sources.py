@@ -70,3 +70,14 @@ def test_stream_merge_replay_adds_nothing(spark):
     job._batch(batch, 0)                                       # replay of the same batch id
     job._batch(batch, 1)                                       # same rows again under a new id
     assert job.result().count() == n == keep_first(raw).count()
+
+
+def test_stream_merge_stats_running_total(spark):
+    raw = fixtures.reviews(spark, SMALL)
+    job = StreamMerge(spark, tempfile.mkdtemp())
+    job.initialise(raw.filter(F.col("review_ord") % 3 == 0))
+    job._batch(raw.filter(F.col("review_ord") % 3 == 1), 0)
+    job._batch(raw.filter(F.col("review_ord") % 3 == 2), 1)
+    stats = {r.batch_id: (r.total, r.added) for r in job.batch_stats().collect()}
+    assert stats[1][0] == job.result().count() == keep_first(raw).count()
+    assert stats[0][1] + stats[1][1] + stats[-1][0] == stats[1][0]
