@@ -43,9 +43,12 @@ def sequence(df: DataFrame, order_cols, part_cols=(), name: str = "seq") -> Data
 
 
 
-def review_ids(df: DataFrame, order_cols, prefix: str = "R", width: int = 4) -> DataFrame:
-    """Global ids R0001, R0002 ... in the given order (at least ``width`` digits)."""
-    seq = sequence(df, order_cols, (), "_rid")
+def review_ids(df: DataFrame, order_cols, prefix: str = "R", width: int = 4, id_col: str | None = None,
+               sort_cols=()) -> DataFrame:
+    """Global ids R0001, R0002 ... in the given order (at least ``width`` digits).
+    With ``id_col``/``sort_cols`` the numbering runs on the narrow projection."""
+    seq = (sequence_narrow(df, id_col, sort_cols, order_cols, (), "_rid") if id_col
+           else sequence(df, order_cols, (), "_rid"))
     return seq.withColumn("review_id", F.format_string(f"{prefix}%0{width}d", F.col("_rid"))).drop("_rid")
 
 
@@ -55,3 +58,14 @@ def batch_ids(df: DataFrame, order_cols, size: int, part_cols=()) -> DataFrame:
     return (seq.withColumn("batch_id", F.floor((F.col("_bseq") - 1) / size).cast("bigint"))
             .withColumn("batch_pos", ((F.col("_bseq") - 1) % size).cast("int"))
             .drop("_bseq"))
+
+
+def sequence_narrow(df: DataFrame, id_col: str, sort_cols, order_cols, part_cols=(), name: str = "seq") -> DataFrame:
+    """``sequence`` computed on the narrow projection (``id_col``, ``part_cols``,
+    ``sort_cols``) and joined back on the unique ``id_col``: wide rows (texts) are
+    neither range-sorted nor written to the checkpoint.  Worth it only when ``df`` is
+    cheap to read twice (a stored table); on a computed plan the upstream work would
+    run twice, so the plain ``sequence`` (one pass, then a checkpoint) is used there."""
+    cols = list(dict.fromkeys([id_col, *part_cols, *sort_cols]))
+    ids = sequence(df.select(*cols), order_cols, part_cols, name).select(id_col, name)
+    return df.join(ids, id_col)
