@@ -28,13 +28,16 @@ from revlens.schema import DEDUPE_KEYS, ORD
 KEY = "_dedupe_key"
 
 
+def _joined(values) -> Column:
+    """Injective join of texts: NUL inside a value is doubled, values are separated by
+    NUL + ';' (so the parts can always be told apart), each value referenced once."""
+    return F.concat_ws("\u0000;", *[F.replace(F.coalesce(v, F.lit("")), F.lit("\u0000"), F.lit("\u0000\u0000"))
+                                    for v in values])
+
+
 def key_digest(cols, normalize=norm_key) -> Column:
-    """Unambiguous digest of normalised key columns (length-prefixed parts)."""
-    parts = []
-    for c in cols:
-        v = normalize(c)
-        parts += [F.length(v).cast("string"), v]
-    return F.unhex(F.sha2(F.concat_ws("\u0001", *parts), 256))
+    """SHA-256 (32 bytes) of the normalised key columns."""
+    return F.unhex(F.sha2(_joined([normalize(c) for c in cols]), 256))
 
 
 def with_key(df: DataFrame, keys=DEDUPE_KEYS, normalize=norm_key) -> DataFrame:
@@ -54,11 +57,7 @@ def keep_first(df: DataFrame, keys=DEDUPE_KEYS, order=ORD, normalize=norm_key, c
 def keep_first_by(df: DataFrame, key_exprs: dict, order=ORD) -> DataFrame:
     """Keep-first on arbitrary key expressions (name -> Column)."""
     cols = [c for c in df.columns if c != order]
-    parts = []
-    for name, e in key_exprs.items():
-        v = F.coalesce(e.cast("string"), F.lit(""))
-        parts += [F.length(v).cast("string"), v]
-    keyed = df.withColumn(KEY, F.unhex(F.sha2(F.concat_ws("\u0001", *parts), 256)))
+    keyed = df.withColumn(KEY, F.unhex(F.sha2(_joined([e.cast("string") for e in key_exprs.values()]), 256)))
     first = keyed.groupBy(KEY).agg(F.min(F.struct(order, *cols)).alias("_r"))
     return first.select(*[F.col("_r." + c).alias(c) for c in df.columns])
 

@@ -11,7 +11,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from revlens.functions.dates import dashboard_date, iso_week_label
+from revlens.functions.dates import clean_review_date, iso_week_label, parse_date_text
 from revlens.functions.ratings import parse_rating_0_5, round_share, safe_ratio
 
 TEXT_COLUMNS = ["model_id", "model_name", "size", "channel", "site", "title", "review_text", "author"]
@@ -19,8 +19,12 @@ TEXT_COLUMNS = ["model_id", "model_name", "size", "channel", "site", "title", "r
 
 def dashboard_reviews(reviews: DataFrame) -> DataFrame:
     """Dashboard load: 0..5 rating, date after the last 'on ', ISO week, text NULL -> ''."""
+    # the cleaned date text is its own column, so the lenient parse (eight formats)
+    # refers to it instead of repeating the cleaning expression in the plan
     out = (reviews.withColumn("rating_num", parse_rating_0_5("rating"))
-           .withColumn("review_day", dashboard_date("review_date")))
+           .withColumn("_date_text", clean_review_date("review_date"))
+           .withColumn("review_day", parse_date_text(F.col("_date_text")).cast("date"))
+           .drop("_date_text"))
     out = out.withColumn("week", iso_week_label("review_day"))
     for c in TEXT_COLUMNS:
         if c in out.columns:
@@ -60,7 +64,7 @@ def model_channel_pivot(df: DataFrame, channels) -> DataFrame:
 
 def weekly_trend(df: DataFrame, models=None) -> DataFrame:
     """Reviews per ISO week and model (long form; undated rows dropped)."""
-    dated = df.filter(F.col("week") != "")
+    dated = df.filter(F.col("review_day").isNotNull())  # the rows whose week label is not ''
     if models:
         dated = dated.filter(F.col("model_id").isin(list(models)))
     return dated.groupBy("week", "model_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_reviews"))
