@@ -243,6 +243,7 @@ def statements() -> dict:
     S.update(sql_function_statements())
     S.update(message_statements())
     S.update(labeled_detail_statements())
+    S.update(scorer_statements())
     return S
 
 
@@ -816,3 +817,17 @@ def labeled_detail_statements() -> dict:
       SELECT review_ord, model_id, size, review_date, primary_label, secondary_label,
              row_number() OVER (PARTITION BY model_id ORDER BY {parse_date('review_date')} DESC NULLS LAST, review_ord)::BIGINT AS seq
       FROM labeled"""}
+
+
+def scorer_statements() -> dict:
+    base = with_(analysis_ctes(), taxonomy_cte()) + _items_cte()
+    hit = "contains(lower(coalesce(title, '') || ' ' || coalesce(review_text, '')), 'refund')"
+    return {
+        "classify_with_function": base + f"""
+          SELECT item_id, review_ord, CASE WHEN {hit} THEN 'Service' ELSE 'Other' END AS "primary",
+                 CASE WHEN {hit} THEN 'refund' ELSE 'Please add comments' END AS secondary, 'scored' AS reason
+          FROM items""",
+        "translate_with_function": with_(analysis_ctes()) + """
+          SELECT review_ord, '[' || CAST(length(issue_summary) AS VARCHAR) || '] ' || substr(issue_summary, 1, 20) AS translated
+          FROM low""",
+    }
