@@ -244,6 +244,7 @@ def statements() -> dict:
     S.update(message_statements())
     S.update(labeled_detail_statements())
     S.update(scorer_statements())
+    S.update(report_grid_statements())
     return S
 
 
@@ -831,3 +832,65 @@ def scorer_statements() -> dict:
           SELECT review_ord, '[' || CAST(length(issue_summary) AS VARCHAR) || '] ' || substr(issue_summary, 1, 20) AS translated
           FROM low""",
     }
+
+
+def report_grid_statements() -> dict:
+    size_all = size_expr(("title", "review_text"))
+    base = with_(analysis_ctes(), classified_cte()) + f""",
+counts AS (SELECT model_id, "primary", count(*) AS n, min(review_ord) AS first_ord FROM classified
+           WHERE model_id IS NOT NULL GROUP BY model_id, "primary"),
+summary AS (
+  SELECT c.model_id, c."primary", c.n AS n_issues, round(c.n / sum(c.n) OVER (PARTITION BY c.model_id), 6) AS share,
+         coalesce(k.keywords, '') AS keywords,
+         row_number() OVER (PARTITION BY c.model_id ORDER BY c.n DESC, c.first_ord) AS issue_rank
+  FROM counts c LEFT JOIN kw k ON k.category = c."primary"),
+models AS (SELECT DISTINCT model_id FROM summary),
+header AS (
+  SELECT model_id, count(*) AS total_reviews, count(*) FILTER (WHERE rating_num <= 3) AS low_reviews
+  FROM rated WHERE model_id IN (SELECT model_id FROM models) GROUP BY model_id),
+m AS (SELECT *, upper(coalesce(channel, '')) AS ch,
+             CASE WHEN upper(coalesce(channel, '')) = 'AMZ' THEN '全部' ELSE {size_all} END AS sz,
+             {rating_num('overall_rating')} AS overall_num
+      FROM rated WHERE model_id IN (SELECT model_id FROM models) AND upper(coalesce(channel, '')) IN ('AMZ', 'BBY')),
+metrics AS (
+  SELECT model_id, ch AS channel, sz AS size,
+         coalesce({_first_non_empty('model_name')}, {_first_non_empty('model_id')}, '') AS model_name,
+         round_even(coalesce(arg_min(overall_num, review_ord) FILTER (WHERE overall_num IS NOT NULL), avg(rating_num)), 1) AS avg_rating,
+         count(*) AS n_reviews
+  FROM m GROUP BY model_id, ch, sz),
+sizes AS (
+  SELECT h.*, coalesce(nm.n, 0) AS n_metrics, coalesce(ns.n, 0) AS n_summary, coalesce(nm.n, 0) + 9 AS s0
+  FROM header h LEFT JOIN (SELECT model_id, count(*) AS n FROM metrics GROUP BY model_id) nm USING (model_id)
+  LEFT JOIN (SELECT model_id, count(*) AS n FROM summary GROUP BY model_id) ns USING (model_id)),
+details AS (
+  SELECT model_id, model_name, channel, rating, coalesce(strftime({review_date_ts()}, '%Y-%m-%d'), '') AS review_date,
+         secondary, '' AS reason, review_text,
+         row_number() OVER (PARTITION BY model_id ORDER BY {review_date_ts()} DESC NULLS LAST, review_ord) AS seq
+  FROM classified),
+grid AS (
+  SELECT model_id AS sheet, 0 AS row_idx, model_id || ' 低分评论问题分析' AS cells FROM sizes
+  UNION ALL SELECT model_id, 1, '来源文件: reviews' FROM sizes
+  UNION ALL SELECT model_id, 2, '总评论数（1-5星）: ' || total_reviews FROM sizes
+  UNION ALL SELECT model_id, 3, '3星及以下评论数: ' || low_reviews FROM sizes
+  UNION ALL SELECT model_id, 4, '' FROM sizes
+  UNION ALL SELECT model_id, 5, '渠道评分与评论数' FROM sizes
+  UNION ALL SELECT model_id, 6, '渠道 | 尺寸 | 机型名称 | 总评分 | 评论数' FROM sizes
+  UNION ALL SELECT model_id, n_metrics + 7, '' FROM sizes
+  UNION ALL SELECT model_id, n_metrics + 8, '' FROM sizes
+  UNION ALL SELECT model_id, s0, '低分问题分类汇总' FROM sizes
+  UNION ALL SELECT model_id, s0 + 1, '问题分类 | 问题数 | 问题占比 | 代表关键词' FROM sizes
+  UNION ALL SELECT model_id, s0 + 2 + n_summary, '' FROM sizes
+  UNION ALL SELECT model_id, s0 + 3 + n_summary, '' FROM sizes
+  UNION ALL SELECT model_id, s0 + 4 + n_summary, '机型名称 | Channel | 评分 | 评论日期 | 问题分类 | 分类理由 | 评论内容' FROM sizes
+  UNION ALL SELECT model_id, 6 + row_number() OVER (PARTITION BY model_id ORDER BY channel, size),
+         channel || ' | ' || size || ' | ' || model_name || ' | ' || coalesce(CAST(avg_rating AS VARCHAR), '') || ' | ' || n_reviews
+         FROM metrics
+  UNION ALL SELECT s.model_id, z.s0 + 1 + s.issue_rank,
+         s."primary" || ' | ' || s.n_issues || ' | ' || CAST(s.share AS VARCHAR) || ' | ' || s.keywords
+         FROM summary s JOIN sizes z USING (model_id)
+  UNION ALL SELECT d.model_id, z.s0 + 4 + z.n_summary + d.seq,
+         coalesce(d.model_name, '') || ' | ' || coalesce(d.channel, '') || ' | ' || coalesce(d.rating, '') || ' | ' || d.review_date
+         || ' | ' || coalesce(d.secondary, '') || ' | ' || d.reason || ' | ' || coalesce(d.review_text, '')
+         FROM details d JOIN sizes z USING (model_id)
+)"""
+    return {"report_tables": base + " SELECT sheet, CAST(row_idx AS BIGINT) AS row_idx, cells FROM grid"}
