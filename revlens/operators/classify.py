@@ -117,8 +117,12 @@ def classify_keyword(df: DataFrame, tax: DataFrame, title="title", body="review_
 
 def phrase_match(df: DataFrame, tax: DataFrame, id_col="review_ord", title="title",
                  body="review_text") -> DataFrame:
-    """One row per (review, phrase) that scored, with the score."""
-    specs = taxonomy_specs(tax)
+    """One row per (review, phrase) that scored, with the score (automaton plan above
+    MAX_LITERAL_PHRASES phrases)."""
+    try:
+        specs = taxonomy_specs(tax)
+    except TaxonomyTooLarge:
+        return phrase_match_large(df, tax, id_col, title, body)
     cands = phrase_candidates(match_text(title, body), specs)
     return (df.select(id_col, F.explode(cands).alias("m"))
             .select(id_col, F.col("m.category").alias("category"), F.col("m.phrase").alias("phrase"),
@@ -196,3 +200,41 @@ def classify_keyword_large(df: DataFrame, tax: DataFrame, title="title", body="r
     schema += ", primary string, secondary string, score int"
     return with_text.mapInPandas(_score_batches(specs, auto_b, MATCH_TEXT), schema)
 
+
+
+def _pair_batches(specs, auto_b, id_col, text_col):
+    import pandas as pd
+
+    def run(frames):
+        auto = auto_b.value
+        for pdf in frames:
+            out = []
+            for rid, text in zip(pdf[id_col], pdf[text_col]):
+                seen, full, tok_hits = set(), set(), {}
+                for _, (w, refs) in auto.iter(text or ""):
+                    if w in seen:
+                        continue
+                    seen.add(w)
+                    for kind, i in refs:
+                        if kind == "p":
+                            full.add(i)
+                        else:
+                            tok_hits[i] = tok_hits.get(i, 0) + sum(1 for t in specs[i]["tokens"] if t == w)
+                for i in full | set(tok_hits):
+                    s = specs[i]
+                    sc = 8 + s["wc"] if i in full else (tok_hits[i] if tok_hits.get(i, 0) >= s["need"] else 0)
+                    if sc:
+                        out.append((rid, s["category"], s["phrase"], s["phrase_ord"], sc))
+            yield pd.DataFrame(out, columns=[id_col, "category", "phrase", "phrase_ord", "score"])
+    return run
+
+
+def phrase_match_large(df: DataFrame, tax: DataFrame, id_col="review_ord", title="title", body="review_text",
+                       limit: int = MAX_AUTOMATON_PHRASES) -> DataFrame:
+    """J4 for taxonomies of any size up to ``limit`` phrases: every scoring (review, phrase) pair."""
+    specs = _collect_specs(tax, limit)
+    auto_b = df.sparkSession.sparkContext.broadcast(_automaton(specs))
+    id_type = df.schema[id_col].dataType.simpleString()
+    texts = df.select(id_col, match_text(title, body).alias(MATCH_TEXT))
+    return texts.mapInPandas(_pair_batches(specs, auto_b, id_col, MATCH_TEXT),
+                             f"{id_col} {id_type}, category string, phrase string, phrase_ord int, score int")

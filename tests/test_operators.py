@@ -89,3 +89,15 @@ def test_large_taxonomy_path_agrees(spark):
         a = {r.review_ord: (r.primary, r.secondary, r.score) for r in classify_keyword(low, tax).collect()}
         b = {r.review_ord: (r.primary, r.secondary, r.score) for r in classify_keyword_large(low, tax).collect()}
         assert a == b
+
+
+def test_large_taxonomy_pairs_agree(spark):
+    from revlens.operators.classify import phrase_match, phrase_match_large
+    from revlens.plans.analysis import analysis
+    from revlens.sources.taxonomy import fallback_taxonomy
+    for tax in (fixtures.taxonomy(spark), fallback_taxonomy(spark)):
+        low = analysis(spark, SMALL).low.select("review_ord", "title", "review_text")
+        cols = ["review_ord", "category", "phrase", "phrase_ord", "score"]
+        a = sorted(tuple(r) for r in phrase_match(low, tax).select(*cols).collect())
+        b = sorted(tuple(r) for r in phrase_match_large(low, tax).select(*cols).collect())
+        assert a == b and len(a) > 0
