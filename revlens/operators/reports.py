@@ -31,15 +31,6 @@ def first_non_empty(c, order=ORD) -> Column:
     return first_value(t, order, t != "")
 
 
-def keywords_8(tax: DataFrame, n: int = 8) -> DataFrame:
-    """Category -> its first n phrases joined by ', ' (first category of that name wins)."""
-    first_cat = tax.groupBy("category").agg(F.min("cat_ord").alias("cat_ord"))
-    phrases = tax.join(first_cat, ["category", "cat_ord"])
-    return phrases.groupBy("category").agg(
-        F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("phrase_ord", "phrase"))),
-                                         lambda x: x["phrase"]), 1, n), ", ").alias("keywords"))
-
-
 def keywords_map(tax: DataFrame, n: int = 8):
     """J7 / O5 for a size-checked taxonomy: category -> first n phrases of its first
     occurrence, as a literal map (looked up in the projection, no join)."""
