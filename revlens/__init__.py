@@ -9,3 +9,11 @@ Sub-packages:
 """
 
 __version__ = "0.1.0"
+
+# Functions of this package that run in Python workers travel with the job (by value), so
+# executors need no installed copy and no particular working folder.
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])

@@ -41,15 +41,20 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A folder for materialised tables and checkpoints.
 
     On a cluster this is below the shared folder named by
-    ``spark.checkpoint.dir``.  Only when that setting is unset (local runs and
-    tests) do we pick a scratch folder ourselves and record it in the session.
+    ``spark.checkpoint.dir``, or else the checkpoint folder already set on the
+    context.  Only on a local master (one machine, as in tests) with neither of
+    them do we pick a scratch folder ourselves and record it in the session; on
+    any other master that is an error, because executors would not share it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="revlens-")
         spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(os.path.join(base, "rdd-checkpoints"))
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(os.path.join(base, "rdd-checkpoints"))
     return os.path.join(base.rstrip("/"), purpose)
 
 
