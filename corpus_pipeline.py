@@ -1,11 +1,67 @@
-"""Corpus pipeline: quality, near duplicates, decontamination, mixing, sharding."""
+"""Corpus pipeline: quality, near duplicates, decontamination, mixing, sharding.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns
+a DataFrame that is written as Parquet and read again as the next one's ``docs``.  All but
+the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from revlens.llm import decontaminate, membership, mixing, ngram_join, quality, sharding
+from revlens.session import shared_dir
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents the quality classifier rejects (score under quality.ACCEPT)."""
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each linked group the document with the smallest doc_id stays; documents without
+    links or without doc_id stay."""
+    groups = ngram_join.jaccard_join(docs)
+    return membership.outside(docs, "doc_id", groups.where("doc_id <> class_id").select("doc_id"))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the contaminated documents."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or leaves out documents so that the sources meet their targets."""
+    return mixing.repeat(docs)
+
+
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds slot and shard to every document."""
+    return sharding.place(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("sharding", sharding_stage),
+]
+
+# The first stage is a trained model, which SQL cannot express; tests hold the stages
+# against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            path = os.path.join(shared_dir(spark, "pipeline"), uuid.uuid4().hex)
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs

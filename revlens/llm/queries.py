@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import ann, decontaminate, html_extract, language, line_dedup, mixing, ngram_join, oracle, quality, sharding
+from revlens.llm import ann, decontaminate, html_extract, language, line_dedup, mixing, ngram_join, oracle, pii, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(_table(spark, sf_dir, "documents"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_line_dedup": op3_line_dedup,
+    "op4_personal_data": op4_personal_data,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_sharding": op6_sharding,
     "op7_html_extraction": op7_html_extraction,
