@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from revlens.llm import textbatch
 from revlens.llm.graph import components
+from revlens.llm.membership import among
 from revlens.llm.store import stored
 
 SHINGLE = 5
@@ -241,7 +242,7 @@ def _links_at(docs: DataFrame, texts: DataFrame, depth: int, before: int, thresh
     schema = "tree int, node long, bi int, bj int, block int, text_id long"
     rows = dealt.join(texts, "text_id").repartition(*by).sortWithinPartitions(*by)
     meeting = stored(rows.select(*by, "block", "text_id", "sig").mapInArrow(_meeting(depth, before), schema), "meeting")
-    whole = docs.join(meeting.select(F.col("text_id").alias("doc_id")).distinct(), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"))
+    whole = among(docs, "doc_id", meeting.select("text_id")).groupBy("doc_id").agg(F.max("text").alias("text"))
     rows = (meeting.join(texts, "text_id").join(whole.withColumnRenamed("doc_id", "text_id"), "text_id")
             .repartition(*by).sortWithinPartitions(*by))
     return stored(rows.mapInArrow(_verified(depth, before, threshold), "a long, b long, n long, want double"), "links")
