@@ -43,6 +43,7 @@ LEAST_DEPTH = 3    # shortest prefix the search may come to
 RECALL = 0.9999
 ENOUGH = 200       # links from which the measured recall counts
 BLOCK = 512
+SALTS = 32         # keys over which the copies of one text are joined
 
 _MULT = textbatch.mix64(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 _XOR = textbatch.mix64(_MULT)
@@ -208,8 +209,12 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     signed = stored(docs.mapInArrow(_signatures, "doc_id long, h1 long, h2 long, sig binary"), "signed")
-    same = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("text_id"))
-    owner = stored(signed.select("doc_id", "h1", "h2").join(same, ["h1", "h2"]).groupBy("doc_id").agg(F.min("text_id").alias("text_id")), "owner")
+    # only digests that repeat are joined back, over SALTS keys each, so copies spread out
+    same = (signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("text_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+            .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    mine = signed.select("doc_id", "h1", "h2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    owner = mine.join(same, ["h1", "h2", "salt"], "left").groupBy("doc_id").agg(F.min(F.coalesce("text_id", "doc_id")).alias("text_id"))
+    owner = stored(owner, "owner")
     texts = signed.join(owner.where("doc_id = text_id").select("doc_id"), "doc_id").groupBy("doc_id").agg(F.min("sig").alias("sig"))
     texts = stored(texts.withColumnRenamed("doc_id", "text_id"), "texts")
     links, depth, before = None, DEPTH, 0
