@@ -21,6 +21,11 @@ DATE_FORMATS = [
     "yyyy-MM-dd HH:mm:ss",
     "yyyy-MM-dd'T'HH:mm:ss",
     "yyyy/M/d",
+    "MMMM d yyyy",
+    "MMM d yyyy",
+    "d MMM yyyy",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "yyyy-MM-dd HH:mm:ss.SSSSSS",
 ]
 
 
@@ -40,18 +45,29 @@ _SHAPES = {
     "yyyy-MM-dd HH:mm:ss": r"^\d+-\d+-\d+ \d+:\d+:\d+$",
     "yyyy-MM-dd'T'HH:mm:ss": r"^\d+-\d+-\d+T\d+:\d+:\d+$",
     "yyyy/M/d": r"^\d+/\d+/\d+$",
+    "MMMM d yyyy": r"^\p{L}+ \d+ \d+$",
+    "MMM d yyyy": r"^\p{L}+ \d+ \d+$",
+    "d MMM yyyy": r"^\d+ \p{L}+ \d+$",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS": r"^\d+-\d+-\d+T\d+:\d+:\d+\.\d{6}$",
+    "yyyy-MM-dd HH:mm:ss.SSSSSS": r"^\d+-\d+-\d+ \d+:\d+:\d+\.\d{6}$",
 }
 
 
 def parse_date_text(c, formats=DATE_FORMATS) -> Column:
-    """Lenient parse: the first format that matches the whole text; NULL otherwise."""
-    t = col_of(c)
-    tries = []
-    for f in formats:
-        p = F.try_to_timestamp(t, F.lit(f))
-        shape = _SHAPES.get(f)
-        tries.append(F.when(t.rlike(shape), p) if shape else p)
-    return F.coalesce(*tries)
+    """Lenient parse: the first format that matches the whole text; NULL otherwise.  An ISO
+    time may carry a zone (its clock time counts) and any number of fraction digits.
+
+    The text is bound once, as the element of an array, so the many formats do not repeat the
+    expression that makes it."""
+    def iso(t):
+        plain = F.regexp_replace(t, r"\s*(?:[Zz]|[+-]\d\d:?\d\d)$", "")
+        timed = (F.when(plain.rlike(r"[T ]\d+:\d+:\d+$"), plain).when(plain.rlike(r"[T ]\d+:\d+$"), F.concat(plain, F.lit(":00")))
+                 .otherwise(F.regexp_replace(F.concat(plain, F.lit("000000")), r"(\.\d{6})\d*$", "$1")))
+        return F.when(t.rlike(r"^\d+-\d+-\d+[T ]\d+:\d+"), timed).otherwise(t)
+
+    def parsed(t):
+        return F.coalesce(*[F.when(t.rlike(_SHAPES[f]), F.try_to_timestamp(t, F.lit(f))) if f in _SHAPES else F.try_to_timestamp(t, F.lit(f)) for f in formats])
+    return F.get(F.transform(F.transform(F.array(col_of(c)), iso), parsed), 0)
 
 
 def parse_review_date(c, formats=DATE_FORMATS) -> Column:

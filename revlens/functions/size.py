@@ -41,10 +41,9 @@ def extract_size(size="size", site="site", model_id="model_id", model_name="mode
 def extract_size_text(c) -> Column:
     """'Size: NN', 'NN inch'/'NN"', 'NN 寸' tried in this order on the cleaned text; NULL if none."""
     t = F.trim(F.regexp_replace(F.replace(col_of(c), F.lit("\u00a0"), F.lit(" ")), WS + "+", " "))
-    unit = r"(?:[- ]?(?:inch|inches|in\.|class)|[\"”])"
-    pats = [
-        rf"(?i)\bSize\s*:\s*({SIZES})\s*{unit}?",
-        rf"(?i)\b({SIZES})\s*{unit}\b",
-        rf"(?i)\b({SIZES})\s*(?:吋|寸)\b",
-    ]
+    # a size follows the word Size and a colon, or stands before a unit; Latin units end at a
+    # word edge (so a quote sign needs a word right behind it), the Chinese ones at no letter
+    latin, chinese = r"\s*(?:[- ]?(?:inch|inches|in\.|class)|[\"”])\b", r"\s*(?:吋|寸)(?![\p{L}\p{N}_])"
+    size = rf"\b({SIZES})"
+    pats = ["(?i)" + p for p in (r"\bSize\s*:\s*" + f"({SIZES})", size + latin, size + chinese)]
     return size_label(F.coalesce(*[_grab(t, p) for p in pats]))

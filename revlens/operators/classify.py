@@ -7,65 +7,50 @@ Scoring rule per phrase (phrase and review text both normalised by F2):
 Per category the first phrase with the highest score wins; over categories the
 highest score wins, ties by category name.  No hit -> ('Other', 'Other').
 
-The taxonomy is a small configuration table (tens to a few thousand phrases);
-its size is checked before it is turned into literal expressions.  Each review
-is then scored by plain built-in expressions inside whole-stage codegen: no
-join, no shuffle, no Python.
+The taxonomy is configuration.  It enters the plan as one constant array of
+phrase structs, and one higher-order expression scores a text against it: the
+expression has the same size for ten phrases and for many thousands, and there
+is no join, no shuffle and no Python.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import json
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from revlens.functions.text import meaningful_tokens, norm_match_text, py_strip
 
-MAX_LITERAL_PHRASES = 2000
 MATCH_TEXT = "_match_text"
+_PHRASE = "array<struct<category:string,phrase_ord:int,phrase:string,np:string,wc:int,tokens:array<string>,need:int>>"
 
 
-class TaxonomyTooLarge(ValueError):
-    pass
-
-
-_SPEC_CACHE: dict = {}
-
-
-def taxonomy_specs(tax: DataFrame, limit: int = MAX_LITERAL_PHRASES):
-    """Phrase specs computed by Spark from the long taxonomy; size-checked before collecting.
-
-    Memoised by the taxonomy plan's semantic hash, so a session classifies many
-    review sets with one small collect."""
-    key = (tax.semanticHash(), limit)
-    if key not in _SPEC_CACHE:
-        _SPEC_CACHE[key] = _collect_specs(tax, limit)
-    return _SPEC_CACHE[key]
-
-
-_ROWS_CACHE: dict = {}
-
-
-def taxonomy_rows(tax: DataFrame, limit: int = MAX_LITERAL_PHRASES):
-    """The (size-checked) taxonomy rows in phrase order, collected once per taxonomy plan."""
-    key = (tax.semanticHash(), limit)
-    if key not in _ROWS_CACHE:
-        rows = tax.select("category", "cat_ord", "phrase", "phrase_ord").orderBy("phrase_ord").limit(limit + 1).collect()
-        if len(rows) > limit:
-            raise TaxonomyTooLarge(f"taxonomy has more than {limit} phrases")
-        _ROWS_CACHE[key] = [r.asDict() for r in rows]
-    return _ROWS_CACHE[key]
+def taxonomy_rows(tax: DataFrame) -> list:
+    """The taxonomy rows in phrase order (read anew for every plan, so a changed file counts)."""
+    rows = tax.select("category", "cat_ord", "phrase", "phrase_ord").collect()
+    return sorted((r.asDict() for r in rows), key=lambda r: r["phrase_ord"])
 
 
-def _collect_specs(tax: DataFrame, limit: int):
+def taxonomy_specs(tax: DataFrame) -> list:
+    """Phrase specs computed by Spark from the long taxonomy, in phrase order."""
     spec = tax.select(
         "category", "cat_ord", "phrase_ord", py_strip("phrase").alias("phrase"),
         norm_match_text("phrase").alias("np"),
     ).withColumn("wc", F.size(F.split("np", " "))) \
      .withColumn("tokens", meaningful_tokens("np")) \
      .withColumn("need", F.greatest(F.lit(1), F.least(F.lit(2), F.size("tokens"))))
-    rows = spec.orderBy("phrase_ord").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise TaxonomyTooLarge(f"taxonomy has more than {limit} phrases")
-    return [r.asDict() for r in rows if r["np"]]
+    rows = sorted((r.asDict() for r in spec.collect()), key=lambda r: r["phrase_ord"])
+    return [r for r in rows if r["np"]]
+
+
+def constant(value, schema: str) -> Column:
+    """A Python value as a constant of a nested type (folded once, whatever its size)."""
+    return F.from_json(F.lit(json.dumps(value)), schema)
+
+
+def phrase_array(specs) -> Column:
+    fields = ("category", "phrase_ord", "phrase", "np", "wc", "tokens", "need")
+    return constant([{k: s[k] for k in fields} for s in specs], _PHRASE)
 
 
 def match_text(title="title", body="review_text") -> Column:
@@ -74,40 +59,25 @@ def match_text(title="title", body="review_text") -> Column:
     return norm_match_text(F.concat(F.coalesce(t, F.lit("")), F.lit(" "), F.coalesce(b, F.lit(""))))
 
 
-def _phrase_score(text: Column, spec) -> Column:
-    hit = F.contains(text, F.lit(spec["np"]))
-    score = F.when(hit, F.lit(8 + spec["wc"]))
-    if spec["tokens"]:
-        m = None
-        for tok in spec["tokens"]:
-            c = F.contains(text, F.lit(tok)).cast("int")
-            m = c if m is None else m + c
-        score = score.when(m >= spec["need"], m)
-    return score.otherwise(F.lit(0))
+def _phrase_score(text: Column, phrase: Column) -> Column:
+    hits = F.size(F.filter(phrase["tokens"], lambda t: F.contains(text, t)))
+    return (F.when(F.contains(text, phrase["np"]), phrase["wc"] + 8)
+            .when(hits >= phrase["need"], hits).otherwise(F.lit(0)))
 
 
 def phrase_candidates(text: Column, specs) -> Column:
     """Array of struct(neg_score, category, phrase_ord, phrase) for the phrases that scored."""
-    cands = F.array(*[
-        F.struct((-_phrase_score(text, s)).alias("neg_score"), F.lit(s["category"]).alias("category"),
-                 F.lit(s["phrase_ord"]).alias("phrase_ord"), F.lit(s["phrase"]).alias("phrase"))
-        for s in specs
-    ])
-    return F.filter(cands, lambda x: x["neg_score"] < 0)
+    scored = F.transform(phrase_array(specs), lambda p: F.struct(
+        (-_phrase_score(text, p)).alias("neg_score"), p["category"].alias("category"),
+        p["phrase_ord"].alias("phrase_ord"), p["phrase"].alias("phrase")))
+    return F.filter(scored, lambda x: x["neg_score"] < 0)
 
 
 def classify_keyword(df: DataFrame, tax: DataFrame, title="title", body="review_text",
                      primary="primary", secondary="secondary") -> DataFrame:
-    """Adds ``primary`` and ``secondary`` (and ``score``) to every row.
-
-    Taxonomies above MAX_LITERAL_PHRASES go to the automaton plan (same result)."""
-    try:
-        specs = taxonomy_specs(tax)
-    except TaxonomyTooLarge:
-        return classify_keyword_large(df, tax, title, body).withColumnRenamed("primary", primary) \
-            .withColumnRenamed("secondary", secondary)
+    """Adds ``primary`` and ``secondary`` (and ``score``) to every row."""
     with_text = df.withColumn(MATCH_TEXT, match_text(title, body))
-    best = F.array_min(phrase_candidates(F.col(MATCH_TEXT), specs))
+    best = F.array_min(phrase_candidates(F.col(MATCH_TEXT), taxonomy_specs(tax)))
     return (with_text.withColumn("_best", best)
             .withColumn(primary, F.coalesce(F.col("_best.category"), F.lit("Other")))
             .withColumn(secondary, F.coalesce(F.col("_best.phrase"), F.lit("Other")))
@@ -117,124 +87,8 @@ def classify_keyword(df: DataFrame, tax: DataFrame, title="title", body="review_
 
 def phrase_match(df: DataFrame, tax: DataFrame, id_col="review_ord", title="title",
                  body="review_text") -> DataFrame:
-    """One row per (review, phrase) that scored, with the score (automaton plan above
-    MAX_LITERAL_PHRASES phrases)."""
-    try:
-        specs = taxonomy_specs(tax)
-    except TaxonomyTooLarge:
-        return phrase_match_large(df, tax, id_col, title, body)
-    cands = phrase_candidates(match_text(title, body), specs)
-    return (df.select(id_col, F.explode(cands).alias("m"))
+    """One row per (review, phrase) that scored, with the score."""
+    texts = df.select(id_col, match_text(title, body).alias(MATCH_TEXT))
+    return (texts.select(id_col, F.explode(phrase_candidates(F.col(MATCH_TEXT), taxonomy_specs(tax))).alias("m"))
             .select(id_col, F.col("m.category").alias("category"), F.col("m.phrase").alias("phrase"),
                     F.col("m.phrase_ord").alias("phrase_ord"), (-F.col("m.neg_score")).alias("score")))
-
-
-# ---------------------------------------------------------------- large taxonomies
-# Above MAX_LITERAL_PHRASES the scoring expressions would get too large for codegen.
-# The same rule is then evaluated by one Aho-Corasick pass per review over all phrase
-# texts and tokens (an automaton built once from the taxonomy and shipped to the
-# tasks), inside mapInPandas.  The taxonomy is still configuration: its size is
-# checked against MAX_AUTOMATON_PHRASES before it is collected.
-MAX_AUTOMATON_PHRASES = 500_000
-
-
-def _automaton(specs):
-    import ahocorasick
-
-    words: dict = {}
-    for i, s in enumerate(specs):
-        words.setdefault(s["np"], set()).add(("p", i))
-        for t in s["tokens"]:
-            words.setdefault(t, set()).add(("t", i))
-    auto = ahocorasick.Automaton()
-    for w, refs in words.items():
-        auto.add_word(w, (w, tuple(refs)))
-    auto.make_automaton()
-    return auto
-
-
-def _score_batches(specs, auto_b, text_col):
-    import pandas as pd
-
-    def run(frames):
-        auto = auto_b.value
-        for pdf in frames:
-            cats, phrases, scores = [], [], []
-            for text in pdf[text_col]:
-                seen, full, tok_hits = set(), set(), {}
-                for _, (w, refs) in auto.iter(text or ""):
-                    if w in seen:
-                        continue
-                    seen.add(w)
-                    for kind, i in refs:
-                        if kind == "p":
-                            full.add(i)
-                        else:
-                            tok_hits[i] = tok_hits.get(i, 0) + sum(1 for t in specs[i]["tokens"] if t == w)
-                best = None  # (-score, category, phrase_ord, phrase)
-                for i in full | set(tok_hits):
-                    s = specs[i]
-                    if i in full:
-                        sc = 8 + s["wc"]
-                    elif tok_hits.get(i, 0) >= s["need"]:
-                        sc = tok_hits[i]
-                    else:
-                        continue
-                    cand = (-sc, s["category"], s["phrase_ord"], s["phrase"])
-                    if best is None or cand < best:
-                        best = cand
-                cats.append(best[1] if best else "Other")
-                phrases.append(best[3] if best else "Other")
-                scores.append(-best[0] if best else 0)
-            yield pdf.drop(columns=[text_col]).assign(primary=cats, secondary=phrases, score=scores)
-    return run
-
-
-def classify_keyword_large(df: DataFrame, tax: DataFrame, title="title", body="review_text",
-                           limit: int = MAX_AUTOMATON_PHRASES) -> DataFrame:
-    """C1 for taxonomies of any size up to ``limit`` phrases (same rule and tie order)."""
-    specs = _collect_specs(tax, limit)
-    auto_b = df.sparkSession.sparkContext.broadcast(_automaton(specs))
-    with_text = df.withColumn(MATCH_TEXT, match_text(title, body))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    schema += ", primary string, secondary string, score int"
-    return with_text.mapInPandas(_score_batches(specs, auto_b, MATCH_TEXT), schema)
-
-
-
-def _pair_batches(specs, auto_b, id_col, text_col):
-    import pandas as pd
-
-    def run(frames):
-        auto = auto_b.value
-        for pdf in frames:
-            out = []
-            for rid, text in zip(pdf[id_col], pdf[text_col]):
-                seen, full, tok_hits = set(), set(), {}
-                for _, (w, refs) in auto.iter(text or ""):
-                    if w in seen:
-                        continue
-                    seen.add(w)
-                    for kind, i in refs:
-                        if kind == "p":
-                            full.add(i)
-                        else:
-                            tok_hits[i] = tok_hits.get(i, 0) + sum(1 for t in specs[i]["tokens"] if t == w)
-                for i in full | set(tok_hits):
-                    s = specs[i]
-                    sc = 8 + s["wc"] if i in full else (tok_hits[i] if tok_hits.get(i, 0) >= s["need"] else 0)
-                    if sc:
-                        out.append((rid, s["category"], s["phrase"], s["phrase_ord"], sc))
-            yield pd.DataFrame(out, columns=[id_col, "category", "phrase", "phrase_ord", "score"])
-    return run
-
-
-def phrase_match_large(df: DataFrame, tax: DataFrame, id_col="review_ord", title="title", body="review_text",
-                       limit: int = MAX_AUTOMATON_PHRASES) -> DataFrame:
-    """J4 for taxonomies of any size up to ``limit`` phrases: every scoring (review, phrase) pair."""
-    specs = _collect_specs(tax, limit)
-    auto_b = df.sparkSession.sparkContext.broadcast(_automaton(specs))
-    id_type = df.schema[id_col].dataType.simpleString()
-    texts = df.select(id_col, match_text(title, body).alias(MATCH_TEXT))
-    return texts.mapInPandas(_pair_batches(specs, auto_b, id_col, MATCH_TEXT),
-                             f"{id_col} {id_type}, category string, phrase string, phrase_ord int, score int")

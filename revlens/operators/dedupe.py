@@ -4,18 +4,13 @@ Keep-first means: among rows whose normalised key is equal, keep the one with
 the smallest ``review_ord``.  ``dropDuplicates`` keeps an arbitrary row, so it
 is not used.
 
-Plan: the normalised key columns are hashed (SHA-256, 32 bytes) and the rows
-are aggregated by that digest with ``min(struct(review_ord, ...))``.  The
-aggregate runs partially on the map side, so a key that holds a large share of
-all rows (one review scraped many times) is collapsed before the shuffle and
-never lands whole in one task - unlike a ``row_number()`` window, which sends
-every row of a key to one task.  The input is read once.
-
-Catalyst cannot prune fields inside the aggregated struct, so a consumer that
-needs only some columns passes ``carry=[...]``: only those cross the shuffle
-(a weekly trend then never moves review texts).  A two-phase form (narrow
-``min(review_ord)`` per digest + semi join) was measured and rejected: it reads
-the input twice, which costs more for the text-consuming analyses.
+Plan: the normalised key columns are hashed (SHA-256, 32 bytes) and the smallest
+``review_ord`` per digest is found by a hash aggregate on one long.  It runs
+partially on the map side, so a key that holds a large share of all rows (one
+review scraped many times) is collapsed before the shuffle and never lands whole
+in one task.  The rows themselves are then picked by a semi join on the ordinal,
+which is unique: texts are neither sorted nor aggregated, and a consumer that
+reads few columns passes ``carry=[...]`` so that only those meet the join.
 """
 
 from __future__ import annotations
@@ -47,11 +42,9 @@ def with_key(df: DataFrame, keys=DEDUPE_KEYS, normalize=norm_key) -> DataFrame:
 def keep_first(df: DataFrame, keys=DEDUPE_KEYS, order=ORD, normalize=norm_key, carry=None) -> DataFrame:
     """First row (smallest ``order``) per normalised key.  Returns ``order`` and the
     ``carry`` columns (default: all columns, in their order)."""
-    cols = [c for c in (carry or df.columns) if c != order]
-    keyed = df.select(order, *cols, key_digest(list(keys), normalize).alias(KEY))
-    first = keyed.groupBy(KEY).agg(F.min(F.struct(order, *cols)).alias("_r"))
-    out = [order] + cols if carry else [c for c in df.columns]
-    return first.select(*[F.col("_r." + c).alias(c) for c in out])
+    cols = [order] + [c for c in carry if c != order] if carry else list(df.columns)
+    first = df.select(order, key_digest(list(keys), normalize).alias(KEY)).groupBy(KEY).agg(F.min(order).alias("_first"))
+    return df.select(*cols).join(first.select(F.col("_first").alias(order)), order, "left_semi").select(*cols)
 
 
 def keep_first_by(df: DataFrame, key_exprs: dict, order=ORD) -> DataFrame:

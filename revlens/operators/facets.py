@@ -1,8 +1,7 @@
 """Dashboard tables.
 
 The dashboard's page state becomes function arguments; every table is one
-grouped aggregate over the filtered reviews.  Pivots take explicit value
-lists so Spark plans them without an extra job to find the values.
+grouped aggregate over the filtered reviews.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from revlens.functions.dates import clean_review_date, iso_week_label, parse_date_text
 from revlens.functions.ratings import parse_rating_0_5, round_share, safe_ratio
+from revlens.session import materialize
 
 TEXT_COLUMNS = ["model_id", "model_name", "size", "channel", "site", "title", "review_text", "author"]
 
@@ -53,13 +53,14 @@ def semi_join_models(analysis: DataFrame, filtered: DataFrame) -> DataFrame:
     return analysis.join(filtered.select("model_id"), "model_id", "left_semi")
 
 
-def model_channel_pivot(df: DataFrame, channels) -> DataFrame:
-    """Model x channel review counts, 0-filled, with the row total."""
-    wide = df.groupBy("model_id").pivot("channel", list(channels)).count().na.fill(0)
-    totals = df.groupBy("model_id").agg(F.count(F.lit(1)).alias("total"))
-    out = wide.join(totals, "model_id")
-    return out.select("model_id", *[F.col(f"`{c}`").cast("bigint").alias(c) for c in channels],
-                      F.col("total").cast("bigint").alias("total"))
+def model_channel_pivot(df: DataFrame) -> DataFrame:
+    """Model x channel review counts, 0-filled, with the row total; one column for every
+    channel that occurs.  Rows are counted once per (model, channel); the channel names and
+    the pivot come from these counts."""
+    counts = materialize(df.groupBy("model_id", "channel").agg(F.count(F.lit(1)).alias("n")))
+    channels = sorted(r["channel"] for r in counts.select("channel").distinct().collect())
+    cells = [F.coalesce(F.sum(F.when(F.col("channel") == c, F.col("n"))), F.lit(0)).cast("bigint").alias(c) for c in channels]
+    return counts.groupBy("model_id").agg(*cells, F.sum("n").cast("bigint").alias("total"))
 
 
 def weekly_trend(df: DataFrame, models=None) -> DataFrame:
@@ -86,33 +87,31 @@ def issue_top(summary: DataFrame, label="primary", count="n_issues") -> DataFram
 
 def kpis(filtered: DataFrame, detail: DataFrame) -> DataFrame:
     """Total, low, distinct models, distinct channels, classified low reviews (long form)."""
-    top = filtered.agg(F.count(F.lit(1)).alias("total"),
-                       F.count_if(F.col("rating_num") <= 3).alias("low"),
+    # one row per (model, channel) holds all that is counted; models and channels follow from it
+    per = materialize(filtered.groupBy("model_id", "channel").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rating_num") <= 3).alias("low")))
+    top = per.agg(F.sum("n").alias("total"),
+                       F.sum("low").alias("low"),
                        F.count_distinct("model_id").alias("models"),
                        F.count_distinct("channel").alias("channels"))
     top = top.select(F.explode(F.array(*[
-        F.struct(F.lit(k).alias("kpi"), F.col(k).cast("bigint").alias("value"))
+        F.struct(F.lit(k).alias("kpi"), F.coalesce(F.col(k), F.lit(0)).cast("bigint").alias("value"))
         for k in ("total", "low", "models", "channels")])).alias("x")).select("x.*")
-    done = semi_join_models(detail, filtered).agg(F.count(F.lit(1)).cast("bigint").alias("value")) \
+    done = semi_join_models(detail, per).agg(F.count(F.lit(1)).cast("bigint").alias("value")) \
         .select(F.lit("classified").alias("kpi"), "value")
     return top.unionByName(done)
 
 
 def facet_values(df: DataFrame) -> DataFrame:
-    """Distinct values per facet (long form) plus the date bounds."""
-    parts = [
-        df.select(F.lit("model").alias("facet"), F.col("model_id").alias("value")),
-        df.select(F.lit("channel").alias("facet"), F.col("channel").alias("value")),
-        df.filter(F.col("rating_num").isNotNull())
-          .select(F.lit("rating").alias("facet"), F.col("rating_num").cast("string").alias("value")),
-    ]
-    vals = parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
-    bounds = df.agg(F.min("review_day").alias("lo"), F.max("review_day").alias("hi"))
-    dates = bounds.select(F.explode(F.array(
-        F.struct(F.lit("date_min").alias("facet"), F.col("lo").cast("string").alias("value")),
-        F.struct(F.lit("date_max").alias("facet"), F.col("hi").cast("string").alias("value")))).alias("x")
-    ).select("x.*")
-    return vals.unionByName(dates)
+    """Distinct values per facet (long form) plus the date bounds, from one pass: each row
+    gives its facet values, and one aggregate keeps the distinct ones and the date bounds."""
+    text = lambda c: F.col(c).cast("string")
+    facets = F.array(F.struct(F.lit("model").alias("facet"), text("model_id").alias("value")), F.struct(F.lit("channel").alias("facet"), text("channel").alias("value")),
+                     F.struct(F.lit("rating").alias("facet"), text("rating_num").alias("value")), F.struct(F.lit("date").alias("facet"), F.lit(None).cast("string").alias("value")))
+    found = df.select("review_day", F.explode(facets).alias("f")).groupBy("f.facet", "f.value").agg(F.min("review_day").alias("lo"), F.max("review_day").alias("hi"))
+    bounds = F.array(F.struct(F.lit("date_min").alias("facet"), F.col("lo").cast("string").alias("value")), F.struct(F.lit("date_max").alias("facet"), F.col("hi").cast("string").alias("value")))
+    own = F.array(F.struct(F.col("facet"), F.col("value")))
+    kept = found.filter((F.col("facet") != "rating") | F.col("value").isNotNull())
+    return kept.select(F.explode(F.when(F.col("facet") == "date", bounds).otherwise(own)).alias("x")).select("x.facet", "x.value")
 
 
 def records_per_target(df: DataFrame) -> DataFrame:

@@ -94,5 +94,6 @@ def grid_tables(grid: DataFrame, required, wanted, stop_titles=STOP_TITLES) -> D
             .filter(~blank))
     # heading -> cell, blank headings dropped
     pairs = F.filter(F.arrays_zip(F.col("headings").alias("k"), F.col("cells").alias("v")), lambda p: p["k"] != "")
-    m = F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["k"], p["v"])))
-    return body.select("sheet", "row_idx", *[F.try_element_at(m, F.lit(w)).alias(w) for w in wanted])
+    # of headings that repeat the last one counts
+    cell = lambda w: F.try_element_at(F.filter(pairs, lambda p: p["k"] == w), F.lit(-1))["v"]
+    return body.select("sheet", "row_idx", *[cell(w).alias(w) for w in wanted])

@@ -1,10 +1,9 @@
 """Label pipeline: requests, responses, validation, caches, pluggable scorers
 (C2-C5, J1-J3, W8, F16, F30, S13).
 
-The reference sends batches of reviews to a remote model one by one.  Here a
-batch scorer is a plain pandas function run by ``mapInPandas`` on many
-batches in parallel; requests and responses are tables, so a response set
-produced elsewhere can be parsed and validated by the same jobs.
+A batch scorer is a plain pandas function run by ``mapInPandas`` on many batches in
+parallel; requests and responses are tables, so a response set produced elsewhere can
+be parsed and validated by the same jobs.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from revlens.functions.text import excerpt, json_array_slice, review_key, unescape_json_text
+from revlens.operators.classify import constant
 from revlens.operators.sequence import sequence
 from revlens.schema import ORD
 
@@ -55,7 +55,7 @@ def taxonomy_map(specs) -> Column:
     merged: dict = {}
     for s in specs:
         merged.setdefault(s["category"], []).append(s["phrase"])
-    return F.create_map(*[x for k, v in merged.items() for x in (F.lit(k), F.array(*[F.lit(p) for p in v]))])
+    return constant(merged, "map<string,array<string>>")
 
 
 def classify_requests(items: DataFrame, specs) -> DataFrame:
@@ -112,14 +112,21 @@ def last_answer_per_id(answers: DataFrame) -> DataFrame:
             .select("batch_id", "id", "a.primary", "a.secondary", "a.reason"))
 
 
-def results_with_default(items: DataFrame, answers: DataFrame, unparsable: DataFrame | None = None) -> DataFrame:
-    """Every request item gets its answer, or ('Other', 'Please add comments', reason)."""
-    last = last_answer_per_id(answers).withColumnRenamed("id", "item_id")
-    out = items.join(last, ["batch_id", "item_id"], "left")
-    default_reason = F.lit(REASON_MISSING)
-    if unparsable is not None:
-        out = out.join(unparsable.withColumn("_bad", F.lit(True)), "batch_id", "left")
-        default_reason = F.when(F.col("_bad"), F.lit(REASON_UNPARSABLE)).otherwise(F.lit(REASON_MISSING))
+def results_with_default(items: DataFrame, answers: DataFrame) -> DataFrame:
+    """Every request item gets its answer, or ('Other', 'Please add comments', reason).
+
+    One row per batch carries its last answers and whether it could be parsed, so a single
+    join on the batch (a few items) serves both."""
+    last = F.struct("pos", "primary", "secondary", "reason")
+    per_id = answers.groupBy("batch_id", "id").agg(F.max(F.when(F.col("id").isNotNull(), last)).alias("a"), F.max(F.col("status") == "unparsable").alias("bad"))
+    batches = per_id.groupBy("batch_id").agg(
+        F.max("bad").alias("_bad"),
+        F.map_from_entries(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("id", "a")))).alias("_answers"))
+    out = items.join(batches, "batch_id", "left").withColumn("_a", F.try_element_at("_answers", F.col("item_id")))
+    for c in ("primary", "secondary", "reason"):
+        out = out.withColumn(c, F.col("_a." + c))
+    out = out.drop("_a", "_answers")
+    default_reason = F.when(F.col("_bad"), F.lit(REASON_UNPARSABLE)).otherwise(F.lit(REASON_MISSING))
     answered = F.col("primary").isNotNull()
     return (out.withColumn("reason", F.when(answered, F.coalesce("reason", F.lit(""))).otherwise(default_reason))
             .withColumn("secondary", F.when(answered, F.coalesce("secondary", F.lit(""))).otherwise(F.lit(PLEASE_COMMENT)))
@@ -138,10 +145,10 @@ def validate_labels(df: DataFrame, specs, primary="primary", secondary="secondar
     """(primary, secondary) must exist in the taxonomy; otherwise 'Other' with the
     fallback secondary, keeping a given reason or stating the failure.
 
-    The taxonomy is small and size-checked (see ``classify.taxonomy_specs``), so the
-    membership tests are literal-array lookups inside the projection - no join."""
-    cats = F.array(*[F.lit(c) for c in dict.fromkeys(sp["category"] for sp in specs)])
-    pairs = F.array(*[F.lit(sp["category"] + "\u0001" + sp["phrase"]) for sp in specs])
+    The taxonomy is configuration, so the membership tests are lookups in constant arrays
+    inside the projection - no join."""
+    cats = constant(list(dict.fromkeys(sp["category"] for sp in specs)), "array<string>")
+    pairs = constant([sp["category"] + "\u0001" + sp["phrase"] for sp in specs], "array<string>")
     p = F.trim(F.coalesce(F.col(primary), F.lit("")))
     s = F.trim(F.coalesce(F.col(secondary), F.lit("")))
     r = F.trim(F.coalesce(F.col(reason), F.lit("")))
@@ -159,9 +166,14 @@ def validate_labels(df: DataFrame, specs, primary="primary", secondary="secondar
 
 def cache_hit_miss(items: DataFrame, cache: DataFrame, key: str = "cache_key"):
     """(hits with cached labels, misses still to score) by a hash join on the key."""
-    hits = items.join(cache, key, "inner")
-    misses = items.join(cache.select(key), key, "left_anti")
-    return hits, misses
+    looked = items.join(cache.withColumn("_hit", F.lit(True)), key, "left")
+    return looked.filter("_hit").drop("_hit"), looked.filter("_hit is null").select(*items.columns)
+
+
+def with_hits(items: DataFrame, cache: DataFrame, key: str = "cache_key") -> DataFrame:
+    """J1 in one join: every item with the cached labels and ``hit`` (0 or 1)."""
+    return (items.join(cache.withColumn("_hit", F.lit(1)), key, "left")
+            .withColumn("hit", F.coalesce("_hit", F.lit(0))).drop("_hit"))
 
 
 BatchScorer = Callable[[pd.DataFrame], pd.DataFrame]
@@ -175,11 +187,14 @@ def score_with_function(items: DataFrame, fn: BatchScorer) -> DataFrame:
     holds at most ``batch_size`` rows, so each pandas call is small and bounded."""
     cols = ["batch_id", "item_id", "title", "review_text", "issue_summary"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fn(pdf.reset_index(drop=True))[["item_id", "primary", "secondary", "reason"]]
+    def run(frames):
+        for pdf in frames:
+            for _, batch in pdf.groupby("batch_id", sort=False):
+                yield fn(batch.reset_index(drop=True))[["item_id", "primary", "secondary", "reason"]]
 
-    return items.select(*cols).groupBy("batch_id").applyInPandas(
-        run, "item_id long, primary string, secondary string, reason string")
+    # items come numbered in order, so a batch's rows stand together; a batch cut by a
+    # partition edge is two smaller calls
+    return items.select(*cols).mapInPandas(run, "item_id long, primary string, secondary string, reason string")
 
 
 TranslateFn = Callable[[list], list]

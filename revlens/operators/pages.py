@@ -7,18 +7,17 @@ JVM on every page in parallel; nothing is parsed in Python.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from revlens.functions.markup import drop_scripts, strip_tags, unescape_entities
 from revlens.functions.text import collapse_ws
 
-# Page markers.
+# Page markers per shop.  Amazon looks for review marks in the page as it is.
 AMAZON_REVIEW_MARKERS = ['data-hook="review"', "data-hook='review'", 'data-hook="review-body"',
                          "data-hook='review-body'", "customer_review-"]
+AMAZON_AUTH, AMAZON_CAPTCHA, AMAZON_ROBOT = ["amazon sign-in"], ["ap_captcha", "image-captcha"], ["robot check", "not a robot"]
 WALMART_REVIEW_MARKERS = ["review-card", "customerreviews", "reviewtext", '"reviews"']
-AUTH_MARKERS = ["amazon sign-in"]
-CAPTCHA_MARKERS = ["ap_captcha", "image-captcha", "captcha"]
-ROBOT_MARKERS = ["robot check", "not a robot", "robot", "blocked", "verify your identity", "press & hold"]
+WALMART_ROBOT = ["captcha", "robot", "blocked", "verify your identity", "press & hold"]
 
 
 def _any(col, words):
@@ -29,20 +28,24 @@ def _any(col, words):
     return cond
 
 
-def page_status(pages: DataFrame) -> DataFrame:
-    """P10: reviews / auth / captcha / robot / page for every captured page."""
-    raw, low, url = F.col("html"), F.lower(F.col("html")), F.lower(F.coalesce(F.col("url"), F.lit("")))
-    has_reviews = _any(raw, AMAZON_REVIEW_MARKERS) | _any(low, WALMART_REVIEW_MARKERS)
-    status = (F.when(has_reviews, F.lit("reviews"))
-              .when(F.contains(url, F.lit("signin")) | _any(low, AUTH_MARKERS), F.lit("auth"))
-              .when(_any(low, CAPTCHA_MARKERS), F.lit("captcha"))
-              .when(_any(low, ROBOT_MARKERS), F.lit("robot"))
-              .otherwise(F.lit("page")))
-    return pages.select("page_id", status.alias("status"))
-
+def page_status(pages: DataFrame, kind_col: str = "kind") -> DataFrame:
+    """P10: status of every captured page by the shop it was captured from.
 
-def page_blocks(pages: DataFrame) -> DataFrame:
-    """Text of every <p> block with its ordinal (0-based) in the page; empty blocks dropped."""
+    Amazon: review marks win, then sign-in (also by URL), captcha, robot check.  Walmart:
+    review marks win, then any robot mark.  Pages of other shops are plain pages."""
+    raw, low, url = F.col("html"), F.lower(F.col("html")), F.lower(F.coalesce(F.col("url"), F.lit("")))
+    amazon = (F.when(_any(raw, AMAZON_REVIEW_MARKERS), F.lit("reviews"))
+              .when(F.contains(url, F.lit("signin")) | _any(low, AMAZON_AUTH), F.lit("auth"))
+              .when(_any(low, AMAZON_CAPTCHA), F.lit("captcha"))
+              .when(_any(low, AMAZON_ROBOT), F.lit("robot")).otherwise(F.lit("page")))
+    walmart = F.when(_any(low, WALMART_REVIEW_MARKERS), F.lit("reviews")).when(_any(low, WALMART_ROBOT), F.lit("robot")).otherwise(F.lit("page"))
+    kind = F.col(kind_col)
+    return pages.select("page_id", F.when(kind == "amazon", amazon).when(kind == "walmart", walmart).otherwise(F.lit("page")).alias("status"))
+
+
+def page_blocks(pages: DataFrame, *keep) -> DataFrame:
+    """Text of every <p> block with its ordinal (0-based) in the page, and the columns
+    ``keep`` of its page; empty blocks dropped."""
     clean = drop_scripts(F.col("html"))
     pieces = F.split(clean, r"(?i)<p\b[^>]*>", -1)
     tail = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(1)))
@@ -51,7 +54,7 @@ def page_blocks(pages: DataFrame) -> DataFrame:
         body = F.regexp_replace(x, r"(?is)</(?:p|article|body|div|section|main)>.*$", "")
         return F.trim(collapse_ws(unescape_entities(strip_tags(body))))
 
-    blocks = pages.select("page_id", F.posexplode(F.transform(tail, text)).alias("block_no", "text"))
+    blocks = pages.select("page_id", *keep, F.posexplode(F.transform(tail, text)).alias("block_no", "text"))
     return blocks.filter(F.col("text") != "")
 
 
@@ -62,30 +65,36 @@ def page_target(url) -> "F.Column":
 
 def new_records_per_page(pages: DataFrame) -> DataFrame:
     """A block is new on the first page (in capture order) of its target where its
-    normalised text (lower case, first 200 chars) appears; per page the count of new ones."""
-    tp = pages.select("page_id", page_target(F.col("url")).alias("target"))
-    blocks = page_blocks(pages).join(tp, "page_id")
-    key = F.substring(F.lower(F.col("text")), 1, 200)
-    first = (blocks.groupBy("target", key.alias("k"))
-             .agg(F.min(F.struct("page_id", "block_no")).alias("f"))
-             .groupBy("target", F.col("f.page_id").alias("page_id")).agg(F.count(F.lit(1)).alias("n_new")))
-    return (tp.join(first, ["target", "page_id"], "left")
-            .select("target", "page_id", F.coalesce("n_new", F.lit(0)).cast("bigint").alias("n_new")))
+    normalised text (the whole of it, lower case) appears; per page the count of new ones.
+
+    Pages enter with one blank entry each, so pages without blocks keep their row and the
+    target needs no join."""
+    tp = pages.select("page_id", "html", page_target(F.col("url")).alias("target"))
+    blocks = page_blocks(tp, "target")
+    first = (blocks.groupBy("target", F.xxhash64(F.lower("text")).alias("k1"), F.md5(F.lower("text").cast("binary")).alias("k2"))
+             .agg(F.min("page_id").alias("page_id")).select("target", "page_id", F.lit(1).alias("n")))
+    every = tp.select("target", "page_id", F.lit(0).alias("n"))
+    return first.unionByName(every).groupBy("target", "page_id").agg(F.sum("n").cast("bigint").alias("n_new"))
 
 
 def crawl_cutoff(per_page: DataFrame, k: int, order="page_id") -> DataFrame:
     """Keep the pages of each target up to the k-th page in a row without new records.
 
-    Gaps and islands: the running count of non-empty pages numbers the islands; the
-    empties inside an island are counted; the first page where that count reaches k
-    ends the crawl.  A target holds at most its configured page limit, so the
-    windows per target are bounded."""
-    w = Window.partitionBy("target").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    empty = F.col("n_new") == 0
-    df = per_page.withColumn("_island", F.sum(F.when(empty, 0).otherwise(1)).over(w))
-    wi = Window.partitionBy("target", "_island").orderBy(order)
-    df = df.withColumn("_streak", F.when(empty, F.row_number().over(wi) - F.when(F.col("_island") > 0, 1).otherwise(0)))
-    stop = F.min(F.when(F.col("_streak") >= k, F.col(order))).over(Window.partitionBy("target"))
-    return (df.withColumn("stop_at", stop)
-            .withColumn("kept", F.col("stop_at").isNull() | (F.col(order) <= F.col("stop_at")))
-            .drop("_island", "_streak"))
+    Pages are numbered per target by ``sequence`` (range-sorted, so a host with most of the
+    pages is spread over many tasks).  The crawl stops k pages after the first page with new
+    records (or the start) that is followed by k pages without: for every such place the k
+    next numbers are looked up among the pages with records by an equi-join on (target,
+    number).  No window runs over a target."""
+    from revlens.operators.sequence import sequence
+
+    pages = sequence(per_page, [F.col(order).asc()], ["target"], "_n")
+    full = pages.filter("n_new > 0").select("target", "_n")
+    last = pages.groupBy("target").agg(F.max("_n").alias("_last"))
+    places = full.unionByName(last.select("target", F.lit(0).cast("bigint").alias("_n")))
+    ahead = places.select("target", F.col("_n").alias("_from"), F.explode(F.sequence(F.col("_n") + 1, F.col("_n") + k)).alias("_n"))
+    goes_on = ahead.join(full.withColumn("_full", F.lit(1)), ["target", "_n"], "left").groupBy("target", "_from").agg(F.max("_full").alias("_full"))
+    stop = goes_on.filter("_full is null").groupBy("target").agg((F.min("_from") + k).alias("_stop"))
+    stops = (pages.select("target", F.col("_n").alias("_stop"), F.col(order).alias("stop_at"))
+             .join(stop, ["target", "_stop"]).drop("_stop"))
+    out = per_page.join(stops, "target", "left")
+    return out.withColumn("kept", F.col("stop_at").isNull() | (F.col(order) <= F.col("stop_at"))).select(*per_page.columns, "stop_at", "kept")

@@ -32,9 +32,9 @@ def first_non_empty(c, order=ORD) -> Column:
 
 
 def keywords_map(tax: DataFrame, n: int = 8):
-    """J7 / O5 for a size-checked taxonomy: category -> first n phrases of its first
-    occurrence, as a literal map (looked up in the projection, no join)."""
-    from revlens.operators.classify import taxonomy_rows
+    """Category -> first n phrases of its first occurrence, as one constant map
+    (looked up in the projection, no join)."""
+    from revlens.operators.classify import constant, taxonomy_rows
     rows = taxonomy_rows(tax)
     first_ord = {}
     for r in rows:
@@ -44,7 +44,7 @@ def keywords_map(tax: DataFrame, n: int = 8):
     for r in sorted(rows, key=lambda r: r["phrase_ord"]):
         if r["cat_ord"] == first_ord[r["category"]]:
             words.setdefault(r["category"], []).append(r["phrase"])
-    return F.create_map(*[x for k, v in words.items() for x in (F.lit(k), F.lit(", ".join(v[:n])))])
+    return constant({k: ", ".join(v[:n]) for k, v in words.items()}, "map<string,string>")
 
 
 def issue_counts(low: DataFrame, tax: DataFrame, label="primary") -> DataFrame:

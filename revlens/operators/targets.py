@@ -23,16 +23,16 @@ REGISTRY = {"bestbuy": "bestbuy", "bby": "bestbuy", "amazon": "amazon", "walmart
 PREFIXES = [("amazon", ["amazon_", "amz_"]), ("bestbuy", ["bby_", "bestbuy_"]), ("walmart", ["wmt_", "walmart_"])]
 
 
-def targets_from_reviews(reviews: DataFrame, pages_per=10, page_cap=1000) -> DataFrame:
+def targets_from_reviews(reviews: DataFrame, pages_per=10) -> DataFrame:
     """Target configuration derived from stored reviews: per model and site the first URL,
-    enabled unless the channel is outside the three shops, pages = reviews / 10 (at most 1000)."""
+    enabled unless the channel is outside the three shops, pages = reviews / 10."""
     per_site = (reviews.groupBy("model_id", "site")
                 .agg(F.min(F.struct(ORD, "source_url")).alias("_u"),
                      F.min(F.struct(ORD, "channel")).alias("_c"),
                      F.count(F.lit(1)).alias("_n")))
     site_val = F.struct(F.col("_c.channel").isin("AMZ", "BBY", "WMT").alias("enabled"),
                         F.col("_u.source_url").alias("url"),
-                        F.least(F.lit(page_cap), F.ceil(F.col("_n") / pages_per)).cast("int").alias("max_pages"))
+                        F.ceil(F.col("_n") / pages_per).cast("int").alias("max_pages"))
     sites = per_site.groupBy("model_id").agg(F.map_from_entries(F.collect_list(F.struct("site", site_val))).alias("sites"))
     names = reviews.groupBy("model_id").agg(
         F.coalesce(first_non_empty("model_name"), F.col("model_id")).alias("display_name"))
@@ -131,15 +131,39 @@ def page_plan(targets: DataFrame) -> DataFrame:
     paged = set_query_params("url", {"page": n})
     page_url = (F.when(F.col("kind") == "amazon", amazon)
                 .when(F.col("kind") == "bestbuy", F.when(F.col("page_no") <= 1, F.col("url")).otherwise(paged))
+                .when((F.col("kind") == "walmart") & product_id("url", "kind").isNotNull(),
+                      F.concat(F.lit("https://www.walmart.com/reviews/product/"), product_id("url", "kind"), F.lit("?page="), n, F.lit("&sort=submission-desc")))
                 .when(F.col("kind") == "walmart", paged)
                 .otherwise(F.col("url")))
     return t.select("model_id", "site", "kind", "page_no", page_url.alias("page_url"))
 
 
-def url_candidates(url="url", site="site") -> Column:
-    """ordered distinct candidate URLs: product page by id, all-stars review list, the URL."""
-    pid = product_id(col_of(url))
-    product = F.when(pid.isNotNull(), F.concat(F.lit("https://www.amazon.com/dp/"), pid))
-    all_stars = set_query_params(col_of(url), {"pageNumber": "1", "filterByStar": "all_stars",
-                                               "reviewerType": "all_reviews"}, defaults={"ie": "UTF8"})
-    return F.array_distinct(F.filter(F.array(product, all_stars, col_of(url)), lambda x: x.isNotNull()))
+def _site_root(u: Column) -> Column:
+    return F.regexp_extract(u, r"^[A-Za-z]+://[^/?#]*", 0)
+
+
+def url_candidates(url="url", site="site", model="model_id") -> Column:
+    """ordered distinct candidate URLs of a target by its shop.
+
+    Amazon: product page, all-stars review list, the URL (without an ASIN the model id stands
+    in).  Best Buy: product page, legacy review list (keeping ``ratings``), the URL.
+    Walmart: product page, review list, the URL.  Others: the URL."""
+    u, kind = col_of(url), site_profile(site)
+    pid = product_id(u, kind)
+    root, path = _site_root(u), F.regexp_extract(u, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
+    query = F.regexp_extract(u, r"^[^?#]*(\?[^#]*)", 1)
+    asin = F.coalesce(pid, col_of(model))
+    listed = F.when(F.contains(path, F.lit("/product-reviews/")), u).otherwise(F.concat(root, F.lit("/product-reviews/"), asin, query))
+    stars = set_query_params(listed, {"pageNumber": "1", "filterByStar": "all_stars", "reviewerType": "all_reviews"}, defaults={"ie": "UTF8"})
+    new = r"/product/([^/]+)/[^/]+/sku/(\d+)/reviews"
+    old = r"/site/reviews/([^/]+)/(\d+)"
+    product = (F.when(path.rlike(new), F.concat(root, F.regexp_extract(path, r"(/product/[^/]+/[^/]+/sku/\d+)/reviews", 1)))
+               .when(path.rlike(old), F.concat(root, F.lit("/site/"), F.regexp_extract(path, old, 1), F.lit("/"), F.regexp_extract(path, old, 2), F.lit(".p"))))
+    ratings = F.regexp_extract(query, r"[?&]ratings=([^&]*)", 1)
+    legacy = F.when(path.rlike(new), F.concat(root, F.lit("/site/reviews/"), F.regexp_extract(path, new, 1), F.lit("/"), F.regexp_extract(path, new, 2),
+                                              F.when(ratings != "", F.concat(F.lit("?ratings="), ratings)).otherwise(F.lit(""))))
+    found = (F.when(kind == "amazon", F.array(F.concat(F.lit("https://www.amazon.com/dp/"), asin), stars, u))
+             .when(kind == "bestbuy", F.array(product, legacy, u))
+             .when(kind == "walmart", F.array(F.concat(F.lit("https://www.walmart.com/ip/"), pid), F.concat(F.lit("https://www.walmart.com/reviews/product/"), pid), u))
+             .otherwise(F.array(u)))
+    return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))

@@ -59,7 +59,7 @@ def labeled_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     Mirrors S4: blank labels become 'Other', size is extracted, the date is formatted (F24)."""
     a = analysis(spark, sf_dir)
     labels = fixtures.table(spark, sf_dir, "labels").select(
-        F.col("doc_id").alias("review_ord"),
+        (F.col("doc_id") * 2).alias("review_ord"),
         F.col("quality").cast("string").alias("_p"), F.col("toxic").cast("string").alias("_s"))
     blank_other = lambda c: F.coalesce(F.nullif(py_strip(F.coalesce(F.col(c), F.lit(""))), F.lit("")), F.lit("Other"))
     return (a.low.join(labels, "review_ord")

@@ -24,7 +24,8 @@ BATCH = 3
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
-    return L.request_items(analysis(spark, sf).low, BATCH)
+    from revlens.session import materialize
+    return materialize(L.request_items(analysis(spark, sf).low, BATCH))  # read several times below
 
 
 def _answer_cols(lab: DataFrame):
@@ -42,7 +43,7 @@ def responses(spark: SparkSession, sf: str, it: DataFrame | None = None) -> Data
     """One answer text per request batch, in five shapes by batch number, and no
     usable answer at all for every seventh batch."""
     it = it if it is not None else items(spark, sf)
-    lab = fixtures.table(spark, sf, "labels").select(F.col("doc_id").alias(ORD), "quality", "toxic")
+    lab = fixtures.table(spark, sf, "labels").select((F.col("doc_id") * 2).alias(ORD), "quality", "toxic")
     j = it.select("batch_id", "item_id", ORD).join(lab, ORD, "left")
     p, s = _answer_cols(j)
     obj = F.concat(F.lit('{"id":'), F.col("item_id").cast("string"), F.lit(',"primary":"'), p,
@@ -67,8 +68,7 @@ def responses(spark: SparkSession, sf: str, it: DataFrame | None = None) -> Data
 def labelled(spark: SparkSession, sf: str, validate: bool = True) -> DataFrame:
     it = items(spark, sf)
     parsed = L.parse_label_responses(responses(spark, sf, it))
-    bad = parsed.filter(F.col("status") == "unparsable").select("batch_id").distinct()
-    out = L.results_with_default(it, parsed, bad)
+    out = L.results_with_default(it, parsed)
     if validate:
         out = L.validate_labels(out, taxonomy_specs(fixtures.taxonomy(spark)))
     return out

@@ -9,7 +9,6 @@ literal expressions.  Helpers below return SQL text in DuckDB's dialect.
 from __future__ import annotations
 
 from revlens import fixtures
-from revlens.functions.dates import DATE_FORMATS
 from revlens.functions.size import SIZES
 from revlens.functions.text import NO_BODY_TEXT, STOPWORDS, WS
 
@@ -63,7 +62,7 @@ _DUCK_FORMATS = {
 
 
 def parse_date(x: str) -> str:
-    return "coalesce(" + ", ".join(f"try_strptime({x}, {q(_DUCK_FORMATS[f])})" for f in DATE_FORMATS) + ")"
+    return "coalesce(" + ", ".join(f"try_strptime({x}, {q(_DUCK_FORMATS[f])})" for f in _DUCK_FORMATS) + ")"
 
 
 def nbsp_strip(x: str) -> str:
@@ -117,31 +116,37 @@ def reviews_cte() -> str:
     suffixes = f.SUFFIXES + [""] * (12 - len(f.SUFFIXES))
     return f"""
 reviews_base AS (
-  SELECT d AS review_ord,
+  SELECT 2 * d AS review_ord,
     {lst(f.MODEL_IDS)}[d % 6 + 1] AS model_id,
     {lst(f.MODEL_NAMES)}[d % 6 + 1] AS model_name,
     CASE WHEN d % 19 = 0 THEN '65寸' END AS size,
     {lst(f.SITES)}[d % 11 + 1] AS site,
-    'https://shop.example.com/product/' || source || '/sku/' || CAST(d AS VARCHAR) || '/reviews?ratings=' || CAST(d % 5 + 1 AS VARCHAR) AS source_url,
+    [am || '/product-reviews/' || asin || '/ref=cm' || tail || '&pageNumber=3', am || '/Some-TV/dp/' || lower(asin) || tail,
+     am || '/portal/customer-reviews/' || asin || tail, bb || '/product/tv-55/AB1/sku/' || num || '/reviews' || tail || '&sort=new',
+     bb || '/site/reviews/tv-65/' || num || tail, bb || '/site/tv/' || num || '.p' || tail, wm || '/ip/Some-TV/' || num || tail,
+     wm || '/reviews/product/' || num || tail, 'https://www.target.com/p/tv/-/A-' || num || tail,
+     'https://shop.example.com/product/' || source || '/sku/' || num || '/reviews' || tail, wm || '/browse/tv' || tail][d % 11 + 1] AS source_url,
     CASE WHEN d % 4 = 0 THEN '4.3' WHEN d % 23 = 0 THEN 'n/a' END AS overall_rating,
-    {lst(f.RATINGS)}[d % 9 + 1] AS rating,
-    CASE d % 13 WHEN 0 THEN NULL WHEN 1 THEN '1.0 out of 5 stars' WHEN 2 THEN 'My 55 inch set' ELSE split_part(text, chr(10), 1) END AS title,
-    CASE d % 17 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE text || {lst(suffixes)}[d % 12 + 1] END AS review_text,
-    CASE d % 5 WHEN 0 THEN 'Reviewed in the United States on ' || strftime(dd, '%B %-d, %Y')
+    CASE WHEN NOT badge THEN {lst(f.RATINGS)}[d % 9 + 1] END AS rating,
+    CASE WHEN badge THEN NULL ELSE CASE d % 13 WHEN 0 THEN NULL WHEN 1 THEN '1.0 out of 5 stars' WHEN 2 THEN 'My 55 inch set' ELSE split_part(text, chr(10), 1) END END AS title,
+    CASE WHEN badge THEN 'Verified Purchase' ELSE CASE d % 17 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE text || {lst(suffixes)}[d % 12 + 1] END END AS review_text,
+    CASE WHEN badge THEN NULL ELSE CASE d % 5 WHEN 0 THEN 'Reviewed in the United States on ' || strftime(dd, '%B %-d, %Y')
                WHEN 1 THEN CAST(dd AS VARCHAR) WHEN 2 THEN strftime(dd, '%-m/%-d/%Y')
-               WHEN 4 THEN 'yesterday' END AS review_date,
-    CASE WHEN d % 29 <> 0 THEN 'user' || CAST(d % 50 AS VARCHAR) END AS author,
+               WHEN 4 THEN 'yesterday' END END AS review_date,
+    CASE WHEN NOT badge AND d % 29 <> 0 THEN 'user' || CAST(d % 50 AS VARCHAR) END AS author,
     CASE WHEN d % 2 = 0 THEN 'Verified Purchase' END AS verified,
     '2026-01-01T00:00:00' AS scraped_at
-  FROM (SELECT doc_id AS d, text, source, CAST(DATE '2025-01-01' + CAST(doc_id % 400 AS INTEGER) AS DATE) AS dd FROM documents)
+  FROM (SELECT doc_id AS d, text, source, CAST(DATE '2025-01-01' + CAST(doc_id % 400 AS INTEGER) AS DATE) AS dd, doc_id % 31 = 7 AS badge,
+          CAST(doc_id + 1000000 AS VARCHAR) AS num, '?ratings=' || CAST(doc_id % 5 + 1 AS VARCHAR) AS tail, 'B0' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS asin,
+          'https://www.amazon.com' AS am, 'https://www.bestbuy.com' AS bb, 'https://www.walmart.com' AS wm FROM documents)
 ),
 reviews_all AS (
   SELECT * FROM reviews_base
   UNION ALL
-  SELECT review_ord + {f.COPY_OFFSET}, model_id, model_name, size, site, source_url, overall_rating, rating,
+  SELECT review_ord + 1, model_id, model_name, size, site, source_url, overall_rating, rating,
          replace(title, ' ', '  '), replace(review_text, 'The', 'THE') || '  ', review_date, author, verified,
          '2026-01-02T00:00:00'
-  FROM reviews_base WHERE review_ord % 10 = 0
+  FROM reviews_base WHERE review_ord % 20 = 0
 ),
 reviews AS (
   SELECT review_ord, model_id, model_name, size, {channel_expr()} AS channel, site, source_url, overall_rating,
@@ -226,7 +231,7 @@ labeled AS (
   SELECT l.* REPLACE ({size_expr()} AS size, coalesce(strftime({parse_date(strip('CAST(l.review_date AS VARCHAR)'))}, '%Y-%m-%d'), l.review_date, '') AS review_date),
          coalesce(NULLIF({strip("coalesce(CAST(b.quality AS VARCHAR), '')")}, ''), 'Other') AS primary_label,
          coalesce(NULLIF({strip("coalesce(CAST(b.toxic AS VARCHAR), '')")}, ''), 'Other') AS secondary_label
-  FROM low l JOIN labels b ON b.doc_id = l.review_ord
+  FROM low l JOIN labels b ON 2 * b.doc_id = l.review_ord
 )"""
 
 
@@ -235,11 +240,19 @@ def _first_non_empty(col: str) -> str:
     return f"arg_min({t}, review_ord) FILTER (WHERE {t} <> '')"
 
 
+def S_key() -> str:
+    """F7 of a row of the review table."""
+    parts = [f"coalesce({c}, '')" for c in ("model_id", "site", "source_url", "rating", "review_date", "author")]
+    parts += [collapse(f"coalesce({c}, '')") for c in ("title", "review_text")]
+    return "sha256(" + " || '|' || ".join(parts) + ")"
+
+
 def statements() -> dict:
     S = statements_core()
     S.update(grid_statements())
     S.update(record_statements())
     S.update(extract_statements())
+    S.update(source_statements())
     S.update(sql_function_statements())
     S.update(message_statements())
     S.update(labeled_detail_statements())
@@ -270,9 +283,7 @@ def statements_core() -> dict:
         f"lambda t: length(t) >= 3 AND NOT list_contains({lst(STOPWORDS)}, t)), ' ') AS tokens "
         f"FROM (SELECT review_ord, {mt} AS mt FROM reviews)")
     S["issue_summary"] = with_(reviews_cte()) + f" SELECT review_ord, {excerpt('review_text', 160)} AS excerpt_160, {summary()} AS issue_summary FROM reviews"
-    key = " || '|' || ".join([f"coalesce({c}, '')" for c in ("model_id", "site", "source_url", "rating", "review_date", "author")]
-                             + [collapse(f"coalesce({c}, '')") for c in ("title", "review_text")])
-    S["text_hash"] = with_(reviews_cte()) + f" SELECT review_ord, sha256({collapse('coalesce(review_text, ' + q('') + ')')}) AS text_hash, sha256({key}) AS review_key FROM reviews"
+    S["text_hash"] = with_(reviews_cte()) + f" SELECT review_ord, sha256({collapse('coalesce(review_text, ' + q('') + ')')}) AS text_hash, {S_key()} AS review_key FROM reviews"
     S["review_dates"] = with_(reviews_cte()) + (
         f" SELECT review_ord, coalesce(strftime({review_date_ts()}, '%Y-%m-%d'), '') AS review_day, {clean_date()} AS clean_date, "
         f"strftime({dash_date()}, '%Y-%m-%d') AS dash_day, {week_label(dash_date())} AS week, "
@@ -461,7 +472,7 @@ def merge_statements() -> dict:
              coalesce(strftime({parse_date(strip('t.review_date'))}, '%Y-%m-%d'), t.review_date, '') AS review_date,
              coalesce(NULLIF({strip("coalesce(CAST(b.quality AS VARCHAR), '')")}, ''), 'Other') AS primary_label,
              coalesce(NULLIF({strip("coalesce(CAST(b.toxic AS VARCHAR), ' ')")}, ''), 'Other') AS secondary_label
-      FROM tpl t LEFT JOIN labels b ON b.doc_id = t.review_ord"""
+      FROM tpl t LEFT JOIN labels b ON 2 * b.doc_id = t.review_ord"""
     return S
 
 
@@ -481,7 +492,7 @@ def _responses_cte() -> str:
     p = "CASE " + " ".join(f"WHEN b.quality = {qq} AND b.toxic = {tt} THEN {q(pp)}" for (qq, tt), (pp, _) in ANSWERS.items()) + f" ELSE {q(UNLABELLED[0])} END"
     s = "CASE " + " ".join(f"WHEN b.quality = {qq} AND b.toxic = {tt} THEN {q(ss)}" for (qq, tt), (_, ss) in ANSWERS.items()) + f" ELSE {q(UNLABELLED[1])} END"
     return f""",
-ans AS (SELECT i.batch_id, i.item_id, {p} AS p, {s} AS s FROM items i LEFT JOIN labels b ON b.doc_id = i.review_ord),
+ans AS (SELECT i.batch_id, i.item_id, {p} AS p, {s} AS s FROM items i LEFT JOIN labels b ON 2 * b.doc_id = i.review_ord),
 per_batch AS (
   SELECT batch_id, min(item_id) AS first_id,
          string_agg('{{"id":' || item_id || ',"primary":"' || p || '","secondary":"' || s || '","reason":"label ' || item_id || '"}}', ',' ORDER BY item_id) AS objs
@@ -587,17 +598,20 @@ def label_statements() -> dict:
     S["results_with_default"] = full + ' SELECT review_ord, "primary", secondary, reason FROM defaulted'
     S["validate_labels"] = full + ' SELECT review_ord, "primary", secondary, reason FROM validated'
     S["cache_hit_miss"] = full + """,
-      cache AS (SELECT cache_key, "primary" FROM validated WHERE review_ord IN (SELECT doc_id FROM labels WHERE quality = 1))
+      cache AS (SELECT cache_key, "primary" FROM validated WHERE review_ord IN (SELECT 2 * doc_id FROM labels WHERE quality = 1))
       SELECT i.review_ord, 1 AS hit, c."primary" FROM items i JOIN cache c USING (cache_key)
       UNION ALL SELECT i.review_ord, 0, NULL FROM items i WHERE i.cache_key NOT IN (SELECT cache_key FROM cache)"""
     return S
 
 
+# The entities that occur in the driver's pages, '&amp;' last.
+PAGE_ENTITIES = [("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
+
+
 def _blocks_cte() -> str:
-    from revlens.functions.markup import ENTITIES
     clean = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g')"
     t = "regexp_replace(regexp_replace(x, '(?is)</(?:p|article|body|div|section|main)>.*$', ''), '<[^>]*>', ' ', 'g')"
-    for ent, ch in ENTITIES:
+    for ent, ch in PAGE_ENTITIES:
         t = f"replace({t}, {q(ent)}, {q(ch)})"
     t = collapse(t)
     return f""",
@@ -610,30 +624,25 @@ blocks_ne AS (SELECT * FROM blocks WHERE text <> '')"""
 
 
 def page_statements() -> dict:
-    from revlens.operators.pages import (AMAZON_REVIEW_MARKERS, AUTH_MARKERS, CAPTCHA_MARKERS, ROBOT_MARKERS,
-                                         WALMART_REVIEW_MARKERS)
-
-    def any_of(col, words):
-        return "(" + " OR ".join(f"contains({col}, {q(w)})" for w in words) + ")"
     S = {}
     base = "WITH _x AS (SELECT 1)" + _blocks_cte()
     S["page_blocks"] = base + " SELECT page_id, block_no, text FROM blocks_ne"
-    S["page_status"] = f"""SELECT page_id, CASE
-        WHEN {any_of('html', AMAZON_REVIEW_MARKERS)} OR {any_of('lower(html)', WALMART_REVIEW_MARKERS)} THEN 'reviews'
-        WHEN contains(lower(coalesce(url, '')), 'signin') OR {any_of('lower(html)', AUTH_MARKERS)} THEN 'auth'
-        WHEN {any_of('lower(html)', CAPTCHA_MARKERS)} THEN 'captcha'
-        WHEN {any_of('lower(html)', ROBOT_MARKERS)} THEN 'robot' ELSE 'page' END AS status FROM pages"""
+    shop = "['amazon', 'bestbuy', 'walmart', 'target'][(review_ord // 2) % 4 + 1]"
+    S["page_status"] = with_(reviews_cte()) + f""" SELECT review_ord AS page_id, CASE
+        WHEN {shop} = 'amazon' THEN CASE WHEN n < 4 OR n = 12 THEN 'auth' WHEN n < 8 THEN 'captcha' WHEN n < 12 THEN 'robot' WHEN n < 16 THEN 'page' ELSE 'reviews' END
+        ELSE CASE WHEN n < 4 THEN 'page' WHEN n < 8 THEN 'reviews' WHEN n < 12 THEN 'robot' ELSE 'page' END END AS status
+      FROM (SELECT *, review_ord % 22 AS n FROM reviews WHERE (review_ord // 2) % 4 IN (0, 2))"""
     S["url_query_param"] = """SELECT page_id, NULLIF(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1), '') AS host,
         NULLIF(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page,
         NULLIF(regexp_extract(url, '[?&]ref=([^&#]*)', 1), '') AS ref FROM pages"""
     nat = ("array_to_string(list_transform(regexp_extract_all(url, '(\\d+|\\D+)', 1), "
-           "lambda x: CASE WHEN regexp_full_match(x, '\\d+') THEN lpad(x, 20, '0') ELSE lower(x) END), '')")
+           "lambda x: CASE WHEN regexp_full_match(x, '\\d+') THEN lpad(ltrim(x, '0'), 60, '0') ELSE lower(x) END), '')")
     S["natural_sort"] = f"SELECT page_id, row_number() OVER (ORDER BY {nat}, page_id)::BIGINT AS nat_rank FROM pages"
     per_page = base + """,
       tp AS (SELECT page_id, regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1) AS target FROM pages),
       firsts AS (
         SELECT target, arg_min(page_id, (page_id, block_no)) AS page_id FROM blocks_ne JOIN tp USING (page_id)
-        GROUP BY target, substr(lower(text), 1, 200)),
+        GROUP BY target, lower(text)),
       per_page AS (
         SELECT tp.target, tp.page_id, coalesce(c.n, 0)::BIGINT AS n_new FROM tp
         LEFT JOIN (SELECT target, page_id, count(*) AS n FROM firsts GROUP BY target, page_id) c
@@ -671,16 +680,20 @@ def _targets_cte() -> str:
             + f" ELSE 'generic:' || {key} END")
     star_digit = "regexp_extract(lower(site), '(?:amazon|amz)_(\\d)(?:\\D|$)', 1)"
     star = "CASE " + " ".join(f"WHEN {star_digit} = {q(k)} THEN {q(v)}" for k, v in STAR_NAMES.items()) + " END"
-    pats = ["/product-reviews/([A-Z0-9]{10})", "/dp/([A-Z0-9]{10})", "/site/[^?#]*?/(\\d{6,})\\.p",
-            "[?&]skuId=(\\d+)", "/reviews/product/(\\d+)", "/ip/(?:[^/?#]+/)?(\\d+)"]
-    pid = "coalesce(" + ", ".join(f"NULLIF(regexp_extract(url, {q(p)}, 1), '')" for p in pats) + ")"
+    # ids by the shape of the fixture's addresses, not by the engine's patterns
+    after = "split_part(split_part(url, '?', 1), "
+    pid = (f"CASE WHEN contains(url, '/product-reviews/') THEN split_part({after}'/product-reviews/', 2), '/', 1) "
+           f"WHEN contains(url, 'amazon') AND contains(url, '/dp/') THEN upper({after}'/dp/', 2)) "
+           f"WHEN contains(url, 'bestbuy') AND contains(url, '/sku/') THEN split_part({after}'/sku/', 2), '/', 1) "
+           f"WHEN contains(url, '/site/reviews/') THEN split_part(url, '?', 1)[-7:] "
+           f"WHEN contains(url, '/ip/') OR contains(url, 'walmart.com/reviews/product/') THEN split_part(url, '?', 1)[-7:] END")
     return f""",
 per_site AS (SELECT model_id, site, arg_min(source_url, review_ord) AS url, arg_min(channel, review_ord) AS ch,
                     count(*) AS n FROM reviews GROUP BY model_id, site),
 names AS (SELECT model_id, coalesce({_first_non_empty('model_name')}, model_id) AS display_name FROM reviews GROUP BY model_id),
 all_targets AS (
   SELECT p.model_id, nm.display_name, p.site, ch IN ('AMZ', 'BBY', 'WMT') AS enabled, url,
-         CAST(least(1000, ceil(n / 10)) AS INTEGER) AS max_pages, {star} AS star_filter, {pid} AS product_id, {prof} AS profile
+         CAST(ceil(n / 10) AS INTEGER) AS max_pages, {star} AS star_filter, {pid} AS product_id, {prof} AS profile
   FROM per_site p JOIN names nm USING (model_id)
 ),
 targets AS (SELECT * FROM all_targets WHERE enabled AND {strip("coalesce(url, '')")} <> '')"""
@@ -707,22 +720,29 @@ def target_statements() -> dict:
       SELECT model_id, site, profile AS kind, CAST(page_no AS INTEGER) AS page_no,
              CASE WHEN profile = 'amazon' THEN {amazon}
                   WHEN profile = 'bestbuy' THEN CASE WHEN page_no <= 1 THEN url ELSE {paged} END
+                  WHEN profile = 'walmart' AND product_id IS NOT NULL THEN 'https://www.walmart.com/reviews/product/' || product_id || '?page=' || {n} || '&sort=submission-desc'
                   WHEN profile = 'walmart' THEN {paged} ELSE url END AS page_url
       FROM plan"""
-    all_stars = sql_set_params("url", {"pageNumber": "'1'", "filterByStar": "'all_stars'", "reviewerType": "'all_reviews'"}, {"ie": "UTF8"})
+    key = "coalesce(product_id, model_id)"
+    listed = f"CASE WHEN contains(url, '/product-reviews/') THEN url ELSE 'https://www.amazon.com/product-reviews/' || {key} || '?' || split_part(url, '?', 2) END"
+    all_stars = sql_set_params(f"({listed})", {"pageNumber": "'1'", "filterByStar": "'all_stars'", "reviewerType": "'all_reviews'"}, {"ie": "UTF8"})
+    rating = "substr(split_part(url, '?ratings=', 2), 1, 1)"
     S["url_candidates"] = base + f"""
-      SELECT model_id, site, array_to_string(list_distinct_ordered, ' ') AS candidates FROM (
-        SELECT model_id, site, list_filter(
-          [CASE WHEN product_id IS NOT NULL THEN 'https://www.amazon.com/dp/' || product_id END, {all_stars}, url],
-          lambda x: x IS NOT NULL) AS l FROM targets),
-      LATERAL (SELECT list(DISTINCT_x ORDER BY pos) AS list_distinct_ordered FROM (
-        SELECT x AS DISTINCT_x, min(pos) AS pos FROM (SELECT unnest(l) AS x, generate_subscripts(l, 1) AS pos) GROUP BY x))"""
+      SELECT model_id, site, CASE profile
+        WHEN 'amazon' THEN 'https://www.amazon.com/dp/' || {key} || ' ' || {all_stars} || ' ' || url
+        WHEN 'bestbuy' THEN CASE WHEN contains(url, '/AB1/sku/') THEN 'https://www.bestbuy.com/product/tv-55/AB1/sku/' || product_id || ' https://www.bestbuy.com/site/reviews/tv-55/' || product_id || '?ratings=' || {rating} || ' ' || url
+                                 WHEN contains(url, '/site/reviews/') THEN 'https://www.bestbuy.com/site/tv-65/' || product_id || '.p ' || url ELSE url END
+        WHEN 'walmart' THEN CASE WHEN product_id IS NULL THEN url ELSE 'https://www.walmart.com/ip/' || product_id || ' https://www.walmart.com/reviews/product/' || product_id || ' ' || url END
+        ELSE url END AS candidates FROM targets"""
     return S
 
 
 def stream_statements() -> dict:
     S = {}
     S["stream_merge"] = merge_statements()["merge_reviews"]
+    S["stream_dedupe"] = """SELECT event_id, user_id, event_type FROM (
+        SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events WHERE user_id IS NOT NULL)
+      WHERE before IS NULL OR ts - before >= INTERVAL 1 HOUR"""
     S["stream_weekly"] = "SELECT strftime(ts, '%G-W%V') AS week, event_type, count(*)::BIGINT AS n_events FROM events GROUP BY 1, 2"
     return S
 
@@ -766,37 +786,77 @@ def record_statements() -> dict:
 
 
 def extract_statements() -> dict:
-    from revlens.functions.markup import ENTITIES
-    from revlens.operators.extract import PROFILES, _TAG_END, _TEXT_AFTER, selector_regex
-
-    def unesc(x):
-        for ent, ch in ENTITIES:
-            x = f"replace({x}, {q(ent)}, {q(ch)})"
-        return x
-
-    def field(sels):
-        vals = []
-        for sel in sels:
-            tag = selector_regex(sel)
-            vals.append(f"NULLIF({collapse(f'regexp_extract(block, {q(tag + _TEXT_AFTER)}, 1)')}, '')")
-            content = tag[:-len(_TAG_END)] + "[^>]*\\bcontent=[\"']([^\"']*)[\"']"
-            vals.append(f"NULLIF(regexp_extract(block, {q(content)}, 1), '')")
-        return "NULLIF(" + collapse(unesc("coalesce(" + ", ".join(vals) + ")")) + ", '')"
-    prof = PROFILES["article"]
-    clean = ("regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script>', ' ', 'g'), "
-             "'(?is)<style\\b[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g')")
-    rx = selector_regex(prof["block"][0])
-    rating = f"NULLIF(coalesce(NULLIF(regexp_extract({field(prof['rating'])}, '\\d+(?:\\.\\d+)?', 0), ''), trim({field(prof['rating'])})), '')"
-    sql = f"""
-      WITH c AS (SELECT page_id, {clean} AS h FROM pages),
-      s AS (SELECT page_id, string_split_regex(h, {q(rx)}) AS parts FROM c WHERE regexp_matches(h, {q(rx)})),
-      b AS (SELECT page_id, CAST(i - 2 AS INTEGER) AS block_no, parts[i] AS block,
-                   regexp_extract_all(h, {q("(" + rx + ")")}, 1)[i - 1] AS tag
-            FROM s JOIN c USING (page_id), range(2, len(parts) + 1) r(i)),
-      f AS (SELECT page_id, block_no, NULLIF(regexp_extract(tag, '(?i)\\bid=["'']([^"'']*)["'']', 1), '') AS block_id, {rating} AS rating, {field(prof['title'])} AS title, {field(prof['body'])} AS review_text,
-                   {field(prof['date'])} AS review_date, {field(prof['author'])} AS author FROM b)
-      SELECT * FROM f WHERE review_text IS NOT NULL OR title IS NOT NULL"""
-    return {"extract_reviews": sql}
+    """Answers from the rows the shop pages were made from: every text of a page is the
+    source text with white space collapsed; nothing is matched in markup."""
+    S = {}
+    base = with_(reviews_cte())
+    clean = lambda c: f"NULLIF({collapse(c)}, '')"
+    number = lambda c: f"coalesce(NULLIF(regexp_extract({c}, '\\d+(?:\\.\\d+)?', 0), ''), {clean(c)})"
+    for i, shop in enumerate(["amazon", "bestbuy", "walmart", "target"]):
+        rating = number("rating || ' stars'") if shop == "walmart" else number("rating")
+        # a walmart date is an attribute; the others are element texts
+        author = clean("'by ' || author") if shop == "bestbuy" else clean("author")
+        S[f"extract_reviews_{shop}"] = base + f""" SELECT * FROM (
+          SELECT review_ord AS page_id, 0::INTEGER AS block_no, {"'R' || CAST(review_ord AS VARCHAR)" if shop == "amazon" else "NULL::VARCHAR"} AS block_id,
+                 {rating} AS rating, {clean('title')} AS title, {clean('review_text')} AS review_text, {clean('review_date')} AS review_date, {author} AS author,
+                 {clean('verified') if shop == 'amazon' else 'NULL::VARCHAR'} AS verified,
+                 {"CASE WHEN review_ord % 3 = 0 THEN '55寸' END" if shop == 'amazon' else 'NULL::VARCHAR'} AS size
+          FROM reviews WHERE (review_ord // 2) % 4 = {i}) WHERE review_text IS NOT NULL OR title IS NOT NULL"""
+    n = "(review_ord // 2)"
+    body = f"NULLIF(CASE WHEN {n} % 7 = 0 THEN CASE WHEN {clean('review_text')} IS NULL THEN 'more' ELSE {clean('review_text')} || ', more' END ELSE {clean('review_text')} END, '')"
+    record = f"""SELECT review_ord AS page_id, model_id, {number('rating')} AS rating, {clean('title')} AS title, {body} AS review_text,
+                        {clean('review_date')} AS review_date, {clean('author')} AS author FROM reviews"""
+    badge = "lower(coalesce(review_text, title)) = 'verified purchase' AND rating IS NULL AND author IS NULL AND review_date IS NULL"
+    S["embedded_json_reviews"] = base + f""" SELECT page_id, rating, title, review_text, review_date, author, NULL::VARCHAR AS verified FROM ({record})
+      WHERE (review_text IS NOT NULL OR title IS NOT NULL) AND NOT ({badge})"""
+    overall = f"""CASE WHEN overall_rating = '4.3' THEN '4.3' WHEN {n} % 4 = 0 THEN '3' END"""
+    S["overall_rating"] = base + f" SELECT review_ord AS page_id, {overall} AS overall_rating FROM reviews"
+    esc = "replace(replace(replace(replace(replace(review_text, '\\', '/'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), 'é', '&eacute;')"
+    S["feed_to_markup"] = base + f""" SELECT review_ord, CASE {n} % 3
+        WHEN 0 THEN '<div class="BVRRReview">' || replace(review_text, '\\', '/') || '</div>' || chr(10) || 'x'
+        WHEN 1 THEN '<div class="BVRRReview">' || replace(review_text, '\\', '/') || '</div>'
+        ELSE 'just <text> </p>' END AS markup FROM reviews WHERE review_text IS NOT NULL"""
+    S["saved_pages_job"] = base + f""",
+      found AS (
+        SELECT model_id, rating, title, review_text, review_date, author, {overall} AS overall_rating, page_id
+        FROM ({record}) r JOIN (SELECT review_ord, overall_rating FROM reviews) o ON o.review_ord = r.page_id
+        WHERE page_id % 4 < 2 AND (review_text IS NOT NULL OR title IS NOT NULL) AND NOT ({badge})
+        UNION ALL
+        SELECT model_id, {number('rating')}, {clean('title')}, {clean('review_text')}, {clean('review_date')}, {clean('author')}, NULL, review_ord
+        FROM reviews WHERE review_ord % 4 >= 2 AND {n} % 4 = 3 AND ({clean('review_text')} IS NOT NULL OR {clean('title')} IS NOT NULL)),
+      ranked AS (SELECT *, row_number() OVER (PARTITION BY model_id, coalesce(rating, ''), lower(coalesce(title, '')), lower(coalesce(review_text, '')),
+                                              coalesce(review_date, ''), lower(coalesce(author, '')) ORDER BY page_id) AS rn FROM found)
+      SELECT * EXCLUDE (rn) FROM ranked WHERE rn = 1""".replace("{n}", n)
+    S["source_precedence"] = base + """,
+      r AS (SELECT *, CASE WHEN review_ord % 7 = 0 THEN 1 WHEN starts_with(site, 'b') THEN 2 ELSE 3 END AS source_rank FROM reviews)
+      SELECT review_ord, source_rank FROM (SELECT *, min(source_rank) OVER (PARTITION BY model_id, site) AS best FROM r) WHERE source_rank = best"""
+    return S
+
+
+def source_statements() -> dict:
+    """Answers from the rows that were written."""
+    S = {}
+    base = with_(reviews_cte())
+    cols = ["model_id", "model_name", "size", "channel", "site", "source_url", "overall_rating", "rating", "title", "review_text", "review_date", "author", "verified", "scraped_at"]
+    S["read_reviews"] = base + " SELECT review_ord, " + ", ".join(
+        f"CASE WHEN review_ord % 4 < 2 THEN {c} ELSE NULL END AS {c}" if c in ("verified", "overall_rating") else c for c in cols) + " FROM reviews"
+    S["normalize_schema"] = base + " SELECT review_ord, " + ", ".join(f"'' AS {c}" if c in ("author", "size") else c for c in cols) + " FROM reviews"
+    S["latest_snapshot"] = base + " SELECT review_ord, model_id FROM reviews WHERE review_ord % 8 < 4"
+    S["taxonomy_long"] = """WITH w AS (SELECT doc_id // 20 AS r, doc_id % 20 AS c, regexp_extract(text, '^\\s*(\\S+)', 1) AS phrase FROM documents WHERE doc_id % 20 IN (0, 1, 3))
+      SELECT ['Alpha', 'Beta', '', 'Delta'][c + 1] AS category, (CASE c WHEN 3 THEN 2 ELSE c END)::INTEGER AS cat_ord, phrase,
+             (row_number() OVER (ORDER BY c, r) - 1)::INTEGER AS phrase_ord FROM w WHERE phrase <> ''"""
+    v, n = "CAST((review_ord // 2) % 60 + 40 AS VARCHAR)", "(review_ord // 2)"
+    S["size_and_rating_text"] = base + f""" SELECT review_ord,
+        CASE WHEN {n} % 4 <> 3 AND {v} IN ('40', '43', '50', '55', '58', '65', '70', '75', '85', '98') THEN {v} || '寸' END AS size_text,
+        CASE {n} % 5 WHEN 0 THEN CASE WHEN {n} % 7 < 5 THEN CAST({n} % 7 AS VARCHAR) || '.25' END WHEN 1 THEN '1'
+                     WHEN 2 THEN CASE WHEN {n} % 9 < 5 THEN CAST({n} % 9 AS VARCHAR) || '.5' END END AS overall_text FROM reviews"""
+    key = S_key()
+    S["lookup_cache_store"] = base + f""",
+      e AS (SELECT {key} AS cache_key, model_id AS "primary", CASE WHEN review_ord % 6 <> 0 THEN site END AS secondary, review_ord % 4 < 2 AS early FROM reviews),
+      one AS (SELECT cache_key, min(("primary", secondary)) AS v FROM e WHERE early AND "primary" IS NOT NULL AND secondary IS NOT NULL GROUP BY cache_key),
+      two AS (SELECT cache_key, min(("primary", coalesce(secondary, 'second'))) AS v FROM e WHERE "primary" IS NOT NULL AND cache_key NOT IN (SELECT cache_key FROM one) GROUP BY cache_key)
+      SELECT cache_key, v[1] AS "primary", v[2] AS secondary FROM (SELECT * FROM one UNION ALL SELECT * FROM two)"""
+    return S
 
 
 def sql_function_statements() -> dict:
@@ -829,7 +889,7 @@ def scorer_statements() -> dict:
                  CASE WHEN {hit} THEN 'refund' ELSE 'Please add comments' END AS secondary, 'scored' AS reason
           FROM items""",
         "translate_with_function": with_(analysis_ctes()) + """
-          SELECT review_ord, '[' || CAST(length(issue_summary) AS VARCHAR) || '] ' || substr(issue_summary, 1, 20) AS translated
+          SELECT review_ord, '[' || CAST(length(issue_summary) AS VARCHAR) || '] ' || issue_summary AS translated
           FROM low""",
     }
 

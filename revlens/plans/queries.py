@@ -34,8 +34,75 @@ def query(name):
 # ---------------------------------------------------------------- sources, projections
 @query("read_reviews")
 def q_read_reviews(spark: SparkSession, sf: str) -> DataFrame:
-    """S1 + P1: the review table in the canonical column order."""
-    return fixtures.reviews(spark, sf).select(ORD, *REVIEW_COLUMNS)
+    """S1 + P1: two stored parts (one without some columns, one more without the key columns,
+    which is skipped) read back in the canonical column order."""
+    from revlens.session import fresh_dir
+    from revlens.sources.reviews import read_reviews
+    rows = fixtures.reviews(spark, sf)
+    paths = [fresh_dir(spark, "parts") for _ in range(3)]
+    rows.filter(F.col(ORD) % 4 < 2).write.parquet(paths[0])
+    rows.filter(F.col(ORD) % 4 >= 2).drop("verified", "overall_rating").withColumn("other", F.lit(1)).write.parquet(paths[1])
+    rows.select("model_id", ORD).write.parquet(paths[2])
+    return read_reviews(spark, paths).select(ORD, *REVIEW_COLUMNS)
+
+
+@query("normalize_schema")
+def q_normalize_schema(spark, sf):
+    """Missing columns as '', extra ones dropped, fixed order."""
+    from revlens.schema import normalize_schema
+    return normalize_schema(fixtures.reviews(spark, sf).drop("author", "size").withColumn("other", F.lit(1)))
+
+
+@query("latest_snapshot")
+def q_latest_snapshot(spark, sf):
+    """The newest of three stored versions; a later fallback copy does not count."""
+    import os
+    import time
+    from revlens.session import fresh_dir
+    from revlens.sources.reviews import latest_snapshot
+    base, rows = fresh_dir(spark, "snapshots"), fixtures.reviews(spark, sf).select(ORD, "model_id")
+    for name, share in (("v1", 2), ("v2", 4), ("v2_deduped", 6)):
+        rows.filter(F.col(ORD) % 8 < share).write.parquet(os.path.join(base, name))
+        time.sleep(0.05)
+    return spark.read.parquet(latest_snapshot(spark, base))
+
+
+@query("taxonomy_long")
+def q_taxonomy_long(spark, sf):
+    """A wide sheet made from the documents (a column per source, their first words down
+    the rows) to the long taxonomy."""
+    from revlens.sources.taxonomy import taxonomy_long
+    d = fixtures.table(spark, sf, "documents")
+    word = F.concat(F.lit("  "), F.regexp_extract("text", r"^\s*(\S+)", 1), F.lit(" "))
+    wide = d.select((F.col("doc_id") / 20).cast("bigint").alias("row"), F.col("doc_id") % 20, word.alias("w")).toDF("row", "col", "w")
+    wide = wide.groupBy("row").pivot("col", [0, 1, 2, 3]).agg(F.max("w")).toDF("row", " Alpha ", "Beta", "Unnamed: 3", "Delta")
+    return taxonomy_long(wide, "row")
+
+
+@query("lookup_cache_store")
+def q_lookup_cache_store(spark, sf):
+    """Two rounds of saving label entries (malformed ones in the first) and the load."""
+    from revlens.session import fresh_dir
+    rows = fixtures.reviews(spark, sf).select(T.review_key().alias("cache_key"), F.col("model_id").alias("primary"),
+                                              F.when(F.col(ORD) % 6 != 0, F.col("site")).alias("secondary"), F.col(ORD))
+    path, entries = fresh_dir(spark, "cache"), rows.drop(ORD)
+    sinks.save_cache(entries.filter(rows[ORD] % 4 < 2), path)
+    sinks.save_cache(entries.withColumn("secondary", F.coalesce("secondary", F.lit("second"))), path)
+    return sinks.load_cache(spark, path)
+
+
+@query("size_and_rating_text")
+def q_size_and_rating_text(spark, sf):
+    """F11 + F13 on texts made from every review."""
+    r = fixtures.reviews(spark, sf).withColumn("n", F.floor(F.col(ORD) / 2))
+    n = F.col("n")
+    text = (F.when(n % 4 == 0, F.concat(F.lit("Style: A\u00a0| Size : "), (n % 60 + 40).cast("string"), F.lit(" inch")))
+            .when(n % 4 == 1, F.concat((n % 60 + 40).cast("string"), F.lit("-Class panel")))
+            .when(n % 4 == 2, F.concat(F.lit("size "), (n % 60 + 40).cast("string"), F.lit(" \u5bf8"))).otherwise(F.concat((n % 60 + 40).cast("string"), F.lit('" TV'))))
+    stars = (F.when(n % 5 == 0, F.concat((n % 7).cast("string"), F.lit(".25 out of 5 stars"))).when(n % 5 == 1, F.concat(F.lit("15 reviews, 4."), (n % 10).cast("string"), F.lit(" Out Of 5")))
+             .when(n % 5 == 2, F.concat(F.lit("rated "), (n % 9).cast("string"), F.lit(".50"))).when(n % 5 == 3, F.lit("no number")))
+    from revlens.functions.size import extract_size_text
+    return r.select(ORD, extract_size_text(text).alias("size_text"), R.overall_rating_text(stars).alias("overall_text"))
 
 
 @query("record_to_row")
@@ -227,7 +294,6 @@ FACET_MODELS = ["A7", "B7", "32H1", "D9 Pro"]
 FACET_CHANNELS = ["AMZ", "BBY", "WMT"]
 FACET_RATINGS = [1.0, 2.5, 3.0, 4.0, 5.0]
 FACET_START, FACET_END = _dt.date(2025, 1, 15), _dt.date(2025, 12, 31)
-PIVOT_CHANNELS = ["AMZ", "BBY", "CSC", "TARGET", "WMT"]
 TREND_MODELS = ["A7", "C8"]
 
 
@@ -260,7 +326,7 @@ def q_semi_join_models(spark, sf):
 @query("model_channel_pivot")
 def q_model_channel_pivot(spark, sf):
     """Model x channel counts with total."""
-    return facets.model_channel_pivot(_dash(spark, sf), PIVOT_CHANNELS)
+    return facets.model_channel_pivot(_dash(spark, sf))
 
 
 @query("weekly_trend")
@@ -391,7 +457,7 @@ def q_read_classified(spark, sf):
     """A filled template (labels from the labels table) read back with checks."""
     tpl = labeling_template(analysis(spark, sf).low)
     labels = fixtures.table(spark, sf, "labels").select(
-        F.col("doc_id").alias(ORD), F.col("quality").cast("string").alias("_q"), F.col("toxic").cast("string").alias("_t"))
+        (F.col("doc_id") * 2).alias(ORD), F.col("quality").cast("string").alias("_q"), F.col("toxic").cast("string").alias("_t"))
     filled = (tpl.join(labels, ORD, "left")
               .withColumn("primary_label", F.coalesce("_q", F.lit("")))
               .withColumn("secondary_label", F.coalesce("_t", F.lit(" ")))
@@ -441,11 +507,9 @@ def q_cache_hit_miss(spark, sf):
     quality = 1) and the misses still to score."""
     it = labeling.items(spark, sf)
     done = labeling.labelled(spark, sf).join(
-        fixtures.table(spark, sf, "labels").filter("quality = 1").select(F.col("doc_id").alias(ORD)), ORD, "left_semi")
+        fixtures.table(spark, sf, "labels").filter("quality = 1").select((F.col("doc_id") * 2).alias(ORD)), ORD, "left_semi")
     cache = done.select("cache_key", "primary", "secondary", "reason")
-    hits, misses = L.cache_hit_miss(it, cache)
-    return (hits.select(ORD, F.lit(1).alias("hit"), "primary")
-            .unionByName(misses.select(ORD, F.lit(0).alias("hit"), F.lit(None).cast("string").alias("primary"))))
+    return L.with_hits(it, cache).select(ORD, "hit", "primary")
 
 
 def _demo_scorer(pdf):
@@ -468,7 +532,7 @@ def q_classify_with_function(spark, sf):
 
 
 def _demo_translate(texts):
-    return [f"[{len(t)}] {t[:20]}" for t in texts]
+    return [f"[{len(t)}] {t}" for t in texts]
 
 
 @query("translate_with_function")
@@ -481,6 +545,7 @@ def q_translate_with_function(spark, sf):
 # ---------------------------------------------------------------- captured pages
 from revlens.functions import markup as MK  # noqa: E402
 from revlens.operators import pages as PG  # noqa: E402
+from revlens import shop_pages as SP  # noqa: E402
 
 CUTOFF_K = 1  # pages in a row without new records that end a crawl ("elsewhere" setting)
 
@@ -497,8 +562,12 @@ def q_page_blocks(spark, sf):
 
 @query("page_status")
 def q_page_status(spark, sf):
-    """P10: status label of every captured page."""
-    return PG.page_status(_pages(spark, sf))
+    """P10: status label of every shop page; some are sign-in, captcha or robot pages."""
+    rows = SP.shop_pages(spark, sf, "amazon").unionByName(SP.shop_pages(spark, sf, "walmart")).withColumnRenamed("profile", "kind")
+    n = F.col("page_id") % 22
+    mark = (F.when(n < 4, F.lit("<p>Amazon Sign-In</p>")).when(n < 8, F.lit("<img id='ap_captcha'> reviewText"))
+            .when(n < 12, F.lit("Robot check: blocked")).when(n < 16, F.lit("nothing here")))
+    return PG.page_status(rows.withColumn("html", F.coalesce(mark, F.col("html"))).withColumn("url", F.when(n == 12, F.lit("https://x/ap/signin")).otherwise(F.col("url"))))
 
 
 @query("url_query_param")
@@ -544,7 +613,7 @@ def q_scrape_targets(spark, sf):
     """S7 (+ F14, F25, J8): enabled targets with a URL, their star filter, product id and scraper."""
     t = TG.scrape_targets(_cfg(spark, sf))
     return t.select("model_id", "display_name", "site", "url", "max_pages",
-                    star_filter("site").alias("star_filter"), MK.product_id("url").alias("product_id"),
+                    star_filter("site").alias("star_filter"), MK.product_id("url", TG.site_profile("site")).alias("product_id"),
                     TG.site_profile("site").alias("profile"))
 
 
@@ -601,7 +670,7 @@ def q_stream_merge(spark, sf):
     job = ST.StreamMerge(spark, base)
     job.initialise(existing)
     src = os.path.join(base, "incoming")
-    doc = incoming.withColumn("_doc", F.col(ORD) % fixtures.COPY_OFFSET)  # a review and its re-scrape land together
+    doc = incoming.withColumn("_doc", F.floor(F.col(ORD) / 2))  # a review and its re-scrape land together
     landers = _land_in_chunks(doc, src, STREAM_CHUNKS, "_doc")
     schema = doc.schema
     for land in landers:
@@ -622,17 +691,17 @@ def q_stream_weekly(spark, sf):
 
 @query("stream_dedupe")
 def q_stream_dedupe(spark, sf):
-    """Events without repeats of (user, type) inside the watermark delay."""
+    """The first event of every burst of (user, type), events arriving in time-ordered files."""
     import os
     from revlens.session import fresh_dir
     ev = fixtures.table(spark, sf, "events")
-    base = fresh_dir(spark, "stream_dedupe")
-    stream = spark.readStream.schema(ev.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    out = ST.dedupe_stream(stream, ["user_id", "event_type"])
-    q = (out.writeStream.format("parquet").option("path", os.path.join(base, "out"))
-         .option("checkpointLocation", os.path.join(base, "checkpoint")).trigger(availableNow=True).start())
-    ST._run(q)
-    return spark.read.parquet(os.path.join(base, "out")).select("event_id", "user_id", "event_type")
+    job = ST.StreamDedupe(spark, fresh_dir(spark, "stream_dedupe"), ["user_id", "event_type"])
+    timed = ev.withColumn("_s", F.unix_micros(F.col("ts").cast("timestamp")))
+    for land in _land_in_chunks(timed, job.source, STREAM_CHUNKS, "_s"):
+        land()
+        job.run(timed.schema)
+    job.finish(timed)
+    return job.result()
 
 
 # ---------------------------------------------------------------- report grid, fallback taxonomy
@@ -708,21 +777,67 @@ def q_rating_filter_match(spark, sf):
 def q_ordered_distinct(spark, sf):
     """Per model the distinct sites in first-seen order."""
     r = fixtures.reviews(spark, sf)
-    sites = r.groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct(ORD, "site"))).alias("s"))
+    first = r.groupBy("model_id", "site").agg(F.min(ORD).alias(ORD))  # one row per distinct site
+    sites = first.groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct(ORD, "site"))).alias("s"))
     return sites.select("model_id", F.array_join(RC.ordered_distinct(F.transform("s", lambda x: x["site"])), ",").alias("sites"))
 
 
 # ---------------------------------------------------------------- extraction
 from revlens.operators import extract as EX  # noqa: E402
 
-PAGE_PROFILE = "article"  # the captured pages are laid out as articles
+from revlens.operators import embedded as EM  # noqa: E402
+
+
+def _extract_query(shop):
+    @query(f"extract_reviews_{shop}")
+    def q_extract(spark, sf):
+        """X1 (+ W7, P9, F19) on the shop's pages."""
+        return EX.extract_reviews(SP.shop_pages(spark, sf, shop))
+    return q_extract
+
+
+for _shop in SP.SHOPS:
+    _extract_query(_shop)
+
+
+@query("embedded_json_reviews")
+def q_embedded_json_reviews(spark, sf):
+    """X3 + F29: reviews found in the scripts of every page."""
+    return EM.embedded_json_reviews(SP.json_pages(spark, sf)).drop("script_no", "item_place")
+
+
+@query("overall_rating")
+def q_overall_rating(spark, sf):
+    """Product rating of every page."""
+    return EM.overall_rating(SP.json_pages(spark, sf))
+
+
+@query("feed_to_markup")
+def q_feed_to_markup(spark, sf):
+    """X5 (+ F15): feeds in their three forms, back to markup."""
+    r = fixtures.reviews(spark, sf).filter("review_text is not null").withColumn("n", F.floor(F.col(ORD) / 2))
+    markup = F.concat(F.lit('<div class="BVRRReview">'), SP.escaped(F.replace(F.col("review_text"), F.lit("\\"), F.lit("/"))), F.lit("</div>"))
+    quoted = F.regexp_extract(F.to_json(F.struct(markup.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    feed = (F.when(F.col("n") % 3 == 0, F.concat(F.lit('var materials = {"a":'), quoted, F.lit(',"b":"x"};')))
+            .when(F.col("n") % 3 == 1, F.concat(F.lit('f("skip", '), quoted, F.lit(', "skip too");'))).otherwise(F.lit('just &lt;text&gt; <\\/p>')))
+    return r.select(ORD, EX.feed_to_markup(feed).alias("markup"))
+
+
+@query("saved_pages_job")
+def q_saved_pages_job(spark, sf):
+    """Saved pages of every model (JSON pages and markup pages) to de-duplicated reviews."""
+    from revlens.plans.saved_pages import pages_to_reviews
+    js = SP.json_pages(spark, sf).filter(F.col("page_id") % 4 < 2)
+    pages = js.unionByName(SP.shop_pages(spark, sf, "target").filter(F.col("page_id") % 4 >= 2))
+    pages = pages.withColumn("file_name", F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".html")))
+    return pages_to_reviews(pages).select("model_id", "rating", "title", "review_text", "review_date", "author", "overall_rating", "page_id")
 
 
-@query("extract_reviews")
-def q_extract_reviews(spark, sf):
-    """X1 (+ W7, P9): records extracted from every captured page with the article profile."""
-    pages = _pages(spark, sf).withColumn("profile", F.lit(PAGE_PROFILE))
-    return EX.extract_reviews(pages, profiles=[PAGE_PROFILE])
+@query("source_precedence")
+def q_source_precedence(spark, sf):
+    """Per model and site the rows of the best-ranked source."""
+    r = fixtures.reviews(spark, sf).withColumn("source_rank", F.when(F.col(ORD) % 7 == 0, F.lit(1)).when(F.col("site").startswith("b"), F.lit(2)).otherwise(F.lit(3)))
+    return EX.source_precedence(r).select(ORD, "source_rank")
 
 
 # ---------------------------------------------------------------- SQL API

@@ -65,18 +65,6 @@ def fresh_dir(spark: SparkSession, purpose: str) -> str:
     return os.path.join(shared_dir(spark, purpose), uuid.uuid4().hex)
 
 
-def spread(df, source=None, min_partitions: int | None = None):
-    """Round-robin ``df`` only when its input is fewer files than the cluster runs tasks at
-    once (e.g. one large file with one row group gives one scan task).  Call it after
-    narrowing the rows and before CPU-heavy expressions.  With many input files (the
-    normal case at scale) it changes nothing and adds no shuffle."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    files = (source if source is not None else df).inputFiles()
-    if len(files) < target:
-        return df.repartition(target)
-    return df
-
-
 def materialize(df):
     """Reliable checkpoint into the shared folder (``spark.checkpoint.dir``) that cuts the
     lineage.  The rows are persisted while the checkpoint is written, so the plan runs

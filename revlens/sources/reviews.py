@@ -17,19 +17,21 @@ KEY_COLUMNS = {"model_id", "review_text"}
 def read_reviews(spark: SparkSession, paths, fmt: str = "parquet", required=KEY_COLUMNS) -> DataFrame:
     """Read every part, skip parts lacking the key columns, union by name, fix the schema.
 
-    ``review_ord`` = (part number, row number inside the part) packed into one long
-    when the parts do not carry one."""
+    When a part carries no ``review_ord``, the rows of the union are numbered by Spark
+    partition and position: the partitions of a union are those of its parts in order, so
+    the numbers are unique and follow (part, place in the part)."""
     parts = []
-    for i, p in enumerate(paths):
+    for p in paths:
         df = spark.read.format(fmt).option("header", True).load(p)
         if not has_columns(df, required):
             continue
-        if "review_ord" not in df.columns:
-            df = df.withColumn("review_ord", F.lit(i).cast("long") * (1 << 40) + F.monotonically_increasing_id())
         parts.append(df)
     if not parts:
         raise ValueError("no review part with the expected columns")
-    return normalize_schema(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if not all("review_ord" in p.columns for p in parts):
+        rows = rows.withColumn("review_ord", F.monotonically_increasing_id())
+    return normalize_schema(rows)
 
 
 def read_classified(df: DataFrame) -> DataFrame:

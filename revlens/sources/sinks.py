@@ -37,17 +37,22 @@ def read_version(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
 
 
 def save_cache(entries: DataFrame, path: str, key: str = "cache_key") -> None:
-    """S13 save: append only keys not stored yet (first entry per key)."""
+    """S13 save: append only complete entries whose key has no complete entry yet (first entry
+    per key), so a malformed entry never blocks its key."""
     spark = entries.sparkSession
-    try:
-        stored = spark.read.parquet(path).select(key)
-        new = entries.join(stored, key, "left_anti")
-    except Exception:  # noqa: BLE001 - no cache folder yet
-        new = entries
+    values = [c for c in entries.columns if c != key]
+    new = entries.dropna(subset=values[:2])
+    if _exists(spark, path):
+        new = new.join(load_cache(spark, path, values[:2], key).select(key), key, "left_anti")
     first = new.groupBy(key).agg(F.min(F.struct(*[F.col(c) for c in entries.columns if c != key])).alias("_v"))
     first.select(key, "_v.*").write.mode("append").parquet(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def load_cache(spark: SparkSession, path: str, value_cols=("primary", "secondary"), key: str = "cache_key") -> DataFrame:
     """S13 load: entries with at least two non-empty label values (malformed ones dropped)."""
     df = spark.read.parquet(path)

@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 from revlens.functions.dates import iso_week_label
 from revlens.operators.dedupe import KEY, keep_first, with_key
 from revlens.schema import DEDUPE_KEYS, ORD
 
+BATCH = "_batch_id"
+
 
 def _run(query) -> None:
     query.awaitTermination()
@@ -28,40 +30,25 @@ class StreamMerge:
 
     ``stored`` is a parquet folder holding duplicate-free rows plus the key digest;
     each micro-batch is de-duplicated in itself, anti-joined with the stored keys
-    and appended.  A per-batch stats table records added and total; a batch id that
-    is already recorded is skipped, so a replayed batch adds nothing."""
+    and written to a partition folder of its own.  Added and total follow from the stored
+    rows, so they cannot differ from them; a replayed batch adds nothing."""
 
     def __init__(self, spark: SparkSession, base: str, keys=DEDUPE_KEYS):
         self.spark, self.base, self.keys = spark, base, keys
         self.stored = os.path.join(base, "stored")
-        self.stats = os.path.join(base, "stats")
         self.checkpoint = os.path.join(base, "checkpoint")
 
     def initialise(self, existing: DataFrame) -> None:
         first = with_key(keep_first(existing, self.keys), self.keys)
-        first.write.mode("errorifexists").parquet(self.stored)
-        total = self.spark.read.parquet(self.stored).count()  # once, from the file footers
-        self.spark.createDataFrame([(-1, total)], "batch_id long, total long").write.parquet(self.stats)
-
-    def _done(self, batch_id: int) -> bool:
-        try:
-            return self.spark.read.parquet(self.stats).filter(F.col("batch_id") == batch_id).limit(1).count() > 0
-        except Exception:  # noqa: BLE001 - no stats folder yet
-            return False
+        first.withColumn(BATCH, F.lit(-1).cast("long")).write.mode("errorifexists").partitionBy(BATCH).parquet(self.stored)
 
     def _batch(self, batch: DataFrame, batch_id: int) -> None:
-        if self._done(batch_id):
-            return
+        """A batch writes its own partition folder and nothing else, and a replay replaces that
+        folder, so a crash at any point leaves rows and totals in step."""
         spark = batch.sparkSession
-        stored_keys = spark.read.parquet(self.stored).select(KEY)
-        new = with_key(keep_first(batch, self.keys), self.keys).join(stored_keys, KEY, "left_anti").persist()
-        n_new = new.count()
-        new.write.mode("append").parquet(self.stored)
-        new.unpersist()
-        # running total from the previous batch's stats: work per batch, not per table
-        prev = spark.read.parquet(self.stats).agg(F.max(F.struct("batch_id", "total")).alias("p")).first()["p"]
-        total = (prev["total"] if prev else 0) + n_new
-        spark.createDataFrame([(batch_id, total)], "batch_id long, total long").write.mode("append").parquet(self.stats)
+        stored = spark.read.parquet(self.stored).filter(F.col(BATCH) != batch_id).select(KEY)
+        new = with_key(keep_first(batch, self.keys), self.keys).join(stored, KEY, "left_anti")
+        new.write.mode("overwrite").parquet(os.path.join(self.stored, f"{BATCH}={batch_id}"))
 
     def run(self, source: str, schema: StructType, files_per_batch: int | None = None) -> None:
         """Process the files that landed since the last run (one batch unless capped)."""
@@ -74,13 +61,13 @@ class StreamMerge:
         _run(q)
 
     def result(self) -> DataFrame:
-        return self.spark.read.parquet(self.stored).drop(KEY)
+        return self.spark.read.parquet(self.stored).drop(KEY, BATCH)
 
     def batch_stats(self) -> DataFrame:
-        s = self.spark.read.parquet(self.stats)  # one row per batch (plus the initial size)
-        from pyspark.sql import Window
+        """(batch_id, added, total), counted from the stored rows; one row per batch."""
+        added = self.spark.read.parquet(self.stored).groupBy(F.col(BATCH).cast("long").alias("batch_id")).agg(F.count(F.lit(1)).alias("n"))
         w = Window.orderBy("batch_id")
-        return s.withColumn("added", F.col("total") - F.lag("total").over(w))
+        return added.select("batch_id", F.when(F.col("batch_id") >= 0, F.col("n")).alias("added"), F.sum("n").over(w).alias("total"))
 
 
 def weekly_counts_stream(events: DataFrame, key: str, ts: str = "ts", delay: str = "1 day") -> DataFrame:
@@ -125,7 +112,36 @@ class StreamWeekly:
         return latest.select("week", key, F.col("l.n_events").alias("n_events"))
 
 
-def dedupe_stream(events: DataFrame, keys, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """Drop rows whose keys were seen within the watermark delay (bounded state)."""
+def dedupe_stream(events: DataFrame, keys, ts: str = "ts", delay: str = "1 hour", order: str = "event_id") -> DataFrame:
+    """The first event of every burst: events of one key follow each other in gaps under
+    ``delay``, and a burst ends with the first gap of at least that.  State per key is one
+    open burst, dropped when the watermark passes its end; ties go to the smaller ``order``."""
     t = events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
-    return t.dropDuplicatesWithinWatermark(list(keys)).drop("_ts")
+    return (t.groupBy(*keys, F.session_window("_ts", delay).alias("w"))
+            .agg(F.min(F.struct("_ts", order)).alias("first"))
+            .select(F.col(f"first.{order}").alias(order), *keys))
+
+
+class StreamDedupe:
+    """T3 runner: every closed burst's first event is appended once.  ``run`` processes the
+    files that landed in time order; ``finish`` lands one row without keys that is later
+    than all events, which closes the open bursts."""
+
+    def __init__(self, spark: SparkSession, base: str, keys, delay: str = "1 hour", order: str = "event_id"):
+        self.spark, self.keys, self.delay, self.order = spark, list(keys), delay, order
+        self.source, self.out, self.checkpoint = (os.path.join(base, d) for d in ("in", "out", "checkpoint"))
+
+    def run(self, schema: StructType, ts: str = "ts") -> None:
+        stream = self.spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(self.source)
+        q = (dedupe_stream(stream, self.keys, ts, self.delay, self.order).writeStream.format("parquet").option("path", self.out)
+             .option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start())
+        _run(q)
+
+    def finish(self, events: DataFrame, ts: str = "ts") -> None:
+        last = events.agg((F.max(F.col(ts).cast("timestamp")) + F.expr(f"interval {self.delay}") * 3).alias("t"))
+        row = last.filter("t is not null").select(*[F.col("t").cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema])
+        row.write.parquet(os.path.join(self.source, "end"))
+        self.run(events.schema, ts)
+
+    def result(self) -> DataFrame:
+        return self.spark.read.parquet(self.out).filter(F.col(self.keys[0]).isNotNull()).select(self.order, *self.keys)

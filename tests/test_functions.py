@@ -88,3 +88,37 @@ def test_message_text(spark):
             '{"choices": []}', '{"choices": [{"message": {"content": ""}}]}', "not json"]
     df = spark.createDataFrame([(r,) for r in rows], "r string")
     assert [x[0] for x in df.select(message_text(F.col("r"))).collect()] == ["[1]", "a\nb", None, None, None]
+
+
+def test_natural_key_of_long_numbers(spark):
+    from revlens.functions.markup import natural_key
+    names = ["p" + "9" * 25, "p1" + "0" * 25, "p0002", "p10", "P2a", "p" + "9" * 24]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [r.n for r in df.orderBy(natural_key("n"), "n").collect()]
+    assert got == ["p0002", "P2a", "p10", "p" + "9" * 24, "p" + "9" * 25, "p1" + "0" * 25]
+
+
+def test_entities_decode_once(spark):
+    import html
+    from revlens.functions.markup import unescape_entities
+    texts = ["&amp;lt; &lt;b&gt;", "&eacute;&#233;&#xE9;&#x1F600;", "&unknown; & &amp", "no", "&NotEqualTilde;&nbsp;&euro;", None, "a&#38;#38;"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(unescape_entities("t")).collect()]
+    assert got[:2] == [html.unescape(t) for t in texts[:2]] and got[2] == texts[2] and got[3] == "no" and got[4] == html.unescape(texts[4]) and got[5] is None and got[6] == "a&#38;"
+
+
+def test_lenient_dates(spark):
+    from revlens.functions.dates import parse_review_date
+    texts = ["2025-02-01T10:11:12Z", "2025-02-01T10:11:12.5+02:00", "2025-02-01T10:11:12.123456789", "2025-02-01 10:11", "May 5 2026", "5 May 2026", "on 2025-02-01", "bad"]
+    df = spark.createDataFrame([(t,) for t in texts], "d string")
+    got = [str(r[0]) for r in df.select(parse_review_date("d")).collect()]
+    assert got == ["2025-02-01 10:11:12", "2025-02-01 10:11:12.500000", "2025-02-01 10:11:12.123456", "2025-02-01 10:11:00", "2026-05-05 00:00:00", "2026-05-05 00:00:00", "2025-02-01 00:00:00", "None"]
+
+
+def test_product_ids_by_shop(spark):
+    from revlens.functions.markup import product_id
+    rows = [("https://a/x/dp/b012345678?x=1", "amazon", "B012345678"), ("https://a/portal/customer-reviews/B012345678", "amazon", None),
+            ("https://b/product/s/A/sku/6501/reviews?p", "bestbuy", "6501"), ("https://b/site/reviews/slug/6502", "bestbuy", "6502"), ("https://b/site/x/6503.p?skuId=1", "bestbuy", None),
+            ("https://w/ip/name/77", "walmart", "77"), ("https://w/reviews/product/78", "walmart", "78"), ("https://w/ip/79", "walmart", "79"), ("https://w/ip/79", "generic:w", None)]
+    df = spark.createDataFrame(rows, "u string, k string, want string")
+    assert all(r.want == r.got for r in df.withColumn("got", product_id("u", "k")).collect())

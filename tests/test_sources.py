@@ -72,12 +72,62 @@ def test_stream_merge_replay_adds_nothing(spark):
     assert job.result().count() == n == keep_first(raw).count()
 
 
-def test_stream_merge_stats_running_total(spark):
+def test_stream_merge_totals_after_a_crash(spark):
+    """A batch that dies half-way (rows written, then the job fails) is replayed; totals hold."""
     raw = fixtures.reviews(spark, SMALL)
     job = StreamMerge(spark, tempfile.mkdtemp())
     job.initialise(raw.filter(F.col("review_ord") % 3 == 0))
-    job._batch(raw.filter(F.col("review_ord") % 3 == 1), 0)
+    part = raw.filter(F.col("review_ord") % 3 == 1)
+    job._batch(part.limit(5), 0)                               # the crashed attempt left some of its rows
+    job._batch(part, 0)
     job._batch(raw.filter(F.col("review_ord") % 3 == 2), 1)
     stats = {r.batch_id: (r.total, r.added) for r in job.batch_stats().collect()}
     assert stats[1][0] == job.result().count() == keep_first(raw).count()
     assert stats[0][1] + stats[1][1] + stats[-1][0] == stats[1][0]
+
+
+def test_ordinals_are_unique_over_many_partitions(spark):
+    d = tempfile.mkdtemp()
+    for part in ("a", "b"):
+        spark.range(400).selectExpr("cast(id as string) model_id", "'x' review_text").repartition(150).write.parquet(f"{d}/{part}")
+    old = spark.conf.get("spark.sql.files.openCostInBytes"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1200")
+    try:
+        df = read_reviews(spark, [f"{d}/a", f"{d}/b"])
+        assert df.rdd.getNumPartitions() > 256
+        assert df.select("review_ord").distinct().count() == 800
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old[0])
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[1])
+
+
+def test_cache_entry_without_label_does_not_block_its_key(spark):
+    path, schema = tempfile.mkdtemp() + "/cache", "cache_key string, primary string, secondary string"
+    spark.createDataFrame([("k", None, "b")], schema).write.parquet(path)  # as left by an older writer
+    sinks.save_cache(spark.createDataFrame([("k", "A", "a")], schema), path)
+    assert [tuple(r) for r in sinks.load_cache(spark, path).collect()] == [("k", "A", "a")]
+
+
+def test_shared_folder_is_required_off_local_masters():
+    from types import SimpleNamespace
+
+    import pytest
+    from revlens.session import shared_dir
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None)), "x")
+
+
+def test_stream_dedupe_bursts(spark, tmp_path):
+    import datetime as dt
+    from revlens.streaming.jobs import StreamDedupe
+    t0 = dt.datetime(2025, 1, 1)
+    rows = [(i, u, t0 + dt.timedelta(minutes=m)) for i, (u, m) in enumerate([("a", 0), ("a", 30), ("a", 85), ("a", 145), ("b", 10), ("b", 400), ("b", 459), ("a", 1000), ("a", 1000)])]
+    df = spark.createDataFrame(rows, "event_id long, user_id string, ts timestamp")
+    job = StreamDedupe(spark, str(tmp_path), ["user_id"])
+    for part, cond in enumerate(("ts < '2025-01-01 01:00:00'", "ts >= '2025-01-01 01:00:00' and ts < '2025-01-01 08:00:00'", "ts >= '2025-01-01 08:00:00'")):
+        df.filter(cond).write.parquet(f"{job.source}/{part}")
+        job.run(df.schema)
+    job.finish(df)
+    assert sorted(r.event_id for r in job.result().collect()) == [0, 3, 4, 5, 7]
