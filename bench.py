@@ -20,7 +20,10 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = ["issue_counts", "dedupe_reviews", "classify_keyword", "weekly_trend", "merge_reviews",
-            "channel_metrics", "labeling_template", "model_channel_pivot"]
+            "channel_metrics", "labeling_template", "model_channel_pivot",
+            # one per further family: labels, dashboard, pages, extraction, addresses, streaming, grids
+            "validate_labels", "facet_values", "crawl_cutoff", "extract_reviews_amazon", "url_candidates",
+            "stream_merge", "report_tables"]
 
 
 def main() -> None:

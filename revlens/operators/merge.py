@@ -39,9 +39,3 @@ def merge_stats(existing: DataFrame, incoming: DataFrame, keys=DEDUPE_KEYS) -> D
     return row.select(F.coalesce("e", F.lit(0)).cast("bigint").alias("existing_count"),
                       (F.coalesce("t", F.lit(0)) - F.coalesce("e", F.lit(0))).cast("bigint").alias("added_count"),
                       F.coalesce("t", F.lit(0)).cast("bigint").alias("total_count"))
-
-
-def append_new(existing: DataFrame, incoming: DataFrame, keys=DEDUPE_KEYS) -> DataFrame:
-    """Merge for a stored table that is already duplicate-free: only the new rows are
-    written (append), instead of rewriting the whole table."""
-    return new_reviews(incoming, existing, keys)

@@ -473,8 +473,10 @@ from revlens.plans import labeling  # noqa: E402
 
 @query("batch_ids")
 def q_batch_ids(spark, sf):
-    """Low reviews in batches of three."""
-    return labeling.items(spark, sf).select(ORD, "item_id", "batch_id")
+    """Low reviews in batches of three, numbered on the ordinals alone."""
+    from revlens.operators.sequence import batch_ids
+    b = batch_ids(analysis(spark, sf).low.select(ORD), [F.col(ORD).asc()], labeling.BATCH)
+    return b.select(ORD, (F.col("batch_id") * labeling.BATCH + F.col("batch_pos")).alias("item_id"), "batch_id")
 
 
 @query("classify_requests")
