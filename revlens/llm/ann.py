@@ -10,9 +10,13 @@ the centroids, always opening the best bin.  The number of leaves it visits is w
 calibration queries from the sample, whose true neighbours are known there, until RECALL
 is reached; if need be that is every leaf, which is exact.
 
-*Spread.*  A leaf is dealt into blocks of BLOCK vectors and its queries into blocks of
-BLOCK queries, so a task never holds more than one block of each, however many vectors
-crowd into one leaf.  Tasks return their best k per query, and Spark ranks them.
+*Spread.*  Leaves that stand next to each other in the tree are packed into bins of about
+BLOCK vectors, and a query meets a whole bin if it visits one of its leaves.  A larger leaf
+is dealt into blocks of BLOCK vectors, and the queries of a bin into blocks of BLOCK
+queries, so a task never holds more than two blocks of vectors and one of queries, however
+many vectors crowd into one leaf.  A query's k-th best score within the sample is a lower
+bound of its k-th best of all; tasks return only what reaches it, at most k per query, and
+Spark ranks them.
 
 Nearness is the inner product in double precision, added up component by component, so
 equal vectors have equal scores; ties go to the smaller vec_id.
@@ -82,6 +86,7 @@ class Tree:
                     continue
             self.leaves.append(node)
         self.visits = len(self.leaves)
+        self.sample = self.ids = None
 
     def leaf_of(self, x):
         out = np.zeros(len(x), np.int64)
@@ -110,6 +115,31 @@ class Tree:
                     found.append(node)
             yield found
 
+    def bins(self, sizes: dict) -> dict:
+        """leaf -> bin: leaves in tree order, filled up to BLOCK vectors."""
+        order, todo = [], [0]
+        while todo:
+            node = todo.pop()
+            if node in self.children:
+                todo += self.children[node][0].tolist()[::-1]
+            elif node in sizes:
+                order.append(node)
+        out, number, held = {}, 0, 0
+        for leaf in order:
+            if held and held + sizes[leaf] > BLOCK:
+                number, held = number + 1, 0
+            out[leaf], held = number, held + sizes[leaf]
+        return out
+
+    def bounds(self, ids, x, k: int):
+        """A score that the k-th best of each query reaches at least, from the sample."""
+        score = x @ self.sample.T
+        score[ids[:, None] == self.ids[None, :]] = -np.inf
+        top = min(k, score.shape[1])
+        edge = np.partition(score, score.shape[1] - top, axis=1)[:, score.shape[1] - top]
+        slack = 1e-9 * (np.abs(x).sum(1) * np.abs(self.sample).max() + 1)
+        return np.where(np.isfinite(edge) & (top == k), edge - slack, -np.inf)
+
     def calibrate(self, sample, k: int, recall: float):
         """Smallest number of visits that finds ``recall`` of the true neighbours."""
         leaf = self.leaf_of(sample)
@@ -137,11 +167,14 @@ def fit(vectors: DataFrame, rows: int, dimension: int, k: int = K, recall: float
     if not len(sample):
         return None
     least = max(16, int(LEAF * len(sample) / max(1, rows)))
-    return Tree(sample, least).calibrate(sample, k, recall)
+    tree = Tree(sample, least).calibrate(sample, k, recall)
+    tree.sample, tree.ids = sample, picked.column("vec_id").to_numpy()
+    return tree
 
 
-def _assign(tree: Tree):
+def _assign(shared):
     def run(batches):
+        tree = shared.value
         for batch in batches:
             if batch.num_rows:
                 leaf = tree.leaf_of(_matrix(batch.column("embedding")))
@@ -149,13 +182,17 @@ def _assign(tree: Tree):
     return run
 
 
-def _visits(tree: Tree):
+def _visits(shared, bins: dict, k: int):
     def run(batches):
+        tree = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(at, _SLICE)
-                found = list(tree.visit(_matrix(part.column("embedding")), tree.visits))
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array(found, pa.list_(pa.int64()))], ["vec_id", "leaves"])
+                x = _matrix(part.column("embedding"))
+                found = [sorted({bins[leaf] for leaf in leaves if leaf in bins}) for leaves in tree.visit(x, tree.visits)]
+                bounds = tree.bounds(part.column("vec_id").to_numpy(), x, k)
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("embedding"), pa.array(bounds), pa.array(found, pa.list_(pa.int64()))],
+                                                 ["query_id", "query", "bound", "bins"])
     return run
 
 
@@ -165,6 +202,7 @@ def _nearest(k: int):
         out = []
         if len(qid) and len(vid):
             q, v = _matrix(queries.column("query")), _matrix(vectors.column("embedding"))
+            bound = queries.column("bound").to_numpy()
             for at in range(0, len(qid), _SLICE):
                 part, ids = q[at:at + _SLICE], qid[at:at + _SLICE]
                 near = part @ v.T
@@ -172,7 +210,8 @@ def _nearest(k: int):
                 top = min(k, len(vid))
                 edge = np.partition(near, len(vid) - top, axis=1)[:, len(vid) - top]
                 slack = 1e-9 * (np.abs(part).sum(1) * np.abs(v).max() + 1)
-                rows, cols = np.nonzero((near >= (edge - slack)[:, None]) & (near > -np.inf))
+                least = np.maximum(edge - slack, bound[at:at + _SLICE])
+                rows, cols = np.nonzero((near >= least[:, None]) & (near > -np.inf))
                 score = np.zeros(len(rows))
                 for d in range(q.shape[1]):
                     score += part[rows, d] * v[cols, d]
@@ -198,20 +237,23 @@ def search(embeddings: DataFrame, is_query=None, k: int = K, recall: float = REC
         return empty
     rows = rows.where(F.size("embedding") == common["d"])
     tree = fit(rows, common["n"], common["d"], k, recall)
-    placed = stored(rows.mapInArrow(_assign(tree), "vec_id long, embedding array<double>, leaf long"), "leaves")
-    asked = (placed.where(is_query).select("vec_id", "embedding").mapInArrow(_visits(tree), "vec_id long, leaves array<long>")
-             .select(F.col("vec_id").alias("query_id"), F.explode("leaves").alias("leaf")))
-    asked = stored(asked, "visits")
-    # blocks of each leaf, for its vectors and for the queries that visit it: one row per leaf
-    size = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    load = asked.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("asks"))
-    deal = F.broadcast(size.join(load, "leaf"))  # at most SAMPLE_ROWS / 16 leaves
-    ids = placed.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    left = (asked.join(deal, "leaf").withColumn("ask", F.pmod(F.xxhash64("query_id"), F.col("asks")).cast("int"))
-            .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("query_id", "leaf", "block", "ask").join(ids, "query_id"))
-    right = (placed.join(deal, "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-             .withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1))).select("vec_id", "embedding", "leaf", "block", "ask"))
-    by = ["leaf", "block", "ask"]
+    shared = spark.sparkContext.broadcast(tree)  # the sample and its centroids: SAMPLE_BYTES bound it
+    placed = stored(rows.mapInArrow(_assign(shared), "vec_id long, embedding array<double>, leaf long"), "leaves")
+    # one number per leaf, and there are at most SAMPLE_ROWS / 16 leaves
+    bins = tree.bins({r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()})
+    bin_of = F.broadcast(spark.createDataFrame(sorted(bins.items()), "leaf long, bin long"))
+    asked = (placed.where(is_query).select("vec_id", "embedding")
+             .mapInArrow(_visits(shared, bins, k), "query_id long, query array<double>, bound double, bins array<long>"))
+    asked = stored(asked.select("query_id", "query", "bound", F.explode("bins").alias("bin")), "visits")
+    binned = placed.join(bin_of, "leaf")
+    size = binned.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    load = asked.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("asks"))
+    deal = F.broadcast(size.join(load, "bin"))  # one row per bin
+    left = (asked.join(deal, "bin").withColumn("ask", F.pmod(F.xxhash64("query_id"), F.col("asks")).cast("int"))
+            .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("query_id", "query", "bound", "bin", "block", "ask"))
+    right = (binned.join(deal, "bin").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+             .withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1))).select("vec_id", "embedding", "bin", "block", "ask"))
+    by = ["bin", "block", "ask"]
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_nearest(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
