@@ -23,8 +23,10 @@ browsers do: open paragraphs end at the next block, an unfinished tag is dropped
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -51,8 +53,10 @@ OUTSIDE_TAGS = frozenset("nav footer aside form button select option dialog menu
 OUTSIDE_WORDS = frozenset(("ad ads adv advert advertisement advertising adverts banner sponsor sponsored promo promotion breadcrumb breadcrumbs comment comments commentlist "
                            "disqus replies reply respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
                            "login footer foot nav navbar navigation menu menus sidebar side aside widget widgets related recommended recommendations share sharing "
-                           "social pagination pager skip toolbar masthead topbar copyright").split())
+                           "social pagination pager skip toolbar masthead topbar copyright disclaimer announcement announcements paywall").split())
+HAVING_WORDS = frozenset("with has no without not hide show is".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
+LONG_PATH = 300  # above this many characters the front of a path is replaced by its digest
 _WORD = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"[0-9]+")
 
@@ -64,8 +68,11 @@ class Element:
         self.tag, self.up = tag, up
         found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)} if attrs else {}
         names = " ".join((found.get("class", ""), found.get("id", ""))).split()
-        self.path = (f"{up.path}>" if up else "") + ".".join([tag, *sorted({_DIGITS.sub("#", x.lower()) for x in names})])
-        words = {w for x in names for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower())}
+        above = "" if up is None else f"{up.path}>" if len(up.path) <= LONG_PATH else f"#{hashlib.md5(up.path.encode()).hexdigest()}>"
+        self.path = above + ".".join([tag, *sorted({_DIGITS.sub("#", x.lower()) for x in names})])
+        # a name such as "with-sidebar" says what an element has, not what it is
+        parts = [set(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower())) for x in names]
+        words = set().union(*(p for p in parts if p.isdisjoint(HAVING_WORDS)))
         here = tag in OUTSIDE_TAGS or not words.isdisjoint(OUTSIDE_WORDS) or found.get("role", "").lower() in OUTSIDE_ROLES or found.get("aria-hidden", "").lower() == "true"
         if tag in ("html", "body", "main", "article") and not (tag == "article" and not words.isdisjoint(("comment", "comments", "reply", "related", "ad"))):
             here = False
@@ -80,6 +87,7 @@ def blocks(page: str):
     """[(element, text, characters in links)] of a page, in order."""
     root = Element("html", "", None)
     stack, out, parts, linked, at = [root], [], [], 0, 0
+    inside = Counter()  # open elements by tag, so that searches of a deep stack find something
 
     def flush():
         nonlocal linked
@@ -103,6 +111,10 @@ def blocks(page: str):
 
     def close(index):
         flush()
+        drop(index)
+
+    def drop(index):
+        inside.subtract(e.tag for e in stack[index:])
         del stack[index:]
 
     while True:
@@ -119,23 +131,23 @@ def blocks(page: str):
             if tag == "br":
                 flush()
                 continue
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if inside[tag] else ():
                 if stack[i].tag == tag:
                     if tag in BLOCK or any(e.tag in BLOCK for e in stack[i:]):
                         # an inline end tag does not close the blocks opened inside it
                         if tag in BLOCK:
                             close(i)
                     else:
-                        del stack[i:]
+                        drop(i)
                     break
                 if tag not in BLOCK and stack[i].tag in BLOCK:
                     break
             continue
-        if tag == "html" or (tag == "body" and any(e.tag == "body" for e in stack)):
+        if tag == "html" or (tag == "body" and inside["body"]):
             continue
         if tag in BLOCK:
             flush()
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if inside["p"] else ():
                 if stack[i].tag == "p":
                     close(i)
                     break
@@ -143,7 +155,7 @@ def blocks(page: str):
                     break
         elif tag == "br":
             flush()
-        if tag in ENDS:
+        if tag in ENDS and any(inside[t] for t in ENDS[tag]):
             cut = None
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in ENDS[tag]:
@@ -162,6 +174,7 @@ def blocks(page: str):
         if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
             continue
         stack.append(Element(tag, attrs, stack[-1]))
+        inside[tag] += 1
     flush()
     return out
 
@@ -192,18 +205,23 @@ def vote(found) -> tuple[str, float]:
 def extract(found, paths) -> str:
     """Text of the blocks below the first of ``paths`` that occurs (own vote if none does)."""
     def below(path):
+        known: dict = {}  # element -> None if it is not below the path, else whether a header stands between
+
+        def place(e):
+            way = []
+            while e is not None and id(e) not in known and e.path != path:
+                way.append(e)
+                e = e.up
+            state = None if e is None else known.get(id(e), False)
+            for x in reversed(way):
+                state = state if state is None else state or x.tag == "header"
+                known[id(x)] = state
+            return state
         out = []
         for holder, text, _ in found:
-            if holder.outside:
-                continue
-            if holder.path == path or holder.path.startswith(path + ">"):
-                base = holder
-                inner_head = False
-                while base is not None and base.path != path:
-                    inner_head = inner_head or base.tag == "header"
-                    base = base.up
-                if not holder.head or inner_head:
-                    out.append(text)
+            state = None if holder.outside else place(holder)
+            if state is not None and (state or not holder.head):
+                out.append(text)
         return out
     for path in paths or ():
         texts = below(path)

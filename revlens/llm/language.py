@@ -36,6 +36,10 @@ FOLDS, HELD_OUT = 3, 1
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str | None) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text or ""))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % FOLDS == HELD_OUT
 
@@ -126,7 +130,7 @@ def _predictor(model: Model | None, shared):
         for part in textbatch.chunks(batches, "text"):
             texts = part.column("text").to_pylist()
             names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if found is not None else []
+            known = [i for i, t in enumerate(texts) if has_letter(t)] if found is not None else []
             if known:
                 best, posterior = found.scores([texts[i] for i in known])
                 scores[known] = posterior
