@@ -18,7 +18,7 @@ from revlens.schema import ORD
 SITE_SCHEMA = "struct<enabled:boolean,url:string,max_pages:int>"
 # Status marks and the placeholder for a missing URL.
 ENABLED_MARK, DISABLED_MARK, NO_URL_TEXT = "✓", "○", "（未填写 URL）"
-# Scraper registry keys and site prefixes per scraper kind.
+# Site names and site prefixes per shop kind.
 REGISTRY = {"bestbuy": "bestbuy", "bby": "bestbuy", "amazon": "amazon", "walmart": "walmart", "wmt": "walmart"}
 PREFIXES = [("amazon", ["amazon_", "amz_"]), ("bestbuy", ["bby_", "bestbuy_"]), ("walmart", ["wmt_", "walmart_"])]
 
@@ -78,7 +78,7 @@ def target_status(cfg: DataFrame) -> DataFrame:
 
 
 def site_profile(site="site") -> Column:
-    """Scraper kind of a site key: registry name, then prefix, else generic."""
+    """Shop kind of a site key: exact name, then prefix, else generic."""
     key = py_strip(F.lower(col_of(site)))
     reg = F.create_map(*[x for k, v in REGISTRY.items() for x in (F.lit(k), F.lit(v))])
     expr = F.try_element_at(reg, key)

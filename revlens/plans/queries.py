@@ -612,7 +612,7 @@ def _cfg(spark, sf):
 
 @query("scrape_targets")
 def q_scrape_targets(spark, sf):
-    """S7 (+ F14, F25, J8): enabled targets with a URL, their star filter, product id and scraper."""
+    """S7 (+ F14, F25, J8): enabled targets with a URL, their star filter, product id and shop profile."""
     t = TG.scrape_targets(_cfg(spark, sf))
     return t.select("model_id", "display_name", "site", "url", "max_pages",
                     star_filter("site").alias("star_filter"), MK.product_id("url", TG.site_profile("site")).alias("product_id"),

@@ -19,7 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 NODES = ["Exchange hashpartitioning", "Exchange rangepartitioning", "Exchange RoundRobinPartitioning",
          "Exchange SinglePartition", "BroadcastExchange", "BroadcastHashJoin", "SortMergeJoin",
          "BroadcastNestedLoopJoin", "CartesianProduct", "HashAggregate", "SortAggregate", "ObjectHashAggregate",
-         "Window", "Sort ", "Generate", "MapInPandas", "FlatMapGroupsInPandas", "ArrowEvalPython", "BatchEvalPython"]
+         "Window", "Sort ", "Generate", "MapInArrow", "MapInPandas", "FlatMapGroupsInPandas", "ArrowEvalPython", "BatchEvalPython"]
 
 
 def summarize(df) -> tuple[Counter, list]:
@@ -49,7 +49,7 @@ def main(argv):
         joins = ", ".join(f"{k}×{v}" for k, v in c.items() if "Join" in k or k in ("CartesianProduct", "BroadcastExchange")) or "–"
         aggs = ", ".join(f"{k}×{v}" for k, v in c.items() if "Aggregate" in k) or "–"
         win = ", ".join(f"{k}×{v}" for k, v in c.items() if k in ("Window", "Sort", "Generate")) or "–"
-        py = ", ".join(f"{k}×{v}" for k, v in c.items() if "Pandas" in k or "EvalPython" in k) or "–"
+        py = ", ".join(f"{k}×{v}" for k, v in c.items() if "Pandas" in k or "Arrow" in k or "EvalPython" in k) or "–"
         sc = "; ".join(f"{t}: {cols}" for t, cols in scans) or "(checkpoint / stream output)"
         out.append(f"| {name} | {shuffles} | {joins} | {aggs} | {win} | {py} | {sc} |")
         print(out[-1][:200], flush=True)
