@@ -1,9 +1,9 @@
 """Main text of web pages: containers are scored per page, hosts vote, winners extract.
 
-*Score.*  Each page is cut into text blocks with their open elements.  A block gives its
-number of characters outside links to the element that holds it and half of that to the
-next one up; blocks inside boilerplate (by tag, class or id) give nothing.  The container
-with the best score is the page's vote.
+*Score.*  Each page is cut into text blocks with their open elements.  A container scores
+the characters outside links of the blocks below it; blocks inside boilerplate (by tag,
+class or id) give nothing.  The deepest container with most of the page's score, and the
+headings above it, is the page's vote.
 
 *Vote.*  The vote is for a generalised path: the tags from the root with their classes and
 ids, digits generalised.  Spark sums the votes per host and ranks the paths; a path needs
@@ -32,6 +32,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 MIN_SHARE = 0.05
+COVER = 0.8         # part of the page's score that its container holds at least
+HEAD_SLACK = 0.02
+CONTAINERS = frozenset("html body main article section div center td".split())
+HEADINGS = frozenset("h1 h2 h3".split())
 BROADCAST_BYTES = 32 << 20
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
@@ -62,10 +66,10 @@ _DIGITS = re.compile(r"[0-9]+")
 
 
 class Element:
-    __slots__ = ("tag", "up", "path", "outside", "link", "head")
+    __slots__ = ("tag", "up", "depth", "path", "outside", "link", "head")
 
     def __init__(self, tag: str, attrs: str, up: "Element | None"):
-        self.tag, self.up = tag, up
+        self.tag, self.up, self.depth = tag, up, up.depth + 1 if up else 0
         found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)} if attrs else {}
         names = " ".join((found.get("class", ""), found.get("id", ""))).split()
         above = "" if up is None else f"{up.path}>" if len(up.path) <= LONG_PATH else f"#{hashlib.md5(up.path.encode()).hexdigest()}>"
@@ -184,22 +188,51 @@ def _usable(element: Element) -> bool:
 
 
 def vote(found) -> tuple[str, float]:
-    """(path, score) of the best container; ("", 0) if no block counts."""
-    scores: dict = {}
+    """(path, score) of the best container; ("", 0) if no block counts.
+
+    The score of a path is the text outside links below it, without boilerplate.  The deepest
+    path with COVER of the page's score wins, or the article (else main) element around it;
+    ancestors follow as long as they add nothing but headings, so that a title above the body
+    is not lost."""
+    own: dict = {}
     for holder, text, linked in found:
         weight = len(text) - linked
-        if weight <= 0 or not _usable(holder):
-            continue
-        node, part = holder, 1.0
-        if node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "dd", "dt"):
-            node = node.up or node
-        while node is not None and part > 0.2:
-            scores[node.path] = scores.get(node.path, 0.0) + weight * part
-            node, part = node.up, part / 2
-    if not scores:
+        if weight > 0 and _usable(holder):
+            cell = own.setdefault(id(holder), [holder, 0, 0])
+            cell[1] += weight
+            cell[2] += weight if holder.tag in HEADINGS else 0
+    for holder in [cell[0] for cell in own.values()]:
+        up = holder.up
+        while up is not None and id(up) not in own:
+            own[id(up)] = [up, 0, 0]
+            up = up.up
+    paths: dict = {}  # path -> [score, of which headings, depth, path above]
+    for element, weight, heads in sorted(own.values(), key=lambda c: -c[0].depth):
+        cell = paths.setdefault(element.path, [0, 0, element.depth, element.up.path if element.up else None])
+        weight, heads = own[id(element)][1:]
+        cell[0] += weight
+        cell[1] += heads
+        if element.up is not None:
+            own[id(element.up)][1] += weight
+            own[id(element.up)][2] += heads
+    if not paths:
         return "", 0.0
-    path = min(scores, key=lambda p: (-scores[p], p))
-    return path, scores[path]
+    total = max(cell[0] for cell in paths.values())
+    tag = lambda p: p.rpartition(">")[2].partition(".")[0]
+    best = min((p for p, cell in paths.items() if cell[0] >= COVER * total and tag(p) in CONTAINERS), key=lambda p: (-paths[p][2], p), default="html")
+    lineage = [best]
+    while paths[lineage[-1]][3] is not None:
+        lineage.append(paths[lineage[-1]][3])
+    best = next((p for name in ("article", "main") for p in lineage if tag(p) == name), best)
+    above = paths[best][3]
+    while above is not None:
+        more, heads = paths[above][0] - paths[best][0], paths[above][1] - paths[best][1]
+        if more > heads + HEAD_SLACK * total:
+            break
+        if more:
+            best = above
+        above = paths[above][3]
+    return best, float(paths[best][0])
 
 
 def extract(found, paths) -> str:

@@ -58,6 +58,18 @@ AWKWARD_PAGES = [
 ]
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<article><h1>Title</h1><div class='content'><p>One is long enough to count.</p><p>Two.</p></div></article><div class='menu'>x</div>", "Title\nOne is long enough to count.\nTwo."),
+    ("<header><h1>Site</h1></header><main><section><p>First part of it all.</p></section><section><p>Second part of it.</p></section></main>", "First part of it all.\nSecond part of it."),
+    ("<div id=left><p>" + "Story text goes on. " * 20 + "</p><ul><li>Point</ul></div><div id=right><p>Short note aside</p><a href=x>" + "link " * 50 + "</a></div>", ("Story text goes on. " * 20).strip() + "\nPoint"),
+    ("<article><p>An introduction before the parts.</p><section><p>" + "Part. " * 60 + "</p></section></article>", "An introduction before the parts.\n" + ("Part. " * 60).strip()),
+    ("<article><header><h1>Head</h1></header><p>Body of the piece.</p><aside>no</aside><figure>pic<figcaption>Caption</figcaption></figure></article>", "Head\nBody of the piece.\npic\nCaption"),
+])
+def test_own_vote(page, want):
+    found = html_extract.blocks(f"<html><body>{page}</body></html>")
+    assert html_extract.extract(found, [html_extract.vote(found)[0]]) == want
+
+
 def test_awkward_pages(spark):
     df = pages(spark, AWKWARD_PAGES).selectExpr("*", "'x' as text", "1 as host", "2 as paths")
     got = html_extract.extract_pages(df).collect()
