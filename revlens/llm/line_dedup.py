@@ -7,7 +7,8 @@ the smallest doc_id that holds them (there every occurrence stays).
 
 Lines travel as two 64-bit hashes; whether a hash is in two documents follows from the
 smallest and the largest doc_id, so a line that a third of all rows hold is one
-pre-aggregated row per task.  The texts move once, when each row meets the positions to
+pre-aggregated row per task, and the lines of a hot key are joined over salted keys.  The
+texts move once, when each row meets the positions to
 drop.
 
 Defined results: a row is identified by (doc_id, text); repeated rows get the same result
@@ -23,7 +24,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from revlens.llm.membership import flagged
+from revlens.llm.store import stored
+
 MIN_CHARS = 10
+HOT = 1000      # lines from which a key counts as hot
+SALTS = 32
 BLANKS = b" \t\n\x0b\x0c\r"
 _ROWS_OUT = 200_000
 
@@ -55,9 +61,14 @@ def _marked(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("version", F.xxhash64("text", F.length("text")))
     lines = rows.select("doc", "version", "text").mapInArrow(_line_hashes, "doc long, version long, pos int, h1 long, h2 long")
     null_doc = F.max(F.col("doc").isNull())
-    shared = (lines.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), null_doc.alias("none"))
-              .where("first <> last or (none and first is not null)").select("h1", "h2", "first"))
-    gone = (lines.join(shared, ["h1", "h2"]).where("doc is null or doc <> first")
+    shared = (lines.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), null_doc.alias("none"), F.count(F.lit(1)).alias("n"))
+              .where("first <> last or (none and first is not null)").select("h1", "h2", "first", "n"))
+    shared = stored(shared, "shared-lines")
+    # keys on very many lines (and a few that share their bit) are joined over SALTS keys each
+    hot = shared.where(F.col("n") > HOT).select("h1")
+    left = flagged(lines, "h1", hot).withColumn("salt", F.when(F.col("_maybe"), F.pmod(F.xxhash64("doc", "version"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    right = flagged(shared, "h1", hot).withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_maybe"), F.lit(SALTS - 1)).otherwise(F.lit(0)))))
+    gone = (left.drop("_maybe").join(right.drop("_maybe", "n"), ["h1", "h2", "salt"]).where("doc is null or doc <> first")
             .groupBy("doc", "version").agg(F.collect_set("pos").alias("gone")))
     gone = gone.toDF("d", "v", "gone")
     return (rows.join(gone, F.col("doc").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 BITS = 1 << 25
 
 
-def _flagged(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+def flagged(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """``df`` with ``_maybe``: whether the bit of ``key`` is set for the one column of ``ids``."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS)) + 1
     bits = (ids.toDF("id").where("id is not null").select(place("id").alias("v"))
@@ -29,12 +29,12 @@ def _flagged(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
 def among(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Rows of ``df`` whose ``key`` is in the one column of ``ids`` (which may repeat)."""
     exact = ids.toDF("_id").distinct()
-    return _flagged(df, key, ids).where("_maybe").drop("_maybe").join(exact, F.col(key) == F.col("_id"), "left_semi")
+    return flagged(df, key, ids).where("_maybe").drop("_maybe").join(exact, F.col(key) == F.col("_id"), "left_semi")
 
 
 def outside(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Rows of ``df`` whose ``key`` is not in ``ids``; null keys stay."""
     exact = ids.toDF("_id").distinct()
-    flagged = _flagged(df, key, ids)
-    surely = flagged.where("not _maybe").drop("_maybe")
-    return surely.unionByName(flagged.where("_maybe").drop("_maybe").join(exact, F.col(key) == F.col("_id"), "left_anti"))
+    marked = flagged(df, key, ids)
+    surely = marked.where("not _maybe").drop("_maybe")
+    return surely.unionByName(marked.where("_maybe").drop("_maybe").join(exact, F.col(key) == F.col("_id"), "left_anti"))

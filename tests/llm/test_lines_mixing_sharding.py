@@ -48,6 +48,13 @@ def test_lines_dropped_in_place(spark):
     assert out.where("doc_id = 1 and text is null").count() == 1
 
 
+def test_hot_line_keys_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 3)
+    rows = [(i, f"a very common line\nown line number {i // 2} of some\n{'rare pair line' if i in (5, 77) else 'x'}") for i in range(120)]
+    got = sorted([tuple(r) for r in line_dedup.report(documents(spark, rows)).collect()], key=str)
+    assert got == lines_brute(rows)
+
+
 def test_lines_empty_table(spark):
     assert line_dedup.report(documents(spark, [])).count() == 0
 
