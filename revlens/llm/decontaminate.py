@@ -21,9 +21,11 @@ struct and come back unchanged.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from revlens.llm import textbatch
 from revlens.llm.store import stored
@@ -177,59 +179,68 @@ class Items:
         return array.doc[place], place - array.doc[place], window, length
 
 
-def _searcher(items: Items, schema: pa.Schema):
-    names = [f.name for f in schema]
-
-    def run(batches):
-        for part in textbatch.chunks(batches, "text"):
-            words = textbatch.Words(part.column("text"))
-            doc, word, window, length = items.occurrences(words)
-            marks = np.zeros(len(words) + 1, np.int64)
-            np.add.at(marks, word, 1)
-            np.add.at(marks, word + items.length[window], -1)
-            hit = np.cumsum(marks)[:-1] > 0
-            found = {}
-            for d, i in set(zip(doc.tolist(), items.item[window].tolist())):
-                found.setdefault(d, set()).add(items.ids[i])
-            best = {}
-            for at in np.lexsort((word, -length, doc)):
-                best.setdefault(int(doc[at]), (int(length[at]), int(word[at] - words.first[doc[at]]), items.ids[items.item[window[at]]]))
-            rows = []
-            for i, old in enumerate(part.column("found").to_pylist()):
-                bits = hit[words.first[i]:words.first[i + 1]]
-                if old["hit"] is not None:
-                    bits = bits | np.unpackbits(np.frombuffer(old["hit"], np.uint8), count=len(bits)).astype(bool)
-                top = max((best.get(i, (0, None, None)), (old["longest"], old["longest_at"], old["longest_item"])), key=lambda x: x[0])
-                any_hit = bool(bits.any())
-                rows.append({"n_words": len(bits), "n_hit": int(bits.sum()), "hit": np.packbits(bits).tobytes() if any_hit else None,
-                             "items": sorted(found.get(i, set()) | set(old["items"])),
-                             "longest": top[0], "longest_at": top[1], "longest_item": top[2]})
-            columns = [pa.array(rows, schema.field("found").type) if n == "found" else part.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([pa.field(n, c.type) for n, c in zip(names, columns)]))
-    return run
-
-
 _FOUND = "struct<n_words:bigint,n_hit:bigint,hit:binary,items:array<string>,longest:bigint,longest_at:bigint,longest_item:string>"
 _FOUND_ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("hit", pa.binary()), ("items", pa.list_(pa.string())),
                           ("longest", pa.int64()), ("longest_at", pa.int64()), ("longest_item", pa.string())])
+_NOTHING = {"hit": None, "items": [], "longest": 0, "longest_at": None, "longest_item": None}
+
+
+def searcher(items: Items):
+    """Function of (texts, what blocks before have found) to what is found now, as rows."""
+    def run(texts, before=None):
+        words = textbatch.Words(texts)
+        doc, word, window, length = items.occurrences(words)
+        marks = np.zeros(len(words) + 1, np.int64)
+        np.add.at(marks, word, 1)
+        np.add.at(marks, word + items.length[window], -1)
+        hit = np.cumsum(marks)[:-1] > 0
+        found, best = {}, {}
+        for d, i in set(zip(doc.tolist(), items.item[window].tolist())):
+            found.setdefault(d, set()).add(items.ids[i])
+        for at in np.lexsort((word, -length, doc)):
+            best.setdefault(int(doc[at]), (int(length[at]), int(word[at] - words.first[doc[at]]), items.ids[items.item[window[at]]]))
+        rows = []
+        for i, old in enumerate(before.to_pylist() if before is not None else [_NOTHING] * len(texts)):
+            bits = hit[words.first[i]:words.first[i + 1]]
+            if old["hit"] is not None:
+                bits = bits | np.unpackbits(np.frombuffer(old["hit"], np.uint8), count=len(bits)).astype(bool)
+            top = max((best.get(i, (0, None, None)), (old["longest"], old["longest_at"], old["longest_item"])), key=lambda x: x[0])
+            some = bool(bits.any())
+            rows.append({"n_words": len(bits), "n_hit": int(bits.sum()), "hit": np.packbits(bits).tobytes() if some else None,
+                         "items": sorted(found.get(i, set()) | set(old["items"])), "longest": top[0], "longest_at": top[1], "longest_item": top[2]})
+        return rows
+    return run
+
+
+def _first_block(items: Items):
+    run = textbatch.per_text(searcher(items), _FOUND_ARROW)
+
+    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return run(batches)
+    return F.arrow_udf(search, _FOUND).asNondeterministic()  # evaluated once per row
+
+
+def _next_block(items: Items):
+    run = textbatch.per_text(searcher(items), _FOUND_ARROW, "found")
+
+    def search(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        return run(batches)
+    return F.arrow_udf(search, _FOUND).asNondeterministic()
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(row, text, found): every row of ``docs`` as a struct, with what was found in it:
+    """(row, found): every row of ``docs`` as a struct, with what was found in its text:
     n_words, n_hit, items (ids of items with occurring windows), longest (words of the
     longest verbatim match), longest_at (its first word) and longest_item."""
-    out = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"),
-                      F.expr("named_struct('n_words', 0L, 'n_hit', 0L, 'hit', cast(null as binary), 'items', cast(array() as array<string>),"
-                             " 'longest', 0L, 'longest_at', cast(null as bigint), 'longest_item', cast(null as string))").alias("found"))
-    schema = T.StructType([out.schema["row"], out.schema["text"], T.StructField("found", T._parse_datatype_string(_FOUND))])
-    arrow = pa.schema([("row", pa.null()), ("text", pa.string()), ("found", _FOUND_ARROW)])
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null and length(text) > 0")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // ITEM_BYTES))
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
+    out = docs.select(F.struct("*").alias("row"))
+    text = F.col("row.text").cast("string")
     for b in range(blocks):
-        rows = sorted((r.item, r.text) for r in dealt.where(F.col("block") == b).collect())
-        out = out.mapInArrow(_searcher(Items(rows), arrow), schema)
+        some = Items(sorted((r.item, r.text) for r in dealt.where(F.col("block") == b).collect()))
+        out = out.withColumn("found", _next_block(some)(text, F.col("found")) if b else _first_block(some)(text))
         if b % BLOCKS_AT_ONCE == BLOCKS_AT_ONCE - 1 and b + 1 < blocks:
             out = stored(out, "searched")
     return out

@@ -18,10 +18,10 @@ rule, null lang rows are never learned from, extra columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from revlens.llm import textbatch
@@ -124,33 +124,30 @@ def train(labelled: DataFrame) -> Model | None:
     return Model([r["lang"] for r in rows], np.log(table / table.sum(1, keepdims=True)), np.log(docs / docs.sum()))
 
 
-def _predictor(model: Model | None, shared):
-    def run(batches):
-        found = shared.value if shared is not None else model
-        for part in textbatch.chunks(batches, "text"):
-            texts = part.column("text").to_pylist()
-            names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            known = [i for i, t in enumerate(texts) if has_letter(t)] if found is not None else []
-            if known:
-                best, posterior = found.scores([texts[i] for i in known])
-                scores[known] = posterior
-                for i, b in zip(known, best):
-                    names[i] = found.names[b]
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(names, pa.string()), pa.array(scores)], ["row", "lang_pred", "score"])
-    return run
+_PREDICTION = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
 
-def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
-    """(row, lang_pred, score): every row of ``docs`` as a struct of the columns ``keep``
-    (all without any), with its prediction."""
-    rows = docs.select(F.struct(*(keep or ("*",))).alias("row"), F.col("text").cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model) if model is not None else None
-    schema = rows.select("row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return rows.mapInArrow(_predictor(model if shared is None else None, shared), schema)
+def predict(text: Column, model: Model | None, spark) -> Column:
+    """struct(lang_pred, score) of whole texts; the model is broadcast."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def one(column):
+        found, texts = shared.value, column.to_pylist()
+        rows = [{"lang_pred": UNKNOWN, "score": 0.0} for _ in texts]
+        known = [i for i, t in enumerate(texts) if has_letter(t)] if found is not None else []
+        if known:
+            for i, best, posterior in zip(known, *found.scores([texts[i] for i in known])):
+                rows[i] = {"lang_pred": found.names[best], "score": float(posterior)}
+        return rows
+    run = textbatch.per_text(one, _PREDICTION)
+
+    def predictions(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return run(batches)
+    return F.arrow_udf(predictions, "struct<lang_pred:string,score:double>").asNondeterministic()(text.cast("string"))
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score), learned from the rows that are not held out."""
     model = train(docs.where(~held_out(F.col("doc_id"))).select("text", "lang"))
-    out = predict(docs, model, "doc_id")
-    return out.select(F.col("row.doc_id").alias("doc_id"), held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+    out = docs.select("doc_id", predict(F.col("text"), model, docs.sparkSession).alias("p"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "p.lang_pred", "p.score")

@@ -20,6 +20,8 @@ rule.  Repeated rows give repeated results; extra columns travel unchanged.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -199,31 +201,21 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     return fit([np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES).astype(float) for r in rows], [r["quality"] for r in rows], shares)
 
 
-def _scorer(model: Model | None):
-    def run(batches):
-        for part in textbatch.chunks(batches, "text"):
-            if model is None:
-                score = np.full(part.num_rows, 0.5)
-            else:
-                score = model.score(*passages(part.column("text")))
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(score)], ["row", "score"])
-    return run
-
+def score(text: Column, model: Model | None) -> Column:
+    """Probability of label 1 of whole texts."""
+    run = textbatch.per_text(lambda t: np.full(len(t), 0.5) if model is None else model.score(*passages(t)), pa.float64())
 
-def score(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
-    """(row, score): every row of ``docs`` as a struct of the columns ``keep`` (all without
-    any), with the probability of label 1."""
-    rows = docs.select(F.struct(*(keep or ("*",))).alias("row"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scorer(model), rows.select("row", F.lit(0.0).alias("score")).schema)
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return run(batches)
+    return F.arrow_udf(scores, "double").asNondeterministic()(text.cast("string"))  # evaluated once per row
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted)."""
-    out = score(docs, train(docs, labels), "doc_id")
-    return out.select(F.col("row.doc_id").alias("doc_id"), held_out(F.col("row.doc_id")).alias("held_out"), "score",
-                      (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
+    out = docs.select("doc_id", score(F.col("text"), train(docs, labels)).alias("score"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows the classifier rejects; all columns as they were."""
-    return score(docs, train(docs, labels)).where(F.col("score") >= ACCEPT).select("row.*")
+    return docs.where(score(F.col("text"), train(docs, labels)) >= ACCEPT)

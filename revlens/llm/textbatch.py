@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 MASK64 = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -80,6 +80,19 @@ def chunks(batches, column: str, limit: int = CHUNK_BYTES):
             at = to
 
 
+def per_text(function, kind: pa.DataType, *also):
+    """Iterator function over (text, ...) columns: ``function`` maps chunks of them, as Arrow
+    arrays, to an array or list of one result per text.  Only these columns and the results
+    pass between Spark and the task."""
+    def run(batches):
+        for columns in batches:
+            columns = columns if isinstance(columns, tuple) else (columns,)
+            batch = pa.RecordBatch.from_arrays(list(columns), ["text", *also])
+            out = [pa.array(function(*part.columns), kind) for part in chunks([batch], "text")]
+            yield pa.concat_arrays(out) if out else pa.array([], kind)
+    return run
+
+
 class Words:
     """Words of the texts of one chunk: ``hash`` (uint64), ``start``/``end`` (bytes), ``doc``
     (row of the chunk) and ``first`` (index of each row's first word, length rows + 1)."""
