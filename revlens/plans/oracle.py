@@ -742,7 +742,7 @@ def stream_statements() -> dict:
     S["stream_merge"] = merge_statements()["merge_reviews"]
     S["stream_dedupe"] = """SELECT event_id, user_id, event_type FROM (
         SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events WHERE user_id IS NOT NULL)
-      WHERE before IS NULL OR ts - before >= INTERVAL 1 HOUR"""
+      WHERE before IS NULL OR ts - before > INTERVAL 1 HOUR"""
     S["stream_weekly"] = "SELECT strftime(ts, '%G-W%V') AS week, event_type, count(*)::BIGINT AS n_events FROM events GROUP BY 1, 2"
     return S
 

@@ -113,8 +113,8 @@ class StreamWeekly:
 
 
 def dedupe_stream(events: DataFrame, keys, ts: str = "ts", delay: str = "1 hour", order: str = "event_id") -> DataFrame:
-    """The first event of every burst: events of one key follow each other in gaps under
-    ``delay``, and a burst ends with the first gap of at least that.  State per key is one
+    """The first event of every burst: events of one key follow each other in gaps of at
+    most ``delay``, and a burst ends with the first longer gap.  State per key is one
     open burst, dropped when the watermark passes its end; ties go to the smaller ``order``."""
     t = events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
     return (t.groupBy(*keys, F.session_window("_ts", delay).alias("w"))

@@ -123,7 +123,7 @@ def test_stream_dedupe_bursts(spark, tmp_path):
     import datetime as dt
     from revlens.streaming.jobs import StreamDedupe
     t0 = dt.datetime(2025, 1, 1)
-    rows = [(i, u, t0 + dt.timedelta(minutes=m)) for i, (u, m) in enumerate([("a", 0), ("a", 30), ("a", 85), ("a", 145), ("b", 10), ("b", 400), ("b", 459), ("a", 1000), ("a", 1000)])]
+    rows = [(i, u, t0 + dt.timedelta(minutes=m)) for i, (u, m) in enumerate([("a", 0), ("a", 30), ("a", 85), ("a", 146), ("b", 10), ("b", 400), ("b", 460), ("a", 1000), ("a", 1000)])]
     df = spark.createDataFrame(rows, "event_id long, user_id string, ts timestamp")
     job = StreamDedupe(spark, str(tmp_path), ["user_id"])
     for part, cond in enumerate(("ts < '2025-01-01 01:00:00'", "ts >= '2025-01-01 01:00:00' and ts < '2025-01-01 08:00:00'", "ts >= '2025-01-01 08:00:00'")):
