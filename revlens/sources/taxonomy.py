@@ -1,15 +1,17 @@
 """Issue taxonomy sources.
 
-The taxonomy is configuration: tens to a few thousand phrases.  Its long form
-``(category, cat_ord, phrase, phrase_ord)`` is what the classifier reads.
+The taxonomy is configuration, usually tens to a few thousand phrases; a sheet may be as
+long as a table.  Its long form ``(category, cat_ord, phrase, phrase_ord)`` is what the
+classifier reads.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from revlens.fixtures import taxonomy as taxonomy_from_rules
 from revlens.functions.text import py_strip
+from revlens.operators.sequence import sequence
 
 # Our own built-in taxonomy, used when no taxonomy file is given (category, phrases in order).
 FALLBACK_RULES = [
@@ -45,8 +47,6 @@ def taxonomy_long(wide: DataFrame, row_col: str, spark: SparkSession | None = No
     long = (wide.select(row_col, F.explode(cols).alias("x"))
             .select(row_col, "x.cat_ord", "x.category", py_strip("x.phrase").alias("phrase"))
             .filter(F.col("phrase").isNotNull() & (F.col("phrase") != "")))
-    # phrase order: category by category, rows in order.  A taxonomy is configuration
-    # (checked against MAX_LITERAL_PHRASES before classification), so one ordered window is fine.
-    w = Window.orderBy("cat_ord", row_col)
-    return long.withColumn("phrase_ord", (F.row_number().over(w) - 1).cast("int")) \
-        .select("category", F.col("cat_ord").cast("int"), "phrase", "phrase_ord")
+    # phrase order: category by category, rows in order; no window over the whole sheet
+    placed = sequence(long, [F.col("cat_ord").asc(), F.col(row_col).asc(), F.col("phrase").asc()], (), "_seq")
+    return placed.select("category", F.col("cat_ord").cast("int"), "phrase", (F.col("_seq") - 1).cast("int").alias("phrase_ord"))

@@ -23,6 +23,18 @@ def test_taxonomy_long_from_wide(spark):
                    ("Service", 1, "box", 3)]
 
 
+def test_taxonomy_long_numbers_a_long_sheet_in_many_tasks(spark):
+    """Twenty columns, all of them kept, and no window without partition keys over the phrases."""
+    n, cols = 500, [f"c{i}" for i in range(20)]
+    wide = spark.range(n).select(F.col("id").alias("row"), *[F.when(F.col("id") % 3 != i % 3, F.concat(F.lit(c + " "), F.col("id"))).alias(c) for i, c in enumerate(cols)])
+    df = taxonomy_long(wide.repartition(8), "row")
+    want = [(c, i, f"{c} {r}") for i, c in enumerate(cols) for r in range(n) if r % 3 != i % 3]
+    got = df.orderBy("phrase_ord").collect()
+    assert [tuple(r) for r in got] == [(*w, k) for k, w in enumerate(want)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan
+
+
 def test_read_reviews_skips_parts_without_keys(spark):
     d = tempfile.mkdtemp()
     spark.createDataFrame([("A7", "ok", "x")], "model_id string, review_text string, extra string").write.parquet(d + "/p1")
