@@ -7,12 +7,11 @@ TREES prefix tries, which are built by sorting the rows of a trie node by their
 remaining prefix.  Two texts meet when they share a prefix of the present length in any
 trie; the meeting is verified exactly on the whole sets of runs.
 
-*Adaptive prefixes.*  The search starts with full-length prefixes.  The links found there
-have known Jaccard values J, and a pair of value J is met with probability
-``1 - (1 - J**k)**TREES``; weighting every link with its inverse gives the number of links
-there should be.  While found / expected is under the target recall, prefixes get one
-hash shorter and only meetings that are new at this length are verified.  With few links
-the worst case (J equal to the threshold) decides instead.
+*Prefix length.*  The search starts with full-length prefixes.  A pair of Jaccard value J
+is met with probability ``1 - (1 - J**k)**TREES``, which grows with J.  While a pair at
+the threshold itself would be met less often than the target recall, prefixes get one
+hash shorter and only meetings that are new at this length are verified.  The length does
+not depend on the table, so neither its size nor a hot group ends the search early.
 
 *Hot nodes.*  A node with more than BLOCK texts is dealt over pairs of blocks, so no task
 holds more than two blocks.  Pairs are counted inside the tasks, never emitted: a task
@@ -41,7 +40,6 @@ TREES = 20
 DEPTH = 5          # hashes of a full prefix
 LEAST_DEPTH = 3    # shortest prefix the search may come to
 RECALL = 0.9999
-ENOUGH = 200       # links from which the measured recall counts
 BLOCK = 512
 SALTS = 32         # keys over which the copies of one text are joined
 
@@ -146,8 +144,7 @@ def _meeting(depth: int, before: int):
 
 
 def _verified(depth: int, before: int, threshold: float):
-    """For each text of a node with links: their number, one root, and the number of links
-    that should be there given their Jaccard values."""
+    """For each text of a node with links: their number and one root."""
     def run(batches):
         for table in _runs_of(batches):
             own = _owned(table, depth, before)
@@ -163,7 +160,6 @@ def _verified(depth: int, before: int, threshold: float):
             names, dense = np.unique(np.concatenate(sets), return_inverse=True)
             flag = np.zeros(len(names), np.int32)
             linked = np.zeros(own.shape, bool)
-            want = np.zeros(len(ids))
             for i in np.flatnonzero(own.any(1)):
                 mine = dense[edges[i]:edges[i + 1]]
                 flag[mine] = 1
@@ -174,11 +170,7 @@ def _verified(depth: int, before: int, threshold: float):
                     common = np.add.reduceat(flag[dense], edges[:-1])[js]
                 flag[mine] = 0
                 jac = common / (sizes[i] + sizes[js] - common)
-                ok = jac >= threshold
-                linked[i, js[ok]] = True
-                weight = 1.0 / met(jac[ok], depth)
-                want[i] += weight.sum()
-                want[js[ok]] += weight
+                linked[i, js[jac >= threshold]] = True
             both = linked | linked.T
             count = both.sum(1)
             root = ids.copy()
@@ -195,8 +187,7 @@ def _verified(depth: int, before: int, threshold: float):
                     seen |= group
             rows = np.flatnonzero(count)
             if len(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(root[rows]), pa.array(count[rows].astype(np.int64)), pa.array(want[rows])],
-                                                 ["a", "b", "n", "want"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(root[rows]), pa.array(count[rows].astype(np.int64))], ["a", "b", "n"])
     return run
 
 
@@ -219,12 +210,10 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     texts = stored(texts.withColumnRenamed("doc_id", "text_id"), "texts")
     links, depth, before = None, DEPTH, 0
     while True:
-        # never below the length at which the worst case would already meet the target
         found = _links_at(docs, texts, depth, before, threshold)
         links = found if links is None else links.union(found)
-        n, want = links.agg(F.sum("n"), F.sum("want")).first()
-        share = n / want if n and n >= ENOUGH else float(met(threshold, depth))
-        if share >= recall or depth == LEAST_DEPTH:
+        # the worst case, a pair at the threshold, has to meet the target
+        if met(threshold, depth) >= recall or depth == LEAST_DEPTH:
             break
         before, depth = depth, depth - 1
     counts = links.groupBy(F.col("a").alias("text_id")).agg(F.sum("n").alias("n_links"))
@@ -250,4 +239,4 @@ def _links_at(docs: DataFrame, texts: DataFrame, depth: int, before: int, thresh
     whole = among(docs, "doc_id", meeting.select("text_id")).groupBy("doc_id").agg(F.max("text").alias("text"))
     rows = (meeting.join(texts, "text_id").join(whole.withColumnRenamed("doc_id", "text_id"), "text_id")
             .repartition(*by).sortWithinPartitions(*by))
-    return stored(rows.mapInArrow(_verified(depth, before, threshold), "a long, b long, n long, want double"), "links")
+    return stored(rows.mapInArrow(_verified(depth, before, threshold), "a long, b long, n long"), "links")

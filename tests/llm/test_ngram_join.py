@@ -74,6 +74,15 @@ def test_shorter_prefixes_until_recall(spark, monkeypatch):
     assert ngram_join.met(0.8, 5) < ngram_join.met(0.8, 4) < ngram_join.met(0.8, 3)
 
 
+def test_hot_group_does_not_end_the_search(spark):
+    """A pair at 0.81 that shares no prefix of five, beside a group of links near 1."""
+    base, hot = prose(99, 4293).split(), prose(200, 1)
+    other = [f"e4293{'ab'[i > 30]}" if i in (30, 60) else w for i, w in enumerate(base)]
+    rows = [(1, " ".join(base)), (2, " ".join(other))] + [(100 + i, f"{hot} last{i}") for i in range(40)]
+    got = result(ngram_join.jaccard_join(documents(spark, rows)))
+    assert got == brute(rows) and got[2] == (2, 1, 1)
+
+
 def test_awkward_rows_have_defined_results(spark):
     got = result(ngram_join.jaccard_join(documents(spark, AWKWARD).withColumnRenamed("n_chars", "class_id")))
     assert got == brute(AWKWARD)
