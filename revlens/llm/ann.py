@@ -8,15 +8,16 @@ then put into a leaf by descending to the nearest centroid.
 *Search.*  A query walks the tree with a priority queue ordered by the inner product with
 the centroids, always opening the best bin.  The number of leaves it visits is widened on
 calibration queries from the sample, whose true neighbours are known there, until RECALL
-is reached; if need be that is every leaf, which is exact.
+is reached; if need be that is every leaf, which is exact.  A query whose leaves hold no more
+than k vectors goes on to the next bins, so it has k neighbours if the table has.
 
 *Spread.*  Leaves that stand next to each other in the tree are packed into bins of about
 BLOCK vectors, and a query meets a whole bin if it visits one of its leaves.  A larger leaf
 is dealt into blocks of BLOCK vectors, and the queries of a bin into blocks of BLOCK
 queries, so a task never holds more than two blocks of vectors and one of queries, however
-many vectors crowd into one leaf.  A query's k-th best score within the sample is a lower
-bound of its k-th best of all; tasks return only what reaches it, at most k per query, and
-Spark ranks them.
+many vectors crowd into one leaf.  A query's k-th best score among the sample vectors in
+its bins is a lower bound of its k-th best there; tasks return only what reaches it, at
+most k per query, and Spark ranks them.
 
 Nearness is the inner product in double precision, added up component by component, so
 equal vectors have equal scores; ties go to the smaller vec_id.
@@ -101,18 +102,20 @@ class Tree:
             todo += [(int(n), rows[own == i]) for i, n in enumerate(numbers) if (own == i).any()]
         return out
 
-    def visit(self, x, most: int):
-        """For each query the leaves opened, best bin first."""
+    def visit(self, x, most: int, sizes=None, k: int = 0):
+        """For each query the leaves opened, best bin first: ``most`` of them, and given the
+        ``sizes`` of the leaves as many as hold more than ``k`` vectors (one may be its own)."""
         near = {node: x @ centre.T for node, (_, centre) in self.children.items()}
         for q in range(len(x)):
-            queue, found = [(0.0, 0)], []
-            while queue and len(found) < most:
+            queue, found, held = [(0.0, 0)], [], 0
+            while queue and (len(found) < most or sizes is not None and held <= k):
                 _, node = heapq.heappop(queue)
                 if node in self.children:
                     for n, score in zip(self.children[node][0].tolist(), near[node][q].tolist()):
                         heapq.heappush(queue, (-score, n))
                 else:
                     found.append(node)
+                    held += sizes.get(node, 0) if sizes else 0
             yield found
 
     def bins(self, sizes: dict) -> dict:
@@ -131,10 +134,11 @@ class Tree:
             out[leaf], held = number, held + sizes[leaf]
         return out
 
-    def bounds(self, ids, x, k: int):
-        """A score that the k-th best of each query reaches at least, from the sample."""
+    def bounds(self, ids, x, k: int, met):
+        """A score that the k-th best of each query reaches at least, from the sample vectors
+        it meets (``met``: queries x sample)."""
         score = x @ self.sample.T
-        score[ids[:, None] == self.ids[None, :]] = -np.inf
+        score[~met | (ids[:, None] == self.ids[None, :])] = -np.inf
         top = min(k, score.shape[1])
         edge = np.partition(score, score.shape[1] - top, axis=1)[:, score.shape[1] - top]
         slack = 1e-9 * (np.abs(x).sum(1) * np.abs(self.sample).max() + 1)
@@ -182,15 +186,20 @@ def _assign(shared):
     return run
 
 
-def _visits(shared, bins: dict, k: int):
+def _visits(shared, sizes: dict, bins: dict, sampled: dict, k: int):
+    """``sampled``: vec_id -> leaf of the sample vectors, as they were placed."""
     def run(batches):
         tree = shared.value
+        of_sample = np.array([bins[sampled[i]] for i in tree.ids.tolist()], np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(at, _SLICE)
                 x = _matrix(part.column("embedding"))
-                found = [sorted({bins[leaf] for leaf in leaves if leaf in bins}) for leaves in tree.visit(x, tree.visits)]
-                bounds = tree.bounds(part.column("vec_id").to_numpy(), x, k)
+                found = [sorted({bins[leaf] for leaf in leaves if leaf in bins}) for leaves in tree.visit(x, tree.visits, sizes, k)]
+                met = np.zeros((len(found), max(bins.values()) + 1), bool)
+                for q, numbers in enumerate(found):
+                    met[q, numbers] = True
+                bounds = tree.bounds(part.column("vec_id").to_numpy(), x, k, met[:, of_sample])
                 yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("embedding"), pa.array(bounds), pa.array(found, pa.list_(pa.int64()))],
                                                  ["query_id", "query", "bound", "bins"])
     return run
@@ -240,10 +249,13 @@ def search(embeddings: DataFrame, is_query=None, k: int = K, recall: float = REC
     shared = spark.sparkContext.broadcast(tree)  # the sample and its centroids: SAMPLE_BYTES bound it
     placed = stored(rows.mapInArrow(_assign(shared), "vec_id long, embedding array<double>, leaf long"), "leaves")
     # one number per leaf, and there are at most SAMPLE_ROWS / 16 leaves
-    bins = tree.bins({r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()})
+    sizes = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
+    bins = tree.bins(sizes)
+    ids = F.broadcast(spark.createDataFrame([(i,) for i in tree.ids.tolist()], "vec_id long"))  # SAMPLE_ROWS at most
+    sampled = dict(placed.select("vec_id", "leaf").join(ids, "vec_id").collect())
     bin_of = F.broadcast(spark.createDataFrame(sorted(bins.items()), "leaf long, bin long"))
     asked = (placed.where(is_query).select("vec_id", "embedding")
-             .mapInArrow(_visits(shared, bins, k), "query_id long, query array<double>, bound double, bins array<long>"))
+             .mapInArrow(_visits(shared, sizes, bins, sampled, k), "query_id long, query array<double>, bound double, bins array<long>"))
     asked = stored(asked.select("query_id", "query", "bound", F.explode("bins").alias("bin")), "visits")
     binned = placed.join(bin_of, "leaf")
     size = binned.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))

@@ -128,6 +128,19 @@ def test_hot_leaf_and_ties_are_exact(spark, monkeypatch):
     assert compare(df, ann.search(df, recall=1.0)) == 1.0
 
 
+def test_small_leaves_still_give_k_neighbours(spark, monkeypatch):
+    """One visit to a leaf of its own bin: the query goes on until it has met k others."""
+    monkeypatch.setattr(ann, "BLOCK", 1)
+    monkeypatch.setattr(ann, "LEAF", 16)
+    monkeypatch.setattr(ann.Tree, "calibrate", lambda self, *a: setattr(self, "visits", 1) or self)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 8))[rng.integers(0, 40, 1200)] * 5 + rng.normal(size=(1200, 8)) * 0.01
+    got = {}
+    for r in ann.search(vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)])).collect():
+        got.setdefault(r["query_id"], []).append(r["rank"])
+    assert set(got) == set(range(0, 1200, 20)) and all(sorted(ranks) == list(range(1, 21)) for ranks in got.values())
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1), (20, [0.0, 1.0], 1), (1, [0.5, 0.5], 1), (1, [0.5, 0.5], 1), (40, None, 1), (60, [], 1), (2, [0.0, 0.0], 1), (3, [nan, 1.0], 1), (4, [inf, 1.0], 1),
