@@ -70,6 +70,21 @@ def test_language_awkward_rows(spark):
     assert unknown == {1, 2, 3, 4, 20} and all(r["score"] == 0 for r in got if r["doc_id"] in unknown)
 
 
+def test_more_languages_than_a_block(spark):
+    """1001 languages, each with words of its own: every training text finds its language."""
+    rows = [(3000 + i, " ".join(f"{prose(2, i)}q{i}" for _ in range(6)), f"l{i:04}", "s") for i in range(3003) if zlib.crc32(str(3000 + i).encode()) % 3 != 1][:1001]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(documents(spark, rows)).collect()}
+    assert np.mean([got[r[0]][0] == r[2] for r in rows]) > 0.98
+
+
+def test_language_blocks_give_what_one_matrix_gives(spark, monkeypatch):
+    rows = [(i, f"{prose(8, i % 7)} {prose(5, i)}", f"l{i % 7}", "s") for i in range(60)]
+    want = {r["doc_id"]: r for r in language.identify(documents(spark, rows)).collect()}
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    for r in language.identify(documents(spark, rows)).collect():
+        assert r["lang_pred"] == want[r["doc_id"]]["lang_pred"] and r["score"] == pytest.approx(want[r["doc_id"]]["score"])
+
+
 def test_language_without_labels_or_rows(spark):
     from pyspark.sql import functions as F
 
