@@ -2,7 +2,9 @@
 
 *Score.*  Each page is cut into text blocks with their open elements.  A container scores
 the characters outside links of the blocks below it; blocks inside boilerplate (by tag,
-class or id) give nothing.  The deepest container with most of the page's score, and the
+class or id) give nothing.  A form, or an element that only its names mark, is no
+boilerplate if it holds COVER of the page's text or the article or main element; if a page
+would have no text at all, those with most of the text count, else all.  The deepest container with most of the page's score, and the
 headings above it, is the page's vote.
 
 *Vote.*  The vote is for a generalised path: the tags from the root with their classes and
@@ -58,6 +60,7 @@ OUTSIDE_WORDS = frozenset(("ad ads adv advert advertisement advertising adverts
                            "disqus replies reply respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
                            "login footer foot nav navbar navigation menu menus sidebar side aside widget widgets related recommended recommendations share sharing "
                            "social pagination pager skip toolbar masthead topbar copyright disclaimer announcement announcements paywall").split())
+ASIDE_WORDS = frozenset("comment comments commentlist disqus replies reply respond related recommended recommendations".split())  # released only from empty pages
 HAVING_WORDS = frozenset("with has no without not hide show is".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 LONG_PATH = 300  # above this many characters the front of a path is replaced by its digest
@@ -66,7 +69,7 @@ _DIGITS = re.compile(r"[0-9]+")
 
 
 class Element:
-    __slots__ = ("tag", "up", "depth", "path", "outside", "link", "head")
+    __slots__ = ("tag", "up", "depth", "path", "outside", "link", "head", "hard", "mark", "aside", "story")
 
     def __init__(self, tag: str, attrs: str, up: "Element | None"):
         self.tag, self.up, self.depth = tag, up, up.depth + 1 if up else 0
@@ -77,9 +80,17 @@ class Element:
         # a name such as "with-sidebar" says what an element has, not what it is
         parts = [set(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower())) for x in names]
         words = set().union(*(p for p in parts if p.isdisjoint(HAVING_WORDS)))
-        here = tag in OUTSIDE_TAGS or not words.isdisjoint(OUTSIDE_WORDS) or found.get("role", "").lower() in OUTSIDE_ROLES or found.get("aria-hidden", "").lower() == "true"
+        role = found.get("role", "").lower()
+        hard = tag in OUTSIDE_TAGS and tag != "form" or role in OUTSIDE_ROLES and role != "form" or found.get("aria-hidden", "").lower() == "true"
+        here = hard or tag == "form" or role == "form" or not words.isdisjoint(OUTSIDE_WORDS)
         if tag in ("html", "body", "main", "article") and not (tag == "article" and not words.isdisjoint(("comment", "comments", "reply", "related", "ad"))):
-            here = False
+            hard = here = False
+        self.hard = hard or (up.hard if up else False)
+        # nearest element marked by its names or as a form; whether an article or main stands below it
+        marked = here and not hard
+        self.mark = self if marked else (up.mark if up else None)
+        self.aside = marked and not words.isdisjoint(ASIDE_WORDS)
+        self.story = not here and (tag in ("main", "article") or (up.story if up else False))
         self.outside = here or (up.outside if up else False)
         self.link = tag == "a" or (up.link if up else False)
         self.head = tag == "header" or (up.head if up else False)
@@ -180,9 +191,63 @@ def blocks(page: str):
         stack.append(Element(tag, attrs, stack[-1]))
         inside[tag] += 1
     flush()
+    release(out)
     return out
 
 
+def release(found) -> None:
+    """Lifts the marks of forms and named wrappers that hold the page itself (see above)."""
+    marks: dict = {}  # marked element -> [element, text below it, of which in an article or main]
+    clear = 0         # text outside all marks
+    for holder, text, linked in found:
+        weight = len(text) - linked
+        if holder.hard or holder.head or weight <= 0:
+            continue
+        if holder.mark is None:
+            clear += weight
+            continue
+        cell = marks.setdefault(id(holder.mark), [holder.mark, 0, 0])
+        cell[1] += weight
+        cell[2] += weight if holder.story else 0
+    if not marks:
+        return
+    for element in [cell[0] for cell in marks.values()]:
+        while element.up.mark is not None and id(element.up.mark) not in marks:
+            element = element.up.mark
+            marks[id(element)] = [element, 0, 0]
+    inner = sorted(marks.values(), key=lambda c: -c[0].depth)
+    own = {id(cell[0]): cell[1] for cell in inner}
+    total = clear + sum(own.values())
+    for element, weight, story in inner:
+        if element.up.mark is not None:
+            above = marks[id(element.up.mark)]
+            above[1] += weight
+            above[2] += story
+    lifted = {id(e) for e, weight, _ in inner if not e.aside and weight >= COVER * total}
+
+    def closed() -> dict:
+        out: dict = {}
+        for element, _, _ in reversed(inner):
+            out[id(element)] = id(element) not in lifted or (element.up.mark is not None and out[id(element.up.mark)])
+        return out
+
+    # an article counts against the text that is outside marks by now
+    clear += sum(own[i] for i, yes in closed().items() if not yes)
+    lifted |= {id(e) for e, _, story in inner if not e.aside and story > clear}
+
+    def shut():
+        out = closed()
+        for holder, _, _ in found:
+            holder.outside = holder.hard or (holder.mark is not None and out.get(id(holder.mark), True))
+        return not any(_usable(h) and len(text) > linked for h, text, linked in found)
+
+    if shut():
+        lifted |= {id(e) for e, weight, _ in inner if 2 * weight > total}
+        if shut():
+            lifted |= set(marks)
+            shut()
+
+
 def _usable(element: Element) -> bool:
     return not element.outside and not element.head
 

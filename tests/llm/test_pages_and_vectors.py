@@ -70,6 +70,24 @@ def test_own_vote(page, want):
     assert html_extract.extract(found, [html_extract.vote(found)[0]]) == want
 
 
+STORY = "The story goes on and on for quite a while. " * 8
+TOLD = STORY.strip()
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<form id=aspnetForm role=form><div class=nav><a href=x>Home</a></div><div class=content><h1>Title</h1><p>{STORY}</p></div><div class=sidebar><p>Side note</p></div></form>", f"Title\n{TOLD}"),
+    (f"<div class='page overlay'><nav>Menu of it</nav><article><h1>Title</h1><p>{STORY}</p></article><form><label>Name</label><p>Sign up</p></form></div><div>Powered by it</div>", f"Title\n{TOLD}"),
+    (f"<div class=widget><main><p>{STORY}</p></main></div><div><p>{STORY[:200]}</p></div>", f"{TOLD}\n{STORY[:200].strip()}"),
+    (f"<div class='a widget'><p>{STORY}</p></div><div class='b widget'><p>{STORY}</p></div><div class='menu'><a href=x>Home</a></div>", f"{TOLD}\n{TOLD}"),
+    (f"<form><div class=content><p>{STORY}</p></div><div class=sidebar><article><p>A teaser of another piece.</p></article></div></form>", TOLD),
+    (f"<div class=post><p>{STORY}</p></div><div class=comments><article><p>{STORY * 9}</p></article></div>", TOLD),
+    (f"<div class=post><p>{STORY}</p></div><div class=notice><p>{STORY}</p></div><form><p>{STORY}</p></form>", TOLD),
+])
+def test_wrappers_of_the_whole_page(page, want):
+    found = html_extract.blocks(f"<html><body>{page}</body></html>")
+    assert html_extract.extract(found, [html_extract.vote(found)[0]]) == want
+
+
 def test_awkward_pages(spark):
     df = pages(spark, AWKWARD_PAGES).selectExpr("*", "'x' as text", "1 as host", "2 as paths")
     got = html_extract.extract_pages(df).collect()
