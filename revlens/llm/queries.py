@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import align, ann, decontaminate, html_extract, language, line_dedup, mixing, ngram_join, oracle, piece_codec, pii, quality, sharding
+from revlens.llm import align, ann, decontaminate, html_extract, language, line_dedup, mixing, ngram_join, oracle, piece_codec, pii, quality, sharding, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(_table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.report(_table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_embedding_whitening": op12_embedding_whitening,
     "op13_sentencepiece": op13_sentencepiece,
 }
 
