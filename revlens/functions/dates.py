@@ -36,7 +36,7 @@ def _nbsp_stripped(c) -> Column:
 # Shape of the texts each format can parse (a necessary condition).  A format is
 # tried only on texts of its shape: a failed parse is costly (it is signalled by an
 # exception inside the parser), a regular-expression test is not.
-_SHAPES = {
+SHAPES = {
     "yyyy-MM-dd": r"^\d+-\d+-\d+$",
     "M/d/yyyy": r"^\d+/\d+/\d+$",
     "MMMM d, yyyy": r"^\p{L}+ \d+, \d+$",
@@ -66,7 +66,7 @@ def parse_date_text(c, formats=DATE_FORMATS) -> Column:
         return F.when(t.rlike(r"^\d+-\d+-\d+[T ]\d+:\d+"), timed).otherwise(t)
 
     def parsed(t):
-        return F.coalesce(*[F.when(t.rlike(_SHAPES[f]), F.try_to_timestamp(t, F.lit(f))) if f in _SHAPES else F.try_to_timestamp(t, F.lit(f)) for f in formats])
+        return F.coalesce(*[F.when(t.rlike(SHAPES[f]), F.try_to_timestamp(t, F.lit(f))) if f in SHAPES else F.try_to_timestamp(t, F.lit(f)) for f in formats])
     return F.get(F.transform(F.transform(F.array(col_of(c)), iso), parsed), 0)
 
 

@@ -8,7 +8,6 @@ end tag without one is ignored.  Selectors are descendant chains of simple parts
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -81,14 +80,19 @@ def parse(html: str) -> Element:
     return builder.root
 
 
-@lru_cache(maxsize=None)
+_chains: dict = {}
+
+
 def _chain(selector: str):
+    if selector in _chains:
+        return _chains[selector]
     out = []
     for part in re.findall(r"(?:\[[^\]]*\]|[^\s\[])+", selector):
         tests = _PART.findall(part)
         if "".join("".join(t) for t in tests) == "" or _PART.sub("", part):
             raise ValueError(f"unsupported selector: {selector}")
         out.append(tests)
+    _chains[selector] = out
     return out
 
 

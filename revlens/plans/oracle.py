@@ -630,8 +630,9 @@ def page_statements() -> dict:
     shop = "['amazon', 'bestbuy', 'walmart', 'target'][(review_ord // 2) % 4 + 1]"
     S["page_status"] = with_(reviews_cte()) + f""" SELECT review_ord AS page_id, CASE
         WHEN {shop} = 'amazon' THEN CASE WHEN n < 4 OR n = 12 THEN 'auth' WHEN n < 8 THEN 'captcha' WHEN n < 12 THEN 'robot' WHEN n < 16 THEN 'page' ELSE 'reviews' END
-        ELSE CASE WHEN n < 4 THEN 'page' WHEN n < 8 THEN 'reviews' WHEN n < 12 THEN 'robot' ELSE 'page' END END AS status
-      FROM (SELECT *, review_ord % 22 AS n FROM reviews WHERE (review_ord // 2) % 4 IN (0, 2))"""
+        WHEN {shop} = 'walmart' THEN CASE WHEN n < 4 THEN 'page' WHEN n < 8 THEN 'reviews' WHEN n < 12 THEN 'robot' ELSE 'page' END
+        ELSE 'page' END AS status
+      FROM (SELECT *, review_ord % 22 AS n FROM reviews) UNION ALL SELECT -1 - page_id, 'page' FROM pages"""
     S["url_query_param"] = """SELECT page_id, NULLIF(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1), '') AS host,
         NULLIF(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page,
         NULLIF(regexp_extract(url, '[?&]ref=([^&#]*)', 1), '') AS ref FROM pages"""
@@ -822,8 +823,9 @@ def extract_statements() -> dict:
         FROM ({record}) r JOIN (SELECT review_ord, overall_rating FROM reviews) o ON o.review_ord = r.page_id
         WHERE page_id % 4 < 2 AND (review_text IS NOT NULL OR title IS NOT NULL) AND NOT ({badge})
         UNION ALL
-        SELECT model_id, {number('rating')}, {clean('title')}, {clean('review_text')}, {clean('review_date')}, {clean('author')}, NULL, review_ord
-        FROM reviews WHERE review_ord % 4 >= 2 AND {n} % 4 = 3 AND ({clean('review_text')} IS NOT NULL OR {clean('title')} IS NOT NULL)),
+        SELECT model_id, {number('rating')}, {clean('title')}, {clean('review_text')}, {clean('review_date')}, CASE WHEN {n} % 4 = 1 THEN {clean("'by ' || author")} ELSE {clean('author')} END,
+               CASE WHEN {n} % 4 = 1 AND rating IS NOT NULL THEN ['5', '1', '3', '2.5', '4', NULL, NULL, NULL, '1'][{n} % 9 + 1] END, review_ord
+        FROM reviews WHERE review_ord % 4 >= 2 AND ({clean('review_text')} IS NOT NULL OR {clean('title')} IS NOT NULL)),
       ranked AS (SELECT *, row_number() OVER (PARTITION BY model_id, coalesce(rating, ''), lower(coalesce(title, '')), lower(coalesce(review_text, '')),
                                               coalesce(review_date, ''), lower(coalesce(author, '')) ORDER BY page_id) AS rn FROM found)
       SELECT * EXCLUDE (rn) FROM ranked WHERE rn = 1""".replace("{n}", n)
@@ -841,9 +843,9 @@ def source_statements() -> dict:
     S["read_reviews"] = base + " SELECT review_ord, " + ", ".join(
         f"CASE WHEN review_ord % 4 < 2 THEN {c} ELSE NULL END AS {c}" if c in ("verified", "overall_rating") else c for c in cols) + " FROM reviews"
     S["normalize_schema"] = base + " SELECT review_ord, " + ", ".join(f"'' AS {c}" if c in ("author", "size") else c for c in cols) + " FROM reviews"
-    S["latest_snapshot"] = base + " SELECT review_ord, model_id FROM reviews WHERE review_ord % 8 < 4"
-    S["taxonomy_long"] = """WITH w AS (SELECT doc_id // 20 AS r, doc_id % 20 AS c, regexp_extract(text, '^\\s*(\\S+)', 1) AS phrase FROM documents WHERE doc_id % 20 IN (0, 1, 3))
-      SELECT ['Alpha', 'Beta', '', 'Delta'][c + 1] AS category, (CASE c WHEN 3 THEN 2 ELSE c END)::INTEGER AS cat_ord, phrase,
+    S["latest_snapshot"] = base + " SELECT review_ord, model_id, 'v2' AS version FROM reviews"
+    S["taxonomy_long"] = """WITH w AS (SELECT doc_id // 20 AS r, doc_id % 20 AS c, regexp_extract(text, '^\\s*(\\S+)', 1) AS phrase FROM documents)
+      SELECT 'Topic ' || c AS category, c::INTEGER AS cat_ord, phrase,
              (row_number() OVER (ORDER BY c, r) - 1)::INTEGER AS phrase_ord FROM w WHERE phrase <> ''"""
     v, n = "CAST((review_ord // 2) % 60 + 40 AS VARCHAR)", "(review_ord // 2)"
     S["size_and_rating_text"] = base + f""" SELECT review_ord,

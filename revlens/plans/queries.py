@@ -55,28 +55,29 @@ def q_normalize_schema(spark, sf):
 
 @query("latest_snapshot")
 def q_latest_snapshot(spark, sf):
-    """The newest of three stored versions; a later fallback copy does not count."""
+    """The newest of three stored versions of the whole table, whose rows tell the versions
+    apart; a later fallback copy does not count."""
     import os
     import time
     from revlens.session import fresh_dir
     from revlens.sources.reviews import latest_snapshot
     base, rows = fresh_dir(spark, "snapshots"), fixtures.reviews(spark, sf).select(ORD, "model_id")
-    for name, share in (("v1", 2), ("v2", 4), ("v2_deduped", 6)):
-        rows.filter(F.col(ORD) % 8 < share).write.parquet(os.path.join(base, name))
+    for name in ("v1", "v2", "v2_deduped"):
+        rows.withColumn("version", F.lit(name)).write.parquet(os.path.join(base, name))
         time.sleep(0.05)
     return spark.read.parquet(latest_snapshot(spark, base))
 
 
 @query("taxonomy_long")
 def q_taxonomy_long(spark, sf):
-    """A wide sheet made from the documents (a column per source, their first words down
-    the rows) to the long taxonomy."""
+    """A wide sheet made from the first words of all documents (twenty columns, twenty
+    documents a row) to the long taxonomy; a further column without a name does not count."""
     from revlens.sources.taxonomy import taxonomy_long
     d = fixtures.table(spark, sf, "documents")
     word = F.concat(F.lit("  "), F.regexp_extract("text", r"^\s*(\S+)", 1), F.lit(" "))
     wide = d.select((F.col("doc_id") / 20).cast("bigint").alias("row"), F.col("doc_id") % 20, word.alias("w")).toDF("row", "col", "w")
-    wide = wide.groupBy("row").pivot("col", [0, 1, 2, 3]).agg(F.max("w")).toDF("row", " Alpha ", "Beta", "Unnamed: 3", "Delta")
-    return taxonomy_long(wide, "row")
+    wide = wide.groupBy("row").pivot("col", list(range(20))).agg(F.max("w")).toDF("row", *[f" Topic {i} " for i in range(20)])
+    return taxonomy_long(wide.withColumn("Unnamed: 20", F.lit("not a phrase")), "row")
 
 
 @query("lookup_cache_store")
@@ -564,9 +565,11 @@ def q_page_blocks(spark, sf):
 
 @query("page_status")
 def q_page_status(spark, sf):
-    """P10: status label of every shop page; some are sign-in, captcha or robot pages."""
-    rows = SP.shop_pages(spark, sf, "amazon").unionByName(SP.shop_pages(spark, sf, "walmart")).withColumnRenamed("profile", "kind")
-    n = F.col("page_id") % 22
+    """P10: status label of every page of the four shops and of the captured pages of other
+    hosts; some are sign-in, captcha or robot pages."""
+    rows = SP.all_shop_pages(spark, sf).select("page_id", "url", "html", F.col("profile").alias("kind"))
+    others = _pages(spark, sf).select((-1 - F.col("page_id")).alias("page_id"), "url", "html", F.lit("generic").alias("kind"))
+    rows, n = rows.unionByName(others), F.col("page_id") % 22
     mark = (F.when(n < 4, F.lit("<p>Amazon Sign-In</p>")).when(n < 8, F.lit("<img id='ap_captcha'> reviewText"))
             .when(n < 12, F.lit("Robot check: blocked")).when(n < 16, F.lit("nothing here")))
     return PG.page_status(rows.withColumn("html", F.coalesce(mark, F.col("html"))).withColumn("url", F.when(n == 12, F.lit("https://x/ap/signin")).otherwise(F.col("url"))))
@@ -829,8 +832,9 @@ def q_feed_to_markup(spark, sf):
 def q_saved_pages_job(spark, sf):
     """Saved pages of every model (JSON pages and markup pages) to de-duplicated reviews."""
     from revlens.plans.saved_pages import pages_to_reviews
-    js = SP.json_pages(spark, sf).filter(F.col("page_id") % 4 < 2)
-    pages = js.unionByName(SP.shop_pages(spark, sf, "target").filter(F.col("page_id") % 4 >= 2))
+    js = SP.json_pages(spark, sf).filter(F.col("page_id") % 4 < 2)  # even documents; the odd ones are Best Buy and Target pages
+    markup = SP.all_shop_pages(spark, sf).filter(F.col("page_id") % 4 >= 2)
+    pages = js.unionByName(markup)
     pages = pages.withColumn("file_name", F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".html")))
     return pages_to_reviews(pages).select("model_id", "rating", "title", "review_text", "review_date", "author", "overall_rating", "page_id")
 

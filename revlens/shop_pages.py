@@ -63,11 +63,19 @@ def block(shop: str) -> Column:
     return F.concat(*parts[shop])
 
 
+def all_shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, html, profile, model_id): every review as a page of its shop."""
+    shown = None
+    for shop in SHOPS:
+        here = F.col("profile") == shop
+        shown = F.when(here, block(shop)) if shown is None else shown.when(here, block(shop))
+    html = F.concat(F.lit("<!DOCTYPE html><html><body><nav><p>Menu</p></nav>"), shown, F.lit("<footer>End</footer></body></html>"))
+    return shop_rows(spark, sf_dir).select("page_id", F.col("source_url").alias("url"), html.alias("html"), "profile", "model_id")
+
+
 def shop_pages(spark: SparkSession, sf_dir: str, shop: str) -> DataFrame:
-    """(page_id, url, html, profile, model_id): every review of the shop as a page."""
-    rows = shop_rows(spark, sf_dir).filter(F.col("profile") == shop)
-    html = F.concat(F.lit("<!DOCTYPE html><html><body><nav><p>Menu</p></nav>"), block(shop), F.lit("<footer>End</footer></body></html>"))
-    return rows.select("page_id", F.col("source_url").alias("url"), html.alias("html"), "profile", "model_id")
+    """The pages of one shop."""
+    return all_shop_pages(spark, sf_dir).filter(F.col("profile") == shop)
 
 
 def json_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
