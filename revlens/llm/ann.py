@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from revlens.llm.store import stored
+from revlens.llm.store import shipped, stored, unpacked
 
 K = 20
 QUERY_STEP = 20
@@ -178,7 +178,7 @@ def fit(vectors: DataFrame, rows: int, dimension: int, k: int = K, recall: float
 
 def _assign(shared):
     def run(batches):
-        tree = shared.value
+        tree = unpacked(shared)
         for batch in batches:
             if batch.num_rows:
                 leaf = tree.leaf_of(_matrix(batch.column("embedding")))
@@ -189,7 +189,7 @@ def _assign(shared):
 def _visits(shared, sizes: dict, bins: dict, sampled: dict, k: int):
     """``sampled``: vec_id -> leaf of the sample vectors, as they were placed."""
     def run(batches):
-        tree = shared.value
+        tree = unpacked(shared)
         of_sample = np.array([bins[sampled[i]] for i in tree.ids.tolist()], np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE):
@@ -246,7 +246,7 @@ def search(embeddings: DataFrame, is_query=None, k: int = K, recall: float = REC
         return empty
     rows = rows.where(F.size("embedding") == common["d"])
     tree = fit(rows, common["n"], common["d"], k, recall)
-    shared = spark.sparkContext.broadcast(tree)  # the sample and its centroids: SAMPLE_BYTES bound it
+    shared = shipped(spark, tree)  # the sample and its centroids: SAMPLE_BYTES bound it
     placed = stored(rows.mapInArrow(_assign(shared), "vec_id long, embedding array<double>, leaf long"), "leaves")
     # one number per leaf, and there are at most SAMPLE_ROWS / 16 leaves
     sizes = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}

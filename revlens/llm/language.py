@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from revlens.llm import textbatch
-from revlens.llm.store import stored
+from revlens.llm.store import shipped, stored, unpacked
 
 GRAMS = (1, 2, 3, 4)
 BUCKETS = 1 << 14
@@ -143,7 +143,7 @@ def train(labelled: DataFrame):
 def _opened(shared: list):
     """The broadcast blocks; of several one at a time is held."""
     for block in shared:
-        yield block.value
+        yield unpacked(block)
         if len(shared) > 1 and getattr(block, "_path", None):
             del block._value  # read again from the worker's own copy for the next chunk
 
@@ -153,7 +153,7 @@ _PREDICTION = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
 def predict(text: Column, models, spark) -> Column:
     """struct(lang_pred, score) of whole texts; the models are broadcast one by one."""
-    shared = [spark.sparkContext.broadcast(m) for m in models]
+    shared = [shipped(spark, m) for m in models]
 
     def one(column):
         texts = column.to_pylist()

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pickle
+
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 
 from revlens.session import fresh_dir
 
@@ -13,3 +16,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, fresh_dir(df.sparkSession, f"llm-{name}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def shipped(spark: SparkSession, value) -> Broadcast:
+    """Broadcast of an object of this package that travels with its class (by value), so executors
+    need no installed copy; ``unpacked`` opens it inside a task."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def unpacked(shared: Broadcast):
+    return pickle.loads(shared.value)
