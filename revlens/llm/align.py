@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from revlens.llm.store import stored
 MODEL_A = "/opt/tokenizers/byte_bpe_50k.json"
 MODEL_B = piece_codec.MODEL
 TABLE_PAIRS = 1 << 20    # of the broadcast counts, 17 bytes each
-PART_BYTES = 1 << 20     # of text aligned at once
+PART_BYTES = 1 << 19     # of text aligned at once
 PART_PAIRS = 1 << 19     # of the stored pairs read at once
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 
@@ -71,18 +72,19 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def token_bytes(model_a: bytes, model_b: bytes) -> tuple[list[bytes], list[bytes]]:
+def token_bytes(model_a: bytes, model_b: bytes) -> tuple[pa.Array, pa.Array]:
     """The bytes of every id of A and of B."""
     letters, a, sp = byte_alphabet(), byte_level(model_a), piece_codec.processor(model_b)
     names = [a.id_to_token(i) or "" for i in range(a.get_vocab_size())]
     of_a = [bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t in names]
     of_b = [bytes([int(sp.id_to_piece(i)[3:-1], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace(piece_codec.MARK, " ").encode()
             for i in range(sp.vocab_size())]
-    return of_a, of_b
+    return pa.array(of_a, pa.large_binary()), pa.array(of_b, pa.large_binary())
 
 
 def opened(model_a: bytes, model_b: bytes, breaks):
     """The segment functions of both tokenizers, inside a task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     a = byte_level(model_a)
     return [lambda chunks: [e.ids for e in a.encode_batch_fast(chunks, add_special_tokens=False)], piece_codec.opened(model_b, breaks)]
 
@@ -188,12 +190,11 @@ def tokens_aligned(docs: DataFrame, text: str = "text", model_a: str = MODEL_A,
     usable = (plain != "") & ~F.contains(plain, F.lit(piece_codec.MARK))  # B gives the mark back as a blank
     texts = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.when(usable, F.concat(F.lit(" "), plain)).otherwise("").alias("spaced"))
     known = known_table(texts.select("spaced"), breaks, lambda: opened(*models, breaks), 2) if breaks is not no_break else None
-    shared = docs.sparkSession.sparkContext.broadcast((models, known))
+    shared = docs.sparkSession.sparkContext.broadcast((models, known, token_bytes(*models)))
 
     def run(batches):
-        models, known = shared.value
+        models, known, values = shared.value
         ids_of = Segmenter(opened(*models, breaks), breaks, known)
-        values = [pa.array(x, pa.large_binary()) for x in token_bytes(*models)]
         words = numerals(max(map(len, values)))
         for part in textbatch.chunks(batches, "spaced", PART_BYTES):
             each = [t.encode() for t in part.column("spaced").to_pylist()]
@@ -205,6 +206,7 @@ def tokens_aligned(docs: DataFrame, text: str = "text", model_a: str = MODEL_A,
                    pa.array([hashlib.sha256(g).hexdigest() if len(g) else "" for g in written], pa.string()), pa.array(np.diff(edges)),
                    pa.array([pack(pair[x:y], times[x:y]) for x, y in zip(edges[:-1], edges[1:])], pa.binary())]
             yield pa.RecordBatch.from_arrays(out + [pa.array([bytes(g).decode() for g in written], pa.string())] * groups, names)
+            pa.default_memory_pool().release_unused()
     names = ["_row", "doc_id", *COUNTS, "groups_sha256", "n_pairs", "pairs"] + ["groups"] * groups
     kinds = ["long", texts.schema["doc_id"].dataType.simpleString(), *["long"] * 4, "string", "long", "binary"] + ["string"] * groups
     return texts.mapInArrow(run, ", ".join(map(" ".join, zip(names, kinds))))

@@ -21,7 +21,7 @@ from revlens.llm.store import stored
 SPACE, FEED = 32, 10
 TABLE_BYTES = 16 << 20   # of the broadcast table: chunk bytes, ids and ENTRY_BYTES an entry
 ENTRY_BYTES = 32
-PART_BYTES = 4 << 20     # of text whose distinct chunks are handled at once
+PART_BYTES = 2 << 20     # of text whose distinct chunks are handled at once
 
 
 def every_break(data):
@@ -104,6 +104,7 @@ def chunk_counts(texts: DataFrame, breaks) -> DataFrame:
         for part in textbatch.chunks(batches, name, PART_BYTES):
             found = pc.value_counts(chunk_column(part.column(0), breaks)[0])
             yield pa.RecordBatch.from_arrays([found.field(0).cast(pa.string()), found.field(1)], ["chunk", "n"])
+            pa.default_memory_pool().release_unused()
     return texts.mapInArrow(counted, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
 
 

@@ -22,7 +22,7 @@ def models():
 def plain(models, texts):
     """[(n_a, n_b, n_groups, n_links, n_best, count_sum, groups)] by definition."""
     a, b = align.byte_level(models[0]), piece_codec.processor(models[1])
-    of_a, of_b = align.token_bytes(*models)
+    of_a, of_b = (x.to_pylist() for x in align.token_bytes(*models))
     docs = []
     for text in texts:
         ids_a = a.encode(" " + (text or ""), add_special_tokens=False).ids if text else []
