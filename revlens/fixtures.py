@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from revlens.functions.sites import channel
+from revlens.session import spread
 
 # Fixed values of the fixture (FIXTURES.md §2), listed by d % len(list).
 MODEL_IDS = ["A7", "B7", "32H1", "43H1", "C8", "D9 Pro"]
@@ -67,7 +68,7 @@ def _source_url(d, source):
 def reviews_from_documents(docs: DataFrame) -> DataFrame:
     # The whole document is the review body; its first line is the title.  Every tenth
     # document also yields its re-scraped copy; one scan makes both rows.
-    docs = docs.select("doc_id", "source", "text")
+    docs = spread(docs.select("doc_id", "source", "text"), "doc_id")
     d = F.col("doc_id")
     both = F.array(F.lit(False), F.lit(True))
     docs = docs.withColumn("_copy", F.explode(F.when(d % 10 == 0, both).otherwise(F.array(F.lit(False)))))

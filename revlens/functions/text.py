@@ -16,6 +16,13 @@ __all__ = [
 # the same pattern text works in Spark (Java regex) and DuckDB (RE2).
 WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
+# The same class without the blank, single Latin-1 characters one by one (Java tests these with
+# one table look-up).
+_NOT_BLANK = r"\t\n\x0B\f\r\x1C\x1D\x1E\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# Runs of white space other than one blank.  The look-ahead rejects visible ASCII, which is most
+# of a text, before the class is tested.
+_TO_COLLAPSE = rf"(?![!-~])(?:[{_NOT_BLANK}][{_NOT_BLANK} ]*+| [{_NOT_BLANK} ]++)"
+
 # Stop words ignored when a phrase is split into tokens.
 STOPWORDS = [
     "a", "an", "and", "are", "as", "be", "but", "by", "can", "could", "for",
@@ -33,7 +40,7 @@ def col_of(c) -> Column:
 
 def collapse_ws(c) -> Column:
     """Every run of white space becomes one blank."""
-    return F.regexp_replace(col_of(c), WS + "+", " ")
+    return F.regexp_replace(col_of(c), _TO_COLLAPSE, " ")
 
 
 def py_strip(c) -> Column:

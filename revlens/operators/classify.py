@@ -8,9 +8,10 @@ Per category the first phrase with the highest score wins; over categories the
 highest score wins, ties by category name.  No hit -> ('Other', 'Other').
 
 The taxonomy is configuration.  It enters the plan as one constant array of
-phrase structs, and one higher-order expression scores a text against it: the
-expression has the same size for ten phrases and for many thousands, and there
-is no join, no shuffle and no Python.
+phrase structs.  Up to DIRECT_PATTERNS distinct phrases and tokens, one higher-order
+expression scores a text against it, pattern by pattern; beyond that the substring index
+of ``phrase_index`` reads every text once, whatever their number.  Both give the same
+scores, without a join or a shuffle.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ import json
 from pyspark.sql import Column, DataFrame, functions as F
 
 from revlens.functions.text import meaningful_tokens, norm_match_text, py_strip
+from revlens.operators.phrase_index import pattern_count, phrase_scores
 
 MATCH_TEXT = "_match_text"
+DIRECT_PATTERNS = 64  # scans of a text that cost about as much as its way to a Python task
 _PHRASE = "array<struct<category:string,phrase_ord:int,phrase:string,np:string,wc:int,tokens:array<string>,need:int>>"
 
 
@@ -67,6 +70,14 @@ def _phrase_score(text: Column, phrase: Column) -> Column:
 
 def phrase_candidates(text: Column, specs) -> Column:
     """Array of struct(neg_score, category, phrase_ord, phrase) for the phrases that scored."""
+    if pattern_count(specs) > DIRECT_PATTERNS:
+        phrases = phrase_array(specs)
+
+        def named(m):
+            p = F.get(phrases, m["phrase"])
+            return F.struct((-m["score"]).alias("neg_score"), p["category"].alias("category"),
+                            p["phrase_ord"].alias("phrase_ord"), p["phrase"].alias("phrase"))
+        return F.transform(phrase_scores(text, specs), named)
     scored = F.transform(phrase_array(specs), lambda p: F.struct(
         (-_phrase_score(text, p)).alias("neg_score"), p["category"].alias("category"),
         p["phrase_ord"].alias("phrase_ord"), p["phrase"].alias("phrase")))

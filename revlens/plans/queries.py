@@ -672,7 +672,7 @@ def q_stream_merge(spark, sf):
     from revlens.session import fresh_dir
     existing, incoming = _split(spark, sf)
     base = fresh_dir(spark, "stream_merge")
-    job = ST.StreamMerge(spark, base)
+    job = ST.StreamMerge(spark, base, bits=3)
     job.initialise(existing)
     src = os.path.join(base, "incoming")
     doc = incoming.withColumn("_doc", F.floor(F.col(ORD) / 2))  # a review and its re-scrape land together

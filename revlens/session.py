@@ -65,6 +65,18 @@ def fresh_dir(spark: SparkSession, purpose: str) -> str:
     return os.path.join(shared_dir(spark, purpose), uuid.uuid4().hex)
 
 
+SPREAD_BYTES = 64 << 20  # of input for every core
+
+
+def spread(df, *keys: str):
+    """The rows dealt over all cores by ``keys`` if the input has less than SPREAD_BYTES for each: a
+    scan splits files at row groups, and a small table is often one.  Larger inputs are left as
+    the scan splits them.  This only decides which task handles a row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, *keys) if size < cores * SPREAD_BYTES else df
+
+
 def materialize(df):
     """Reliable checkpoint into the shared folder (``spark.checkpoint.dir``) that cuts the
     lineage.  The rows are persisted while the checkpoint is written, so the plan runs

@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 from revlens.functions.dates import iso_week_label
 from revlens.operators.dedupe import KEY, keep_first, with_key
 from revlens.schema import DEDUPE_KEYS, ORD
+from revlens.streaming.keystore import BITS, PREFIX, prefix, unseen
 
 BATCH = "_batch_id"
 
@@ -28,27 +29,34 @@ def _run(query) -> None:
 class StreamMerge:
     """Keep-first merge of incoming review files into a stored table.
 
-    ``stored`` is a parquet folder holding duplicate-free rows plus the key digest;
-    each micro-batch is de-duplicated in itself, anti-joined with the stored keys
-    and written to a partition folder of its own.  Added and total follow from the stored
-    rows, so they cannot differ from them; a replayed batch adds nothing."""
+    ``stored`` is a parquet folder holding duplicate-free rows plus the key digest, in partitions
+    by batch and by the digest's first bits; each micro-batch is de-duplicated in itself,
+    anti-joined with the stored keys of the partitions it hits and written to a partition folder
+    of its own.  Added and total follow from the stored rows, so they cannot differ from
+    them; a replayed batch adds nothing."""
 
-    def __init__(self, spark: SparkSession, base: str, keys=DEDUPE_KEYS):
-        self.spark, self.base, self.keys = spark, base, keys
+    def __init__(self, spark: SparkSession, base: str, keys=DEDUPE_KEYS, bits: int = BITS):
+        self.spark, self.base, self.keys, self.bits = spark, base, keys, bits
         self.stored = os.path.join(base, "stored")
         self.checkpoint = os.path.join(base, "checkpoint")
 
     def initialise(self, existing: DataFrame) -> None:
         first = with_key(keep_first(existing, self.keys), self.keys)
-        first.withColumn(BATCH, F.lit(-1).cast("long")).write.mode("errorifexists").partitionBy(BATCH).parquet(self.stored)
+        self._write(first, -1, "errorifexists")
+
+    def _write(self, rows: DataFrame, batch_id: int, mode: str) -> None:
+        dealt = rows.withColumn(PREFIX, prefix(F.col(KEY), self.bits)).repartition(PREFIX)  # a folder is written by one task
+        dealt.write.mode(mode).partitionBy(PREFIX).parquet(os.path.join(self.stored, f"{BATCH}={batch_id}"))
+
+    def new_rows(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """The batch's rows whose key is stored by no other batch."""
+        stored = batch.sparkSession.read.parquet(self.stored).filter(F.col(BATCH) != batch_id)
+        return unseen(with_key(keep_first(batch, self.keys), self.keys), stored, KEY, self.bits)
 
     def _batch(self, batch: DataFrame, batch_id: int) -> None:
         """A batch writes its own partition folder and nothing else, and a replay replaces that
         folder, so a crash at any point leaves rows and totals in step."""
-        spark = batch.sparkSession
-        stored = spark.read.parquet(self.stored).filter(F.col(BATCH) != batch_id).select(KEY)
-        new = with_key(keep_first(batch, self.keys), self.keys).join(stored, KEY, "left_anti")
-        new.write.mode("overwrite").parquet(os.path.join(self.stored, f"{BATCH}={batch_id}"))
+        self._write(self.new_rows(batch, batch_id), batch_id, "overwrite")
 
     def run(self, source: str, schema: StructType, files_per_batch: int | None = None) -> None:
         """Process the files that landed since the last run (one batch unless capped)."""
@@ -61,7 +69,7 @@ class StreamMerge:
         _run(q)
 
     def result(self) -> DataFrame:
-        return self.spark.read.parquet(self.stored).drop(KEY, BATCH)
+        return self.spark.read.parquet(self.stored).drop(KEY, BATCH, PREFIX)
 
     def batch_stats(self) -> DataFrame:
         """(batch_id, added, total), counted from the stored rows; one row per batch."""

@@ -84,6 +84,17 @@ def test_stream_merge_replay_adds_nothing(spark):
     assert job.result().count() == n == keep_first(raw).count()
 
 
+def test_stream_merge_reads_only_the_key_partitions_of_a_batch(spark):
+    raw = fixtures.reviews(spark, SMALL)
+    job = StreamMerge(spark, tempfile.mkdtemp(), bits=7)
+    job.initialise(raw)
+    batch = raw.filter("review_ord in (0, 1, 20)")
+    new = job.new_rows(batch.unionByName(batch.limit(1).withColumn("title", F.lit("not seen before"))), 0)
+    assert [r.title for r in new.collect()] == ["not seen before"]
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "_prefix" in plan.split("PartitionFilters: [")[-1].split("]")[0]
+
+
 def test_stream_merge_totals_after_a_crash(spark):
     """A batch that dies half-way (rows written, then the job fails) is replayed; totals hold."""
     raw = fixtures.reviews(spark, SMALL)
