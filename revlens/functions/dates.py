@@ -8,7 +8,7 @@ from revlens.functions.text import WS, col_of, py_strip
 
 __all__ = [
     "DATE_FORMATS", "parse_date_text", "parse_review_date", "format_review_date",
-    "clean_review_date", "dashboard_date", "iso_week_label", "format_date_or_raw",
+    "clean_review_date", "dashboard_time", "dashboard_date", "iso_week_label", "format_date_or_raw",
 ]
 
 # Parameter: formats tried in order by the lenient parser.
@@ -89,9 +89,14 @@ def clean_review_date(c) -> Column:
     return F.when(t.rlike("(?i)on "), py_strip(F.regexp_extract(t, "(?is)^.*on (.*)$", 1))).otherwise(t)
 
 
+def dashboard_time(c, formats=DATE_FORMATS) -> Column:
+    """F22, then the lenient parse: the date and time that sorting goes by."""
+    return parse_date_text(clean_review_date(c), formats)
+
+
 def dashboard_date(c, formats=DATE_FORMATS) -> Column:
     """Date used by the dashboard facets: F22 then the lenient parse, as DATE."""
-    return parse_date_text(clean_review_date(c), formats).cast("date")
+    return dashboard_time(c, formats).cast("date")
 
 
 def iso_week_label(d) -> Column:

@@ -121,3 +121,20 @@ def select(e: Element, selector: str):
     """Elements below ``e`` that match, in page order."""
     chain = _chain(selector)
     return (x for x in e.walk() if _matches(x, chain))
+
+
+def select_any(e: Element, selectors):
+    """Elements below ``e`` that match one of the selectors, in page order."""
+    chains = [_chain(s) for s in selectors]
+    return (x for x in e.walk() if any(_matches(x, c) for c in chains))
+
+
+def nearest(e: Element, selectors) -> Element | None:
+    """The nearest element around ``e`` that fits the first selector that any of them fits."""
+    for selector in selectors:
+        chain, up = _chain(selector), e.parent
+        while up is not None:
+            if _matches(up, chain):
+                return up
+            up = up.parent
+    return None

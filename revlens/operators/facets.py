@@ -53,12 +53,22 @@ def semi_join_models(analysis: DataFrame, filtered: DataFrame) -> DataFrame:
     return analysis.join(filtered.select("model_id"), "model_id", "left_semi")
 
 
-def model_channel_pivot(df: DataFrame) -> DataFrame:
+def model_channel_rollup(df: DataFrame) -> DataFrame:
+    """A8 in long form with all margins: counts per (model, channel), per model, per channel and over
+    all.  ``margin`` is 0 for a cell, 1 for a model's total (no channel), 2 for a channel's total
+    (no model), 3 for the grand total.  Any number of channels; one aggregate."""
+    counted = df.cube("model_id", "channel").agg(F.count(F.lit(1)).cast("bigint").alias("n_reviews"), F.grouping_id("model_id", "channel").cast("int").alias("margin"))
+    return counted.select("model_id", "channel", "margin", "n_reviews")
+
+
+def model_channel_pivot(df: DataFrame, channels=None) -> DataFrame:
     """Model x channel review counts, 0-filled, with the row total; one column for every
-    channel that occurs.  Rows are counted once per (model, channel); the channel names and
-    the pivot come from these counts."""
+    channel of the list ``channels``, or without a list for every one that occurs.  Rows are
+    counted once per (model, channel); names and pivot come from these counts.  Unknown sites are
+    channels of their own, so give the list, or use ``model_channel_rollup``, where they
+    may be many."""
     counts = materialize(df.groupBy("model_id", "channel").agg(F.count(F.lit(1)).alias("n")))
-    channels = sorted(r["channel"] for r in counts.select("channel").distinct().collect())
+    channels = channels or sorted(r["channel"] for r in counts.select("channel").distinct().collect())
     cells = [F.coalesce(F.sum(F.when(F.col("channel") == c, F.col("n"))), F.lit(0)).cast("bigint").alias(c) for c in channels]
     return counts.groupBy("model_id").agg(*cells, F.sum("n").cast("bigint").alias("total"))
 
@@ -101,6 +111,26 @@ def kpis(filtered: DataFrame, detail: DataFrame) -> DataFrame:
     return top.unionByName(done)
 
 
+SKETCH_BITS = 12  # 2**12 registers: a standard error of about 1.6 %
+
+
+def weekly_sketches(df: DataFrame, column: str = "author") -> DataFrame:
+    """A13, approximate: per week the reviews and a sketch of the distinct values of ``column``.  The rows
+    can be stored and merged with those of other runs."""
+    dated = df.filter(F.col("review_day").isNotNull())
+    return dated.groupBy("week").agg(F.count(F.lit(1)).cast("bigint").alias("n_reviews"),
+                                     F.hll_sketch_agg(F.coalesce(F.col(column), F.lit("")), F.lit(SKETCH_BITS)).alias("sketch"))
+
+
+def merge_sketches(*parts: DataFrame, by=()) -> DataFrame:
+    """Stored sketch rows merged per ``by`` (all into one without): exact row counts, estimated
+    distinct values.  No review is read again."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.groupBy(*by).agg(F.sum("n_reviews").cast("bigint").alias("n_reviews"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_distinct"))
+
+
 def facet_values(df: DataFrame) -> DataFrame:
     """Distinct values per facet (long form) plus the date bounds, from one pass: each row
     gives its facet values, and one aggregate keeps the distinct ones and the date bounds."""

@@ -77,8 +77,21 @@ def new_records_per_page(pages: DataFrame) -> DataFrame:
     return first.unionByName(every).groupBy("target", "page_id").agg(F.sum("n").cast("bigint").alias("n_new"))
 
 
-def crawl_cutoff(per_page: DataFrame, k: int, order="page_id") -> DataFrame:
-    """Keep the pages of each target up to the k-th page in a row without new records.
+# Pages in a row without new records that end a crawl, by source; 1 elsewhere.
+CUTOFF = {"walmart": 5, "walmart_feed": 3}
+
+
+def cutoff_lengths(targets: DataFrame, source_col: str = "source") -> DataFrame:
+    """(target, k): the cut-off length of every (target, source) row."""
+    k = F.lit(1)
+    for source, n in CUTOFF.items():
+        k = F.when(F.col(source_col) == source, n).otherwise(k)
+    return targets.select("target", k.alias("k"))
+
+
+def crawl_cutoff(per_page: DataFrame, k: int | DataFrame, order="page_id") -> DataFrame:
+    """Keep the pages of each target up to the k-th page in a row without new records; ``k`` is one
+    number or a table (target, k), targets without a row in it have 1.
 
     Pages are numbered per target by ``sequence`` (range-sorted, so a host with most of the
     pages is spread over many tasks).  The crawl stops k pages after the first page with new
@@ -91,9 +104,15 @@ def crawl_cutoff(per_page: DataFrame, k: int, order="page_id") -> DataFrame:
     full = pages.filter("n_new > 0").select("target", "_n")
     last = pages.groupBy("target").agg(F.max("_n").alias("_last"))
     places = full.unionByName(last.select("target", F.lit(0).cast("bigint").alias("_n")))
-    ahead = places.select("target", F.col("_n").alias("_from"), F.explode(F.sequence(F.col("_n") + 1, F.col("_n") + k)).alias("_n"))
-    goes_on = ahead.join(full.withColumn("_full", F.lit(1)), ["target", "_n"], "left").groupBy("target", "_from").agg(F.max("_full").alias("_full"))
-    stop = goes_on.filter("_full is null").groupBy("target").agg((F.min("_from") + k).alias("_stop"))
+    if isinstance(k, int):
+        places = places.withColumn("_k", F.lit(k))
+    else:
+        lengths = k.groupBy("target").agg(F.max("k").alias("_k"))
+        places = places.join(lengths, "target", "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
+    ahead = places.select("target", F.col("_n").alias("_from"), "_k", F.explode(F.sequence(F.col("_n") + 1, F.col("_n") + F.col("_k"))).alias("_n"))
+    goes_on = (ahead.join(full.withColumn("_full", F.lit(1)), ["target", "_n"], "left").groupBy("target", "_from")
+               .agg(F.max("_full").alias("_full"), F.max("_k").alias("_k")))
+    stop = goes_on.filter("_full is null").groupBy("target").agg(F.min(F.col("_from") + F.col("_k")).alias("_stop"))
     stops = (pages.select("target", F.col("_n").alias("_stop"), F.col(order).alias("stop_at"))
              .join(stop, ["target", "_stop"]).drop("_stop"))
     out = per_page.join(stops, "target", "left")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from revlens.functions.dates import format_date_or_raw, parse_date_text, parse_review_date
+from revlens.functions.dates import dashboard_time, format_date_or_raw, parse_date_text
 from revlens.functions.ratings import parse_rating, round_share, safe_ratio
 from revlens.functions.size import ALL_SIZES, UNKNOWN_SIZE, extract_size
 from revlens.functions.text import col_of, py_strip
@@ -134,12 +134,13 @@ def secondary_summary(labeled: DataFrame, label="primary_label", label2="seconda
                     round_share(safe_ratio("n_issues", "total")).alias("share")))
 
 
-def newest_first_key(date_col="review_date", parser=parse_review_date):
-    """O1: sort key list - parsed date desc with undated last, then row order (stable)."""
+def newest_first_key(date_col="review_date", parser=dashboard_time):
+    """O1: sort key list - parsed date desc with undated last, then row order (stable).  Dates are
+    read after the last "on" (F22); ``parse_review_date`` (the first "on", F20) is the other reading."""
     return [parser(date_col).desc_nulls_last(), F.col(ORD).asc()]
 
 
-def detail_seq(df: DataFrame, date_col="review_date", parser=parse_review_date, part="model_id") -> DataFrame:
+def detail_seq(df: DataFrame, date_col="review_date", parser=dashboard_time, part="model_id") -> DataFrame:
     """1..n per model, newest first.  Numbered by the range-sorted ``sequence`` job,
     not a window per model, so a model holding most rows is still split over many tasks."""
     from revlens.operators.sequence import sequence

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from revlens.functions.dates import format_review_date, parse_review_date
+from revlens.functions.dates import dashboard_time, format_review_date
 from revlens.functions.size import extract_size
 from revlens.operators.sequence import review_ids
 from revlens.schema import ORD, display_columns
@@ -21,7 +21,7 @@ def template_order():
 
 def labeling_template(low: DataFrame) -> DataFrame:
     t = (low.withColumn("size", extract_size())
-         .withColumn("_sort_date", parse_review_date("review_date"))
+         .withColumn("_sort_date", dashboard_time("review_date"))
          .withColumn("review_date", format_review_date("review_date"))
          .withColumn("overall_rating", F.coalesce(F.col("overall_rating"), F.lit(""))))
     t = review_ids(t, template_order()).drop("_sort_date")

@@ -396,6 +396,8 @@ def dashboard_statements() -> dict:
     S["model_channel_pivot"] = base + " SELECT model_id, " + ", ".join(
         f"count(*) FILTER (WHERE channel = '{c}')::BIGINT AS \"{c}\"" for c in chans) + \
         ", count(*)::BIGINT AS total FROM dash GROUP BY model_id"
+    S["model_channel_rollup"] = base + " SELECT model_id, channel, GROUPING(model_id, channel)::INTEGER AS margin, count(*)::BIGINT AS n_reviews FROM dash GROUP BY CUBE (model_id, channel)"
+    S["weekly_authors"] = base + " SELECT week, count(*)::BIGINT AS n_reviews, count(DISTINCT coalesce(author, ''))::BIGINT AS n_authors FROM dash WHERE week <> '' GROUP BY week"
     S["weekly_trend"] = base + " SELECT week, model_id, count(*)::BIGINT AS n_reviews FROM dash WHERE week <> '' GROUP BY week, model_id"
     S["weekly_trend_one"] = base + (" SELECT week, model_id, count(*)::BIGINT AS n_reviews FROM dash WHERE week <> '' "
                                     "AND model_id IN ('A7', 'C8') GROUP BY week, model_id")
@@ -649,11 +651,15 @@ def page_statements() -> dict:
         LEFT JOIN (SELECT target, page_id, count(*) AS n FROM firsts GROUP BY target, page_id) c
           ON c.target = tp.target AND c.page_id = tp.page_id)"""
     S["dedupe_page_records"] = per_page + " SELECT * FROM per_page"
-    S["crawl_cutoff"] = per_page + """,
+    cutoff = lambda k: per_page + f""",
       isl AS (SELECT *, sum(CASE WHEN n_new = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY target ORDER BY page_id ROWS UNBOUNDED PRECEDING) AS island FROM per_page),
       stk AS (SELECT *, CASE WHEN n_new = 0 THEN row_number() OVER (PARTITION BY target, island ORDER BY page_id) - CASE WHEN island > 0 THEN 1 ELSE 0 END END AS streak FROM isl),
-      st AS (SELECT *, min(CASE WHEN streak >= 1 THEN page_id END) OVER (PARTITION BY target) AS stop_at FROM stk)
-      SELECT target, page_id, n_new, stop_at, (stop_at IS NULL OR page_id <= stop_at) AS kept FROM st"""
+      st AS (SELECT *, min(CASE WHEN streak >= {k} THEN page_id END) OVER (PARTITION BY target) AS stop_at FROM stk)
+      SELECT target, page_id, n_new, stop_at, (stop_at IS NULL OR page_id <= stop_at) AS kept FROM st"""
+    S["crawl_cutoff"] = cutoff(1)
+    S["crawl_cutoff_by_source"] = cutoff("[5, 3, 1][length(target) % 3 + 1]")
+    S["captured_pages"] = """SELECT page_id, regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1) AS host,
+        sha256(page_id || ' ' || coalesce(html, '') || chr(10)) AS html_sha256 FROM pages"""
     return S
 
 
@@ -744,6 +750,7 @@ def stream_statements() -> dict:
     S["stream_dedupe"] = """SELECT event_id, user_id, event_type FROM (
         SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events WHERE user_id IS NOT NULL)
       WHERE before IS NULL OR ts - before > INTERVAL 1 HOUR"""
+    S["stream_first_seen"] = "SELECT DISTINCT user_id, event_type FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL"
     S["stream_weekly"] = "SELECT strftime(ts, '%G-W%V') AS week, event_type, count(*)::BIGINT AS n_events FROM events GROUP BY 1, 2"
     return S
 
@@ -801,8 +808,12 @@ def extract_statements() -> dict:
           SELECT review_ord AS page_id, 0::INTEGER AS block_no, {"'R' || CAST(review_ord AS VARCHAR)" if shop == "amazon" else "NULL::VARCHAR"} AS block_id,
                  {rating} AS rating, {clean('title')} AS title, {clean('review_text')} AS review_text, {clean('review_date')} AS review_date, {author} AS author,
                  {clean('verified') if shop == 'amazon' else 'NULL::VARCHAR'} AS verified,
-                 {"CASE WHEN review_ord % 3 = 0 THEN '55寸' END" if shop == 'amazon' else 'NULL::VARCHAR'} AS size
+                 {"CASE review_ord % 3 WHEN 0 THEN '55寸' WHEN 1 THEN '43寸' END" if shop == 'amazon' else 'NULL::VARCHAR'} AS size
           FROM reviews WHERE (review_ord // 2) % 4 = {i}) WHERE review_text IS NOT NULL OR title IS NOT NULL"""
+    S["extract_reviews_generic"] = base + f""" SELECT * FROM (
+          SELECT review_ord AS page_id, 0::INTEGER AS block_no, NULL::VARCHAR AS block_id, {number('rating')} AS rating, {clean('title')} AS title, {clean('review_text')} AS review_text,
+                 {clean('review_date')} AS review_date, {clean('author')} AS author, NULL::VARCHAR AS verified, NULL::VARCHAR AS size FROM reviews)
+          WHERE review_text IS NOT NULL OR title IS NOT NULL"""
     n = "(review_ord // 2)"
     body = f"NULLIF(CASE WHEN {n} % 7 = 0 THEN CASE WHEN {clean('review_text')} IS NULL THEN 'more' ELSE {clean('review_text')} || ', more' END ELSE {clean('review_text')} END, '')"
     record = f"""SELECT review_ord AS page_id, model_id, {number('rating')} AS rating, {clean('title')} AS title, {body} AS review_text,
@@ -829,6 +840,19 @@ def extract_statements() -> dict:
       ranked AS (SELECT *, row_number() OVER (PARTITION BY model_id, coalesce(rating, ''), lower(coalesce(title, '')), lower(coalesce(review_text, '')),
                                               coalesce(review_date, ''), lower(coalesce(author, '')) ORDER BY page_id) AS rn FROM found)
       SELECT * EXCLUDE (rn) FROM ranked WHERE rn = 1""".replace("{n}", n)
+    captured = base + """,
+      r AS (SELECT *, CASE WHEN review_ord % 7 = 0 THEN 1 WHEN starts_with(site, 'b') THEN 2 ELSE 3 END AS source_rank FROM reviews),
+      t AS (SELECT model_id, site, CASE WHEN starts_with(site, 'bby') THEN 0 ELSE min(source_rank) END AS best FROM r GROUP BY model_id, site)"""
+    S["sources_used"] = captured + """ SELECT t.model_id, t.site, best::INTEGER AS source_rank, count(r.review_ord)::BIGINT AS n_records
+      FROM t LEFT JOIN r ON r.model_id = t.model_id AND r.site = t.site AND r.source_rank = best GROUP BY ALL
+      UNION ALL SELECT DISTINCT model_id, 'asked only', 2, 0 FROM t"""
+    S["source_precedence_status"] = captured + " SELECT review_ord, source_rank FROM r JOIN t USING (model_id, site) WHERE source_rank = best"
+    S["carried_rating"] = base + f""",
+      p AS (SELECT review_ord AS page_id, model_id, {overall} AS own FROM reviews),
+      f AS (SELECT model_id, min(page_id) AS at, arg_min(own, page_id) AS r FROM p WHERE own IS NOT NULL GROUP BY model_id),
+      m AS (SELECT model_id, '4.' || CAST(count(*) % 10 AS VARCHAR) AS r FROM reviews WHERE model_id IN ('A7', 'C8') GROUP BY model_id)
+      SELECT p.page_id, p.model_id, coalesce(m.r, CASE WHEN p.page_id >= f.at THEN f.r END) AS overall_rating
+      FROM p LEFT JOIN f USING (model_id) LEFT JOIN m USING (model_id)"""
     S["source_precedence"] = base + """,
       r AS (SELECT *, CASE WHEN review_ord % 7 = 0 THEN 1 WHEN starts_with(site, 'b') THEN 2 ELSE 3 END AS source_rank FROM reviews)
       SELECT review_ord, source_rank FROM (SELECT *, min(source_rank) OVER (PARTITION BY model_id, site) AS best FROM r) WHERE source_rank = best"""

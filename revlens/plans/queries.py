@@ -363,6 +363,23 @@ def q_kpis(spark, sf):
     return facets.kpis(_filtered(spark, sf), classified(a).select("model_id", ORD))
 
 
+@query("model_channel_rollup")
+def q_model_channel_rollup(spark, sf):
+    """A8, long form: model x channel counts with every margin."""
+    return facets.model_channel_rollup(_dash(spark, sf))
+
+
+@query("weekly_authors")
+def q_weekly_authors(spark, sf):
+    """A13, sketch form: the weekly sketches of two runs, stored, read back and merged per week."""
+    from revlens.session import fresh_dir
+    d = facets.dashboard_reviews(dedupe.keep_first(fixtures.reviews(spark, sf), carry=[ORD, "rating", "review_date", "author"]))
+    path = fresh_dir(spark, "sketches")
+    for run in (0, 1):
+        facets.weekly_sketches(d.filter(F.floor(F.col(ORD) / 2) % 2 == run)).write.parquet(f"{path}/run={run}")
+    return facets.merge_sketches(spark.read.parquet(path), by=["week"]).withColumnRenamed("n_distinct", "n_authors")
+
+
 @query("facet_values")
 def q_facet_values(spark, sf):
     """Values offered per facet and the date bounds."""
@@ -602,6 +619,28 @@ def q_crawl_cutoff(spark, sf):
     return PG.crawl_cutoff(PG.new_records_per_page(_pages(spark, sf)), CUTOFF_K)
 
 
+@query("crawl_cutoff_by_source")
+def q_crawl_cutoff_by_source(spark, sf):
+    """The same with the cut-off length of every target's source (5, 3 and 1 pages)."""
+    per_page = PG.new_records_per_page(_pages(spark, sf))
+    sources = F.array(F.lit("walmart"), F.lit("walmart_feed"), F.lit("bestbuy"))
+    targets = per_page.select("target").distinct().withColumn("source", F.get(sources, F.length("target") % 3))
+    return PG.crawl_cutoff(per_page, PG.cutoff_lengths(targets))
+
+
+@query("captured_pages")
+def q_captured_pages(spark, sf):
+    """All pages written as one file each, in a folder per host, and read back."""
+    from revlens.session import fresh_dir
+    from revlens.sources.reviews import read_captured_pages
+    folder = fresh_dir(spark, "captured")
+    rows = _pages(spark, sf).select(MK.url_host("url").alias("host"), F.concat(F.col("page_id").cast("string"), F.lit(" "), F.coalesce("html", F.lit(""))).alias("value"))
+    rows.write.option("maxRecordsPerFile", 1).partitionBy("host").text(folder)
+    read = read_captured_pages(spark, folder, "*.txt")
+    return read.select(F.split("html", " ", 2)[0].cast("long").alias("page_id"), F.regexp_extract("model_id", "^host=(.*)$", 1).alias("host"),
+                       F.sha2(F.col("html"), 256).alias("html_sha256"))
+
+
 # ---------------------------------------------------------------- crawl targets
 from revlens.functions.sites import star_filter  # noqa: E402
 from revlens.operators import targets as TG  # noqa: E402
@@ -709,6 +748,19 @@ def q_stream_dedupe(spark, sf):
     return job.result()
 
 
+@query("stream_first_seen")
+def q_stream_first_seen(spark, sf):
+    """T3, immediate form: one event of every (user, type), with a delay that spans all events."""
+    from revlens.session import fresh_dir
+    ev = fixtures.table(spark, sf, "events")
+    job = ST.StreamFirstSeen(spark, fresh_dir(spark, "stream_first_seen"), ["user_id", "event_type"], "40000 days")
+    timed = ev.withColumn("_s", F.unix_micros(F.col("ts").cast("timestamp")))
+    for land in _land_in_chunks(timed, job.source, STREAM_CHUNKS, "_s"):
+        land()
+        job.run(timed.schema)
+    return job.result().select("user_id", "event_type")
+
+
 # ---------------------------------------------------------------- report grid, fallback taxonomy
 from revlens.operators import grid as GR  # noqa: E402
 from revlens.sources.taxonomy import fallback_taxonomy  # noqa: E402
@@ -805,6 +857,12 @@ for _shop in SP.SHOPS:
     _extract_query(_shop)
 
 
+@query("extract_reviews_generic")
+def q_extract_reviews_generic(spark, sf):
+    """J8 + X1: pages of other shops, their profile resolved by the profile table."""
+    return EX.extract_reviews(EX.with_profile(SP.other_pages(spark, sf)))
+
+
 @query("embedded_json_reviews")
 def q_embedded_json_reviews(spark, sf):
     """X3 + F29: reviews found in the scripts of every page."""
@@ -846,6 +904,38 @@ def q_source_precedence(spark, sf):
     return EX.source_precedence(r).select(ORD, "source_rank")
 
 
+def _captures(spark, sf):
+    """Reviews with the source they came from, and the capture status: a feed (rank 0) that gave no rows
+    answered for some sites and failed for the others; one more target was only asked."""
+    r = fixtures.reviews(spark, sf).withColumn("source_rank", F.when(F.col(ORD) % 7 == 0, F.lit(1)).when(F.col("site").startswith("b"), F.lit(2)).otherwise(F.lit(3)))
+    status = (r.groupBy("model_id", "site").agg(F.min(ORD).alias(ORD))
+              .select("model_id", "site", F.lit(0).alias("source_rank"), F.startswith("site", F.lit("bby")).alias("answered")))
+    asked = status.select("model_id", F.lit("asked only").alias("site"), F.lit(2).alias("source_rank"), F.lit(True).alias("answered")).distinct()
+    return r, status.unionByName(asked)
+
+
+@query("sources_used")
+def q_sources_used(spark, sf):
+    """Per model and site the source that counts and its rows, also where it answered without any."""
+    return EX.sources_used(*_captures(spark, sf))
+
+
+@query("source_precedence_status")
+def q_source_precedence_status(spark, sf):
+    """The rows of the source that counts, by rows and capture status."""
+    r, status = _captures(spark, sf)
+    return EX.source_precedence(r, status=status).select(ORD, "source_rank")
+
+
+@query("carried_rating")
+def q_carried_rating(spark, sf):
+    """X8 + X4: the product rating that goes with every page: of the product page, else of the pages so far."""
+    pages = SP.json_pages(spark, sf)
+    ratings = EM.overall_rating(pages).join(pages.select("page_id", "model_id"), "page_id")
+    product = fixtures.reviews(spark, sf).filter("model_id in ('A7', 'C8')").groupBy("model_id").agg(F.concat(F.lit("4."), F.count(F.lit(1)) % 10).alias("overall_rating"))
+    return EX.carried_rating(ratings, product).select("page_id", "model_id", "overall_rating")
+
+
 # ---------------------------------------------------------------- SQL API
 @query("sql_functions")
 def q_sql_functions(spark, sf):

@@ -48,7 +48,8 @@ def block(shop: str) -> Column:
                    p("<i data-hook='review-star-rating'><span class='a-icon-alt'>", "rating", "</span></i>", plain),
                    p("<a data-hook='review-title' href='#'><span>", "title", "</span></a>"), p("<span data-hook='review-date'>", "review_date", "</span>", plain),
                    p('<span class="x a-profile-name">', "author", "</span>", plain), p("<span data-hook='avp-badge'>", "verified", "</span>", plain),
-                   F.when(F.col("page_id") % 3 == 0, F.lit("<div data-hook='format-strip'>Style: New | Size: 55&nbsp;inch</div>")).otherwise(F.lit("")),
+                   F.when(F.col("page_id") % 3 == 0, F.lit("<div data-hook='format-strip'>Style: New | Size: 55&nbsp;inch</div>"))
+                   .when(F.col("page_id") % 3 == 1, F.lit("<div class='a-row a-spacing-mini'>Color: Black</div><div class='a-row a-spacing-none'>The 43&nbsp;inch one</div>")).otherwise(F.lit("")),
                    p("<span data-hook='review-body'><span>", "review_text", "</span></span>"), F.lit("</div>")],
         "bestbuy": [F.lit("<ul class='c-reviews-list'><li class='review-item'>"), p('<div class="c-ratings-reviews"><p class="c-ratings">', "rating", "</p></div>", plain),
                     p("<h3 class='c-review-title'>", "title", "</h3>"), p("<time>", "review_date", "</time>", plain),
@@ -59,6 +60,9 @@ def block(shop: str) -> Column:
         "target": [F.lit("<div data-test='review'>"), p("<b data-test='rating'>", "rating", "</b>", plain), p("<h4 data-test='review-title'>", "title", "</h4>"),
                    p("<i data-test='review-date'>", "review_date", "</i>", plain), p("<span data-test='review-author'>", "author", "</span>", plain),
                    p("<div data-test='review-body'>", "review_text", "</div>"), F.lit("</div>")],
+        "generic": [F.lit("<div class='row' data-hook='review'>"), p("<i data-hook='review-star-rating'><span>", "rating", "</span></i>", plain), p("<span class='review-title'>", "title", "</span>"),
+                    p("<span data-hook='review-date'>", "review_date", "</span>", plain), p("<span class='a-profile-name'>", "author", "</span>", plain),
+                    p("<div class='review-text-content'><span>", "review_text", "</span></div>"), F.lit("</div>")],
     }
     return F.concat(*parts[shop])
 
@@ -78,6 +82,14 @@ def shop_pages(spark: SparkSession, sf_dir: str, shop: str) -> DataFrame:
     return all_shop_pages(spark, sf_dir).filter(F.col("profile") == shop)
 
 
+def other_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, html, site): every review as a page of a shop without a registered kind: 'target', and
+    two that only the default selectors know."""
+    rows = shop_rows(spark, sf_dir).withColumn("site", F.element_at(F.array(F.lit("Target "), F.lit("csc"), F.lit("new_shop")), (F.floor(F.col(ORD) / 2) % 3 + 1).cast("int")))
+    shown = F.when(F.col("site") == "Target ", block("target")).otherwise(block("generic"))
+    return rows.select("page_id", F.col("source_url").alias("url"), F.concat(F.lit("<html><body>"), shown, F.lit("</body></html>")).alias("html"), "site")
+
+
 def json_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose review and product rating stand in their scripts, at some depth: odd pages
     nest one level more; every fifth holds a broken script before; the review of a seventh

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from revlens.functions.dates import format_date_or_raw
+from revlens.functions.markup import natural_key
 from revlens.functions.size import extract_size
 from revlens.functions.text import py_strip
 from revlens.schema import LABELED_REQUIRED, has_columns, normalize_schema, require_columns
@@ -62,9 +65,19 @@ def latest_snapshot(spark: SparkSession, folder: str, skip=("__deduped_tmp", "_d
     return best
 
 
+def _decoded(files):
+    """File contents as text; bytes that are no UTF-8 are left out."""
+    for content in files:
+        yield pa.array([None if b is None else b.decode("utf-8", "ignore") for b in content.to_pylist()], pa.string())
+
+
 def read_captured_pages(spark: SparkSession, folder: str, glob: str = "*.htm*") -> DataFrame:
-    """One row per saved page file; model = its parent folder name; decode errors ignored."""
-    df = (spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
-          .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html")))
-    return (df.withColumn("model_id", F.element_at(F.split("path", "/"), -2))
-            .withColumn("file_name", F.element_at(F.split("path", "/"), -1)))
+    """One row per saved page file: path, model_id (its parent folder's name), file_name, file_key (for
+    natural order, O4) and html.  Bytes that are no UTF-8 are left out, the rest of the page stays; Spark's scan
+    leaves out files without any bytes."""
+    def decode(files: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _decoded(files)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
+    part = lambda i: F.element_at(F.split("path", "/"), i)
+    pages = files.select("path", part(-2).alias("model_id"), part(-1).alias("file_name"), F.arrow_udf(decode, "string")(F.col("content")).alias("html"))
+    return pages.withColumn("file_key", natural_key("file_name"))

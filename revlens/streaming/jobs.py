@@ -130,6 +130,31 @@ def dedupe_stream(events: DataFrame, keys, ts: str = "ts", delay: str = "1 hour"
             .select(F.col(f"first.{order}").alias(order), *keys))
 
 
+def first_seen_stream(events: DataFrame, keys, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
+    """T3, immediate form: an event passes at once unless one of its key was seen within the delay; the
+    state of a key is dropped when the watermark passes its last event plus ``delay``."""
+    return events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay).dropDuplicatesWithinWatermark(list(keys))
+
+
+class StreamFirstSeen:
+    """T3 immediate runner.  Rows without keys do not count; files are taken in the order of their
+    names, so each batch holds what landed next."""
+
+    def __init__(self, spark: SparkSession, base: str, keys, delay: str = "1 hour"):
+        self.spark, self.keys, self.delay = spark, list(keys), delay
+        self.source, self.out, self.checkpoint = (os.path.join(base, d) for d in ("in", "out", "checkpoint"))
+
+    def run(self, schema: StructType, ts: str = "ts") -> None:
+        stream = self.spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(self.source)
+        keyed = stream.dropna(subset=self.keys)
+        q = (first_seen_stream(keyed, self.keys, ts, self.delay).drop("_ts").writeStream.format("parquet").option("path", self.out)
+             .option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start())
+        _run(q)
+
+    def result(self) -> DataFrame:
+        return self.spark.read.parquet(self.out)
+
+
 class StreamDedupe:
     """T3 runner: every closed burst's first event is appended once.  ``run`` processes the
     files that landed in time order; ``finish`` lands one row without keys that is later
