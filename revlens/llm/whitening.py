@@ -18,7 +18,7 @@ small R gives components V P and deviations.  All steps up to the dimension or t
 taken, except that from CHECK steps on the search ends when the residuals |Z R p - s^2 V p| of the wanted
 components are below TOLERANCE and a restart from a new vector has not changed them.
 
-Only sums of the size of the dimension leave the tasks, added up by a Spark aggregate.
+Only sums of the size of the dimension and the steps leave the tasks, from MOST_SHARES tasks at most.
 
 Defined results: rows whose vector is null, empty, or holds null or non-finite entries take no part,
 nor do vectors whose length is not the most frequent one (ties: the longer).  Repeated rows are
@@ -38,6 +38,8 @@ from revlens.llm.store import stored
 SCALE = 256
 COMPONENTS = 4
 BLOCK_BYTES = 2 << 20    # of one block of the fit list
+TASK_BYTES = 8 << 20     # of blocks that are worth a task
+MOST_SHARES = 4096       # tasks of a pass, and so rows of sums that reach the driver
 TOLERANCE = 1e-13        # of a residual, against the largest variance
 VANISHED = 1e-12         # a deviation this small against the largest is none
 CHECK = 128              # steps before an early end is looked for
@@ -76,40 +78,32 @@ class FitList:
                     step = max(1, BLOCK_BYTES // (8 * x.shape[1]))
                     parts = [x[i:i + step] for i in range(0, len(x), step)]
                     yield pa.RecordBatch.from_arrays([pa.array([len(p) for p in parts], pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["n", "x"])
-        self.blocks = stored(rows.select("x").distinct().mapInArrow(packed, "n long, x binary"), "fit-list")
-        self.n = self.blocks.agg(F.sum("n")).first()[0] or 0
+        blocks = stored(rows.select("x").distinct().mapInArrow(packed, "n long, x binary"), "fit-list")
+        self.n = blocks.agg(F.sum("n")).first()[0] or 0
         first = rows.select(F.size("x")).first()
         self.d = first[0] if first else 0
+        self.blocks = blocks.select("x").coalesce(max(1, min(MOST_SHARES, -(-8 * self.n * self.d // TASK_BYTES))))
         if self.n:
-            # in two halves, whose sums over any number of rows fit a decimal exactly
-            def halves(x):
-                return np.concatenate([(x >> 32).sum(0), (x & 0xFFFFFFFF).sum(0)])
-            sums = self.total(halves, 2 * self.d, "decimal(38,0)", raw=True)
+            # in two halves, whose sums over the rows of a task fit a long
+            sums = self.total(lambda x: np.concatenate([(x >> 32).sum(0), (x & 0xFFFFFFFF).sum(0)]), raw=True)
             self.sums = [(int(a) << 32) + int(b) for a, b in zip(sums[:self.d], sums[self.d:])]
             self.mean = np.array([s / self.n for s in self.sums])
 
-    def total(self, share, width: int, kind: str = "double", raw: bool = False) -> list:
-        """The sum over all blocks of ``share`` of a block's centred (or raw) rows, ``width`` numbers."""
-        d, mean = self.d, None if raw else self.mean
-        names = [f"v{i}" for i in range(width)]
-        given = "long" if raw else kind
+    def total(self, share, raw: bool = False):
+        """The sum over all blocks of ``share`` of a block's centred (or raw) rows.  A task gives one row;
+        there are at most MOST_SHARES, added up in order, so reruns agree."""
+        d, mean, kind = self.d, None if raw else self.mean, pa.int64() if raw else pa.float64()
 
         def shares(batches):
-            total = None
+            total = 0
             for batch in batches:
                 for data in batch.column("x").to_pylist():
                     x = np.frombuffer(data, np.int64).reshape(-1, d)
-                    one = share(x) if raw else share(x.astype(float) - mean)
-                    if raw:
-                        yield pa.RecordBatch.from_arrays([pa.array([int(v)]) for v in one], names)
-                    else:
-                        total = one if total is None else total + one
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total], names)
-        out = self.blocks.select("x").mapInArrow(shares, ", ".join(f"{c} {given}" for c in names))
-        if raw:
-            out = out.selectExpr(*(f"cast({c} as decimal(38,0)) {c}" for c in names))
-        return list(out.groupBy().sum(*names).first())
+                    total = total + share(x if raw else x.astype(float) - mean)
+            if not np.isscalar(total):
+                yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(kind))], ["v"])
+        rows = self.blocks.mapInArrow(shares, "v array<long>" if raw else "v array<double>").toArrow().column("v").to_pylist()
+        return sum(np.array(r, object if raw else float) for r in rows)
 
 
 def left_vectors(x, v, r, pivots):
@@ -132,7 +126,7 @@ def bidiagonalise(fit: FitList, wanted: int = COMPONENTS, check: int = CHECK):
     """(components, variances): unit vectors as columns by falling variance, those that vanish left out."""
     d, random = fit.d, np.random.default_rng(SEED)
     v, z, r, pivots = np.zeros((d, 0)), np.zeros((d, 0)), np.zeros((0, 0)), []
-    scale = float(np.sqrt(fit.total(lambda x: np.array([(x * x).sum()]), 1)[0]))
+    scale = float(np.sqrt(fit.total(lambda x: np.array([(x * x).sum()]))[0]))
     if not scale:
         return v, np.zeros(0)
     nxt, settled = random.standard_normal(d), None
@@ -143,13 +137,13 @@ def bidiagonalise(fit: FitList, wanted: int = COMPONENTS, check: int = CHECK):
                 break
             nxt = left
         nxt, rank = left / np.linalg.norm(left), len(pivots)
-        first = np.array(fit.total(lambda x: left_vectors(x, v, r, pivots).T @ (x @ nxt), rank)) if rank else np.zeros(0)
+        first = fit.total(lambda x: left_vectors(x, v, r, pivots).T @ (x @ nxt)) if rank else np.zeros(0)
 
         def second(x):
             u = left_vectors(x, v, r, pivots)
             p = x @ nxt - u @ first
             return np.concatenate([u.T @ p, [p @ p], x.T @ p])
-        sums = np.array(fit.total(second, rank + 1 + d))
+        sums = fit.total(second)
         again, alpha = sums[:rank], np.sqrt(max(0.0, sums[rank] - sums[:rank] @ sums[:rank]))
         v, r = np.column_stack([v, nxt]), np.column_stack([r, first + again])
         if alpha > VANISHED * scale:
@@ -199,7 +193,7 @@ def whiten(embeddings: DataFrame, vector: str = "embedding", components: int = C
     if not k:
         return rows.sparkSession.createDataFrame([], schema)
     weights = axes / np.sqrt(variances)
-    moments = np.array(fit.total(lambda x: np.concatenate([((x @ weights).T @ (x @ weights)).ravel(), (x @ weights).sum(0), [(x * x).sum()]]), k * k + k + 1)) / fit.n
+    moments = fit.total(lambda x: np.concatenate([((x @ weights).T @ (x @ weights)).ravel(), (x @ weights).sum(0), [(x * x).sum()]])) / fit.n
     error = float(np.abs(moments[:k * k].reshape(k, k) - np.outer(moments[k * k:-1], moments[k * k:-1]) - np.eye(k)).max())
     explained = variances / moments[-1]
     n, sums, mean = fit.n, fit.sums, fit.mean
