@@ -115,11 +115,11 @@ SKETCH_BITS = 12  # 2**12 registers: a standard error of about 1.6 %
 
 
 def weekly_sketches(df: DataFrame, column: str = "author") -> DataFrame:
-    """A13, approximate: per week the reviews and a sketch of the distinct values of ``column``.  The rows
-    can be stored and merged with those of other runs."""
+    """A13, approximate: per week the reviews and a sketch of the distinct non-empty values of ``column``.
+    The rows can be stored and merged with those of other runs."""
     dated = df.filter(F.col("review_day").isNotNull())
     return dated.groupBy("week").agg(F.count(F.lit(1)).cast("bigint").alias("n_reviews"),
-                                     F.hll_sketch_agg(F.coalesce(F.col(column), F.lit("")), F.lit(SKETCH_BITS)).alias("sketch"))
+                                     F.hll_sketch_agg(F.nullif(F.col(column), F.lit("")), F.lit(SKETCH_BITS)).alias("sketch"))
 
 
 def merge_sketches(*parts: DataFrame, by=()) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from revlens.functions.text import excerpt, json_array_slice, review_key, unescape_json_text
 from revlens.operators.classify import constant
-from revlens.operators.sequence import sequence
+from revlens.operators.sequence import sequence_wide
 from revlens.schema import ORD
 
 # Default labels when an answer is missing or invalid.
@@ -32,7 +32,7 @@ ANSWER_SCHEMA = "array<struct<id:bigint,primary:string,secondary:string,reason:s
 
 def request_items(low: DataFrame, batch_size: int = 3) -> DataFrame:
     """C2 rows: one item per low review with a global id and its batch."""
-    items = sequence(low, [F.col(ORD).asc()], (), "_seq")
+    items = sequence_wide(low, [F.col(ORD).asc()], (), "_seq")
     return (items.withColumn("item_id", F.col("_seq") - 1)
             .withColumn("batch_id", F.floor((F.col("_seq") - 1) / batch_size).cast("bigint"))
             .withColumn("cache_key", review_key())

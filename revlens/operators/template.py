@@ -24,7 +24,7 @@ def labeling_template(low: DataFrame) -> DataFrame:
          .withColumn("_sort_date", dashboard_time("review_date"))
          .withColumn("review_date", format_review_date("review_date"))
          .withColumn("overall_rating", F.coalesce(F.col("overall_rating"), F.lit(""))))
-    t = review_ids(t, template_order()).drop("_sort_date")
+    t = review_ids(t, template_order(), wide=True).drop("_sort_date")
     for c in ("primary_label", "secondary_label", "reason_label"):
         t = t.withColumn(c, F.lit(""))
     return display_columns(t, [ORD, *TEMPLATE_COLUMNS])  # P14: wanted columns that exist, in order

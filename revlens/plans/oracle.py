@@ -397,7 +397,8 @@ def dashboard_statements() -> dict:
         f"count(*) FILTER (WHERE channel = '{c}')::BIGINT AS \"{c}\"" for c in chans) + \
         ", count(*)::BIGINT AS total FROM dash GROUP BY model_id"
     S["model_channel_rollup"] = base + " SELECT model_id, channel, GROUPING(model_id, channel)::INTEGER AS margin, count(*)::BIGINT AS n_reviews FROM dash GROUP BY CUBE (model_id, channel)"
-    S["weekly_authors"] = base + " SELECT week, count(*)::BIGINT AS n_reviews, count(DISTINCT coalesce(author, ''))::BIGINT AS n_authors FROM dash WHERE week <> '' GROUP BY week"
+    S["weekly_authors"] = with_(analysis_ctes()) + f""" SELECT week, count(*)::BIGINT AS n_reviews, count(DISTINCT nullif(author, ''))::BIGINT AS n_authors
+      FROM (SELECT author, {week_label(dash_date())} AS week FROM deduped) WHERE week <> '' GROUP BY week"""
     S["weekly_trend"] = base + " SELECT week, model_id, count(*)::BIGINT AS n_reviews FROM dash WHERE week <> '' GROUP BY week, model_id"
     S["weekly_trend_one"] = base + (" SELECT week, model_id, count(*)::BIGINT AS n_reviews FROM dash WHERE week <> '' "
                                     "AND model_id IN ('A7', 'C8') GROUP BY week, model_id")

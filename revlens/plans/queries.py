@@ -17,7 +17,7 @@ from revlens.functions import text as T
 from revlens.functions.size import extract_size
 from revlens.operators import dedupe, reports
 from revlens.operators.classify import classify_keyword, phrase_match
-from revlens.operators.sequence import review_ids, sequence
+from revlens.operators.sequence import review_ids, sequence, sequence_wide
 from revlens.plans.analysis import analysis, classified, labeled_reviews
 from revlens.schema import ORD, REVIEW_COLUMNS
 
@@ -443,7 +443,7 @@ def q_write_reviews_by_model(spark, sf):
     """S8 + O1: per-model folders, newest first (seq), read back."""
     from revlens.session import fresh_dir
     d = analysis(spark, sf).deduped
-    seq = sequence(d, reports.newest_first_key("review_date"), ["model_id"], "seq")
+    seq = sequence_wide(d, reports.newest_first_key("review_date"), ["model_id"], "seq")
     path = sinks.write_reviews_by_model(seq, fresh_dir(spark, "reviews_by_model"))
     return spark.read.parquet(path).select(ORD, "model_id", "seq")
 
@@ -776,8 +776,8 @@ def _report_grid(spark, sf):
     a = Analysis(a.raw, a.deduped, rated, low_reviews(rated), a.taxonomy)
     c = materialize(classified(a))
     summary = materialize(reports.issue_counts(c, a.taxonomy))
-    details = sequence(c.select("model_id", ORD, "model_name", "channel", "rating", "review_date", "secondary", "reason",
-                                "review_text"), reports.newest_first_key("review_date"), ["model_id"], "seq")
+    places = sequence(c, reports.newest_first_key("review_date"), ["model_id"], "seq", carry=[ORD]).select(ORD, "seq")
+    details = c.select("model_id", ORD, "model_name", "channel", "rating", "review_date", "secondary", "reason", "review_text").join(places, ORD)
     details = details.withColumn("review_date", D.format_review_date("review_date"))
     header = reports.model_header(a.rated).join(summary.select("model_id").distinct(), "model_id")
     metrics = reports.channel_metrics(a.rated).join(summary.select("model_id").distinct(), "model_id")
