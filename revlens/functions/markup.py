@@ -83,11 +83,17 @@ def url_param(c, key: str) -> Column:
     return F.try_parse_url(col_of(c), F.lit("QUERY"), F.lit(key))
 
 
+# Where a shop's page path holds the product id, tried in order.
+PRODUCT_ID = {
+    "amazon": [r"(?i)/(?:product-reviews|dp)/([A-Z0-9]{10})"],
+    "bestbuy": [r"/sku/(\d+)/reviews", r"/site/reviews/[^/]+/(\d+)"],
+    "walmart": [r"/reviews/product/(\d+)", r"/ip/(?:[^/]+/)?(\d+)"],
+}
+
+
 def product_id(c, kind) -> Column:
     """F25 by shop kind: Amazon's ASIN (any case, upper-cased), Best Buy's SKU, Walmart's item
     id, each from the URL's path; NULL for other shops and other paths."""
     path, k = F.regexp_extract(col_of(c), r"^[^?#]*", 0), col_of(kind)
-    first = lambda *pats: F.coalesce(*[F.nullif(F.regexp_extract(path, p, 1), F.lit("")) for p in pats])
-    return (F.when(k == "amazon", F.upper(first(r"(?i)/(?:product-reviews|dp)/([A-Z0-9]{10})")))
-            .when(k == "bestbuy", first(r"/sku/(\d+)/reviews", r"/site/reviews/[^/]+/(\d+)"))
-            .when(k == "walmart", first(r"/reviews/product/(\d+)", r"/ip/(?:[^/]+/)?(\d+)")))
+    first = lambda shop: F.coalesce(*[F.nullif(F.regexp_extract(path, p, 1), F.lit("")) for p in PRODUCT_ID[shop]])
+    return (F.when(k == "amazon", F.upper(first("amazon"))).when(k == "bestbuy", first("bestbuy")).when(k == "walmart", first("walmart")))

@@ -14,6 +14,7 @@ SIZE_SUFFIX = "寸"
 UNKNOWN_SIZE = "未知"
 ALL_SIZES = "全部"
 
+# Where a size stands in a site key, before a model name, and in a text.
 SITE_PATTERN = f"(?:^|_)({SIZES})(?:$|_)"
 PREFIX_PATTERN = f"(?i)^({SIZES})(?=[A-Z])"
 TEXT_PATTERN = f"(?i)(?<![0-9])({SIZES}){WS}*(?:[\"”]|inch|inches|class|吋|寸)"
