@@ -8,9 +8,10 @@ attention ``w . (tanh(V h) * sigmoid(U h))`` weighs the passages, and the weight
 gives the probability of label 1.  Only document labels are used, so training finds out
 by itself which passages speak for a document.
 
-Training uses a bounded sample: for each label the SAMPLE labelled documents with the
-smallest hash, and of each at most SAMPLE_PASSAGES passages, evenly spaced; class weights
-put the label shares back.  Scoring covers every passage of every document.
+Training uses a bounded sample of labelled documents: for each label the SAMPLE with the smallest
+hash, as far as their passages together are at most SAMPLE_PASSAGES (the first always
+counts).  Every passage of a chosen document is learned from; class weights put the label
+shares back.  Scoring covers every passage of every document.
 
 Defined results: a null or empty text is one empty passage and gets a score like any
 other.  Labels are joined by doc_id; null or contradicting labels are not learned from.
@@ -24,13 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from revlens.llm import textbatch
+from revlens.llm.store import stored
 
 PASSAGE = 64
-SAMPLE = 2000
-SAMPLE_PASSAGES = 64
+SAMPLE = 2000               # labelled documents of each label
+SAMPLE_PASSAGES = 100_000   # of all chosen documents of one label: 29 MB
 ENCODED, GATES = 24, 16
 EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.01, 1e-4
 ACCEPT = 0.7
@@ -174,10 +176,7 @@ def fit(bags, labels, shares) -> Model:
 def _sampled(batches):
     for part in textbatch.chunks(batches, "text"):
         x, first = passages(part.column("text"))
-        rows = []
-        for a, b in zip(first[:-1], first[1:]):
-            some = np.unique(np.linspace(a, b - 1, min(b - a, SAMPLE_PASSAGES)).astype(int))
-            rows.append(x[some].tobytes())
+        rows = [x[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(rows, pa.binary())], ["doc_id", "quality", "bag"])
 
 
@@ -194,8 +193,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     chosen = picks[0] if len(picks) == 1 else picks[0].union(picks[1])
     texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
              .join(F.broadcast(chosen), "doc_id"))  # at most 2 x SAMPLE rows
-    bags = texts.mapInArrow(_sampled, "doc_id long, quality int, bag binary").groupBy("doc_id", "quality").agg(F.min("bag").alias("bag"))
-    rows = sorted(bags.collect(), key=lambda r: r["doc_id"])
+    bags = stored(texts.mapInArrow(_sampled, "doc_id long, quality int, bag binary").groupBy("doc_id", "quality").agg(F.min("bag").alias("bag")), "bags")
+    # SAMPLE rows of a label at most, so these windows are small
+    ahead = Window.partitionBy("quality").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    passages_so_far = F.sum(F.octet_length("bag") / (4 * FEATURES)).over(ahead)
+    kept = bags.select("doc_id", "quality", passages_so_far.alias("n"), F.row_number().over(Window.partitionBy("quality").orderBy(order, "doc_id")).alias("place"))
+    kept = kept.where((F.col("n") <= SAMPLE_PASSAGES) | (F.col("place") == 1)).select("doc_id")
+    rows = sorted(bags.join(F.broadcast(kept), "doc_id").collect(), key=lambda r: r["doc_id"])
     if not rows:
         return None
     return fit([np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES).astype(float) for r in rows], [r["quality"] for r in rows], shares)

@@ -134,6 +134,64 @@ def test_passages_cover_whole_texts():
     assert np.allclose(alone, x[4:6])
 
 
+def plain_features(text):
+    """The features of a text's passages, byte by byte and word by word."""
+    import re
+
+    data, kinds = (text or "").encode(), quality.KIND
+    words = list(re.finditer(rb"[^\t\n\x0b\f\r ]+", data))
+    out = []
+    for at in range(0, max(1, len(words)), quality.PASSAGE):
+        some = words[at:at + quality.PASSAGE]
+        begin = 0 if at == 0 else some[0].start()
+        stop = words[at + quality.PASSAGE].start() if at + quality.PASSAGE < len(words) else len(data)
+        cells = np.zeros(quality.CLASSES ** 2)
+        for x, y in zip(data[begin:stop], data[begin + 1:stop]):
+            cells[kinds[x] * quality.CLASSES + kinds[y]] += 1
+        n = max(1, len(some))
+        low = [w[0].lower() for w in some]
+        sizes = np.array([len(w[0]) for w in some] or [0.0])
+        firsts, lasts = [kinds[w[0][0]] for w in some], [kinds[w[0][-1]] for w in some]
+        share = lambda hits: sum(hits) / n
+        stats = [sizes.mean() / 10 if some else 0, sizes.std() / 10 if some else 0, share(x == y for x, y in zip(low, low[1:])), len(set(low)) / n, share(k == 1 for k in firsts),
+                 share(k == 6 for k in lasts), share(k == 4 for k in lasts), share(1 < k < 7 for k in firsts), np.log1p(len(some)) / 5]
+        out.append(np.concatenate((cells / max(1, cells.sum()), stats)))
+    return np.array(out)
+
+
+def plain_score(model, x):
+    """Gated attention over the passages of one text, written out."""
+    w, encoded, weights = model.w, [], []
+    for row in x:
+        h = np.tanh(np.clip((row - model.mean) / model.scale, -8, 8) @ w["E"] + w["e"])
+        encoded.append(h)
+        weights.append(np.exp(w["w"] @ (np.tanh(h @ w["V"]) / (1 + np.exp(-(h @ w["U"]))))))
+    z = sum(a * h for a, h in zip(weights, encoded)) / sum(weights)
+    return 1 / (1 + np.exp(-(z @ w["c"] + w["b"][0])))
+
+
+def test_quality_scores_equal_a_plain_version(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    texts = documents(spark, AWKWARD[:6] + AWKWARD[8:]).unionByName(docs)
+    model = quality.train(docs, labels)
+    got = texts.select("doc_id", "text", quality.score(texts["text"], model).alias("s")).collect()
+    assert all(r["s"] == pytest.approx(plain_score(model, plain_features(r["text"])), abs=1e-5) for r in got)
+
+
+def test_quality_learns_from_every_passage_of_a_chosen_document(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, labels, shares: seen.append(sorted(map(len, bags))))
+    long = " ".join(f"w{i}" for i in range(64 * 90))
+    docs = documents(spark, [(1, long), (3, "a b"), (4, "c"), (5, None)])
+    labels = spark.createDataFrame([(d, d % 2, 0) for d in (1, 3, 4, 5)], "doc_id long, quality int, toxic int")
+    quality.train(docs, labels)
+    monkeypatch.setattr(quality, "SAMPLE_PASSAGES", 2)
+    quality.train(docs, labels)
+    known = [d for d in (1, 3, 4, 5) if zlib.crc32(str(d).encode()) % 4 != 2]
+    sizes = {1: 90, 3: 1, 4: 1, 5: 1}
+    assert seen[0] == sorted(sizes[d] for d in known) and set(seen[1]) <= set(seen[0]) and len(seen[1]) >= len({d % 2 for d in known})
+
+
 def test_quality_awkward_rows(spark):
     good = [(100 + i, prose(60, i) + ". Fine sentence here.", "en") for i in range(60)]
     bad = [(300 + i, "JUNK!! " * 40, "en") for i in range(60)]
