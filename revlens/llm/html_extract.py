@@ -9,7 +9,8 @@ headings above it, is the page's vote.
 
 *Vote.*  The vote is for a generalised path: the tags from the root with their classes and
 ids, digits generalised.  Spark sums the votes per host and ranks the paths; a path needs
-MIN_SHARE of its host's votes.
+MIN_SHARE of its host's votes, and a host on which none has that share keeps its MOST_PATHS
+best.
 
 *Re-extract.*  Each page takes its host's best-ranked path that occurs in it (its own vote
 if none does), and returns the blocks below these elements without boilerplate.
@@ -31,9 +32,10 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 MIN_SHARE = 0.05
+MOST_PATHS = 20
 COVER = 0.8         # part of the page's score that its container holds at least
 HEAD_SLACK = 0.02
 CONTAINERS = frozenset("html body main article section div center td".split())
@@ -62,7 +64,13 @@ OUTSIDE_WORDS = frozenset(("ad ads adv advert advertisement advertising adverts
                            "social pagination pager skip toolbar masthead topbar copyright disclaimer announcement announcements paywall").split())
 ASIDE_WORDS = frozenset("comment comments commentlist disqus replies reply respond related recommended recommendations".split())  # released only from empty pages
 HAVING_WORDS = frozenset("with has no without not hide show is".split())
+# What a boilerplate name may say besides: "ad-slot" and "site-footer" are marks, "ad-hoc" and "share-price" are not.
+PART_WORDS = frozenset(("area article articles bar block blocks body bottom box btn button buttons cell center col column columns container content desktop field fixed "
+                        "floating form global group header heading icon icons inner input item items label left link links list lists main media message mobile module "
+                        "outer page panel post posts primary right row secondary section site slot sticky stories story strip tab tabs text title top unit view wrap "
+                        "wrapper zone").split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
+MARK_WORDS = OUTSIDE_WORDS | PART_WORDS
 LONG_PATH = 300  # above this many characters the front of a path is replaced by its digest
 _WORD = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"[0-9]+")
@@ -77,9 +85,10 @@ class Element:
         names = " ".join((found.get("class", ""), found.get("id", ""))).split()
         above = "" if up is None else f"{up.path}>" if len(up.path) <= LONG_PATH else f"#{hashlib.md5(up.path.encode()).hexdigest()}>"
         self.path = above + ".".join([tag, *sorted({_DIGITS.sub("#", x.lower()) for x in names})])
-        # a name such as "with-sidebar" says what an element has, not what it is
+        # a name such as "with-sidebar" says what an element has, not what it is; one that says
+        # anything beyond boilerplate and its layout is no mark
         parts = [set(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower())) for x in names]
-        words = set().union(*(p for p in parts if p.isdisjoint(HAVING_WORDS)))
+        words = set().union(*(p for p in parts if p.isdisjoint(HAVING_WORDS) and p <= MARK_WORDS))
         role = found.get("role", "").lower()
         hard = tag in OUTSIDE_TAGS and tag != "form" or role in OUTSIDE_ROLES and role != "form" or found.get("aria-hidden", "").lower() == "true"
         here = hard or tag == "form" or role == "form" or not words.isdisjoint(OUTSIDE_WORDS)
@@ -346,9 +355,11 @@ def host_paths(pages: DataFrame) -> DataFrame:
     votes = (pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
              .mapInArrow(_votes, "host string, path string, score double").where("path <> ''")
              .groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes")))
-    # 1 / MIN_SHARE paths at most can have the share, so a host keeps a bounded list
-    best = votes.groupBy("host").agg(F.sum("votes").alias("total"))
-    kept = votes.join(best, "host").where(F.col("votes") >= MIN_SHARE * F.col("total"))
+    # a host keeps 1 / MIN_SHARE = MOST_PATHS paths at most
+    best = votes.groupBy("host").agg(F.sum("votes").alias("total"), F.max("votes").alias("most"))
+    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))
+    first = votes.withColumn("place", place).where(F.col("place") <= MOST_PATHS).drop("place")
+    kept = first.join(best, "host").where((F.col("votes") >= MIN_SHARE * F.col("total")) | (F.col("most") < MIN_SHARE * F.col("total")))
     return kept.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("n"), "path"))), lambda x: x["path"]).alias("paths"))
 
 

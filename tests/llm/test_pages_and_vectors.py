@@ -88,6 +88,22 @@ def test_wrappers_of_the_whole_page(page, want):
     assert html_extract.extract(found, [html_extract.vote(found)[0]]) == want
 
 
+def test_names_that_only_contain_a_boilerplate_word_mark_nothing():
+    keep = ["share-price", "social-history", "ad-hoc", "side-note", "adHocQuery", "alert_level", "footnote", "menu-of-the-day", "notice-period"]
+    page = "<html><body><article><h1>T</h1>" + "".join(f"<div class='{c}'><p>{c} {'word ' * 20}</p></div>" for c in keep) + "</article></body></html>"
+    found = html_extract.blocks(page)
+    assert [t.split()[0] for t in html_extract.extract(found, None).split("\n")] == ["T", *keep]
+    drop = ["ad", "ad-slot", "site-footer", "share-buttons", "commentList", "related_posts", "sidebar-left", "newsletter-signup"]
+    page = "<html><body><article><p>" + "word " * 200 + "</p>" + "".join(f"<div class='{c}'>no {c}</div>" for c in drop) + "</article></body></html>"
+    assert html_extract.extract(html_extract.blocks(page), None) == " ".join(["word"] * 200)
+
+
+def test_a_host_of_many_even_templates_keeps_paths(spark):
+    rows = [(i, "https://many.example/x", f"<html><body><div class='t{chr(97 + i % 25)}'><p>{'text ' * 30}</p></div></body></html>") for i in range(50)]
+    kept = html_extract.host_paths(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(kept) == 1 and len(kept[0]["paths"]) == html_extract.MOST_PATHS
+
+
 def test_awkward_pages(spark):
     df = pages(spark, AWKWARD_PAGES).selectExpr("*", "'x' as text", "1 as host", "2 as paths")
     got = html_extract.extract_pages(df).collect()
@@ -139,6 +155,19 @@ def test_recall_on_whole_table(spark, where):
     assert compare(df, ann.search(df)) >= 0.9
 
 
+def test_recall_where_most_leaves_are_never_visited(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAF", 32)
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    trees, fitted = [], ann.fit
+    monkeypatch.setattr(ann, "fit", lambda *a, **k: trees.append(fitted(*a, **k)) or trees[-1])
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(60, 16)) * 8
+    x = centres[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 16))
+    df = vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)])
+    assert compare(df, ann.search(df)) >= 0.9
+    assert trees[0].visits < len(trees[0].leaves) / 4
+
+
 def test_hot_leaf_and_ties_are_exact(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 50)  # the copies fill many blocks
     rows = [(i, [1.0, 2.0, 3.0], 0) for i in range(300)] + [(1000 + i, [float(i % 7), 1.0, -float(i % 5) - 1], 0) for i in range(200)]
