@@ -11,7 +11,8 @@ trie; the meeting is verified exactly on the whole sets of runs.
 is met with probability ``1 - (1 - J**k)**TREES``, which grows with J.  While a pair at
 the threshold itself would be met less often than the target recall, prefixes get one
 hash shorter and only meetings that are new at this length are verified.  The length does
-not depend on the table, so neither its size nor a hot group ends the search early.
+not depend on the table, so neither its size nor a hot group ends the search early.  A recall
+that prefixes of one hash would still miss is an error.
 
 *Hot nodes.*  A node with more than BLOCK texts is dealt over pairs of blocks, so no task
 holds more than two blocks.  Pairs are counted inside the tasks, never emitted: a task
@@ -19,7 +20,10 @@ returns, for each of its texts, the number of links and one root, so the rows th
 it follow the texts and not their square.
 
 Defined results: null, empty and wordless texts have no runs, hence no links, and each is
-its own class.  Repeated rows with one doc_id give one row.  A null doc_id takes no part.
+its own class.  A repeated doc_id gives one row; if its rows hold unlike texts, all of them
+count: text_id is that of its first text, n_links adds up the links of its texts, and they
+are one class.  (Texts beyond the first go by a hash of doc_id and digest from 2**62 on in
+place of the doc_id; doc_ids are taken to be smaller.)  A null doc_id takes no part.
 Extra columns are ignored.  An empty table gives an empty result.
 """
 
@@ -31,16 +35,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from revlens.llm import textbatch
 from revlens.llm.graph import components
-from revlens.llm.membership import among
+from revlens.llm.membership import among, outside
 from revlens.llm.store import stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
 TREES = 20
 DEPTH = 5          # hashes of a full prefix
-LEAST_DEPTH = 3    # shortest prefix the search may come to
 RECALL = 0.9999
 BLOCK = 512
+BEYOND = 1 << 62   # ids of further texts of a document
 SALTS = 32         # keys over which the copies of one text are joined
 
 _MULT = textbatch.mix64(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
@@ -66,6 +70,12 @@ def _signatures(batches):
             ["doc_id", "h1", "h2", "sig"])
 
 
+def _with_digests(batches):
+    for part in textbatch.chunks(batches, "text"):
+        h1, h2 = (pa.array(d.astype(np.int64)) for d in textbatch.Words(part.column("text")).digests())
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), h1, h2], ["doc_id", "text", "h1", "h2"])
+
+
 def _keys(sig, depth: int):
     """(rows, TREES) uint64: the prefix of ``depth`` hashes in every trie."""
     out = np.zeros((len(sig), TREES), np.uint64)
@@ -197,31 +207,55 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     text_id: smallest doc_id with the same words; class_id: smallest doc_id of the linked
     group; n_links: number of other texts (different words) with Jaccard >= threshold.
     """
-    spark = docs.sparkSession
+    if met(threshold, 1) < recall:
+        raise ValueError(f"{TREES} tries meet a pair of Jaccard {threshold} with probability {float(met(threshold, 1))} at most")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     signed = stored(docs.mapInArrow(_signatures, "doc_id long, h1 long, h2 long, sig binary"), "signed")
+    # doc_ids whose rows hold unlike texts, and the first of these
+    edge = lambda f: F.struct(f("h1"), f("h2"))
+    unlike = signed.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("first"), edge(F.min).alias("lo"), edge(F.max).alias("hi")).where("lo <> hi").select("doc_id", "first")
+    unlike = stored(unlike, "unlike")
+    several = not unlike.isEmpty()  # without any, each node is a doc_id
+    hashed = F.xxhash64("doc_id", "h1", "h2").bitwiseAND(F.lit(BEYOND - 1)).bitwiseOR(F.lit(BEYOND))
+    ident = F.when(F.struct("h1", "h2") == F.col("first"), F.col("doc_id")).otherwise(hashed)
+    whole, plain = docs, signed.withColumn("node", F.col("doc_id"))
+    if several:
+        ids = unlike.select("doc_id")
+        more = among(signed, "doc_id", ids).join(unlike, "doc_id").withColumn("node", ident).drop("first")
+        plain = stored(outside(signed, "doc_id", ids).withColumn("node", F.col("doc_id")).unionByName(more), "nodes")
+        texts = among(docs, "doc_id", ids).mapInArrow(_with_digests, "doc_id long, text string, h1 long, h2 long")
+        texts = texts.join(unlike, "doc_id").select(ident.alias("doc_id"), "text")
+        whole = outside(docs, "doc_id", ids).unionByName(stored(texts, "unlike-texts"))
+    signed = plain
     # only digests that repeat are joined back, over SALTS keys each, so copies spread out
-    same = (signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("text_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    same = (signed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "node")).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-    mine = signed.select("doc_id", "h1", "h2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    owner = mine.join(same, ["h1", "h2", "salt"], "left").groupBy("doc_id").agg(F.min(F.coalesce("text_id", "doc_id")).alias("text_id"))
+    mine = signed.select("doc_id", "node", "h1", "h2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    owner = (mine.join(same, ["h1", "h2", "salt"], "left")
+             .groupBy("doc_id", "node").agg(F.min(F.coalesce("owner.doc_id", "doc_id")).alias("text_id"), F.min(F.coalesce("owner.node", "node")).alias("rep")))
     owner = stored(owner, "owner")
-    texts = signed.join(owner.where("doc_id = text_id").select("doc_id"), "doc_id").groupBy("doc_id").agg(F.min("sig").alias("sig"))
-    texts = stored(texts.withColumnRenamed("doc_id", "text_id"), "texts")
+    texts = signed.join(owner.where("node = rep").select("node"), "node").groupBy("node").agg(F.min("sig").alias("sig"))
+    texts = stored(texts.withColumnRenamed("node", "text_id"), "texts")
     links, depth, before = None, DEPTH, 0
     while True:
-        found = _links_at(docs, texts, depth, before, threshold)
+        found = _links_at(whole, texts, depth, before, threshold)
         links = found if links is None else links.union(found)
         # the worst case, a pair at the threshold, has to meet the target
-        if met(threshold, depth) >= recall or depth == LEAST_DEPTH:
+        if met(threshold, depth) >= recall:
             break
         before, depth = depth, depth - 1
-    counts = links.groupBy(F.col("a").alias("text_id")).agg(F.sum("n").alias("n_links"))
-    roots = components(links.select("a", "b").distinct())
-    known = counts.join(roots.withColumnRenamed("node", "text_id"), "text_id", "left")
-    out = (docs.select("doc_id").distinct().join(owner, "doc_id", "left").withColumn("text_id", F.coalesce("text_id", "doc_id"))
-           .join(known, "text_id", "left"))
-    return out.select("doc_id", "text_id", F.coalesce("root", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    counts = links.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
+    edges = links.select("a", "b")
+    if several:  # the texts of one document are one class
+        bound = among(owner, "doc_id", ids).select("doc_id", F.col("rep").alias("a"))
+        edges = edges.union(bound.join(owner.where("node = doc_id").select("doc_id", F.col("rep").alias("b")), "doc_id").select("a", "b"))
+    # the root of a class is its smallest node, the first text of its smallest document
+    known = counts.join(components(edges.distinct()).withColumnRenamed("node", "rep"), "rep", "full")
+    first = F.struct(F.col("node") != F.col("doc_id"), "text_id")
+    found = (owner.join(known, "rep", "left").groupBy("doc_id")
+             .agg(F.min(first)["text_id"].alias("text_id"), F.min(F.coalesce("root", "text_id")).alias("class_id"), F.sum("n_links").alias("n_links")))
+    out = docs.select("doc_id").distinct().join(found, "doc_id", "left").withColumn("text_id", F.coalesce("text_id", "doc_id"))
+    return out.select("doc_id", "text_id", F.coalesce("class_id", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def _links_at(docs: DataFrame, texts: DataFrame, depth: int, before: int, threshold: float) -> DataFrame:

@@ -8,6 +8,7 @@ from tests.llm.helpers import AWKWARD, documents, jaccard, prose, shingles, word
 
 
 def brute(rows):
+    """Rows whose doc_id repeats hold one text here."""
     texts = {}
     for doc, text in rows:
         if doc is not None:
@@ -89,6 +90,23 @@ def test_awkward_rows_have_defined_results(spark):
     assert got[1] == (1, 1, 0) and None not in got
 
 
+def test_unlike_texts_of_one_document_all_count(spark):
+    a, b = prose(100, 1), prose(100, 2)
+    rows = [(1, a), (1, b), (1, a), (2, a + " x"), (3, b + " y"), (4, prose(100, 3)), (0, b), (9, None), (9, "few words"), (9, "")]
+    got = result(ngram_join.jaccard_join(documents(spark, rows)))
+    classes = {d: c for d, (_, c, _) in got.items()}
+    assert classes == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 9: 9}
+    assert {d: n for d, (_, _, n) in got.items()} == {0: 1, 1: 2, 2: 1, 3: 1, 4: 0, 9: 0}
+    assert got[0][0] == 0 and got[1][0] in (0, 1) and got[4][0] == 4
+
+
+def test_a_recall_out_of_reach_is_an_error(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        ngram_join.jaccard_join(documents(spark, [(1, "a b")]), threshold=0.1, recall=0.9999)
+
+
 def test_empty_table(spark):
     assert ngram_join.jaccard_join(documents(spark, [])).count() == 0
 
