@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from revlens.functions.dates import dashboard_time, format_date_or_raw, parse_date_text
+from revlens.functions.dates import dashboard_time, parse_date_text
 from revlens.functions.ratings import parse_rating, round_share, safe_ratio
 from revlens.functions.size import ALL_SIZES, UNKNOWN_SIZE, extract_size
 from revlens.functions.text import col_of, py_strip
