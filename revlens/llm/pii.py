@@ -9,16 +9,18 @@ digits and number separators, numbers in telephone groups, and address-like text
 with spelled-out or bracketed ``at`` and ``dot``.  Each gets features of its format (digits, groups, separators, checks) and of its context
 (neighbouring characters, cue words before it).
 
-*Trees.*  Gradient-boosted trees learn from at most SAMPLE candidates of this corpus (those
-with the smallest hash): base spans and telephone groups that end one are personal data, numbers
+*Trees.*  Gradient-boosted trees learn from all candidates of this corpus: base spans and
+telephone groups that end one are personal data, numbers
 that fail a check are not, and what no rule decides is not learned from.  ``plain_numbers()``
 adds rule-made negatives such as dates, versions and long numbers.  The
 features that define the base patterns (the plus sign, the kind of ``at``) are withheld,
-so what resembles base data is found without them.  Half of the sample calibrates: each
-kind's threshold is the smallest score with precision PRECISION there.
+so what resembles base data is found without them.  Half of the candidates (by hash) calibrate:
+each kind's threshold is the smallest score, in steps of 1 / STEPS, with precision PRECISION there.
 
 Everything that touches the texts is built-in functions; the trees are one expression.
-The driver sees counted feature rows of the bounded sample only.  Patterns use character
+Candidates are counted by features; Spark sums each level's gradients by node, feature and value
+(as whole numbers, so the order of adding does not matter), and the driver sees these sums only:
+their number is bounded by the features' caps, whatever the corpus.  Patterns use character
 runs, possessive where they repeat, so long runs need neither deep stacks nor rescans;
 separators inside numbers and host names are first marked with a private character.
 
@@ -35,7 +37,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from revlens.llm.store import stored
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 20_000
+STEPS, UNIT = 1 << 16, 1 << 24
 ROUNDS, DEPTH, RATE, LEAST = 24, 3, 0.3, 4.0
 PRECISION = 0.98
 CONTEXT = 24
@@ -197,86 +199,167 @@ def plain_numbers() -> list[tuple]:
 
 class Trees:
     """Gradient boosting on the log loss; each tree is a nested list (feature, at, low, high)
-    or a leaf value, where rows with value <= at go low."""
-
-    def __init__(self, x, y, weight):
-        share = float(np.average(y, weights=weight)) if len(y) else 0.5
-        share = min(max(share, 1e-3), 1 - 1e-3)
-        self.start, self.trees, self.thresholds = float(np.log(share / (1 - share))), [], [2.0] * len(KINDS)
-        score = np.full(len(y), self.start)
-        for _ in range(ROUNDS if len(y) else 0):
-            p = 1 / (1 + np.exp(-score))
-            grad, hess = weight * (y - p), weight * p * (1 - p)
-            tree = self._grow(x, grad, hess, np.arange(len(y)), DEPTH)
+    or a leaf value, where rows with value <= at go low.
+
+    Trees grow level by level from sums of gradients: ``sums(trees, tree)`` gives the rows (node,
+    feature, value, gradient, hessian) of the open nodes of ``tree``, under the scores of ``trees``."""
+
+    def __init__(self, x=(), y=(), weight=()):
+        self.start, self.trees, self.thresholds = 0.0, [], [2.0] * len(KINDS)
+        if len(y):
+            self.fit(_array_sums(x, y, weight), float(np.dot(weight, y)), float(np.sum(weight)))
+
+    def fit(self, sums, good: float, every: float) -> "Trees":
+        """Learns from rows of the weight ``every``, ``good`` of them positive."""
+        share = min(max(good / every if every else 0.5, 1e-3), 1 - 1e-3)
+        self.start = float(np.log(share / (1 - share)))
+        for _ in range(ROUNDS if good else 0):
+            tree = _Open()
+            for depth in range(DEPTH):
+                nodes = {}
+                for node, *cell in sums(self, tree):
+                    nodes.setdefault(node, []).append(cell)
+                if not nodes:
+                    break
+                tree = _split(tree, {node: _best(cells, depth + 1 < DEPTH) for node, cells in nodes.items()})
             self.trees.append(tree)
-            score += self._value(tree, x)
-
-    def _grow(self, x, grad, hess, rows, depth):
-        g, h = grad[rows].sum(), hess[rows].sum()
-        leaf = RATE * g / (h + 1.0)
-        if depth == 0:
-            return float(leaf)
-        best = (1e-6, None, None)
-        for f in range(x.shape[1]):
-            value, place = np.unique(x[rows, f], return_inverse=True)
-            if len(value) < 2:
-                continue
-            gs, hs = np.cumsum(np.bincount(place, grad[rows]))[:-1], np.cumsum(np.bincount(place, hess[rows]))[:-1]
-            gain = gs ** 2 / (hs + 1) + (g - gs) ** 2 / (h - hs + 1) - g ** 2 / (h + 1)
-            gain[(hs < 1e-3) | (h - hs < 1e-3)] = 0
-            i = int(np.argmax(gain))
-            if gain[i] > best[0]:
-                best = (gain[i], f, int(value[i]))
-        if best[1] is None:
-            return float(leaf)
-        low = x[rows, best[1]] <= best[2]
-        return [best[1], best[2], self._grow(x, grad, hess, rows[low], depth - 1), self._grow(x, grad, hess, rows[~low], depth - 1)]
-
-    def _value(self, tree, x):
-        if not isinstance(tree, list):
-            return np.full(len(x), tree)
-        return np.where(x[:, tree[0]] <= tree[1], self._value(tree[2], x), self._value(tree[3], x))
+        return self
 
     def predict(self, x):
-        return 1 / (1 + np.exp(-(self.start + sum(self._value(t, x) for t in self.trees))))
+        return 1 / (1 + np.exp(-(self.start + sum(_value(t, x) for t in self.trees))))
 
     def column(self, f: Column) -> Column:
         """The same probability as an expression over a struct of features."""
-        def value(tree):
-            if not isinstance(tree, list):
-                return F.lit(tree)
-            return F.when(f[FEATURES[tree[0]]] <= tree[1], value(tree[2])).otherwise(value(tree[3]))
         total = F.lit(self.start)
         for tree in self.trees:
-            total = total + value(tree)
+            total = total + _case(tree, f)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
     def calibrate(self, x, y, weight, kind):
-        """Each kind's smallest threshold with the asked precision on rows not learned from."""
+        """``limits`` from rows not learned from."""
         p = self.predict(x) if len(x) else np.zeros(0)
+        return self.limits(zip(kind, np.floor(p * STEPS), weight * y, weight))
+
+    def limits(self, rows):
+        """Each kind's smallest threshold with the asked precision over (kind, step, positive weight, weight)."""
+        table = np.array(sorted(rows, key=lambda r: -r[1]), float).reshape(-1, 4)
         for k in range(len(KINDS)):
-            rows = np.flatnonzero(kind == k)
-            order = rows[np.argsort(-p[rows], kind="stable")]
-            good, every = np.cumsum((weight * y)[order]), np.cumsum(weight[order])
-            ends = np.append(p[order][1:] < p[order][:-1], True) if len(order) else np.zeros(0, bool)
+            _, step, good, every = table[table[:, 0] == k].T
+            good, every = np.cumsum(good), np.cumsum(every)
+            ends = np.append(step[1:] < step[:-1], True) if len(step) else np.zeros(0, bool)
             fine = ends & (every >= LEAST) & (good >= PRECISION * every)
-            self.thresholds[k] = float(max(0.5, p[order][np.flatnonzero(fine)[-1]] - 1e-9)) if fine.any() else 2.0
+            self.thresholds[k] = float(max(0.5, step[np.flatnonzero(fine)[-1]] / STEPS - 1e-9)) if fine.any() else 2.0
         return self
 
 
+class _Open:
+    """A node that may still be split."""
+
+
+def _best(cells, more: bool):
+    """The node of the best split of (feature, value, gradient, hessian) rows, its low and high
+    side open if ``more`` levels follow; a leaf value if no split gains."""
+    cells = np.array(sorted(cells), float)
+    one = cells[cells[:, 0] == 0]
+    g, h = one[:, 2].sum(), one[:, 3].sum()
+    leaf = lambda g, h: _Open() if more else float(RATE * g / (h + 1.0))
+    best, node = 1e-6, float(RATE * g / (h + 1.0))
+    for f in range(len(FEATURES)):
+        _, value, gs, hs = cells[cells[:, 0] == f].T
+        if len(value) < 2:
+            continue
+        gs, hs = np.cumsum(gs)[:-1], np.cumsum(hs)[:-1]
+        gain = gs ** 2 / (hs + 1) + (g - gs) ** 2 / (h - hs + 1) - g ** 2 / (h + 1)
+        gain[(hs < 1e-3) | (h - hs < 1e-3)] = 0
+        i = int(np.argmax(gain))
+        if gain[i] > best:
+            best, node = gain[i], [f, int(value[i]), leaf(gs[i], hs[i]), leaf(g - gs[i], h - hs[i])]
+    return node
+
+
+def _split(tree, nodes: dict, at: int = 1):
+    """``tree`` with its open nodes replaced; node n has the sides 2 n and 2 n + 1."""
+    if isinstance(tree, list):
+        return [*tree[:2], _split(tree[2], nodes, 2 * at), _split(tree[3], nodes, 2 * at + 1)]
+    return nodes[at] if isinstance(tree, _Open) else tree
+
+
+def _value(tree, x, at: int = 1):
+    """Leaf values of the rows, or their open nodes (0: none is open)."""
+    if isinstance(tree, list):
+        return np.where(x[:, tree[0]] <= tree[1], _value(tree[2], x, 2 * at), _value(tree[3], x, 2 * at + 1))
+    return np.full(len(x), at if isinstance(tree, _Open) else tree)
+
+
+def _case(tree, f: Column, leaf=lambda tree, at: F.lit(tree), at: int = 1) -> Column:
+    if not isinstance(tree, list):
+        return leaf(tree, at)
+    return F.when(f[FEATURES[tree[0]]] <= tree[1], _case(tree[2], f, leaf, 2 * at)).otherwise(_case(tree[3], f, leaf, 2 * at + 1))
+
+
+def _node(tree, at: int) -> Column:
+    return F.lit(at if isinstance(tree, _Open) else 0)
+
+
+def _opened(tree):
+    """``tree`` with 0 for its closed leaves."""
+    if isinstance(tree, list):
+        return [*tree[:2], _opened(tree[2]), _opened(tree[3])]
+    return tree if isinstance(tree, _Open) else 0
+
+
+def _array_sums(x, y, weight):
+    """Sums over the rows of arrays."""
+    def sums(trees, tree):
+        p, node = trees.predict(x), _value(_opened(tree), x)
+        for n in np.unique(node[node > 0]):
+            rows = node == n
+            for f in range(x.shape[1]):
+                value, place = np.unique(x[rows, f], return_inverse=True)
+                yield from ((n, f, *cell) for cell in zip(value, np.bincount(place, (weight * (y - p))[rows]), np.bincount(place, (weight * p * (1 - p))[rows])))
+    return sums
+
+
+class _CellSums:
+    """The same over a table (f, known, n) of counted features, added up by Spark.  Its scores are
+    kept from round to round, so that a round's expressions hold one tree."""
+
+    def __init__(self, cells: DataFrame):
+        self.done, self.rows = 0, cells.withColumn("score", F.lit(0.0)).persist()
+
+    def __call__(self, trees, tree):
+        f, n, before = F.col("f"), F.col("n"), self.rows
+        for new in trees.trees[self.done:]:
+            self.rows = self.rows.withColumn("score", F.col("score") + _case(new, f))
+        if self.done < len(trees.trees):
+            self.done, self.rows = len(trees.trees), self.rows.persist()
+        values = F.array(*[F.struct(F.lit(i).alias("feature"), f[name].alias("value")) for i, name in enumerate(FEATURES)])
+        whole = lambda c: F.round(c * UNIT).cast("long") * n
+        scored = self.rows.withColumn("node", _case(tree, f, _node)).where("node > 0").withColumn("p", F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("score") + F.lit(trees.start)))))
+        each = scored.select("node", whole(F.col("known").cast("double") - F.col("p")).alias("g"), whole(F.col("p") * (1 - F.col("p"))).alias("h"), F.explode(values).alias("v"))
+        rows = each.groupBy("node", "v").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
+        if before is not self.rows:
+            before.unpersist()
+        return [(r["node"], r["v"]["feature"], r["v"]["value"], r["g"] / UNIT, r["h"] / UNIT) for r in rows]
+
+
 def train(found: DataFrame) -> Trees:
-    """Trees from the bounded sample of the exploded candidates (h: hash of row, c)."""
+    """Trees from all exploded candidates that a rule decides (h: hash of row, c)."""
     f = "c.f."
     fails = (F.col(f + "nd") < 9) | (F.col(f + "nd") > 19) | ((F.col(f + "dots") == 3) & (F.col(f + "ng") == 4) & (F.col(f + "octets") == 0)) \
         | ((F.col(f + "nd") >= 12) & (F.col(f + "luhn") == 0) & F.col(f + "ng").isin(1, 4))
-    sample = found.where(F.col("c.known") | ((F.col(f + "gen") == 0) & fails)).orderBy("h").limit(SAMPLE)
-    cells = sample.groupBy("c.f", "c.k", "c.known", (F.pmod("h", F.lit(2))).alias("half")).agg(F.count(F.lit(1)).alias("n")).collect()
-    plain = [(x, 0 if x[0] else 3, False, half, 1) for x in plain_numbers() for half in (0, 1)]
-    rows = sorted([(tuple(r["f"]), r["k"], r["known"], r["half"], r["n"]) for r in cells] + plain)
-    x = np.array([r[0] for r in rows], np.int64)
-    kind, y, half, n = (np.array([r[i] for r in rows], float) for i in (1, 2, 3, 4))
-    learn = half == 0
-    return Trees(x[learn], y[learn], n[learn]).calibrate(x[~learn], y[~learn], n[~learn], kind[~learn])
+    decided = found.where(F.col("c.known") | ((F.col(f + "gen") == 0) & fails)).select("c.f", "c.k", "c.known", F.pmod("h", F.lit(2)).cast("int").alias("half"))
+    fields = ",".join(f"{name}:int" for name in FEATURES)
+    plain = found.sparkSession.createDataFrame([(x, 0 if x[0] else 3, False, half) for x in plain_numbers() for half in (0, 1)], f"f struct<{fields}>, k int, known boolean, half int")
+    cells = stored(decided.unionByName(plain).groupBy("f", "k", "known", "half").agg(F.count(F.lit(1)).alias("n")), "pii-cells")
+    learn, rest = cells.where("half = 0"), cells.where("half = 1")
+    count = learn.agg(F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("good"), F.sum("n").alias("every")).first()
+    sums = _CellSums(learn)
+    trees = Trees().fit(sums, count["good"], count["every"])
+    sums.rows.unpersist()
+    scored = rest.withColumn("step", F.floor(trees.column(F.col("f")) * STEPS))
+    good = F.sum(F.when(F.col("known"), F.col("n")).otherwise(0))
+    return trees.limits(scored.groupBy("k", "step").agg(good.alias("good"), F.sum("n").alias("every")).collect())
 
 
 def _found(docs: DataFrame, *keep: str) -> DataFrame:

@@ -102,3 +102,32 @@ def test_trees_learn_and_match_their_expression(spark):
     df = spark.createDataFrame([tuple(map(int, row)) for row in x[:50]], ",".join(f"{f} int" for f in pii.FEATURES))
     got = [row[0] for row in df.select(F.struct("*").alias("f")).select(trees.column(F.col("f"))).collect()]
     assert got == pytest.approx(trees.predict(x[:50]).tolist())
+
+
+def candidate_rows(spark, n):
+    """Numbers without a check at first, address-like base spans in the last tenth."""
+    mail = F.col("id") >= n - n // 10
+    values = {f: F.lit(0) for f in pii.FEATURES} | {"gen": mail.cast("int"), "nd": F.when(mail, 0).otherwise(7 + F.col("id") % 2).cast("int"),
+                                                    "dots": F.when(mail, 1).otherwise(0), "tld": F.when(mail, 3).otherwise(0), "before": (F.col("id") % 4).cast("int")}
+    f = F.struct(*[values[name].alias(name) for name in pii.FEATURES])
+    return spark.range(n).select(F.col("id").alias("h"), F.struct(f.alias("f"), F.when(mail, 0).otherwise(3).alias("k"), mail.alias("known")).alias("c"))
+
+
+def test_trees_learn_from_every_candidate(spark):
+    trees = pii.train(candidate_rows(spark, 30_000))
+    assert trees.thresholds[0] < 1 and trees.thresholds[3] == 2.0
+
+
+def test_sums_of_a_table_are_those_of_its_rows(spark):
+    r = np.random.default_rng(2)
+    x = r.integers(0, 9, (300, len(pii.FEATURES)))
+    y = (x[:, 2] > 4) | (x[:, 7] > 6)
+    n = r.integers(1, 50, 300)
+    ddl = f"f struct<{','.join(f'{f}:int' for f in pii.FEATURES)}>, known boolean, n long"
+    cells = spark.createDataFrame([(tuple(map(int, a)), bool(b), int(c)) for a, b, c in zip(x, y, n)], ddl)
+    trees = pii.Trees(x, y.astype(float), n)
+    assert trees.start == pii.Trees().fit(lambda *_: [], n @ y, n.sum()).start
+    for tree in (pii._Open(), [7, 6, [2, 4, pii._Open(), 0.5], pii._Open()]):
+        got = {tuple(c[:3]): c[3:] for c in pii._CellSums(cells)(trees, tree)}
+        want = {tuple(map(int, c[:3])): c[3:] for c in pii._array_sums(x, y, n)(trees, tree)}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-3) for k in want)
