@@ -634,8 +634,11 @@ def q_captured_pages(spark, sf):
     from revlens.session import fresh_dir
     from revlens.sources.reviews import read_captured_pages
     folder = fresh_dir(spark, "captured")
-    rows = _pages(spark, sf).select(MK.url_host("url").alias("host"), F.concat(F.col("page_id").cast("string"), F.lit(" "), F.coalesce("html", F.lit(""))).alias("value"))
-    rows.write.option("maxRecordsPerFile", 1).partitionBy("host").text(folder)
+    # making a file takes far longer than its bytes, so pages are dealt over all cores however large the scan's
+    # splits are, and tasks put their own files in place (version 2) instead of the driver one by one
+    dealt = _pages(spark, sf).repartition(4 * spark.sparkContext.defaultParallelism, "page_id", "url")
+    rows = dealt.select(MK.url_host("url").alias("host"), F.concat(F.col("page_id").cast("string"), F.lit(" "), F.coalesce("html", F.lit(""))).alias("value"))
+    rows.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy("host").text(folder)
     read = read_captured_pages(spark, folder, "*.txt")
     return read.select(F.split("html", " ", 2)[0].cast("long").alias("page_id"), F.regexp_extract("model_id", "^host=(.*)$", 1).alias("host"),
                        F.sha2(F.col("html"), 256).alias("html_sha256"))

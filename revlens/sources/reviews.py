@@ -15,6 +15,7 @@ from revlens.functions.text import py_strip
 from revlens.schema import LABELED_REQUIRED, has_columns, normalize_schema, require_columns
 
 KEY_COLUMNS = {"model_id", "review_text"}
+TASK_BYTES = 32 << 20  # of saved pages for every task
 
 
 def read_reviews(spark: SparkSession, paths, fmt: str = "parquet", required=KEY_COLUMNS) -> DataFrame:
@@ -74,10 +75,13 @@ def _decoded(files):
 def read_captured_pages(spark: SparkSession, folder: str, glob: str = "*.htm*") -> DataFrame:
     """One row per saved page file: path, model_id (its parent folder's name), file_name, file_key (for
     natural order, O4) and html.  Bytes that are no UTF-8 are left out, the rest of the page stays; Spark's scan
-    leaves out files without any bytes."""
+    leaves out files without any bytes.  Files are read by as many tasks as their bytes (TASK_BYTES) or the cores
+    ask for: a scan of small files makes a task of every few of them."""
     def decode(files: Iterator[pa.Array]) -> Iterator[pa.Array]:
         return _decoded(files)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
+    size = int(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    files = files.coalesce(max(4 * spark.sparkContext.defaultParallelism, size // TASK_BYTES))
     part = lambda i: F.element_at(F.split("path", "/"), i)
     pages = files.select("path", part(-2).alias("model_id"), part(-1).alias("file_name"), F.arrow_udf(decode, "string")(F.col("content")).alias("html"))
     return pages.withColumn("file_key", natural_key("file_name"))

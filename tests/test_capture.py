@@ -128,3 +128,12 @@ def test_workers_need_no_installed_copy(query):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", run], cwd=tempfile.mkdtemp(), env=env, capture_output=True, text=True, timeout=300)
     assert "rows" in done.stdout, done.stderr[-2000:]
+
+
+def test_many_small_pages_need_few_tasks(spark, tmp_path):
+    for i in range(900):
+        (tmp_path / f"m{i % 3}").mkdir(exist_ok=True)
+        (tmp_path / f"m{i % 3}" / f"p{i}.html").write_text(f"<p>{i}</p>")
+    pages = read_captured_pages(spark, str(tmp_path))
+    assert pages.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert sorted(r.html for r in pages.collect()) == sorted(f"<p>{i}</p>" for i in range(900))
