@@ -86,3 +86,11 @@ def materialize(df):
     out = kept.checkpoint(eager=True)
     kept.unpersist()
     return out
+
+
+def written(df, purpose: str):
+    """``df`` as Parquet in the shared folder, read back: for rows with long texts that several jobs read,
+    each of them only the columns it needs."""
+    path = fresh_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -140,3 +140,25 @@ def test_block_ids_and_variant_b_key(spark):
     assert sorted(r.block_id for r in recs.filter("page_id = 1").collect()) == ["R1", "R2"]
     ordered = recs.withColumn("review_ord", F.struct("page_id", "block_no"))
     assert keep_first_by(ordered, block_record_key()).count() == 2   # same ids on page 2 are repeats
+
+
+def nested(depth):
+    return '<script>{"a":[1,{"b":' + "[" * depth + '{"id":1,"text":"deep \\" [ { text","Rating":"2","rating":"3"}' + "]" * depth + "}]}</script>"
+
+
+def test_embedded_json_needs_no_job_per_level(spark):
+    jobs = []
+    for depth in (1, 4):
+        spark.sparkContext.setJobGroup(f"depth {depth}", "")
+        got = EM.embedded_json_reviews(pages(spark, [(1, "u", nested(depth), "x")])).collect()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"depth {depth}")))
+        assert [(r.review_text, r.rating) for r in got] == [('deep " [ { text', "3")]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+
+
+def test_embedded_json_deeper_than_one_go(spark):
+    rows = [(1, "u", nested(3 * EM.STEPS), "x"), (2, "u", nested(0) + "<script>{[}</script>", "x"), (None, "u", nested(1), "x")]
+    got = {r.page_id: (r.review_text, r.script_no, r.item_place) for r in EM.embedded_json_reviews(pages(spark, rows)).collect()}
+    text = 'deep " [ { text'
+    assert got == {1: (text, 0, [0, 1, 0] + [0] * 3 * EM.STEPS), 2: (text, 0, [0, 1, 0]), None: (text, 0, [0, 1, 0, 0])}
