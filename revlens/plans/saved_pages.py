@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from revlens.functions.markup import natural_key
 from revlens.operators.dedupe import keep_first_by
-from revlens.operators.embedded import embedded_json_reviews, overall_rating
+from revlens.operators.embedded import embedded_json_reviews, overall_rating, stored_scripts
 from revlens.operators.extract import extract_reviews, source_precedence
-from revlens.session import materialize
+from revlens.session import written
 from revlens.sources.reviews import read_captured_pages
 
 FIELDS = ["rating", "title", "review_text", "review_date", "author", "verified"]
@@ -36,10 +36,12 @@ def block_record_key() -> dict:
 
 def pages_to_reviews(pages: DataFrame) -> DataFrame:
     """X7 on a table (page_id, model_id, file_name, url, html, profile)."""
-    pages = materialize(pages.withColumn("page_key", natural_key("file_name")))  # read by four jobs below
-    found = (embedded_json_reviews(pages).select("page_id", F.concat(F.array(F.col("script_no")), "item_place").alias("pos"), *FIELDS).withColumn("source_rank", F.lit(0))
+    pages = written(pages.withColumn("page_key", natural_key("file_name")), "saved-pages")
+    scripts = stored_scripts(pages)
+    found = (embedded_json_reviews(pages, scripts).select("page_id", F.concat(F.array(F.col("script_no")), "item_place").alias("pos"), *FIELDS).withColumn("source_rank", F.lit(0))
              .unionByName(extract_reviews(pages).select("page_id", F.array("block_no").alias("pos"), *FIELDS).withColumn("source_rank", F.lit(1))))
-    meta = pages.select("page_id", "model_id", "page_key", "url").join(overall_rating(pages), "page_id")
+    found = written(found, "page-reviews")  # counted and then joined: pages are parsed once
+    meta = pages.select("page_id", "model_id", "page_key", "url").join(overall_rating(pages, scripts=scripts), "page_id")
     recs = source_precedence(found, ["page_id"]).join(meta, "page_id").withColumn("review_ord", F.struct("page_key", "page_id", "pos"))
     firsts = keep_first_by(recs.withColumn("_m", F.col("model_id")), {"m": F.col("_m"), **page_record_key()})
     return firsts.drop("_m", "source_rank").withColumnRenamed("url", "source_url")
