@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from revlens.functions.ratings import normalize_rating_text, overall_rating_text
 from revlens.functions.text import clean_text
-from revlens.operators.extract import markup_rating
+from revlens.operators.extract import markup_rating, once
 from revlens.operators.records import drop_badge_only
 from revlens.session import materialize, written
 
@@ -63,12 +63,6 @@ def stored_scripts(pages: DataFrame) -> DataFrame:
     return written(page_scripts(pages).withColumn("depth", F.when(json, _depth(F.col("script")))), "scripts")
 
 
-def _once(rows: DataFrame, keep, **columns) -> DataFrame:
-    """``keep`` and the computed ``columns``, each worked out once per row however often it is used later:
-    filters and projections are not merged into the expressions of a generator."""
-    return rows.select(*keep, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
-
-
 def json_objects(scripts: DataFrame) -> DataFrame:
     """Every object, at any depth, of ``stored_scripts``: (page_id, script_no, place, members), members
     being an array of (key, value) in key order.  ``place`` is an array of positions; an
@@ -85,7 +79,7 @@ def json_objects(scripts: DataFrame) -> DataFrame:
         if done and done % STEPS == 0:
             rows = materialize(rows)
         rows = rows.select("page_id", "script_no", F.expr(f"explode(concat(array(struct(place, value, false as open)), {deeper}))").alias("x")).select("page_id", "script_no", "x.*")
-    found = _once(rows, ("page_id", "script_no", "place"), members=F.expr("map_entries(try_variant_get(value, '$', 'map<string,variant>'))"))
+    found = once(rows, ("page_id", "script_no", "place"), members=F.expr("map_entries(try_variant_get(value, '$', 'map<string,variant>'))"))
     return found.filter("size(members) > 0")
 
 
@@ -132,18 +126,27 @@ def embedded_json_reviews(pages: DataFrame, scripts: DataFrame | None = None) ->
     script_no, item_place, rating, title, review_text, review_date, author, verified;
     objects without text and title, and badge-only ones, are dropped.  ``scripts``: the
     ``stored_scripts`` of the pages, if there are any already."""
-    has = lambda keys: F.exists("members", lambda e: F.lower(e["key"]).isin(keys))
-    reviews = (json_objects(scripts if scripts is not None else stored_scripts(pages))
-               .filter(has(TEXT_KEYS) & has(RATING_KEYS + ID_KEYS)).withColumnRenamed("place", "item_place"))
+    known = {k for keys in [TEXT_KEYS, RATING_KEYS, ID_KEYS, *FIELD_KEYS.values()] for k in keys}
+    lowered = F.transform("members", lambda e, i: F.struct(F.lower(e["key"]).alias("key"), i.alias("i"), e["value"].alias("value")))
+    place = ("page_id", "script_no", "place")
+    objects = once(json_objects(scripts if scripts is not None else stored_scripts(pages)), place, members=F.filter(lowered, lambda e: e["key"].isin(sorted(known)))).filter("size(members) > 0")
+    has = lambda keys: F.exists("members", lambda e: e["key"].isin(keys))
 
     def pick(keys):
         """The member of the first key there is; of keys that differ in case only the last one."""
-        found = [F.element_at(F.filter("members", _has_key(k, True)), -1) for k in keys]
-        return F.coalesce(*[F.when(F.exists("members", _has_key(k, True)), m) for k, m in zip(keys, found)])["value"]
-    keep = ("page_id", "script_no", "item_place")
-    rows = _once(reviews, keep, **{name: pick(keys) for name, keys in FIELD_KEYS.items()})
-    rows = _once(rows, keep, **{f: F.when(F.col(f).isNotNull(), F.struct(_kind(F.col(f)).alias("kind"), F.to_json(f).alias("json"))) for f in FIELD_KEYS})
-    rows = _once(rows, keep, rating=json_rating(F.col("rating")), **{f: json_text(F.col(f)) for f in ("title", "review_text", "review_date", "author", "verified")})
+        found = [F.element_at(F.filter("members", _has_key(k, False)), -1) for k in keys]
+        return F.coalesce(*[F.when(F.exists("members", _has_key(k, False)), F.struct(F.lit(r).alias("r"), (-m["i"]).alias("p"), m["value"].alias("value"))) for r, (k, m) in enumerate(zip(keys, found))])
+    rows = once(objects, place, _text=has(TEXT_KEYS), _mark=has(RATING_KEYS + ID_KEYS), **{name: pick(keys) for name, keys in FIELD_KEYS.items()})
+
+    def ranked(name):
+        c = F.col(name)
+        return F.when(c.isNotNull(), F.struct(c["r"].alias("r"), c["p"].alias("p"), F.struct(_kind(c["value"]).alias("kind"), F.to_json(c["value"]).alias("json")).alias("m")))
+    rows = once(rows, (*place, "_text", "_mark"), **{name: ranked(name) for name in FIELD_KEYS})
+    # rows of pages that share a page_id are one record
+    records = (rows.groupBy("page_id", "script_no", F.col("place").alias("item_place"))
+               .agg(F.max("_text").alias("_text"), F.max("_mark").alias("_mark"), *[F.min(name)["m"].alias(name) for name in FIELD_KEYS]).filter("_text and _mark"))
+    rows = once(records, ("page_id", "script_no", "item_place"), rating=json_rating(F.col("rating")),
+                **{f: json_text(F.col(f)) for f in ("title", "review_text", "review_date", "author", "verified")})
     return drop_badge_only(rows.filter(F.col("review_text").isNotNull() | F.col("title").isNotNull()))
 
 

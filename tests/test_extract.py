@@ -162,3 +162,9 @@ def test_embedded_json_deeper_than_one_go(spark):
     got = {r.page_id: (r.review_text, r.script_no, r.item_place) for r in EM.embedded_json_reviews(pages(spark, rows)).collect()}
     text = 'deep " [ { text'
     assert got == {1: (text, 0, [0, 1, 0] + [0] * 3 * EM.STEPS), 2: (text, 0, [0, 1, 0]), None: (text, 0, [0, 1, 0, 0])}
+
+
+def test_embedded_json_of_a_repeated_page(spark):
+    other = JSON_PAGE.replace("Sound is weak", "Sound is fine")
+    got = EM.embedded_json_reviews(pages(spark, [(3, "u", JSON_PAGE, "x"), (3, "v", JSON_PAGE, "x"), (3, "w", other, "x")])).collect()
+    assert sorted(r.review_text for r in got) == ["Good, value", "Sound is fine"]
